@@ -48,7 +48,7 @@ def _meets(shared: Column, repeated: Column) -> Column:
 
 def _subsets(tokens: Column) -> Column:
     """All non-empty subsets of an array, each in the array's order."""
-    masks = F.sequence(F.lit(1).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size(tokens)) - 1)
+    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size(tokens)).cast("long") - 1)
 
     def members(mask: Column) -> Column:
         return F.filter(tokens, lambda _, i: F.getbit(mask, i) == 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
-from merchlens.functions.numbers import as_int, clamp, to_double
+from merchlens.functions.numbers import as_int, clamp, ratio, to_double
 from merchlens.operators.latest import latest_per
 from merchlens.operators.ranks import exact_quantiles
 
@@ -117,10 +117,14 @@ def weights_by_correlation(
     A constant feature has no correlation. Without any signal the result is 50 everywhere
     (``flat``) or a fixed profile (``profile``). All correlations come from one aggregation.
     """
-    goal = F.coalesce(F.col(target).cast("double"), F.lit(0.0))
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+
+    goal = number(target)
     found = df.agg(
         *[
-            F.coalesce(F.nanvl(F.abs(F.corr(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), goal)), F.lit(0.0)), F.lit(0.0)).alias(f)
+            ratio(F.abs(F.covar_pop(number(f), goal)), F.stddev_pop(number(f)) * F.stddev_pop(goal)).alias(f)
             for f in features
         ]
     )
