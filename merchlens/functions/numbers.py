@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from merchlens.functions.text import strip
+
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def to_double(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    return strip(c.cast("string")).try_cast("double")
 
 
 def strict_double(c: Column) -> Column:
@@ -47,20 +49,20 @@ def _scaled(text: Column) -> tuple[Column, Column]:
 
 def parse_eu(c: Column) -> Column:
     """``1.234,5k`` style: dots group thousands, the comma is the decimal mark."""
-    text, factor = _scaled(F.trim(c))
+    text, factor = _scaled(strip(c))
     plain = F.replace(F.regexp_replace(text, r"[€$%.]", ""), F.lit(","), F.lit("."))
-    return strict_double(F.trim(plain)) * factor
+    return strict_double(strip(plain)) * factor
 
 
 def parse_us(c: Column) -> Column:
     """``$1,234.5k`` style: commas group thousands, the dot is the decimal mark."""
-    text, factor = _scaled(F.trim(c))
+    text, factor = _scaled(strip(c))
     return strict_double(F.regexp_replace(text, r"[\s$,€£%]", "")) * factor
 
 
 def parse_amount(c: Column) -> Column:
     """Currency and percent marks and commas dropped, no suffixes."""
-    return strict_double(F.trim(F.regexp_replace(c, r"[%$,]", "")))
+    return strict_double(strip(F.regexp_replace(c, r"[%$,]", "")))
 
 
 def parse_metric(c: Column) -> Column:
@@ -88,8 +90,8 @@ def parse_number(c: Column, locale: str) -> Column:
 
 def score_fraction(c: Column) -> Column:
     """Score text to 0–1: a leading number (above 1 read as percent), else a level word."""
-    text = F.lower(F.trim(c))
-    first = F.element_at(F.split(F.trim(F.replace(text, F.lit("%"), F.lit(" "))), r"\s+"), 1)
+    text = F.lower(strip(c))
+    first = F.element_at(F.split(strip(F.replace(text, F.lit("%"), F.lit(" "))), r"\s+"), 1)
     number = strict_double(first)
     number = F.when(number > 1, number / 100.0).otherwise(number)
     return (

@@ -15,13 +15,21 @@ def header_key(name: str) -> str:
     return "".join(filter(str.isalnum, name)).lower()
 
 
-def is_blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
+_SPACE = " \t\n\r\x0b\x0c\xa0"
+
+
+def strip(c: Column) -> Column:
+    """Both ends without white space of any kind."""
+    return F.trim(c, F.lit(_SPACE))
+
+
+def rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(_SPACE))
 
 
 def none_if_blank(c: Column) -> Column:
-    trimmed = F.trim(c)
-    return F.when(trimmed != "", trimmed)
+    stripped = strip(c)
+    return F.when(stripped != "", stripped)
 
 
 def signature(*parts: Column) -> Column:
@@ -87,7 +95,7 @@ def title_case(c: Column) -> Column:
 
 def clean_name(c: Column) -> Column:
     """Trailing flame marks removed."""
-    return F.trim(F.regexp_replace(c, f"{vocab.FLAME}+$", ""))
+    return strip(F.regexp_replace(c, f"{vocab.FLAME}+$", ""))
 
 
 def name_tokens(c: Column) -> Column:
@@ -123,15 +131,15 @@ def cleanse(c: Column) -> Column:
 
 
 def truncate(c: Column, limit: int, ellipsis: str = "…") -> Column:
-    text = F.trim(F.coalesce(c, F.lit("")))
+    text = strip(F.coalesce(c, F.lit("")))
     if limit <= 0:
         return text
-    cut = F.rtrim(F.substring(text, 1, limit - len(ellipsis)))
+    cut = rstrip(F.substring(text, 1, limit - len(ellipsis)))
     return F.when(F.length(text) > limit, F.concat(cut, F.lit(ellipsis))).otherwise(text)
 
 
 def join_bullets(items: Column, limit: int) -> Column:
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, strip), lambda x: x != "")
     return truncate(F.regexp_replace(F.array_join(kept, " • "), r"[\n\r]", " "), limit)
 
 
@@ -142,7 +150,8 @@ def token_estimate(chars: Column) -> Column:
 
 def low_quality_text(text: Column, title: Column, min_chars: int = 280) -> Column:
     """True when a text is too short or reads like a product description."""
-    return (F.length(F.trim(F.coalesce(text, F.lit("")))) < min_chars) | reads_like_product(text, title)
+    short = F.length(strip(F.coalesce(text, F.lit("")))) < min_chars
+    return short | reads_like_product(text, title)
 
 
 def reads_like_product(text: Column, title: Column) -> Column:

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from merchlens.functions import vocab
 from merchlens.functions.dates import parse_date
 from merchlens.functions.numbers import clamp, strict_double
-from merchlens.functions.text import cleanse, low_quality_text, token_estimate, variant_key
+from merchlens.functions.text import (
+    cleanse, low_quality_text, rstrip, strip, token_estimate, variant_key,
+)
 from merchlens.operators.filters import update_columns
 from merchlens.operators.merge import cache_upsert
 from merchlens.operators.ranks import in_range, range_borders, row_numbers
@@ -53,8 +55,8 @@ def cache_lookup(
 
 def good_cached_text(text: str, title: str) -> Column:
     """A cached text passes when it is long enough and no product description."""
-    cleaned = cleanse(F.trim(F.coalesce(F.col(text), F.lit(""))))
-    used = F.coalesce(F.nullif(cleaned, F.lit("")), F.trim(F.col(text)), F.lit(""))
+    cleaned = cleanse(strip(F.coalesce(F.col(text), F.lit(""))))
+    used = F.coalesce(F.nullif(cleaned, F.lit("")), strip(F.col(text)), F.lit(""))
     return ~low_quality_text(used, F.col(title))
 
 
@@ -199,8 +201,8 @@ def budget_admission(
 
 
 def shorten_reason(c: Column) -> Column:
-    text = F.trim(F.coalesce(c, F.lit("")))
-    cut = F.concat(F.rtrim(F.substring(text, 1, REASON_LENGTH - 3)), F.lit("..."))
+    text = strip(F.coalesce(c, F.lit("")))
+    cut = F.concat(rstrip(F.substring(text, 1, REASON_LENGTH - 3)), F.lit("..."))
     return F.when(F.length(text) > REASON_LENGTH, cut).otherwise(text)
 
 

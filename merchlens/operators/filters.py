@@ -199,16 +199,19 @@ def with_display_extras(extra: Column) -> Column:
 
 def from_row_or_extra(df: DataFrame, extra: Column, keys: list[str]) -> Column:
     """First non-empty value by key order: column, exact extra key, extra key by any case."""
+
+    def by_any_case(key: str) -> Column:
+        same = F.filter(
+            F.map_entries(extra), lambda e: (F.lower(e["key"]) == key.lower()) & (e["value"] != "")
+        )
+        return F.get(same, 0)["value"]
+
     found = []
     for key in keys:
         if key in df.columns:
             found.append(none_if_blank(F.col(key).cast("string")))
         found.append(none_if_blank(F.try_element_at(extra, F.lit(key))))
-        same = F.filter(
-            F.map_entries(extra),
-            lambda e, k=key.lower(): (F.lower(e["key"]) == k) & (e["value"] != ""),
-        )
-        found.append(F.get(same, 0)["value"])
+        found.append(by_any_case(key))
     return F.coalesce(*found)
 
 

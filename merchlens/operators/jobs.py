@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from merchlens.functions import vocab
 from merchlens.functions.numbers import ratio
+from merchlens.functions.text import strip
 from merchlens.operators.ranks import exact_quantiles
 
 DURATION_DEFAULT_MS = 2500.0
@@ -98,7 +99,7 @@ def duration_estimate(runs: DataFrame) -> DataFrame:
 
 def failure_code(reason: Column) -> Column:
     """Struct of code and whether a retry may help, by the first rule that matches."""
-    text = F.lower(F.trim(F.coalesce(reason, F.lit(""))))
+    text = F.lower(strip(F.coalesce(reason, F.lit(""))))
 
     def payload(code: str, retryable: bool) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(retryable).alias("retryable"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_CURRENT"
+POINTER = "CURRENT"
 
 
 def dedup_last(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:

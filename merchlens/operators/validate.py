@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.numbers import strict_double
-from merchlens.functions.text import awareness_label, cleanse, title_case
+from merchlens.functions.text import awareness_label, cleanse, strip, title_case
 
 
 def parse_lines(responses: DataFrame, line: str = "line") -> DataFrame:
     """Non-blank lines with ``ok`` (a JSON object) and its fields as a string map."""
-    text = F.trim(F.col(line))
+    text = strip(F.col(line))
     rows = responses.where(text != "")
     parsed = F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})
     # an unreadable line gives NULL or an empty map; only "{}" is a readable empty object
@@ -122,7 +122,7 @@ def normalise_responses(df: DataFrame, require_confidence: bool = False) -> Data
         F.when(F.col("aw").isNull() | ~aw_label.isin(vocab.TRI_LEVELS), "aw"),
         F.when(F.col("c").isNull() | ~c_label.isin(vocab.TRI_LEVELS), "c"),
     )
-    text = F.coalesce(F.nullif(cleanse(F.col("d")), F.lit("")), F.trim("d"), F.lit(""))
+    text = F.coalesce(F.nullif(cleanse(F.col("d")), F.lit("")), strip(F.col("d")), F.lit(""))
     fine = F.col("error").isNull()
     return df.withColumn("error", error).select(
         *df.columns,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,16 +27,27 @@ def build_session(app: str = "merchlens", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Used where an expensive frame feeds several jobs. The folder is the one the cluster
-    names in ``spark.checkpoint.dir``; only where that is unset (tests, local runs) is a
-    fresh temporary folder taken.
+    Only where that is unset (tests, local runs) is a fresh temporary folder taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="merchlens-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="merchlens-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and continue from the files.
+
+    Used where an expensive frame feeds several jobs.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -13,17 +13,21 @@ from merchlens.functions.text import header_key, none_if_blank
 FILE_COLUMN, SEQ_COLUMN = "_file", "_seq"
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", whole_files: bool = True) -> DataFrame:
     """Rows of CSV or JSON files as text columns, with ``_file`` (stem) and ``_seq``.
 
-    ``path`` is a file, a folder or a glob. ``_seq`` grows in file order and line order and
-    decides which of two equal signatures is the later one. JSON files hold a list of
-    objects; entries that are no objects are skipped.
+    ``path`` is a file, a folder or a glob. ``_seq`` grows by file name and line and decides
+    which of two equal signatures is the later one. JSON files hold a list of objects;
+    entries that are no objects are skipped. ``whole_files`` allows line breaks inside
+    quoted cells and JSON lists; turned off, files are one record per line and large ones
+    are split over tasks.
     """
     if fmt == "csv":
-        rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').csv(path)
+        reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        rows = reader.option("multiLine", whole_files).csv(path)
     elif fmt == "json":
-        rows = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
+        reader = spark.read.option("primitivesAsString", True)
+        rows = reader.option("multiLine", whole_files).json(path)
         if "_corrupt_record" in rows.columns:
             rows = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
         filled = [F.col(f"`{c}`").isNotNull() for c in rows.columns]
@@ -34,24 +38,28 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
             rows = rows.where(some)
     else:
         raise ValueError(f"unknown format: {fmt}")
-    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
-    return rows.withColumn(FILE_COLUMN, stem).withColumn(SEQ_COLUMN, F.monotonically_increasing_id())
+    # rows of one block are read in line order; blocks are ordered by file and offset
+    position = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1)
+    return rows.select("*", stem.alias(FILE_COLUMN), position.alias(SEQ_COLUMN))
 
 
-def read_catalog_dir(spark: SparkSession, folder: str) -> DataFrame:
+def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool = True) -> DataFrame:
     """Every ``.csv`` and ``.json`` file of a folder; columns are united by name."""
     frames = []
     for fmt in ("csv", "json"):
         pattern = f"{folder.rstrip('/')}/*.{fmt}"
         if _any_file(spark, pattern):
-            frames.append(read_catalog(spark, pattern, fmt))
+            frames.append(read_catalog(spark, pattern, fmt, whole_files))
     if not frames:
         raise FileNotFoundError(f"no .csv or .json files in {folder}")
     if len(frames) == 1:
         return frames[0]
-    # keep the two sequences apart: CSV rows first
-    second = frames[1].withColumn(SEQ_COLUMN, F.col(SEQ_COLUMN) + F.lit(1 << 61))
-    return frames[0].unionByName(second, allowMissingColumns=True)
+    return frames[0].unionByName(frames[1], allowMissingColumns=True)
 
 
 def _any_file(spark: SparkSession, pattern: str) -> bool:

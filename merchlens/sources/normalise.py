@@ -131,19 +131,18 @@ def assign_ids(df: DataFrame, existing: DataFrame | None = None, sequence: str =
     """Dense ids in file order: from 1 for an empty catalogue, else from ``max(id) + 2``.
 
     The base of a filled catalogue is ``max + 1`` and counting starts at one, so one id is
-    left out. ``sequence`` comes from :func:`read_catalog`; its upper bits are the input
-    partition, so counts per partition give the offsets and no global window is needed.
+    left out. ``sequence`` comes from :func:`read_catalog`; rows are counted per block of a
+    file, which gives every block its offset, and only a block is numbered in one task.
     """
     start = 0
     if existing is not None:
         top = existing.agg(F.max("id")).first()[0]
         start = 0 if top is None else top + 1
-    part = F.shiftright(sequence, 33)
-    rows = df.withColumn("_part", part)
+    rows = df.withColumn("_part", F.struct(F.col(sequence)["file"], F.col(sequence)["block"]))
     earlier = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))  # one row per input partition
+        .agg(F.count(F.lit(1)).alias("_rows"))  # one row per block
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     )
     inside = Window.partitionBy("_part").orderBy(sequence)

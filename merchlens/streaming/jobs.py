@@ -93,12 +93,16 @@ def stream_metrics(stream: DataFrame, table: str, metrics_table: str, checkpoint
     )
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a bounded stream to its end into an in-memory table (tests and small results)."""
+def run_to_files(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is available now into Parquet files and reads them back."""
     spark: SparkSession = stream.sparkSession
-    name = f"out_{uuid.uuid4().hex}"
     query = (
-        stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
