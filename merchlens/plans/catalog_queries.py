@@ -11,7 +11,7 @@ from merchlens.operators import filters, latest, lists, merge
 from merchlens.plans import frames as fr
 from merchlens.plans.registry import query
 from merchlens.plans.trend_queries import P, rounded
-from merchlens.session import cut_lineage, scratch_path
+from merchlens.session import scratch_path
 from merchlens.sources import catalog, export, normalise, pages
 
 # --- raw files, written from the part table ---------------------------------------------
@@ -639,5 +639,5 @@ def export_analysis(spark, folder):
         lambda _, v: v.isNotNull(),
     )
     rows = products.select("id", "name", "category", "desire", extra.alias("extra"))
-    out = export.export_analysis(cut_lineage(rows))
+    out = export.export_analysis(rows)
     return out.drop("image preview", "TikTokUrl", "KalodataUrl", "Img_url")

@@ -11,6 +11,7 @@ from merchlens.functions.numbers import as_int, clamp, half_even, parse_us
 from merchlens.functions.text import clean_name, header_key, lookup
 from merchlens.operators.latest import attach_latest_score, latest_score
 from merchlens.operators.ranks import fill_by_rank
+from merchlens.session import cut_lineage
 
 RANK_TOP = 10
 
@@ -51,24 +52,37 @@ def _present(value: Column) -> Column:
     return F.when((text != "") & ~F.lower(text).isin(vocab.MISSING_WORDS), value)
 
 
-def _lower_keys(extra: Column) -> tuple[Column, Column]:
-    """The extra cells under lower-cased and under sanitised keys; the last spelling wins."""
+def _cells(df: DataFrame) -> Column:
+    """All present values of a row by spelling: columns first, then extra cells as written,
+    in lower case, and reduced to letters and digits. The first spelling of a key wins."""
+    columns = [c for c in df.columns if c != "extra"]
+    own = [F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in columns]
+    own += [
+        F.struct(F.lit(header_key(c)).alias("key"), F.col(c).cast("string").alias("value"))
+        for c in columns
+        if header_key(c) != c
+    ]
+    extra = F.reverse(F.map_entries("extra"))
 
-    def rekeyed(spell) -> Column:
-        entries = F.transform(F.map_entries(extra), lambda e: F.struct(spell(e["key"]).alias("key"), e["value"].alias("value")))
-        unique = F.aggregate(
-            entries,
-            F.create_map().cast("map<string,string>"),
-            lambda acc, e: F.map_concat(
-                F.map_filter(acc, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])
-            ),
-        )
-        return unique
+    def respelled(spell) -> Column:
+        return F.transform(extra, lambda e: F.struct(spell(e["key"]).alias("key"), e["value"].alias("value")))
 
-    return (
-        rekeyed(lambda k: F.lower(k)),
-        rekeyed(lambda k: F.regexp_replace(F.lower(k), r"[^\p{L}\p{N}]", "")),
+    entries = F.concat(
+        F.array(*own),
+        extra,
+        respelled(F.lower),
+        respelled(lambda k: F.regexp_replace(F.lower(k), r"[^\p{L}\p{N}]", "")),
     )
+    return F.filter(entries, lambda e: _present(e["value"]).isNotNull())
+
+
+def _as_lookup(cells: Column) -> Column:
+    keys = F.array_distinct(F.transform(cells, lambda e: e["key"]))
+
+    def first_value(key: Column) -> Column:
+        return F.get(F.filter(cells, lambda e: e["key"] == key), 0)["value"]
+
+    return F.map_from_arrays(keys, F.transform(keys, first_value))
 
 
 def _spellings(key: str) -> list[str]:
@@ -76,18 +90,10 @@ def _spellings(key: str) -> list[str]:
     return list(dict.fromkeys([key, key.lower(), header_key(key), compact, compact.lower()]))
 
 
-def _seek(df: DataFrame, keys: list[str]) -> Column:
-    """First present value over keys and their spellings; columns come before extras."""
-    by_lower = {c.lower(): c for c in df.columns if not c.startswith("_x")}
-    by_plain = {header_key(c): c for c in df.columns if not c.startswith("_x")}
-    found = []
-    for key in keys:
-        for spelling in _spellings(key):
-            column = by_lower.get(spelling) or by_plain.get(spelling)
-            if column:
-                found.append(_present(F.col(column).cast("string")))
-            found += [_present(F.try_element_at(m, F.lit(spelling))) for m in ("extra", "_x_lower", "_x_plain")]
-    return F.coalesce(*found)
+def _seek(keys: list[str]) -> Column:
+    """First present value over keys and their spellings."""
+    spellings = dict.fromkeys(s for key in keys for s in _spellings(key))
+    return F.coalesce(*[F.try_element_at("_lookup", F.lit(s)) for s in spellings])
 
 
 def _percent_score(c: Column) -> Column:
@@ -121,17 +127,25 @@ def export_analysis(products: DataFrame) -> DataFrame:
     """The fifteen-column report: synonyms resolved, four revenue channels summed, labels
     mapped, and missing desire magnitudes filled from the units and rating percentiles."""
     extra = F.coalesce(F.col("extra"), F.create_map().cast("map<string,string>"))
-    lower, plain = _lower_keys(F.col("extra"))
-    rows = products.withColumn("extra", extra).withColumn("_x_lower", lower).withColumn("_x_plain", plain)
-    text = {name: _seek(rows, keys) for name, keys in vocab.EXPORT_TEXT_KEYS.items()}
-    number = {name: parse_us(_seek(rows, keys)) for name, keys in vocab.EXPORT_NUMBER_KEYS.items()}
-    channels = [F.coalesce(parse_us(_seek(rows, keys)), F.lit(0.0)) for keys in vocab.EXPORT_REVENUE_KEYS]
+    cells = products.withColumn("extra", extra)
+    # generators keep the lookup from being worked out again for every field
+    cells = cells.select("id", F.explode(F.array(_cells(cells))).alias("_cells"))
+    rows = cells.select("id", F.explode(F.array(_as_lookup(F.col("_cells")))).alias("_lookup"))
+    wanted = {**vocab.EXPORT_TEXT_KEYS, **vocab.EXPORT_NUMBER_KEYS}
+    wanted |= {f"channel_{i}": keys for i, keys in enumerate(vocab.EXPORT_REVENUE_KEYS)}
+    found = rows.select("id", F.inline(F.array(F.struct(*[_seek(k).alias(n) for n, k in wanted.items()]))))
+    text = {name: F.col(name) for name in vocab.EXPORT_TEXT_KEYS}
+    number = {name: parse_us(F.col(name)) for name in vocab.EXPORT_NUMBER_KEYS}
+    channels = [
+        F.coalesce(parse_us(F.col(f"channel_{i}")), F.lit(0.0))
+        for i in range(len(vocab.EXPORT_REVENUE_KEYS))
+    ]
     magnitude = F.coalesce(
         F.when(text["desire_magnitude"].isNotNull(), F.coalesce(_percent_score(text["desire_magnitude"]), F.lit(-1))),
         F.when(text["desire_score"].isNotNull(), F.coalesce(_percent_score(text["desire_score"]), F.lit(-1))),
         _percent_score(text["desire"]),
     )
-    draft = rows.select(
+    draft = found.select(
         F.col("id"),
         F.coalesce(clean_name(F.trim(text["name"])), F.lit("")).alias("name"),
         F.coalesce(F.trim(text["category"]), F.lit("")).alias("category"),
@@ -146,7 +160,8 @@ def export_analysis(products: DataFrame) -> DataFrame:
         _competition(text["competition_level"]).alias("competition_level"),
         *[F.coalesce(F.trim(text[k]), F.lit("")).alias(k) for k in ("tiktok_url", "kalodata_url", "img_url")],
     )
-    filled = fill_by_rank(draft, "desire_magnitude", "items_sold", "rating")
+    # the ranks read the draft several times: resolve the synonyms only once
+    filled = fill_by_rank(cut_lineage(draft), "desire_magnitude", "items_sold", "rating")
     preview = F.lit(None).cast("string")
     source = [
         preview, *[F.col(c) for c in (
