@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.functions import vocab
-from merchlens.functions.numbers import ratio
+from merchlens.functions.numbers import money_sum, ratio
 from merchlens.functions.text import strip
 from merchlens.operators.ranks import exact_quantiles
 
@@ -41,7 +41,7 @@ def job_status_counts(items: DataFrame, durations: DataFrame | None = None) -> D
 def batch_metrics(facts: DataFrame) -> DataFrame:
     """Rows, duration and throughput of each (job, batch)."""
     per_batch = facts.groupBy("job_id", "batch_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("duration_ms").alias("duration_ms")
+        F.count(F.lit(1)).alias("rows"), money_sum(F.col("duration_ms")).alias("duration_ms")
     )
     return per_batch.withColumn(
         "throughput", ratio(F.col("rows") * 1000.0, F.col("duration_ms"))
