@@ -21,6 +21,7 @@ WINSORISE_FROM = 50
 TERCILES_FROM, DISTINCT_FROM = 6, 3
 SAME = 1e-6
 MIDDLE = 0.5
+MANY_SIMILAR, FEW_SIMILAR = 8, 2
 
 
 @dataclass(frozen=True)
@@ -209,8 +210,9 @@ def category_frequency(df: DataFrame) -> DataFrame:
 def competition_baseline(df: DataFrame, similar: DataFrame) -> DataFrame:
     """Low / Medium / High competition from category frequency and similar names.
 
-    ``similar`` holds ``id, similar_names`` from the name-similarity operator.
+    ``similar`` holds ``id, similar_names``; counts up to :data:`MANY_SIMILAR` are enough.
     """
+    high_from, low_to = MANY_SIMILAR, FEW_SIMILAR
     rows = (
         df.withColumn("main_category", main_category(F.col("category")))
         .join(category_frequency(df), "main_category", "left")
@@ -218,8 +220,8 @@ def competition_baseline(df: DataFrame, similar: DataFrame) -> DataFrame:
         .withColumn("similar_names", F.coalesce("similar_names", F.lit(0)))
     )
     share, names = F.col("category_pct"), F.col("similar_names")
-    high = F.coalesce(share >= 0.70, F.lit(False)) | (names >= 8)
-    low = F.coalesce(share <= 0.30, F.lit(False)) & (names <= 2)
+    high = F.coalesce(share >= 0.70, F.lit(False)) | (names >= high_from)
+    low = F.coalesce(share <= 0.30, F.lit(False)) & (names <= low_to)
     return rows.withColumn("competition", F.when(high, "High").when(low, "Low").otherwise("Medium"))
 
 

@@ -18,7 +18,7 @@ from merchlens.functions.text import (
 )
 from merchlens.operators.filters import update_columns
 from merchlens.operators.merge import cache_upsert
-from merchlens.operators.ranks import in_range, range_borders, row_numbers
+from merchlens.operators.ranks import in_range, number_by_unique, range_borders
 
 CACHE_TTL_DAYS = 30
 CONFIDENCE_FLOOR = 0.70
@@ -149,8 +149,8 @@ def plan_batches(df: DataFrame, size: int, chars: Column, order: str = "id") ->
     Positions come from range offsets, never from a window over the whole table.
     """
     rows = df.select(F.col(order).alias("_id"), chars.cast("long").alias("_chars"))
-    placed = rows.join(row_numbers(rows.select("_id", F.lit(0).alias("_zero")), "_zero", "_id", "_place").select("_id", "_place"), "_id")
-    batch = F.floor((F.col("_place") - 1) / size).cast("long")
+    placed = number_by_unique(rows, "_id", "_place")
+    batch = F.floor(F.col("_place") / size).cast("long")
     return placed.groupBy(batch.alias("batch_no")).agg(
         F.count(F.lit(1)).alias("items"),
         F.min("_id").alias("first_id"),

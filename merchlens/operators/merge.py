@@ -59,35 +59,101 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, keys: list[str], sequence:
     return merge_rows(cache, dedup_last(fresh, keys, sequence), keys)
 
 
-# --- snapshots ------------------------------------------------------------------------
+# --- stored tables ----------------------------------------------------------------------
+#
+# A table is a folder with whole snapshots, later changes as ``deltas/version=N``, and one
+# small file that names the snapshot and the last version it contains.
 
 
-def _pointer(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root, POINTER)
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
+def _current(spark: SparkSession, root: str) -> tuple[str | None, int]:
+    path, fs = _path(spark, f"{root}/{POINTER}")
+    if not fs.exists(path):
+        return None, -1
+    name, version = spark.read.text(str(path)).first()[0].split()
+    return name, int(version)
+
+
+def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None, version: int = -1) -> str:
     """Writes a whole new snapshot under ``root`` and then points readers at it.
 
     Readers of the old snapshot are not disturbed, and a failed write leaves the pointer
-    where it was.
+    where it was. ``version`` is the last change the snapshot already contains.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
-    path, fs = _pointer(df.sparkSession, root)
+    path, fs = _path(df.sparkSession, f"{root}/{POINTER}")
     out = fs.create(path, True)
-    out.writeBytes(name)
+    out.writeBytes(f"{name} {version}")
     out.close()
     return name
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current snapshot, or None before the first one."""
-    path, fs = _pointer(spark, root)
-    if not fs.exists(path):
+    """The current snapshot without later changes, or None before the first one."""
+    name, _ = _current(spark, root)
+    return None if name is None else spark.read.parquet(f"{root}/{name}")
+
+
+def append_delta(changes: DataFrame, root: str, version: int) -> None:
+    """Stores changed rows (one per key). Writing a version again replaces it."""
+    changes.write.mode("overwrite").parquet(f"{root}/deltas/version={version}")
+
+
+def _layers(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
+    """Snapshot rows and later changes with their ``version``, and the last version."""
+    name, done = _current(spark, root)
+    frames = [] if name is None else [spark.read.parquet(f"{root}/{name}").withColumn("version", F.lit(-1))]
+    folder, fs = _path(spark, f"{root}/deltas")
+    last = done
+    if fs.exists(folder):
+        versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)]
+        newer = [v for v in versions if v > done]
+        if newer:
+            last = max(newer)
+            frames.append(spark.read.parquet(str(folder)).where(F.col("version") > done))
+    if not frames:
+        return None, last
+    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
+    return rows, last
+
+
+def read_merged(
+    spark: SparkSession, root: str, key: str = "sig_hash", keep_old_if_null: dict[str, object] | None = None,
+    keep_always: list[str] | None = None,
+) -> DataFrame | None:
+    """The table with all changes applied in order: one aggregation by key.
+
+    Gives the rows that merging version after version would give, with the meaning of
+    :func:`merge_rows`.
+    """
+    rows, _ = _layers(spark, root)
+    if rows is None:
         return None
-    name = spark.read.text(f"{root}/{POINTER}").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    defaults, fixed = keep_old_if_null or {}, keep_always or []
+    columns = [c for c in rows.columns if c != "version"]
+    version = F.col("version")
+    special = [F.max_by(c, F.when(F.col(c).isNotNull(), version)).alias(f"_k_{c}") for c in defaults]
+    special += [F.min_by(c, version).alias(f"_k_{c}") for c in fixed]
+    newest = F.max_by(F.struct(*[c for c in columns if c != key]), version).alias("_row")
+    merged = rows.groupBy(key).agg(newest, *special)
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.col(key)
+        if c in defaults:
+            return F.coalesce(F.col(f"_k_{c}"), F.lit(defaults[c])).alias(c)
+        return (F.col(f"_k_{c}") if c in fixed else F.col(f"_row.{c}")).alias(c)
+
+    return merged.select(*[value(c) for c in columns])
+
+
+def compact(spark: SparkSession, root: str, **merging) -> str:
+    """Folds all changes into a new snapshot; readers switch with the pointer."""
+    _, last = _layers(spark, root)
+    return write_snapshot(read_merged(spark, root, **merging), root, version=last)

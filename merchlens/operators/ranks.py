@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from merchlens.functions.numbers import as_int, clamp
 
-MAX_RANGES = 4096
+MAX_RANGES = 2048
 
 
 def range_borders(df: DataFrame, key: Column, ranges: int | None = None) -> list[float]:
@@ -28,7 +28,7 @@ def range_borders(df: DataFrame, key: Column, ranges: int | None = None) -> list
         ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(2, min(MAX_RANGES, ranges))
     probs = [i / ranges for i in range(1, ranges)]
-    found = df.select(key.cast("double").alias("k")).approxQuantile("k", probs, 0.25 / ranges)
+    found = df.select(key.cast("double").alias("k")).approxQuantile("k", probs, 0.5 / ranges)
     return sorted(set(found))
 
 
@@ -182,6 +182,20 @@ def row_numbers(df: DataFrame, order: str, unique: str, out: str, descending: bo
     return work.drop("_o").join(placed, F.col(unique) == F.col("_u")).drop("_u")
 
 
+def number_by_unique(df: DataFrame, key: str, out: str) -> DataFrame:
+    """0-based global position by a distinct numeric ``key``: one shuffle, no join back."""
+    parts = in_range(df, F.col(key), range_borders(df, F.col(key)))
+    earlier = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        parts.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_rows"))  # at most MAX_RANGES rows
+        .select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("_range").orderBy(key)
+    numbered = parts.join(offsets, "_range")
+    return numbered.withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1).drop("_range", "_offset")
+
+
 def text_range_key(c: Column) -> Column:
     """A number that never decreases as the text grows: its first six bytes."""
     prefix = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0")

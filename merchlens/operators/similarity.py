@@ -1,6 +1,11 @@
 """How many other products share at least two name tokens.
 
-Counting is exact and never pairs up the members of a large group:
+:func:`similar_up_to` answers "how many, up to a limit", which is all a label needs, and is
+linear in the names: token pairs are counted first, and only names whose every pair is rare
+are compared, with a handful of partners each.
+
+:func:`name_similarity` gives the full count. It is exact and never pairs up the members of
+a large group:
 
 * equal names collapse to one row with a count;
 * tokens carried by few distinct names (``light``) are joined, each such group being small;
@@ -56,6 +61,54 @@ def _subsets(tokens: Column) -> Column:
     return F.transform(masks, members)
 
 
+def _triggers(tokens: Column, repeated: Column) -> Column:
+    """What two names have to share to be similar: any token pair, or one repeated token."""
+
+    def with_later(token: Column, i: Column) -> Column:
+        later = F.slice(tokens, i + 2, F.size(tokens))
+        return F.transform(later, lambda other: F.concat_ws(" ", token, other))
+
+    return F.concat(F.flatten(F.transform(tokens, with_later)), repeated)
+
+
+def similar_up_to(df: DataFrame, limit: int, name: str = "name") -> DataFrame:
+    """``id`` and ``similar_names``: other products sharing two name tokens, at most ``limit``.
+
+    Below the limit the count is exact; at the limit it means "that many or more".
+    """
+    names = _names(df, name)
+    wanted = names.select("key", "count", F.explode(_triggers(F.col("tokens"), F.col("repeated"))).alias("trigger"))
+    # a name answers to its token pairs and, for names that repeat a token, to single tokens
+    doubled = names.select(F.explode("repeated").alias("trigger")).distinct()
+    singles = names.select("key", "count", F.explode("tokens").alias("trigger")).join(doubled, "trigger", "left_semi")
+    pairs = names.select("key", "count", F.explode(_triggers(F.col("tokens"), F.array().cast("array<string>"))).alias("trigger"))
+    offered = pairs.unionByName(singles.select("key", "count", "trigger"))
+    holders = offered.groupBy("trigger").agg(F.sum("count").alias("products"))
+    rated = wanted.join(holders, "trigger")
+    many = rated.groupBy("key").agg((F.max("products") - 1 >= limit).alias("many"))
+    few = many.where(~F.col("many")).select("key")
+    # every trigger left is held by at most ``limit`` products
+    probes = rated.where(F.col("products") <= limit).join(few, "key", "left_semi").select("key", "trigger")
+    partners = offered.select(F.col("key").alias("other"), "trigger", F.col("count").alias("other_count"))
+    met = probes.join(partners, "trigger").select("key", "other", "other_count").distinct()
+    exact = met.groupBy("key").agg(F.sum("other_count").alias("met"))
+    counts = many.join(exact, "key", "left").select(
+        "key",
+        F.when(F.col("many"), limit)
+        .otherwise(F.least(F.lit(limit), F.coalesce("met", F.lit(1)) - 1))
+        .cast("long")
+        .alias("_similar"),
+    )
+    return _per_product(df, name, counts)
+
+
+def _per_product(df: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    keyed = df.select("id", F.array_join(F.array_sort(name_tokens(F.col(name))), " ").alias("key"))
+    return keyed.join(counts, "key", "left").select(
+        "id", F.coalesce("_similar", F.lit(0)).cast("long").alias("similar_names")
+    )
+
+
 def name_similarity(df: DataFrame, name: str = "name", light_group: int = LIGHT_GROUP) -> DataFrame:
     """``id`` and ``similar_names``: other products sharing two name tokens or more.
 
@@ -87,10 +140,7 @@ def name_similarity(df: DataFrame, name: str = "name", light_group: int = LIGHT_
             .alias("_similar"),
         )
     )
-    keyed = df.select("id", F.array_join(F.array_sort(name_tokens(F.col(name))), " ").alias("key"))
-    return keyed.join(counts, "key", "left").select(
-        "id", F.coalesce("_similar", F.lit(0)).cast("long").alias("similar_names")
-    )
+    return _per_product(df, name, counts)
 
 
 def _through_light_tokens(light_rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -113,23 +163,25 @@ def _through_light_tokens(light_rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _through_heavy_tokens(facts: DataFrame) -> DataFrame:
     """Weighted count of names that meet on heavy tokens alone, by inclusion and exclusion."""
-    holders = facts.where(F.size("heavy") > 0)
+    holders = facts.where(F.size("heavy") > 0).withColumn(
+        "doubled", F.array_sort(F.array_intersect("heavy", "repeated"))
+    )
     per_set = holders.groupBy("heavy").agg(F.sum("count").alias("products"))
     supersets = (
         per_set.select(F.explode(_subsets(F.col("heavy"))).alias("subset"), "products")
         .groupBy("subset")
         .agg(F.sum("products").alias("products"))
     )
-    terms = holders.select(
-        "key", "repeated", F.explode(_subsets(F.col("heavy"))).alias("subset")
-    ).withColumn(
+    profiles = holders.select("heavy", "doubled").distinct()
+    terms = profiles.select("heavy", "doubled", F.explode(_subsets(F.col("heavy"))).alias("subset")).withColumn(
         "weight",
         F.when(F.size("subset") % 2 == 0, 1).otherwise(-1)
-        * (F.size(F.array_except("subset", "repeated")) - 1),
+        * (F.size(F.array_except("subset", "doubled")) - 1),
     )
-    return (
+    per_profile = (
         terms.where(F.col("weight") != 0)
         .join(supersets, "subset")
-        .groupBy("key")
+        .groupBy("heavy", "doubled")
         .agg(F.sum(F.col("weight") * F.col("products")).alias("far"))
     )
+    return holders.join(per_profile, ["heavy", "doubled"]).select("key", "far")

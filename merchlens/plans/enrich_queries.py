@@ -17,6 +17,12 @@ from merchlens.plans.trend_queries import rounded
 from merchlens.session import scratch_path
 from merchlens.streaming import jobs as streams
 
+# white space as the library strips it, and a text without units and pack words
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '(?i)\b({units})\b', '', 'g'), '(?i)\b(set|kit|pack|x\d+)\b', '', 'g'), '\s{2,}', ' ', 'g'), '^[ ,;.\-]+|[ ,;.\-]+$', '', 'g')""".replace(
+    "{units}", "|".join(vocab.UNIT_WORDS)
+)
+
 # --- cache ------------------------------------------------------------------------------
 
 
@@ -45,8 +51,8 @@ def cache_misses(spark, folder):
 
 
 _CACHED_TEXTS = f"""
-texts AS (SELECT id, body, title FROM (
-  SELECT doc_id AS id, text AS body, p_name AS title, sig, doc_id % 2 AS version,
+texts AS (SELECT id, COALESCE(NULLIF({_CLEAN}, ''), d) AS body, title FROM (
+  SELECT doc_id AS id, trim(text, {_WHITE}) AS d, p_name AS title, sig, doc_id % 2 AS version,
     ROW_NUMBER() OVER (PARTITION BY sig, doc_id % 2 ORDER BY doc_id DESC) AS rn
   FROM documents JOIN (SELECT p_partkey, p_name, {SIG} AS sig FROM part) ON doc_id = p_partkey) WHERE rn = 1),
 keyed AS (SELECT doc_id AS id, {SIG} AS sig, doc_id % 2 AS version FROM documents JOIN part ON doc_id = p_partkey)"""
@@ -189,7 +195,6 @@ def _results(spark, folder) -> DataFrame:
     )
 
 
-_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 _APPLIED = f"""
 res AS (SELECT p_partkey AS item_id, least(100, greatest(0, p_size * 3 - 10)) AS desire,
     CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size END AS awareness, trim(COALESCE(text, ''), {_WHITE}) AS body
@@ -320,11 +325,6 @@ def validate_responses_lenient(spark, folder):
     return validate.missing_responses(response_lines(spark, folder), expected_ids(spark, folder), "line_no")
 
 
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '(?i)\b({units})\b', '', 'g'), '(?i)\b(set|kit|pack|x\d+)\b', '', 'g'), '\s{2,}', ' ', 'g'), '^[ ,;.\-]+|[ ,;.\-]+$', '', 'g')""".replace(
-    "{units}", "|".join(vocab.UNIT_WORDS)
-)
-
-
 @query(
     "normalise_responses",
     f"""WITH raw AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN ' MEDIUM ' WHEN 2 THEN 'High' ELSE 'none' END AS aw,
@@ -502,7 +502,8 @@ def stream_ingest(spark, folder):
     )
     root = scratch_path(spark, "ingested")
     streams.stream_ingest(staged, root, scratch_path(spark, "state")).awaitTermination()
-    return merge.read_snapshot(spark, root)
+    merge.compact(spark, root, keep_old_if_null={"winner_score": 0}, keep_always=["id"])
+    return merge.read_merged(spark, root, "sig_hash", {"winner_score": 0}, ["id"])
 
 
 def _bucket_sql(unit: str, days: int) -> str:

@@ -493,6 +493,31 @@ def name_similarity_brands(spark, folder):
     return similarity.name_similarity(parts)
 
 
+@query(
+    "similar_up_to",
+    "WITH titles AS (SELECT p_partkey AS id, p_name || ' ' || (p_partkey // 3) || ' ' || p_name AS title FROM part), " + _TITLE_TOKENS
+    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_names FROM titles LEFT JOIN sim ON title = name",
+)
+def similar_up_to(spark, folder):
+    """Names that repeat their words, so that one shared word is enough."""
+    name = F.concat_ws(" ", "p_name", F.floor(F.col("p_partkey") / 3).cast("string"), "p_name")
+    parts = fr.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return similarity.similar_up_to(parts, 12)
+
+
+@query(
+    "similar_up_to_rare",
+    "WITH titles AS (SELECT c_custkey AS id, 'shop ' || (c_custkey // 4) || ' ' || (c_custkey % 40) || 'x' AS title FROM customer), " + _TITLE_TOKENS
+    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_names FROM titles LEFT JOIN sim ON title = name",
+)
+def similar_up_to_rare(spark, folder):
+    """Names of one common and two rarer words: some are counted, some are compared."""
+    key = F.col("c_custkey")
+    name = F.concat_ws(" ", F.lit("shop"), F.floor(key / 4).cast("string"), F.concat((key % 40).cast("string"), F.lit("x")))
+    rows = fr.table(spark, folder, "customer").select(key.alias("id"), name.alias("name"))
+    return similarity.similar_up_to(rows, 12)
+
+
 _COMPETITION = """
 cats AS (SELECT category, COUNT(*) AS n FROM products GROUP BY 1),
 freq AS (SELECT category, percent_rank() OVER (ORDER BY n) AS p FROM cats),
@@ -505,13 +530,13 @@ _LINE_SIM = _TOKENS.strip()
 @query(
     "competition_baseline",
     fr.with_views(fr.PRODUCTS, _LINE_SIM, _COMPETITION)
-    + "SELECT id, ROUND(category_pct, 9) AS category_pct, similar_names, competition FROM comp",
+    + "SELECT id, ROUND(category_pct, 9) AS category_pct, least(similar_names, 8) AS similar_names, competition FROM comp",
 )
 def competition_baseline(spark, folder):
     rows = fr.table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category")
     )
-    out = calibrate.competition_baseline(rows, similarity.name_similarity(rows))
+    out = calibrate.competition_baseline(rows, similarity.similar_up_to(rows, calibrate.MANY_SIMILAR))
     return rounded(out.select("id", "category_pct", "similar_names", "competition"), 9)
 
 
@@ -531,7 +556,8 @@ def reconcile_labels(spark, folder):
         )
     )
     demand = calibrate.demand_baseline(rows).select("id", "demand", "desire_magnitude", "competition_level")
-    competition = calibrate.competition_baseline(rows, similarity.name_similarity(rows)).select("id", "competition")
+    similar = similarity.similar_up_to(rows, calibrate.MANY_SIMILAR)
+    competition = calibrate.competition_baseline(rows, similar).select("id", "competition")
     joined = demand.join(competition, "id")
     return calibrate.reconcile_labels(joined, "desire_magnitude", "demand", "competition_level", "competition").select(
         "id", "demand_final", "competition_final"

@@ -10,24 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from merchlens.functions.numbers import money_sum
 from merchlens.operators.enrich import cache_lookup
-from merchlens.operators.merge import read_snapshot, upsert_products, write_snapshot
+from merchlens.operators.merge import append_delta, dedup_last
 
 WEEK_START_OFFSET = "4 days"  # the epoch is a Thursday, weeks start on Monday
 
 
-def stream_ingest(stream: DataFrame, root: str, checkpoint: str, sequence: str = "seq", **trigger) -> StreamingQuery:
-    """Upserts staged rows batch by batch into the snapshot under ``root``.
+def stream_ingest(
+    stream: DataFrame, root: str, checkpoint: str, sequence: str = "seq", key: str = "sig_hash", **trigger
+) -> StreamingQuery:
+    """Stores the last staged row per signature of every batch as changes of the table ``root``.
 
-    The upsert replaces by signature, so a batch that runs twice after a failure leaves the
-    same snapshot. ``trigger`` is passed on, for example ``availableNow=True``.
+    A batch costs what it holds, not what the table holds: read the table with
+    ``read_merged`` and fold changes in with ``compact`` from time to time. A batch that
+    runs again after a failure replaces its own changes. ``trigger`` is passed on, for
+    example ``availableNow=True``.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        current = read_snapshot(batch.sparkSession, root)
-        if current is None:
-            columns = [c for c in batch.columns if c != sequence]
-            current = batch.select(*columns).limit(0)
-        write_snapshot(upsert_products(current, batch, sequence), root)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        append_delta(dedup_last(batch, [key], sequence).drop(sequence), root, batch_id)
 
     return (
         stream.writeStream.foreachBatch(apply)
