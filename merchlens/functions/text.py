@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from merchlens.functions import vocab
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def header_key(name: str) -> str:
     """A header reduced to its lower-case letters and digits."""
     return "".join(filter(str.isalnum, name)).lower()
@@ -150,21 +156,25 @@ def token_estimate(chars: Column) -> Column:
 
 def low_quality_text(text: Column, title: Column, min_chars: int = 280) -> Column:
     """True when a text is too short or reads like a product description."""
-    short = F.length(strip(F.coalesce(text, F.lit("")))) < min_chars
-    return short | reads_like_product(text, title)
+    def judge(body: Column) -> Column:
+        return (F.length(strip(body)) < min_chars) | reads_like_product(body, title)
+
+    return bind(F.coalesce(text, F.lit("")), judge)
 
 
 def reads_like_product(text: Column, title: Column) -> Column:
-    plain = ascii_lower(text)
-    words = F.split(plain, r"\s+")
     units = F.array(*[F.lit(u) for u in vocab.UNIT_WORDS])
     title_terms = F.array_union(
         F.regexp_extract_all(ascii_lower(title), F.lit("([a-z]{3,})"), F.lit(1)),
         F.array(*[F.lit(w) for w in vocab.PACK_WORDS]),
     )
-    text_terms = F.regexp_extract_all(plain, F.lit("([a-z]{3,})"), F.lit(1))
-    return (
-        F.arrays_overlap(words, units)
-        | plain.rlike(r"\b(" + "|".join(vocab.CATEGORY_WORDS) + r")\b")
-        | (F.size(F.array_intersect(title_terms, text_terms)) >= 3)
-    )
+
+    def judge(plain: Column) -> Column:
+        text_terms = F.regexp_extract_all(plain, F.lit("([a-z]{3,})"), F.lit(1))
+        return (
+            F.arrays_overlap(F.split(plain, r"\s+"), units)
+            | plain.rlike(r"\b(" + "|".join(vocab.CATEGORY_WORDS) + r")\b")
+            | (F.size(F.array_intersect(title_terms, text_terms)) >= 3)
+        )
+
+    return bind(ascii_lower(text), judge)

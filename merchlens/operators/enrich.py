@@ -14,7 +14,7 @@ from merchlens.functions import vocab
 from merchlens.functions.dates import parse_date
 from merchlens.functions.numbers import clamp, strict_double
 from merchlens.functions.text import (
-    cleanse, low_quality_text, rstrip, strip, token_estimate, variant_key,
+    bind, cleanse, low_quality_text, rstrip, strip, token_estimate, variant_key,
 )
 from merchlens.operators.filters import update_columns
 from merchlens.operators.merge import cache_upsert
@@ -55,8 +55,8 @@ def cache_lookup(
 
 def good_cached_text(text: str, title: str) -> Column:
     """A cached text passes when it is long enough and no product description."""
-    cleaned = cleanse(strip(F.coalesce(F.col(text), F.lit(""))))
-    used = F.coalesce(F.nullif(cleaned, F.lit("")), strip(F.col(text)), F.lit(""))
+    raw = strip(F.coalesce(F.col(text), F.lit("")))
+    used = bind(raw, lambda t: bind(cleanse(t), lambda c: F.when(c != "", c).otherwise(t)))
     return ~low_quality_text(used, F.col(title))
 
 

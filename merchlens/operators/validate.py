@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.numbers import strict_double
-from merchlens.functions.text import awareness_label, cleanse, strip, title_case
+from merchlens.functions.text import awareness_label, bind, cleanse, strip, title_case
 
 
 def parse_lines(responses: DataFrame, line: str = "line") -> DataFrame:
@@ -122,7 +122,10 @@ def normalise_responses(df: DataFrame, require_confidence: bool = False) -> Data
         F.when(F.col("aw").isNull() | ~aw_label.isin(vocab.TRI_LEVELS), "aw"),
         F.when(F.col("c").isNull() | ~c_label.isin(vocab.TRI_LEVELS), "c"),
     )
-    text = F.coalesce(F.nullif(cleanse(F.col("d")), F.lit("")), strip(F.col("d")), F.lit(""))
+    text = bind(
+        F.coalesce(F.col("d"), F.lit("")),
+        lambda d: bind(cleanse(d), lambda c: F.when(c != "", c).otherwise(strip(d))),
+    )
     fine = F.col("error").isNull()
     return df.withColumn("error", error).select(
         *df.columns,

@@ -13,59 +13,103 @@ from merchlens.functions.text import header_key, none_if_blank
 FILE_COLUMN, SEQ_COLUMN = "_file", "_seq"
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", whole_files: bool = True) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", whole_files: bool = True) -> DataFrame:
     """Rows of CSV or JSON files as text columns, with ``_file`` (stem) and ``_seq``.
 
-    ``path`` is a file, a folder or a glob. ``_seq`` grows by file name and line and decides
-    which of two equal signatures is the later one. JSON files hold a list of objects;
-    entries that are no objects are skipped. ``whole_files`` allows line breaks inside
-    quoted cells and JSON lists; turned off, files are one record per line and large ones
-    are split over tasks.
+    ``path`` is a file, a folder, a glob or a list of files. ``_seq`` grows by file name and
+    line and decides which of two equal signatures is the later one.
+
+    CSV files read together have to share one header (see :func:`read_catalog_dir` for a mix);
+    a file with another header is an error, never a silent mix-up. JSON files hold a list of
+    objects; entries that are no objects are skipped. ``whole_files`` allows line breaks
+    inside quoted cells and JSON lists; turned off, files are one record per line and large
+    ones are split over tasks.
     """
     if fmt == "csv":
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
-        rows = reader.option("multiLine", whole_files).csv(path)
+        rows = _placed(reader.option("multiLine", whole_files).option("enforceSchema", False).csv(path))
+    elif fmt == "json" and whole_files:
+        rows = _json_lists(spark, path)
     elif fmt == "json":
-        reader = spark.read.option("primitivesAsString", True)
-        rows = reader.option("multiLine", whole_files).json(path)
+        rows = spark.read.option("primitivesAsString", True).json(path)
         if "_corrupt_record" in rows.columns:
             rows = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        filled = [F.col(f"`{c}`").isNotNull() for c in rows.columns]
-        if filled:
-            some = filled[0]
-            for test in filled[1:]:
-                some = some | test
-            rows = rows.where(some)
+        rows = _placed(rows)
     else:
         raise ValueError(f"unknown format: {fmt}")
-    # rows of one block are read in line order; blocks are ordered by file and offset
-    position = F.struct(
+    stem = F.regexp_extract(F.element_at(F.split(F.col(SEQ_COLUMN)["file"], "/"), -1), r"^(.+?)(\.[^.]*)?$", 1)
+    return rows.withColumn(FILE_COLUMN, F.url_decode(stem))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with their place: blocks are ordered by file and offset, lines inside a block."""
+    place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)(\.[^.]*)?$", 1)
-    return rows.select("*", stem.alias(FILE_COLUMN), position.alias(SEQ_COLUMN))
+    return rows.select("*", place.alias(SEQ_COLUMN))
+
+
+def _json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The objects of JSON lists; columns in the order their keys first appear."""
+    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    entries = files.select(
+        "file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "entry")
+    ).where(F.col("entry").startswith("{"))
+    objects = entries.select(
+        F.from_json("entry", "map<string,string>").alias("cells"),
+        F.struct("file", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias(SEQ_COLUMN),
+    )
+    keys = (
+        objects.select(SEQ_COLUMN, F.posexplode(F.map_keys("cells")).alias("place", "key"))
+        .groupBy("key")
+        .agg(F.min(F.struct(SEQ_COLUMN, "place")).alias("first"))
+        .orderBy("first")
+        .collect()  # one row per header
+    )
+    cells = [F.try_element_at("cells", F.lit(r["key"])).alias(r["key"]) for r in keys]
+    return objects.select(*cells, SEQ_COLUMN)
 
 
 def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool = True) -> DataFrame:
-    """Every ``.csv`` and ``.json`` file of a folder; columns are united by name."""
-    frames = []
-    for fmt in ("csv", "json"):
-        pattern = f"{folder.rstrip('/')}/*.{fmt}"
-        if _any_file(spark, pattern):
-            frames.append(read_catalog(spark, pattern, fmt, whole_files))
+    """Every ``.csv`` and ``.json`` file of a folder; columns are united by name.
+
+    CSV files are grouped by their header line and every group is read on its own.
+    """
+    by_header: dict[str, list[str]] = {}
+    for file in _files(spark, f"{folder.rstrip('/')}/*.csv"):
+        by_header.setdefault(_first_line(spark, file), []).append(file)
+    frames = [read_catalog(spark, files, "csv", whole_files) for files in by_header.values()]
+    lists = f"{folder.rstrip('/')}/*.json"
+    if _files(spark, lists):
+        frames.append(read_catalog(spark, lists, "json", whole_files))
     if not frames:
         raise FileNotFoundError(f"no .csv or .json files in {folder}")
-    if len(frames) == 1:
-        return frames[0]
-    return frames[0].unionByName(frames[1], allowMissingColumns=True)
+    united = frames[0]
+    for frame in frames[1:]:
+        united = united.unionByName(frame, allowMissingColumns=True)
+    return united
 
 
-def _any_file(spark: SparkSession, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    path, fs = _file_system(spark, pattern)
+    return sorted(str(s.getPath()) for s in fs.globStatus(path) or [])
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    path, fs = _file_system(spark, file)
+    io = spark.sparkContext._jvm.java.io
+    reader = io.BufferedReader(io.InputStreamReader(fs.open(path), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
 
 
 def _data_headers(columns: list[str]) -> list[str]:
@@ -113,9 +157,15 @@ def resolve_contains(columns: list[str]) -> dict[str, list[str]]:
 RESOLVERS = {"exact": resolve_exact, "contains": resolve_contains}
 
 
+def _cell(header: str) -> Column:
+    """A header's value, None when blank."""
+    quoted = header.replace("`", "``")
+    return none_if_blank(F.col(f"`{quoted}`").cast("string"))
+
+
 def field_value(headers: list[str]) -> Column:
     """First non-empty header value of a row."""
-    return F.coalesce(*[none_if_blank(F.col(f"`{h}`").cast("string")) for h in headers])
+    return F.coalesce(*[_cell(h) for h in headers])
 
 
 def map_columns(df: DataFrame, mode: str = "exact") -> DataFrame:
@@ -128,7 +178,7 @@ def map_columns(df: DataFrame, mode: str = "exact") -> DataFrame:
     fields = {name: field_value(headers) for name, headers in resolved.items()}
     entries = []
     for header in _data_headers(df.columns):
-        cell = none_if_blank(F.col(f"`{header}`").cast("string"))
+        cell = _cell(header)
         for name, headers in resolved.items():
             if header not in headers:
                 continue
@@ -136,8 +186,8 @@ def map_columns(df: DataFrame, mode: str = "exact") -> DataFrame:
             if mode == "contains" or not earlier:
                 cell = None
                 break
-            used = F.coalesce(*[none_if_blank(F.col(f"`{h}`").cast("string")) for h in earlier]).isNull()
-            cell = F.when(~used, cell)
+            lost = F.coalesce(*[_cell(h) for h in earlier]).isNotNull()
+            cell = F.when(lost, cell)
         if cell is not None:
             entries.append(F.struct(F.lit(header).alias("key"), cell.alias("value")))
     if entries:
