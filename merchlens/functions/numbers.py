@@ -31,9 +31,14 @@ def as_int(c: Column) -> Column:
     return F.bround(c, 0).cast("long")
 
 
+def exact_sum(c: Column) -> Column:
+    """Order-independent sum, as a decimal."""
+    return F.sum(c.cast("decimal(18,4)"))
+
+
 def money_sum(c: Column) -> Column:
     """Order-independent sum: added as decimals, handed back as double."""
-    return F.sum(c.cast("decimal(18,4)")).cast("double")
+    return exact_sum(c).cast("double")
 
 
 def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:

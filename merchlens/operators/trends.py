@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.functions.numbers import money_sum, ratio, to_double
+from merchlens.functions.numbers import exact_sum, money_sum, ratio, to_double
 
 PERCENT = 100.0
 
@@ -72,17 +72,23 @@ def _measures(current: Column) -> list[Column]:
     return [
         F.countDistinct(now(F.col("id"))).alias("unique_products"),
         F.sum(now(F.col("_units"))).alias("units"),
-        money_sum(now(F.col("_money"))).alias("revenue"),
-        money_sum(now(F.col("price"))).alias("price_sum"),
+        exact_sum(now(F.col("_money"))).alias("revenue"),
+        exact_sum(now(F.col("price"))).alias("price_sum"),
         F.count(now(F.col("price"))).alias("price_count"),
-        money_sum(now(F.col("rating"))).alias("rating_sum"),
+        exact_sum(now(F.col("rating"))).alias("rating_sum"),
         F.count(now(F.col("rating"))).alias("rating_count"),
         F.count_if(current).alias("rows"),
         F.coalesce(F.sum(before(F.col("_units"))), F.lit(0.0)).alias("prev_units"),
-        F.coalesce(money_sum(before(F.col("_money"))), F.lit(0.0)).alias("prev_revenue"),
+        exact_sum(before(F.col("_money"))).alias("prev_revenue"),
     ]
 
 
+def _as_doubles(df: DataFrame) -> DataFrame:
+    """Exact sums as doubles, absent ones as 0."""
+    sums = ["revenue", "prev_revenue", "price_sum", "rating_sum"]
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in sums})
+
+
 def _change(now: str, before: str) -> Column:
     return ratio((F.col(now) - F.col(before)) * PERCENT, F.col(before))
 
@@ -108,10 +114,9 @@ def trends_by_category(
     ``compat_prev_unfiltered`` leaves the category filter off the preceding period.
     """
     both, current = _measured(rows, start, end, category_prefix, compat_prev_unfiltered)
+    grouped = both.groupBy("category").agg(*_measures(current)).where(F.col("rows") > 0)
     return (
-        both.groupBy("category")
-        .agg(*_measures(current))
-        .where(F.col("rows") > 0)
+        _as_doubles(grouped)
         .select("category", "unique_products", "units", "revenue", *_averages())
         .orderBy(F.desc("revenue"), "category")
     )
@@ -135,7 +140,7 @@ def trends_totals(
         .agg(*_measures(current))
         .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed])
     )
-    return totals.select(
+    return _as_doubles(totals).select(
         "unique_products", "units", "revenue", *_averages(),
         _change("units", "prev_units").alias("delta_units_pct"),
     )

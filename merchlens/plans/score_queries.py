@@ -682,11 +682,13 @@ def rubric_scores(spark, folder):
 @query(
     "weight_samples",
     fr.with_views(fr.PRODUCTS, fr.SCORES)
-    + """SELECT p.id, ROUND(COALESCE(CASE WHEN size % 4 <> 0 THEN revenue END, CASE WHEN size % 3 = 0 THEN units_sold END), 4) AS success,
+    + """, s AS (SELECT id, CASE WHEN size % 4 <> 0 THEN revenue END AS r, CASE WHEN size % 3 = 0 THEN units_sold END AS u FROM products),
+sticky AS (SELECT r IS NOT NULL AS by_revenue FROM s WHERE r IS NOT NULL OR u IS NOT NULL ORDER BY id LIMIT 1)
+SELECT s.id, ROUND(CASE WHEN by_revenue THEN COALESCE(r, u) ELSE COALESCE(u, r) END, 4) AS success,
   """ + ", ".join(f"CAST((l.id + {i}) % 5 + 1 AS DOUBLE) AS {f}" for i, f in enumerate(vocab.RUBRIC_FIELDS)) + """
-FROM products p JOIN latest l ON p.id = l.product_id
-WHERE l.id % 11 <> 0 AND COALESCE(CASE WHEN size % 4 <> 0 THEN revenue END, CASE WHEN size % 3 = 0 THEN units_sold END) IS NOT NULL
-ORDER BY p.id LIMIT 50""",
+FROM s CROSS JOIN sticky JOIN latest l ON s.id = l.product_id
+WHERE l.id % 11 <> 0 AND COALESCE(r, u) IS NOT NULL
+ORDER BY s.id LIMIT 50""",
 )
 def weight_samples(spark, folder):
     return rounded(weights.weight_samples(sample_products(spark, folder), rubric_scores(spark, folder)))

@@ -63,10 +63,10 @@ _TOTALS = """, g AS (SELECT category,""" + _MEASURES + """,
     SUM(CAST(price AS DECIMAL(18,4))) FILTER (cur) AS ps, COUNT(price) FILTER (cur) AS pc,
     SUM(CAST(rating AS DECIMAL(18,4))) FILTER (cur) AS rs, COUNT(rating) FILTER (cur) AS rc
   FROM x GROUP BY category),
-t AS (SELECT CAST(SUM(unique_products) AS BIGINT) AS unique_products, SUM(units) AS units, SUM(revenue) AS revenue,
-    CAST(SUM(ps) AS DOUBLE) / SUM(pc) AS avg_price, CAST(SUM(rs) AS DOUBLE) / SUM(rc) AS avg_rating,
-    SUM(prev) AS prev, SUM(prev_units) AS prev_units FROM g)
-SELECT unique_products, units, ROUND(revenue, 3) AS revenue, ROUND(avg_price, 4) AS avg_price,
+t AS (SELECT CAST(SUM(unique_products) AS BIGINT) AS unique_products, SUM(units) AS units,
+    (SELECT CAST(SUM(revenue) FILTER (cur) AS DOUBLE) FROM x) AS revenue, CAST(SUM(ps) AS DOUBLE) / SUM(pc) AS avg_price, CAST(SUM(rs) AS DOUBLE) / SUM(rc) AS avg_rating,
+    (SELECT CAST(SUM(revenue) FILTER (NOT cur) AS DOUBLE) FROM x) AS prev, SUM(prev_units) AS prev_units FROM g)
+SELECT unique_products, units, ROUND(revenue, 4) AS revenue, ROUND(avg_price, 4) AS avg_price,
   ROUND(avg_rating, 4) AS avg_rating, ROUND(revenue / units, 4) AS rev_per_unit,
   ROUND((revenue - prev) * 100 / prev, 4) AS delta_revenue_pct,
   ROUND((units - prev_units) * 100 / prev_units, 4) AS delta_units_pct FROM t"""
@@ -77,8 +77,7 @@ SELECT unique_products, units, ROUND(revenue, 3) AS revenue, ROUND(avg_price, 4)
     _period_sql("1998-01-01", "1999-01-01", "1997-01-01").rstrip() + _TOTALS,
 )
 def trends_totals(spark, folder):
-    totals = trends.trends_totals(fr.trend_rows(spark, folder), *YEAR)
-    return rounded(totals.withColumn("revenue", F.round("revenue", 3)))
+    return rounded(trends.trends_totals(fr.trend_rows(spark, folder), *YEAR))
 
 
 def _series_sql(start: str, end: str, unit: str) -> str:
