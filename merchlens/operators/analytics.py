@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from merchlens.functions import vocab
 from merchlens.functions.numbers import money_sum, parse_amount, ratio, to_double
 from merchlens.functions.text import clean_name, title_case
-from merchlens.operators.ranks import quantile_values
+from merchlens.operators.ranks import exact_quantiles
 
 TOP = 10
 PARETO_TOP = 15
@@ -219,11 +219,15 @@ def local_insights(df: DataFrame) -> DataFrame:
     def zero(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0.0))
 
-    def cut(column: str, p: float) -> float:
-        nonzero = df.where(F.col(column) != 0)
-        return quantile_values(nonzero, column, {"q": p}).get("q") or 0.0 if nonzero.take(1) else 0.0
+    measures = ["price", "units_sold", "rating"]
+    nonzero = df.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "metric", "value")
+    cuts = exact_quantiles(nonzero.where(F.col("value") != 0), "value", {"p75": 0.75, "p85": 0.85}, ["metric"])
+    found = {r["metric"]: r for r in cuts.collect()}  # three rows
 
-    price_cut, units_cut, rating_cut = cut("price", 0.75), cut("units_sold", 0.75), cut("rating", 0.85)
+    def cut(metric: str, name: str) -> float:
+        return found[metric][name] if metric in found else 0.0
+
+    price_cut, units_cut, rating_cut = cut("price", "p75"), cut("units_sold", "p75"), cut("rating", "p85")
 
     def block(name: str, rows: DataFrame, value: Column, order: list[Column]) -> DataFrame:
         first = rows.orderBy(*order).limit(INSIGHT_TOP)

@@ -48,22 +48,23 @@ STORED_FALLBACK = Thresholds(0.33, 0.66)
 
 def fit_terciles(df: DataFrame, score: str, winsorise: float = 0.05) -> Thresholds | None:
     """Tercile limits of the winsorised scores; marked ``by_rank`` when too few or too flat."""
-    shape = df.agg(F.count(score).alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi")).first()
-    n = shape["n"]
-    if not n:
+    thirds = {"q33": 1 / 3, "q67": 2 / 3}
+    tails = {"lo": winsorise, "hi": 1 - winsorise}
+    scores = df.select(score)
+    cut = quantile_values(scores, score, {"min": 0.0, "max": 1.0, **thirds, **tails})
+    if not cut.get("n"):
         return None
     limits = None
-    scores = df.select(score)
-    if n >= WINSORISE_FROM and winsorise > 0:
-        cut = quantile_values(scores, score, {"lo": winsorise, "hi": 1 - winsorise})
+    if cut["n"] >= WINSORISE_FROM and winsorise > 0:
         limits = (cut["lo"], cut["hi"])
-        scores = scores.select(_winsorised(F.col(score), limits).alias(score))
-    third = quantile_values(scores, score, {"q33": 1 / 3, "q67": 2 / 3})
-    # a third value strictly between the extremes, before winsorising
-    inner = (F.col(score) > shape["lo"]) & (F.col(score) < shape["hi"])
-    varied = bool(df.where(inner).take(1))
-    good = n >= TERCILES_FROM and varied and abs(third["q67"] - third["q33"]) > SAME
-    return Thresholds(third["q33"], third["q67"], limits, by_rank=not good)
+        if winsorise >= 0.3:  # the tails may reach the terciles: take them from clipped scores
+            clipped = scores.select(_winsorised(F.col(score), limits).alias(score))
+            cut |= quantile_values(clipped, score, thirds)
+    good = cut["n"] >= TERCILES_FROM and abs(cut["q67"] - cut["q33"]) > SAME
+    if good:  # a third value strictly between the extremes, before winsorising
+        inner = (F.col(score) > cut["min"]) & (F.col(score) < cut["max"])
+        good = bool(df.where(inner).take(1))
+    return Thresholds(cut["q33"], cut["q67"], limits, by_rank=not good)
 
 
 def _winsorised(score: Column, limits: tuple[float, float] | None) -> Column:

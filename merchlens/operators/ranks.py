@@ -125,7 +125,7 @@ def exact_quantiles(
 
 
 def quantile_values(df: DataFrame, value: str, probs: dict[str, float], method: str = "linear") -> dict:
-    """The quantiles of a whole column as plain numbers (one small row)."""
+    """The quantiles of a whole column as plain numbers, and ``n`` (one small row)."""
     return exact_quantiles(df, value, probs, method=method).first().asDict()
 
 

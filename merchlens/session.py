@@ -45,9 +45,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the files.
+    """Write ``df`` as a table in the shared folder and continue from its files.
 
-    Used where an expensive frame feeds several jobs.
+    Used where an expensive frame feeds several jobs. Being Parquet, each of them reads only
+    the columns it needs, and a lost executor costs no more than its own reads.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

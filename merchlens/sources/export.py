@@ -76,15 +76,6 @@ def _cells(df: DataFrame) -> Column:
     return F.filter(entries, lambda e: _present(e["value"]).isNotNull())
 
 
-def _as_lookup(cells: Column) -> Column:
-    keys = F.array_distinct(F.transform(cells, lambda e: e["key"]))
-
-    def first_value(key: Column) -> Column:
-        return F.get(F.filter(cells, lambda e: e["key"] == key), 0)["value"]
-
-    return F.map_from_arrays(keys, F.transform(keys, first_value))
-
-
 def _spellings(key: str) -> list[str]:
     compact = key.replace(" ", "")
     return list(dict.fromkeys([key, key.lower(), header_key(key), compact, compact.lower()]))
@@ -93,7 +84,9 @@ def _spellings(key: str) -> list[str]:
 def _seek(keys: list[str]) -> Column:
     """First present value over keys and their spellings."""
     spellings = dict.fromkeys(s for key in keys for s in _spellings(key))
-    return F.coalesce(*[F.try_element_at("_lookup", F.lit(s)) for s in spellings])
+    wanted = F.split(F.lit("\n".join(spellings)), "\n")
+    found = F.transform(wanted, lambda s: F.get("_values", F.array_position("_keys", s) - 1))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), 0)
 
 
 def _percent_score(c: Column) -> Column:
@@ -130,7 +123,7 @@ def export_analysis(products: DataFrame) -> DataFrame:
     cells = products.withColumn("extra", extra)
     # generators keep the lookup from being worked out again for every field
     cells = cells.select("id", F.explode(F.array(_cells(cells))).alias("_cells"))
-    rows = cells.select("id", F.explode(F.array(_as_lookup(F.col("_cells")))).alias("_lookup"))
+    rows = cells.select("id", F.col("_cells.key").alias("_keys"), F.col("_cells.value").alias("_values"))
     wanted = {**vocab.EXPORT_TEXT_KEYS, **vocab.EXPORT_NUMBER_KEYS}
     wanted |= {f"channel_{i}": keys for i, keys in enumerate(vocab.EXPORT_REVENUE_KEYS)}
     found = rows.select("id", F.inline(F.array(F.struct(*[_seek(k).alias(n) for n, k in wanted.items()]))))
