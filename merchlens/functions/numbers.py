@@ -28,17 +28,31 @@ def half_even(c: Column, digits: int = 0) -> Column:
 
 
 def as_int(c: Column) -> Column:
-    return F.bround(c, 0).cast("long")
+    return F.bround(c, 0).try_cast("long")
+
+
+_DECIMAL_LIMIT = 1e13
 
 
 def exact_sum(c: Column) -> Column:
-    """Order-independent sum, as a decimal."""
-    return F.sum(c.cast("decimal(18,4)"))
+    """Order-independent decimal sum of the amounts below ten trillion."""
+    return F.sum(F.when(F.abs(c) < _DECIMAL_LIMIT, c).cast("decimal(18,4)"))
+
+
+def outlier_sum(c: Column) -> Column:
+    """Plain sum of the amounts :func:`exact_sum` leaves out; NULL without any."""
+    return F.sum(F.when(F.abs(c) >= _DECIMAL_LIMIT, c).cast("double"))
+
+
+def with_outliers(exact: Column, outliers: Column) -> Column:
+    """Both parts of a sum as one double; NULL when there was nothing to add."""
+    part = exact.cast("double")
+    return F.when(outliers.isNull(), part).otherwise(F.coalesce(part, F.lit(0.0)) + outliers)
 
 
 def money_sum(c: Column) -> Column:
-    """Order-independent sum: added as decimals, handed back as double."""
-    return exact_sum(c).cast("double")
+    """Sum that does not depend on the order: added as decimals, handed back as double."""
+    return with_outliers(exact_sum(c), outlier_sum(c))
 
 
 def ratio(top: Column, bottom: Column, default: float = 0.0) -> Column:

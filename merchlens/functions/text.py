@@ -47,9 +47,15 @@ def signature(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *cleaned))
 
 
-def cache_key(version: str, *parts: Column) -> Column:
-    """SHA-256 over a version and the JSON form of the payload columns."""
-    return F.sha2(F.concat(F.lit(version + "::"), F.to_json(F.struct(*parts))), 256)
+def cache_key(version: str, **payload: Column) -> Column:
+    """SHA-256 over a version and the payload as a JSON object with sorted keys."""
+
+    def quoted(value: Column) -> Column:
+        listed = F.to_json(F.array(F.coalesce(value.cast("string"), F.lit(""))))
+        return F.substring(listed, 2, F.length(listed) - 2)
+
+    pairs = [F.concat(F.lit(f'"{name}": '), quoted(payload[name])) for name in sorted(payload)]
+    return F.sha2(F.concat(F.lit(version + "::{"), F.concat_ws(", ", *pairs), F.lit("}")), 256)
 
 
 def _latin_folding() -> tuple[str, str]:

@@ -11,7 +11,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.functions.numbers import exact_sum, money_sum, ratio, to_double
+from merchlens.functions.numbers import (
+    exact_sum, money_sum, outlier_sum, ratio, to_double, with_outliers,
+)
 
 PERCENT = 100.0
 
@@ -69,24 +71,32 @@ def _measures(current: Column) -> list[Column]:
     def before(c: Column) -> Column:
         return F.when(~current, c)
 
+    sums = {
+        "revenue": now(F.col("_money")),
+        "prev_revenue": before(F.col("_money")),
+        "price_sum": now(F.col("price")),
+        "rating_sum": now(F.col("rating")),
+    }
     return [
         F.countDistinct(now(F.col("id"))).alias("unique_products"),
         F.sum(now(F.col("_units"))).alias("units"),
-        exact_sum(now(F.col("_money"))).alias("revenue"),
-        exact_sum(now(F.col("price"))).alias("price_sum"),
+        F.coalesce(F.sum(before(F.col("_units"))), F.lit(0.0)).alias("prev_units"),
         F.count(now(F.col("price"))).alias("price_count"),
-        exact_sum(now(F.col("rating"))).alias("rating_sum"),
         F.count(now(F.col("rating"))).alias("rating_count"),
         F.count_if(current).alias("rows"),
-        F.coalesce(F.sum(before(F.col("_units"))), F.lit(0.0)).alias("prev_units"),
-        exact_sum(before(F.col("_money"))).alias("prev_revenue"),
+        *[exact_sum(c).alias(n) for n, c in sums.items()],
+        *[outlier_sum(c).alias(f"{n}_outliers") for n, c in sums.items()],
     ]
 
 
+EXACT = ["revenue", "prev_revenue", "price_sum", "rating_sum"]
+OUTLIERS = [f"{c}_outliers" for c in EXACT]
+
+
 def _as_doubles(df: DataFrame) -> DataFrame:
-    """Exact sums as doubles, absent ones as 0."""
-    sums = ["revenue", "prev_revenue", "price_sum", "rating_sum"]
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in sums})
+    """Both parts of the exact sums as one double, absent ones as 0."""
+    joined = {c: with_outliers(F.col(c), F.col(o)) for c, o in zip(EXACT, OUTLIERS)}
+    return df.withColumns({c: F.coalesce(v, F.lit(0.0)) for c, v in joined.items()})
 
 
 def _change(now: str, before: str) -> Column:
@@ -131,14 +141,14 @@ def trends_totals(
 ) -> DataFrame:
     """The same measures over all categories; a product counts once per category."""
     both, current = _measured(rows, start, end, category_prefix, compat_prev_unfiltered)
-    summed = [
-        "unique_products", "units", "revenue", "price_sum", "price_count", "rating_sum",
-        "rating_count", "prev_units", "prev_revenue",
-    ]
+    counted = ["unique_products", "units", "prev_units", "price_count", "rating_count"]
     totals = (
         both.groupBy("category")
         .agg(*_measures(current))
-        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed])
+        .agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted],
+            *[F.sum(c).alias(c) for c in EXACT + OUTLIERS],
+        )
     )
     return _as_doubles(totals).select(
         "unique_products", "units", "revenue", *_averages(),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
-from merchlens.functions.text import signature
+from merchlens.functions.text import cache_key, signature
 from merchlens.operators import enrich, jobs, merge, validate
 from merchlens.plans import frames as fr
 from merchlens.plans.catalog_queries import _LOW_QUALITY, SIG
@@ -40,6 +40,17 @@ def cache_lookup(spark, folder):
     )
 
 
+@query(
+    "cache_key",
+    """SELECT p_partkey AS id, sha256('v1::{"category": "' || p_type || '", "desc": "say \\"' || p_brand || '\\"", "title": "' || p_name || '"}') AS key FROM part""",
+)
+def cache_key_query(spark, folder):
+    return fr.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"),
+        cache_key("v1", title=F.col("p_name"), category=F.col("p_type"), desc=F.concat(F.lit('say "'), F.col("p_brand"), F.lit('"'))).alias("key"),
+    )
+
+
 @query(
     "cache_misses",
     fr.with_views(fr.ITEMS, fr.CACHE)

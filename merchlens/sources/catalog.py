@@ -38,7 +38,7 @@ def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", w
     else:
         raise ValueError(f"unknown format: {fmt}")
     stem = F.regexp_extract(F.element_at(F.split(F.col(SEQ_COLUMN)["file"], "/"), -1), r"^(.+?)(\.[^.]*)?$", 1)
-    return rows.withColumn(FILE_COLUMN, F.url_decode(stem))
+    return rows.withColumn(FILE_COLUMN, F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))))
 
 
 def _placed(rows: DataFrame) -> DataFrame:

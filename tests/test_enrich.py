@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import by_id, rows
 from merchlens.functions import vocab
-from merchlens.functions.text import low_quality_text
+from merchlens.functions.text import cache_key, low_quality_text
 from merchlens.operators import enrich, jobs, validate, weights
 
 NOW = datetime(2024, 3, 1)
@@ -19,6 +19,17 @@ def test_cache_expires(spark):
     assert sorted(by_id(enrich.cache_misses(items, cache, NOW), "sig_hash")) == [2, 3]
 
 
+def test_cache_keys_are_stable(spark):
+    import hashlib
+    import json
+
+    row = ("Lámpara \"mini\"\n", "a/b", None)
+    df = spark.createDataFrame([row], "title string, category string, desc string")
+    blob = json.dumps({"title": row[0], "category": row[1], "desc": ""}, sort_keys=True, ensure_ascii=False)
+    got = df.select(cache_key("v1", title=F.col("title"), category=F.col("category"), desc=F.col("desc"))).first()[0]
+    assert got == hashlib.sha256(f"v1::{blob}".encode()).hexdigest()
+
+
 def test_text_quality(spark):
     good = "people want to feel calm at home and forget about noise " * 6
     cases = [(1, good, "Lamp"), (2, "short", "Lamp"), (3, good + " 30 ml", "x"), (4, good + " champú", "x"), (5, good, "calm home noise"), (6, good + " settle", "x")]

@@ -41,6 +41,14 @@ def test_change_missing_revenue_and_half_open_bounds(spark):
     assert got[""]["rev_per_unit"] == 0
 
 
+def test_absurd_amounts_neither_fail_nor_vanish(spark):
+    df = spark.createDataFrame(
+        [(1, "A", 1e20, 1.0, 2e20, None, datetime(2024, 5, 2)), (2, "A", 1.0, 1.0, 0.1, None, datetime(2024, 5, 3)), (3, "B", 1.0, 1.0, 0.2, None, datetime(2024, 5, 3))], SCHEMA
+    )
+    got = {r["category"]: r["revenue"] for r in trends.trends_by_category(df, *MAY).collect()}
+    assert got == {"A": 2e20, "B": 0.2} and trends.trends_totals(df, *MAY).first()["revenue"] == 2e20
+
+
 def test_category_filter_covers_both_periods_unless_asked(spark):
     df = spark.createDataFrame(
         [
