@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from merchlens.functions import vocab
 from merchlens.functions.numbers import money_sum, ratio
-from merchlens.functions.text import strip
+from merchlens.functions.text import bind, strip
 from merchlens.operators.ranks import exact_quantiles
 
 DURATION_DEFAULT_MS = 2500.0
@@ -99,16 +99,18 @@ def duration_estimate(runs: DataFrame) -> DataFrame:
 
 def failure_code(reason: Column) -> Column:
     """Struct of code and whether a retry may help, by the first rule that matches."""
-    text = F.lower(strip(F.coalesce(reason, F.lit(""))))
 
     def payload(code: str, retryable: bool) -> Column:
         return F.struct(F.lit(code).alias("code"), F.lit(retryable).alias("retryable"))
 
-    result = F.when(text == "", payload(*vocab.FAILURE_EMPTY))
-    for code, retryable, groups in vocab.FAILURE_RULES:
-        hits = [reduce(lambda a, b: a | b, [text.contains(w) for w in words]) for words in groups]
-        result = result.when(reduce(lambda a, b: a & b, hits), payload(code, retryable))
-    return result.otherwise(payload(*vocab.FAILURE_OTHER))
+    def classify(text: Column) -> Column:
+        result = F.when(text == "", payload(*vocab.FAILURE_EMPTY))
+        for code, retryable, groups in vocab.FAILURE_RULES:
+            hits = [reduce(lambda a, b: a | b, [text.contains(w) for w in words]) for words in groups]
+            result = result.when(reduce(lambda a, b: a & b, hits), payload(code, retryable))
+        return result.otherwise(payload(*vocab.FAILURE_OTHER))
+
+    return bind(F.lower(strip(F.coalesce(reason, F.lit("")))), classify)
 
 
 def failure_summary(failures: DataFrame, reason: str = "reason", key: str = "id", samples: int = SAMPLE_IDS) -> DataFrame:

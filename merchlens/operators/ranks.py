@@ -18,14 +18,15 @@ from pyspark.sql.window import Window
 
 from merchlens.functions.numbers import as_int, clamp
 
-MAX_RANGES = 2048
+MAX_RANGES = 4096
+RANGES_PER_PARTITION = 3  # more ranges than tasks, so that hashing them spreads evenly
 
 
 def range_borders(df: DataFrame, key: Column, ranges: int | None = None) -> list[float]:
     """At most ``ranges`` sorted borders that split ``key`` into similar row counts."""
     spark = df.sparkSession
     if ranges is None:
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(2, min(MAX_RANGES, ranges))
     probs = [i / ranges for i in range(1, ranges)]
     found = df.select(key.cast("double").alias("k")).approxQuantile("k", probs, 0.5 / ranges)
@@ -234,6 +235,9 @@ def smallest(df: DataFrame, distance: str, item: str, k: int) -> Cutoff | None:
     return Cutoff(row[0], last[item])
 
 
+MOST_BONUSES = 100
+
+
 @dataclass(frozen=True)
 class Apportion:
     """Column names of :func:`apportion`'s input."""
@@ -265,12 +269,14 @@ def apportion(df: DataFrame, groups: list[str], names: Apportion = Apportion(),
     even = F.col("_total") <= 0
     left = shares.groupBy(*groups).agg((F.lit(100) - F.sum("_floor")).alias("_left"))
     fraction = F.when(even, 0.0).otherwise(F.col("_exact") - F.col("_floor"))
+    # a group is either even (keys ascending) or not (keys descending): one of the two is NULL
+    place = Window.partitionBy(*groups).orderBy(
+        F.desc("_f"), F.asc(F.when(F.col("_even"), F.col("_k"))), F.desc(F.when(~F.col("_even"), F.col("_k")))
+    )
     ranked = shares.select(*groups, key.alias("_k"), fraction.alias("_f"), even.alias("_even"))
-    # one group is either even (keys ascending) or not (keys descending), never both
-    down = _top(ranked.where(~F.col("_even")), groups, [F.desc("_f"), F.desc("_k")])
-    up = _top(ranked.where(F.col("_even")), groups, [F.asc("_k")])
     bonus = (
-        down.unionAll(up)
+        ranked.withColumn("_rn", F.row_number().over(place))
+        .where(F.col("_rn") <= MOST_BONUSES)
         .join(left, groups)
         .where(F.col("_rn") <= F.col("_left"))
         .select(*groups, F.col("_k").alias(names.key), F.lit(1).alias("_bonus"))
@@ -280,8 +286,3 @@ def apportion(df: DataFrame, groups: list[str], names: Apportion = Apportion(),
         .withColumn(out, (F.col("_floor") + F.coalesce(F.col("_bonus"), F.lit(0))).cast("long"))
         .drop("_v", "_total", "_size", "_exact", "_floor", "_bonus")
     )
-
-
-def _top(df: DataFrame, groups: list[str], order: list[Column], most: int = 100) -> DataFrame:
-    window = Window.partitionBy(*groups).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -72,18 +73,21 @@ def observed(batch: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
 
 
 def stream_metrics(stream: DataFrame, table: str, metrics_table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Appends each batch to ``table`` and one (batch, rows, duration) row to the metrics."""
+    """Stores each batch under ``table`` and one row of rows, duration and throughput.
+
+    Both are keyed by batch, so a batch that runs again replaces what it wrote.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        watched, seen = observed(
-            batch, f"batch-{uuid.uuid4().hex}", rows=F.count(F.lit(1)), started=F.min(F.current_timestamp())
-        )
-        watched.write.mode("append").parquet(f"{table}/batch_id={batch_id}")
-        got = seen.get
-        row = batch.sparkSession.createDataFrame(
-            [(batch_id, int(got.get("rows") or 0))], "batch_no long, rows long"
-        ).withColumn("finished_at", F.current_timestamp())
-        row.write.mode("overwrite").parquet(f"{metrics_table}/batch_id={batch_id}")
+        watched, seen = observed(batch, f"batch-{uuid.uuid4().hex}", rows=F.count(F.lit(1)))
+        started = time.perf_counter()
+        watched.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        duration = (time.perf_counter() - started) * 1000.0
+        rows = int(seen.get.get("rows") or 0)
+        batch.sparkSession.createDataFrame(
+            [(batch_id, rows, duration, rows * 1000.0 / duration)],
+            "batch_no long, rows long, duration_ms double, throughput double",
+        ).write.mode("overwrite").parquet(f"{metrics_table}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(apply)
