@@ -146,6 +146,10 @@ PROFILE_PREFERENCE = {
     "oldness": "low",
     "awareness": "mid",
 }
+NOTE_NO_PROFILE = "sin agregados: no se pueden fijar pesos sin inventar"
+NOTE_NO_DATA = "%s: sin datos en agregados"
+NOTE_CROWDED = "competition: promedio alto, peso moderado"
+NOTE_LOW_COVERAGE = "%s: cobertura baja (%.2f)"
 CORRELATION_FALLBACK_PROFILE = {
     "revenue": 80, "units_sold": 70, "rating": 60, "price": 55, "desire": 45,
     "competition": 35, "oldness": 25, "awareness": 15,
@@ -285,6 +289,35 @@ EXPORT_COLUMN_ORDER = [
     "items sold", "desire", "desire magnitude", "awareness level", "competition level",
     "TikTokUrl", "KalodataUrl", "Img_url",
 ]
+# accepted headers of each report column, the first one present is taken
+EXPORT_HEADER_SYNONYMS = {
+    "image preview": [
+        "image preview", "image_preview", "preview image", "thumbnail", "miniatura", "img",
+        "product image", "image url", "image_url", "img_url", "imagen", "image",
+    ],
+    "name": ["name", "title", "product name", "nombre", "producto"],
+    "category": ["category", "categories", "categoria", "categoría"],
+    "launch date": [
+        "launch date", "launch_date", "launched at", "launched_at", "release date",
+        "release_date", "first seen", "first_seen", "fecha de lanzamiento",
+        "fecha lanzamiento", "date launched", "launchdate",
+    ],
+    "price": ["price", "precio", "price($)", "price usd", "price$"],
+    "rating": ["rating", "rate", "stars", "product rating", "valoración", "valoracion"],
+    "revenue": ["revenue", "total revenue", "total revenue($)", "income", "ingresos"],
+    "items sold": [
+        "items sold", "units_sold", "units sold", "item sold", "sold", "unidades vendidas",
+    ],
+    "desire": ["desire", "desires"],
+    "desire magnitude": [
+        "desire magnitude", "desire_magnitude", "desire mag", "desire_mag",
+        "magnitud del deseo",
+    ],
+    "awareness level": [
+        "awareness level", "awareness", "nivel de awareness", "nivel awareness",
+    ],
+    "competition level": ["competition level", "competition", "nivel de competencia"],
+}
 # back-filled spellings of recognised extras: typed key -> display key
 EXTRA_DISPLAY_KEYS = {
     "rating": "Product Rating",

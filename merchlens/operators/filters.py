@@ -16,8 +16,13 @@ from merchlens.functions.text import clean_name, none_if_blank
 INLINE_IDS = 1000
 
 
-def select_ids(df: DataFrame, ids: list[int] | None, empty_means_all: bool = True, key: str = "id") -> DataFrame:
-    """Rows whose id is listed; short lists become a pushed filter, long ones a semi join."""
+def select_ids(
+    df: DataFrame, ids: list[int] | DataFrame | None, empty_means_all: bool = True, key: str = "id"
+) -> DataFrame:
+    """Rows whose id is listed; short lists become a pushed filter, long ones and frames a
+    semi join. An empty frame selects nothing."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(key), key, "left_semi")
     wanted = sorted(set(ids or []))
     if not wanted:
         return df if empty_means_all else df.where(F.lit(False))

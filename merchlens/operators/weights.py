@@ -60,11 +60,12 @@ def _spread() -> Column:
 
 
 def weights_from_profile(profile: DataFrame, segments: list[str] | None = None) -> DataFrame:
-    """An integer weight 0–100 per row of :func:`profile_metrics`, with notes.
+    """An integer weight 0–100 and notes for all eight metrics (of every segment).
 
     Strength rises with a distribution that leans the preferred way and is spread out; low
-    coverage shrinks and finally caps the weight.
+    coverage shrinks and finally caps the weight. A metric without a row weighs nothing.
     """
+    segments = segments or []
     metric, pos = F.col("metric"), F.col("_pos")
     base = _choose(metric, vocab.PROFILE_BASE_WEIGHTS)
     preference = _choose(metric, vocab.PROFILE_PREFERENCE)
@@ -87,14 +88,32 @@ def weights_from_profile(profile: DataFrame, segments: list[str] | None = None)
     weight = base * (0.6 + 0.8 * strength) * (0.1 + 0.9 * coverage) * shape
     scarce = coverage < LOW_COVERAGE
     capped = clamp(F.when(scarce, F.least(weight, F.lit(LOW_COVERAGE_CAP))).otherwise(weight), 0.0, 100.0)
-    crowded = F.when((metric == "competition") & (pos >= COMPETITION_HIGH), F.lit("crowded market, moderated"))
-    thin = F.when(scarce, F.format_string("low coverage (%.2f)", coverage))
-    notes = F.array_compact(F.array(crowded, thin))
-    rows = profile.where(metric.isin(vocab.SCORE_FIELDS))
+    crowded = F.when((metric == "competition") & (pos >= COMPETITION_HIGH), F.lit(vocab.NOTE_CROWDED))
+    thin = F.when(scarce, F.format_string(vocab.NOTE_LOW_COVERAGE, metric, coverage))
+    known = F.col("_known").isNotNull()
+    absent = F.array(F.format_string(vocab.NOTE_NO_DATA, metric))
+    if not segments:
+        nothing = profile.where(metric.isin(vocab.SCORE_FIELDS)).agg(F.count(F.lit(1)) == 0).scalar()
+        absent = F.when(nothing, F.array(F.lit(vocab.NOTE_NO_PROFILE))).otherwise(absent)
     return (
-        rows.withColumn("_pos", _position())
+        _all_metrics(profile, segments)
+        .withColumn("_pos", _position())
         .withColumn("_spread", _spread())
-        .select(*(segments or []), "metric", as_int(capped).alias("weight"), notes.alias("notes"))
+        .select(
+            *segments,
+            "metric",
+            F.when(known, as_int(capped)).otherwise(0).cast("long").alias("weight"),
+            F.when(known, F.array_compact(F.array(crowded, thin))).otherwise(absent).alias("notes"),
+        )
+    )
+
+
+def _all_metrics(profile: DataFrame, segments: list[str]) -> DataFrame:
+    """Eight rows per segment, with the profile's figures where it has them."""
+    every = F.explode(F.split(F.lit(",".join(vocab.SCORE_FIELDS)), ",")).alias("metric")
+    frame = profile.select(*segments).distinct() if segments else profile.sparkSession.range(1)
+    return frame.select(*segments, every).join(
+        profile.withColumn("_known", F.lit(True)), [*segments, "metric"], "left"
     )
 
 

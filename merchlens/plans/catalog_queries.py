@@ -241,7 +241,7 @@ def snapshot_upsert(spark, folder):
 def select_ids(spark, folder):
     parts = fr.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     wanted = fr.table(spark, folder, "labels").where(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
-    return parts.join(wanted, "id", "left_semi")
+    return filters.select_ids(parts, wanted)
 
 
 _WANT = filters.ProductFilter(

@@ -617,8 +617,8 @@ w AS (SELECT *, CASE metric {_BASE} END * (0.6 + 0.8 * strength) * (0.1 + 0.9 *
       WHEN metric = 'price' THEN least(1.15, greatest(0.3, 1 - abs(pos - 0.4) * 1.6))
       WHEN metric = 'awareness' THEN least(1.1, greatest(0.35, 1 - abs(pos - 0.55) * 1.2)) ELSE 1 END AS weight FROM s)
 SELECT segment, metric, CAST(round_even(least(100, CASE WHEN coverage < 0.35 THEN least(weight, 15) ELSE weight END), 0) AS BIGINT) AS weight,
-  concat_ws('; ', CASE WHEN metric = 'competition' AND pos >= 0.7 THEN 'crowded market, moderated' END,
-    CASE WHEN coverage < 0.35 THEN 'low coverage (' || printf('%.2f', coverage) || ')' END) AS notes FROM w""",
+  concat_ws('; ', CASE WHEN metric = 'competition' AND pos >= 0.7 THEN '{vocab.NOTE_CROWDED}' END,
+    CASE WHEN coverage < 0.35 THEN metric || ': cobertura baja (' || printf('%.2f', coverage) || ')' END) AS notes FROM w""",
 )
 def weights_from_profile(spark, folder):
     rows = cut_lineage(profile_input(spark, folder))

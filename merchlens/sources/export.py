@@ -36,6 +36,23 @@ def rank_report(products: DataFrame, scores: DataFrame, top: int | None = RANK_T
     return rows if top is None else rows.limit(top)
 
 
+def canonical_order(df: DataFrame) -> DataFrame:
+    """Known headers renamed and moved to the front in report order, the others behind.
+
+    A column called ``image`` is dropped where the report already has a preview column.
+    """
+    by_lower = {c.lower(): c for c in df.columns}
+    renamed: dict[str, str] = {}
+    for target, headers in vocab.EXPORT_HEADER_SYNONYMS.items():
+        found = next((by_lower[h] for h in headers if h in by_lower), None)
+        if found is not None and found not in renamed:
+            renamed[found] = target
+    rest = [c for c in df.columns if c not in renamed]
+    if "image preview" in renamed.values():
+        rest = [c for c in rest if c.lower() != "image"]
+    return df.select(*[F.col(f"`{c}`").alias(t) for c, t in renamed.items()], *[F.col(f"`{c}`") for c in rest])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Writes a report as CSV (with header), JSON or Parquet, one file per partition."""
     writer = df.write.mode("errorifexists")

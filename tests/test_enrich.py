@@ -203,16 +203,23 @@ PROFILE = "metric string, min double, max double, mean double, std double, p25 d
 def test_low_coverage_caps_the_weight(spark):
     df = spark.createDataFrame([("revenue", 0.0, 100.0, 90.0, 1.0, 80.0, 95.0, 99.0, 0.2), ("rating", 0.0, 5.0, 4.0, 1.0, 3.0, 4.0, 5.0, 1.0)], PROFILE)
     got = {r["metric"]: r for r in weights.weights_from_profile(df).collect()}
-    assert got["revenue"]["weight"] <= 15 and got["revenue"]["notes"] == ["low coverage (0.20)"] and got["rating"]["weight"] > 50
+    assert got["revenue"]["weight"] <= 15 and got["revenue"]["notes"] == ["revenue: cobertura baja (0.20)"] and got["rating"]["weight"] > 50
+    assert len(got) == 8 and got["price"]["weight"] == 0 and got["price"]["notes"] == ["price: sin datos en agregados"]
     assert [r["metric"] for r in weights.weight_order(weights.weights_from_profile(df)).collect()] == ["rating", "revenue"]
 
 
+def test_no_profile_gives_zero_weights(spark):
+    got = weights.weights_from_profile(spark.createDataFrame([], PROFILE)).collect()
+    assert len(got) == 8 and {r["weight"] for r in got} == {0}
+    assert {tuple(r["notes"]) for r in got} == {("sin agregados: no se pueden fijar pesos sin inventar",)}
+
+
 def test_shape_rules(spark):
     flat = ("p", 1.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 1.0)
     crowded = (0.0, 1.0, 0.9, None, None, 0.9, None, 1.0)
     df = spark.createDataFrame([("competition", *crowded), ("oldness", *crowded), ("units_sold", *flat[1:])], PROFILE)
     got = {r["metric"]: r for r in weights.weights_from_profile(df).collect()}
-    assert got["competition"]["notes"] == ["crowded market, moderated"]
+    assert got["competition"]["notes"] == ["competition: promedio alto, peso moderado"]
     # no position: strength 0.65 * 0.5 + 0.35 * 0.65
     assert got["units_sold"]["weight"] == round(74 * (0.6 + 0.8 * (0.325 + 0.35 * 0.65)))
 

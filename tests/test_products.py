@@ -16,6 +16,7 @@ def test_select_ids_short_long_and_empty(spark):
     df = spark.range(5000)
     assert filters.select_ids(df, [1, 1, 4999, 9999]).count() == 2
     assert filters.select_ids(df, list(range(2000))).count() == 2000
+    assert filters.select_ids(df, spark.range(3)).count() == 3
     assert filters.select_ids(df, []).count() == 5000 and filters.select_ids(df, [], empty_means_all=False).count() == 0
 
 

@@ -203,6 +203,12 @@ def test_analysis_report(spark):
     assert got[2]["desire"] == "Resuelve dolor" and got[2]["TikTokUrl"] == "https://t/beta" and got[3]["KalodataUrl"] == ""
 
 
+def test_canonical_order(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], "`Extra.col` int, Title int, Image int, Thumbnail int, `Price($)` int")
+    out = export.canonical_order(df)
+    assert out.columns == ["image preview", "name", "price", "Extra.col"] and tuple(out.first()) == (4, 2, 5, 1)
+
+
 def test_table_and_ranking(spark, tmp_path):
     products = spark.createDataFrame(
         [(1, "A🔥", "", None, None, "d", "High", "Unaware", "Low", {}), (2, "B", "", None, None, None, None, None, None, {})], PRODUCT
