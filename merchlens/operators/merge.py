@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchlens.session import hadoop_path
+
 POINTER = "CURRENT"
 
 
@@ -65,13 +67,8 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, keys: list[str], sequence:
 # small file that names the snapshot and the last version it contains.
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _current(spark: SparkSession, root: str) -> tuple[str | None, int]:
-    path, fs = _path(spark, f"{root}/{POINTER}")
+    path, fs = hadoop_path(spark, f"{root}/{POINTER}")
     if not fs.exists(path):
         return None, -1
     name, version = spark.read.text(str(path)).first()[0].split()
@@ -87,7 +84,7 @@ def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = No
     name = f"snapshot-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
-    path, fs = _path(df.sparkSession, f"{root}/{POINTER}")
+    path, fs = hadoop_path(df.sparkSession, f"{root}/{POINTER}")
     out = fs.create(path, True)
     out.writeBytes(f"{name} {version}")
     out.close()
@@ -109,7 +106,7 @@ def _layers(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
     """Snapshot rows and later changes with their ``version``, and the last version."""
     name, done = _current(spark, root)
     frames = [] if name is None else [spark.read.parquet(f"{root}/{name}").withColumn("version", F.lit(-1))]
-    folder, fs = _path(spark, f"{root}/deltas")
+    folder, fs = hadoop_path(spark, f"{root}/deltas")
     last = done
     if fs.exists(folder):
         versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)]

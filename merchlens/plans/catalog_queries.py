@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.text import low_quality_text, signature
-from merchlens.operators import filters, latest, lists, merge
+from merchlens.operators import filters, latest, lists, merge, scoring
 from merchlens.plans import frames as fr
 from merchlens.plans.registry import query
 from merchlens.plans.trend_queries import P, rounded
 from merchlens.session import scratch_path
 from merchlens.sources import catalog, export, normalise, pages
+from merchlens.streaming import jobs as streams
 
 # --- raw files, written from the part table ---------------------------------------------
 
@@ -234,6 +235,41 @@ def snapshot_upsert(spark, folder):
     )
 
 
+# --- from raw files to scores -----------------------------------------------------------
+
+_ONLY_SALES = scoring.ScoreConfig(
+    {**{f: 0 for f in vocab.SCORE_FIELDS}, "price": 40, "rating": 30, "units_sold": 90, "oldness": 50}, as_of=fr.AS_OF
+)
+_EFF = {f: repr(w) for f, w in _ONLY_SALES.effective_weights().items()}
+_SCORED_SHEET = f"""WITH rows AS (SELECT {_NAME} AS name, p_retailprice AS price, (p_size % 9) * 1000 + 500 AS units,
+    CASE WHEN p_size % 3 = 0 THEN (p_size % 5) + 0.5 END AS rating, p_brand, p_partkey FROM part WHERE {_NAME} IS NOT NULL),
+last AS (SELECT *, sha1(lower(name) || '|' || lower(p_brand) || '||') AS sig_hash,
+  ROW_NUMBER() OVER (PARTITION BY lower(name), lower(p_brand) ORDER BY p_partkey DESC) AS rn FROM rows)
+SELECT sig_hash, ROUND(100 * (least(1, price / 1000) * {_EFF["price"]} + COALESCE(rating / 5 * {_EFF["rating"]}, 0)
+  + least(1, ln(1 + units) / ln(10001)) * {_EFF["units_sold"]}), 4) AS score_raw FROM last WHERE rn = 1"""
+
+
+@query("import_and_score", _SCORED_SHEET)
+def import_and_score(spark, folder):
+    """The whole import: read, map, type, deduplicate, score."""
+    mapped = catalog.map_columns(sheet(spark, folder))
+    staged = normalise.normalise_products(mapped, import_date=F.lit(fr.NOW))
+    products = merge.dedup_last(staged, ["sig_hash"], "_seq")
+    return rounded(scoring.winner_score(products, _ONLY_SALES).select("sig_hash", "score_raw"))
+
+
+@query("stream_import", _SCORED_SHEET)
+def stream_import(spark, folder):
+    """The same import as a stream of files into a stored table."""
+    path, root = scratch_path(spark, "incoming"), scratch_path(spark, "products")
+    raw = raw_catalog(spark, folder)
+    raw.write.option("header", True).option("escape", '"').csv(path)
+    stream = catalog.stream_catalog(spark, path, raw.columns)
+    streams.stream_import(stream, root, scratch_path(spark, "state")).awaitTermination()
+    products = merge.read_merged(spark, root, "sig_hash", {"winner_score": 0})
+    return rounded(scoring.winner_score(products, _ONLY_SALES).select("sig_hash", "score_raw"))
+
+
 # --- filters ----------------------------------------------------------------------------
 
 

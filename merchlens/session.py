@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def hadoop_path(spark: SparkSession, name: str):
+    """A path and the file system it lives on, wherever that is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.text import header_key, none_if_blank
+from merchlens.session import hadoop_path
 
 FILE_COLUMN, SEQ_COLUMN = "_file", "_seq"
 
@@ -37,18 +38,40 @@ def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", w
         rows = _placed(rows)
     else:
         raise ValueError(f"unknown format: {fmt}")
+    return _with_stem(rows)
+
+
+def stream_catalog(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame:
+    """CSV files with known headers as a stream of text rows, with ``_file`` and ``_seq``.
+
+    Lines cannot be numbered in a stream: :func:`number_lines` does it batch by batch.
+    """
+    schema = ", ".join("`" + h.replace("`", "``") + "` string" for h in headers)
+    reader = spark.readStream.schema(schema).option("header", True).option("escape", '"')
+    rows = reader.option("multiLine", True).option("enforceSchema", False).csv(folder)
+    return _with_stem(rows.select("*", _place(F.lit(0).cast("long")).alias(SEQ_COLUMN)))
+
+
+def number_lines(batch: DataFrame) -> DataFrame:
+    """A batch of :func:`stream_catalog` with its lines numbered inside each block."""
+    row = F.monotonically_increasing_id()
+    return batch.withColumn(SEQ_COLUMN, F.col(SEQ_COLUMN).withField("row", row))
+
+
+def _with_stem(rows: DataFrame) -> DataFrame:
     stem = F.regexp_extract(F.element_at(F.split(F.col(SEQ_COLUMN)["file"], "/"), -1), r"^(.+?)(\.[^.]*)?$", 1)
     return rows.withColumn(FILE_COLUMN, F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
     """Rows with their place: blocks are ordered by file and offset, lines inside a block."""
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+    return rows.select("*", _place(F.monotonically_increasing_id()).alias(SEQ_COLUMN))
+
+
+def _place(row: Column) -> Column:
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row.alias("row")
     )
-    return rows.select("*", place.alias(SEQ_COLUMN))
 
 
 def _json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -92,18 +115,13 @@ def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool = True)
     return united
 
 
-def _file_system(spark: SparkSession, name: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def _files(spark: SparkSession, pattern: str) -> list[str]:
-    path, fs = _file_system(spark, pattern)
+    path, fs = hadoop_path(spark, pattern)
     return sorted(str(s.getPath()) for s in fs.globStatus(path) or [])
 
 
 def _first_line(spark: SparkSession, file: str) -> str:
-    path, fs = _file_system(spark, file)
+    path, fs = hadoop_path(spark, file)
     io = spark.sparkContext._jvm.java.io
     reader = io.BufferedReader(io.InputStreamReader(fs.open(path), "UTF-8"))
     try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +13,31 @@ from pyspark.sql.streaming import StreamingQuery
 from merchlens.functions.numbers import money_sum
 from merchlens.operators.enrich import cache_lookup
 from merchlens.operators.merge import append_delta, dedup_last
+from merchlens.sources.catalog import SEQ_COLUMN, map_columns, number_lines
+from merchlens.sources.normalise import normalise_products
 
 WEEK_START_OFFSET = "4 days"  # the epoch is a Thursday, weeks start on Monday
 
 
 def stream_ingest(
-    stream: DataFrame, root: str, checkpoint: str, sequence: str = "seq", key: str = "sig_hash", **trigger
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    sequence: str = "seq",
+    key: str = "sig_hash",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Stores the last staged row per signature of every batch as changes of the table ``root``.
 
     A batch costs what it holds, not what the table holds: read the table with
     ``read_merged`` and fold changes in with ``compact`` from time to time. A batch that
-    runs again after a failure replaces its own changes. ``trigger`` is passed on, for
-    example ``availableNow=True``.
+    runs again after a failure replaces its own changes. ``prepare`` turns a batch into
+    staged rows; ``trigger`` is passed on, for example ``availableNow=True``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = prepare(batch) if prepare else batch
         append_delta(dedup_last(batch, [key], sequence).drop(sequence), root, batch_id)
 
     return (
@@ -38,6 +48,21 @@ def stream_ingest(
     )
 
 
+def stream_import(
+    raw: DataFrame, root: str, checkpoint: str, locale: str = "eu", source: str | None = None, **trigger
+) -> StreamingQuery:
+    """Raw catalogue rows to stored products: header mapping, typing, last row per signature.
+
+    ``raw`` comes from ``sources.catalog.stream_catalog``. Mapping and typing are
+    projections; only the dedup of a batch shuffles.
+    """
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return normalise_products(map_columns(number_lines(batch)), locale, source)
+
+    return stream_ingest(raw, root, checkpoint, SEQ_COLUMN, prepare=prepare, **trigger)
+
+
 def stream_trends(rows: DataFrame, time_col: str = "ts", delay: str = "1 day", weekly: bool = False) -> DataFrame:
     """Units and revenue per day, or per Monday week; rows behind the watermark are dropped."""
     if weekly:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import rows
 from merchlens.operators import merge
+from merchlens.sources import catalog
 from merchlens.streaming import jobs as streams
 
 STAGED = "sig_hash string, name string, winner_score int, seq long"
@@ -30,6 +31,21 @@ def test_ingest_keeps_the_last_row_over_batches(spark, tmp_path):
     assert run() == [("a", "A4", 9), ("b", "B2", 0)]  # nothing new
 
 
+def test_raw_files_become_products(spark, tmp_path):
+    source, root, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
+    source.mkdir()
+
+    def run():
+        stream = catalog.stream_catalog(spark, str(source), ["Nombre", "Precio"])
+        streams.stream_import(stream, root, state, source="feed").awaitTermination()
+        return rows(merge.read_merged(spark, root, keep_old_if_null={"winner_score": 0}), "name", "price", "source", "winner_score")
+
+    (source / "a.csv").write_text("Nombre,Precio\nLamp,\"1,5\"\nBox,2\nlamp,3\n")
+    assert run() == [("Box", 2.0, "feed", 0), ("lamp", 3.0, "feed", 0)]  # the later line wins
+    (source / "b.csv").write_text("Nombre,Precio\nBOX,9\n")
+    assert run() == [("BOX", 9.0, "feed", 0), ("lamp", 3.0, "feed", 0)]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "ts timestamp, units double, revenue double"
