@@ -9,7 +9,10 @@ over its ranges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,8 @@ from pyspark.sql.window import Window
 from merchlens.functions.numbers import as_int, clamp
 
 MAX_RANGES = 4096
+FEW_RANGES = 10_000
+PUSHED_RANGES = 64
 RANGES_PER_PARTITION = 3  # more ranges than tasks, so that hashing them spreads evenly
 
 
@@ -26,7 +31,10 @@ def range_borders(df: DataFrame, key: Column, ranges: int | None = None) -> list
     """At most ``ranges`` sorted borders that split ``key`` into similar row counts."""
     spark = df.sparkSession
     if ranges is None:
-        ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = RANGES_PER_PARTITION * int(
+            spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+            or spark.conf.get("spark.sql.shuffle.partitions")
+        )
     ranges = max(2, min(MAX_RANGES, ranges))
     probs = [i / ranges for i in range(1, ranges)]
     found = df.select(key.cast("double").alias("k")).approxQuantile("k", probs, 0.5 / ranges)
@@ -69,24 +77,83 @@ def ranked_values(
 def _running(counts: DataFrame, groups: list[str], part: str, order: list[str]) -> DataFrame:
     """Adds ``before`` and ``n`` to counted rows already split into ordered parts."""
     slots = [*groups, part]
-    totals = counts.groupBy(*slots).agg(F.sum("cnt").alias("_rows"))
-    # at most MAX_RANGES rows per group from here on
+    offsets = _offsets(counts.groupBy(*slots).agg(F.sum("cnt").alias("_rows")), groups, part)
+    placed = _beside(counts, offsets.drop("_rows"), slots)
+    return _before(placed, slots, order)
+
+
+def _offsets(totals: DataFrame, groups: list[str], part: str) -> DataFrame:
+    """Rows in earlier parts and in all parts; at most MAX_RANGES rows per group."""
     earlier = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*groups)
-    offsets = totals.select(
-        *slots,
+    return totals.select(
+        *groups,
+        part,
+        "_rows",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_rows").over(everything).alias("n"),
     )
+
+
+def _beside(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the other columns of ``facts``; NULL keys match each other."""
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    extra = [f"f.{c}" for c in facts.columns if c not in keys]
+    return rows.alias("r").join(facts.alias("f"), reduce(and_, same)).select("r.*", *extra)
+
+
+def _before(counts: DataFrame, slots: list[str], order: list[str]) -> DataFrame:
     inside = Window.partitionBy(*slots).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    same = [F.col(f"c.{s}").eqNullSafe(F.col(f"o.{s}")) for s in slots]
-    condition = same[0]
-    for part_match in same[1:]:
-        condition = condition & part_match
-    joined = counts.alias("c").join(offsets.alias("o"), condition).select("c.*", "o._offset", "o.n")
-    return joined.withColumn(
-        "before", F.col("_offset") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
-    ).drop("_offset")
+    earlier = F.coalesce(F.sum("cnt").over(inside), F.lit(0))
+    return counts.withColumn("before", F.col("_offset") + earlier).drop("_offset")
+
+
+def values_at(
+    df: DataFrame,
+    value: str,
+    positions: Callable[[Column], list[Column]],
+    groups: list[str] | None = None,
+    range_key: Column | None = None,
+) -> DataFrame:
+    """The rows of :func:`ranked_values` around some sorted positions, found by selection.
+
+    ``positions`` gives the wanted 0-based positions from ``n``. Two scans without a large
+    shuffle (sketch, rows per range) tell which ranges hold them; only rows of those ranges
+    are shuffled and ordered.
+    """
+    groups = groups or []
+    slots = [*groups, "_range"]
+    key = F.col(value) if range_key is None else range_key
+    rows = df.select(*groups, value).where(F.col(value).isNotNull())
+    borders = range_borders(rows, key)
+    totals = in_range(rows, key, borders).groupBy(*slots).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _offsets(totals, groups, "_range")
+    end = F.col("_offset") + F.col("_rows")
+    holds = [(F.col("_offset") <= p) & (p < end) for p in positions(F.col("n"))]
+    wanted = offsets.where(reduce(or_, holds)).drop("_rows")
+    few = wanted.limit(FEW_RANGES + 1).collect()
+    if len(few) <= FEW_RANGES:  # a proven bound, so the filter may travel to the scan
+        wanted = F.broadcast(df.sparkSession.createDataFrame(few, wanted.schema))
+        numbers = {int(r["_range"]) for r in few}
+        if len(numbers) <= PUSHED_RANGES:
+            rows = rows.where(_inside(key, borders, numbers))
+    picked = _beside(in_range(rows, key, borders), wanted, slots)
+    counts = picked.groupBy(*slots, value, "_offset", "n").agg(F.count(F.lit(1)).alias("cnt"))
+    return _before(counts, slots, [value]).drop("_range")
+
+
+def _inside(key: Column, borders: list[float], numbers: set[int]) -> Column:
+    """True for keys of the numbered ranges, as plain comparisons that a scan understands."""
+    number = key.cast("double")
+    tests = [F.lit(False)]
+    for i in numbers:
+        if i > len(borders):
+            tests.append(F.isnan(number))  # not-a-number sorts behind everything
+            continue
+        low = [number >= borders[i - 1]] if i > 0 else []
+        high = [number < borders[i]] if i < len(borders) else []
+        tests.append(reduce(and_, [*low, *high], ~F.isnan(number)))
+    return reduce(or_, tests)
 
 
 def at_rank(position: Column) -> Column:
@@ -100,7 +167,6 @@ def exact_quantiles(
     probs: dict[str, float],
     groups: list[str] | None = None,
     method: str = "linear",
-    ranked: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
@@ -108,8 +174,12 @@ def exact_quantiles(
     position (no interpolation).
     """
     groups = groups or []
-    if ranked is None:
-        ranked = ranked_values(df, value, groups)
+
+    def positions(n: Column) -> list[Column]:
+        places = [(n - 1) * F.lit(float(p)) for p in probs.values()]
+        return [F.floor(p) for p in places] + ([] if method == "floor" else [F.ceil(p) for p in places])
+
+    ranked = values_at(df, value, positions, groups)
     aggregates, results = [F.max("n").alias("n")], [F.col("n")]
     for name, p in probs.items():
         position = (F.col("n") - 1) * F.lit(float(p))
@@ -218,20 +288,18 @@ def smallest(df: DataFrame, distance: str, item: str, k: int) -> Cutoff | None:
     """Cut-off of the ``k`` smallest rows by ``distance``, ties by ``item`` as text."""
     if k <= 0:
         return None
-    row = (
-        ranked_values(df, distance)
-        .where(at_rank(F.least(F.lit(k), F.col("n")) - 1))
-        .select(distance, "before")
-        .first()
-    )
+
+    def upto(count: int) -> Callable[[Column], list[Column]]:
+        return lambda n: [F.least(F.lit(count), n) - 1]
+
+    first = values_at(df, distance, upto(k)).where(at_rank(F.least(F.lit(k), F.col("n")) - 1))
+    row = first.select(distance, "before").first()
     if row is None:
         return None
     tied = df.where(F.col(distance) == row[0])
-    last = (
-        ranked_values(tied, item, range_key=text_range_key(F.col(item)))
-        .where(at_rank(F.least(F.lit(k - row["before"]), F.col("n")) - 1))
-        .first()
-    )
+    left = k - row["before"]
+    ranked = values_at(tied, item, upto(left), range_key=text_range_key(F.col(item)))
+    last = ranked.where(at_rank(F.least(F.lit(left), F.col("n")) - 1)).first()
     return Cutoff(row[0], last[item])
 
 
