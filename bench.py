@@ -20,6 +20,7 @@ HEADLINE = [
     "kpis",
     "pareto",
     "local_insights",
+    "import_and_score",
     "normalise_products",
     "upsert_products",
     "filter_products",
@@ -51,6 +52,7 @@ HEADLINE = [
     "normalise_responses",
     "failure_summary",
     "stream_ingest",
+    "stream_import",
     "stream_trends_daily",
 ]
 

@@ -275,12 +275,14 @@ def text_range_key(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Cutoff:
-    """The last (distance, id) pair that belongs to the ``k`` smallest."""
+    """The last (distance, id) pair that belongs to the ``k`` smallest; None admits all ties."""
 
     distance: float
-    item: str
+    item: str | None = None
 
     def admits(self, distance: Column, item: Column) -> Column:
+        if self.item is None:
+            return distance <= self.distance
         return (distance < self.distance) | ((distance == self.distance) & (item <= self.item))
 
 
@@ -293,11 +295,13 @@ def smallest(df: DataFrame, distance: str, item: str, k: int) -> Cutoff | None:
         return lambda n: [F.least(F.lit(count), n) - 1]
 
     first = values_at(df, distance, upto(k)).where(at_rank(F.least(F.lit(k), F.col("n")) - 1))
-    row = first.select(distance, "before").first()
+    row = first.select(distance, "before", "cnt").first()
     if row is None:
         return None
-    tied = df.where(F.col(distance) == row[0])
     left = k - row["before"]
+    if left >= row["cnt"]:
+        return Cutoff(row[0])
+    tied = df.where(F.col(distance) == row[0])
     ranked = values_at(tied, item, upto(left), range_key=text_range_key(F.col(item)))
     last = ranked.where(at_rank(F.least(F.lit(left), F.col("n")) - 1)).first()
     return Cutoff(row[0], last[item])

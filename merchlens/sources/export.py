@@ -90,7 +90,23 @@ def _cells(df: DataFrame) -> Column:
         respelled(F.lower),
         respelled(lambda k: F.regexp_replace(F.lower(k), r"[^\p{L}\p{N}]", "")),
     )
-    return F.filter(entries, lambda e: _present(e["value"]).isNotNull())
+    known = F.filter(entries, lambda e: e["key"].isin(_known_spellings()))
+    # most headers are spelled alike in several forms: keep the first of equal cells
+    return F.filter(F.array_distinct(known), lambda e: _present(e["value"]).isNotNull())
+
+
+def _as_lookup(cells: Column) -> Column:
+    """A map of the cells; of equal keys the first counts."""
+    keys = F.transform(cells, lambda e: e["key"])
+    first = F.filter(cells, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def _known_spellings() -> list[str]:
+    """Every spelling the report looks for."""
+    keys = [k for table in (vocab.EXPORT_TEXT_KEYS, vocab.EXPORT_NUMBER_KEYS) for ks in table.values() for k in ks]
+    keys += [k for ks in vocab.EXPORT_REVENUE_KEYS for k in ks]
+    return sorted({s for key in keys for s in _spellings(key)})
 
 
 def _spellings(key: str) -> list[str]:
@@ -102,7 +118,7 @@ def _seek(keys: list[str]) -> Column:
     """First present value over keys and their spellings."""
     spellings = dict.fromkeys(s for key in keys for s in _spellings(key))
     wanted = F.split(F.lit("\n".join(spellings)), "\n")
-    found = F.transform(wanted, lambda s: F.get("_values", F.array_position("_keys", s) - 1))
+    found = F.transform(wanted, lambda s: F.try_element_at("_lookup", s))
     return F.get(F.filter(found, lambda v: v.isNotNull()), 0)
 
 
@@ -140,7 +156,7 @@ def export_analysis(products: DataFrame) -> DataFrame:
     cells = products.withColumn("extra", extra)
     # generators keep the lookup from being worked out again for every field
     cells = cells.select("id", F.explode(F.array(_cells(cells))).alias("_cells"))
-    rows = cells.select("id", F.col("_cells.key").alias("_keys"), F.col("_cells.value").alias("_values"))
+    rows = cells.select("id", F.explode(F.array(_as_lookup(F.col("_cells")))).alias("_lookup"))
     wanted = {**vocab.EXPORT_TEXT_KEYS, **vocab.EXPORT_NUMBER_KEYS}
     wanted |= {f"channel_{i}": keys for i, keys in enumerate(vocab.EXPORT_REVENUE_KEYS)}
     found = rows.select("id", F.inline(F.array(F.struct(*[_seek(k).alias(n) for n, k in wanted.items()]))))
