@@ -169,7 +169,7 @@ def load_thresholds(table: DataFrame, weights_version: int, model: str) -> dict[
     rows = table.where(
         (F.col("weights_version") == weights_version) & (F.col("model") == model)
     ).select("measure", "q33", "q67")
-    return {r["measure"]: Thresholds(r["q33"], r["q67"]) for r in rows.limit(16).collect()}
+    return {r["measure"]: Thresholds(r["q33"], r["q67"]) for r in rows.collect()}  # a handful of rows
 
 
 # --- baselines ------------------------------------------------------------------------

@@ -190,26 +190,28 @@ SIG = "sha1(lower(p_name) || '|' || lower(p_brand) || '||')"
 
 
 def _stored_and_staged(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Stored: one row per signature of even sizes. Staged: every part of size 11 and up."""
+    """Stored: one row per signature of parts with a document. Staged: parts with orders."""
     parts = fr.table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"),
         signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None)).alias("sig_hash"),
         F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"),
         F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("winner_score"),
-        F.col("p_size").alias("size"), F.col("p_partkey").alias("seq"),
+        F.col("p_partkey").alias("seq"),
     )
-    stored = merge.dedup_last(parts.where(F.col("size") % 2 == 0), ["sig_hash"], "seq").drop("size", "seq")
+    described = fr.table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    ordered = fr.table(spark, folder, "orders").select(F.col("o_custkey").alias("id"))
+    stored = merge.dedup_last(parts.join(described, "id", "left_semi"), ["sig_hash"], "seq").drop("seq")
     stored = stored.withColumn("winner_score", F.coalesce("winner_score", F.lit(0)))
-    return stored, parts.where(F.col("size") > 10).drop("size")
+    return stored, parts.join(ordered, "id", "left_semi")
 
 
 @query(
     "upsert_products",
     f"""WITH parts AS (SELECT p_partkey AS id, {SIG} AS sig_hash, p_name AS name, p_retailprice AS price,
-    CASE WHEN p_size % 3 <> 0 THEN p_size END AS winner_score, p_size FROM part),
+    CASE WHEN p_size % 3 <> 0 THEN p_size END AS winner_score FROM part),
 stored AS (SELECT id, sig_hash, name, price, COALESCE(winner_score, 0) AS winner_score FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY sig_hash ORDER BY id DESC) AS rn FROM parts WHERE p_size % 2 = 0) WHERE rn = 1),
-staged AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sig_hash ORDER BY id DESC) AS rn FROM parts WHERE p_size > 10) WHERE rn = 1)
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY sig_hash ORDER BY id DESC) AS rn FROM parts WHERE id IN (SELECT doc_id FROM documents)) WHERE rn = 1),
+staged AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sig_hash ORDER BY id DESC) AS rn FROM parts WHERE id IN (SELECT o_custkey FROM orders)) WHERE rn = 1)
 SELECT COALESCE(o.id, n.id) AS id, COALESCE(n.sig_hash, o.sig_hash) AS sig_hash, COALESCE(n.name, o.name) AS name, COALESCE(n.price, o.price) AS price,
   COALESCE(n.winner_score, o.winner_score, 0) AS winner_score
 FROM stored o FULL OUTER JOIN staged n ON o.sig_hash = n.sig_hash""",
@@ -222,7 +224,7 @@ def upsert_products(spark, folder):
 @query(
     "snapshot_upsert",
     f"""SELECT COUNT(DISTINCT {SIG}) AS products, COUNT(DISTINCT {SIG}) AS signatures FROM part
-WHERE p_size % 2 = 0 OR p_size > 10""",
+WHERE p_partkey IN (SELECT doc_id FROM documents) OR p_partkey IN (SELECT o_custkey FROM orders)""",
 )
 def snapshot_upsert(spark, folder):
     """The upsert written as a new snapshot and read back through the pointer."""
@@ -487,12 +489,12 @@ def list_counts(spark, folder):
 
 @query(
     "add_remove_list_members",
-    LISTS + """, added AS (SELECT list_id, product_id FROM list_items UNION SELECT 1, p_partkey FROM part WHERE p_size = 1)
+    LISTS + """, added AS (SELECT list_id, product_id FROM list_items UNION SELECT 1, doc_id FROM documents)
 SELECT list_id, COUNT(*) AS members FROM added WHERE NOT (list_id = 2 AND product_id IN (SELECT doc_id FROM labels)) GROUP BY 1""",
 )
 def add_remove_list_members(spark, folder):
-    new = fr.table(spark, folder, "part").where(F.col("p_size") == 1).select(
-        F.lit(1).cast("long").alias("list_id"), F.col("p_partkey").alias("product_id")
+    new = fr.table(spark, folder, "documents").select(
+        F.lit(1).cast("long").alias("list_id"), F.col("doc_id").alias("product_id")
     )
     gone = fr.table(spark, folder, "labels").select(F.lit(2).cast("long").alias("list_id"), F.col("doc_id").alias("product_id"))
     members = lists.add_list_members(fr.list_items(spark, folder), new)
@@ -501,13 +503,15 @@ def add_remove_list_members(spark, folder):
 
 @query(
     "move_list_members",
-    LISTS + """, grown AS (SELECT list_id, product_id FROM list_items UNION SELECT 5, product_id FROM list_items WHERE list_id = 4 AND product_id % 2 = 0),
+    LISTS + """, grown AS (SELECT list_id, product_id FROM list_items UNION SELECT 5, product_id FROM list_items WHERE list_id = 4 AND product_id IN (SELECT doc_id FROM labels)),
 moved AS (SELECT 5 AS list_id, product_id FROM grown WHERE list_id IN (4, 5) GROUP BY product_id)
 SELECT list_id, COUNT(*) AS members FROM (SELECT * FROM grown WHERE list_id NOT IN (4, 5) UNION ALL SELECT * FROM moved) GROUP BY 1""",
 )
 def move_list_members(spark, folder):
     members = fr.list_items(spark, folder)
-    shared = members.where((F.col("list_id") == 4) & (F.col("product_id") % 2 == 0)).withColumn("list_id", F.lit(5).cast("long"))
+    labelled = fr.table(spark, folder, "labels").select(F.col("doc_id").alias("product_id"))
+    shared = members.where(F.col("list_id") == 4).join(labelled, "product_id", "left_semi")
+    shared = shared.select(F.lit(5).cast("long").alias("list_id"), "product_id")
     grown = lists.add_list_members(members, shared)
     _, after, _ = lists.move_list_members(fr.lists(spark, folder), grown, 4, 5)
     return after.groupBy("list_id").agg(F.count(F.lit(1)).alias("members"))

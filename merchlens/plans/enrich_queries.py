@@ -97,12 +97,14 @@ def cache_lookup_versioned(spark, folder):
     "cache_upsert",
     fr.with_views(fr.CACHE)
     + f""", fresh AS (SELECT * FROM (SELECT {SIG} AS sig_hash, CAST(p_size AS BIGINT) * 100 AS cached_desire,
-    ROW_NUMBER() OVER (PARTITION BY {SIG} ORDER BY p_partkey DESC) AS rn FROM part WHERE p_size > 40) WHERE rn = 1)
+    ROW_NUMBER() OVER (PARTITION BY {SIG} ORDER BY p_partkey DESC) AS rn FROM part JOIN labels ON p_partkey = doc_id) WHERE rn = 1)
 SELECT COALESCE(f.sig_hash, c.sig_hash) AS sig_hash, COALESCE(f.cached_desire, c.cached_desire) AS cached_desire
 FROM cache c FULL OUTER JOIN fresh f ON c.sig_hash = f.sig_hash""",
 )
 def cache_upsert(spark, folder):
-    fresh = fr.table(spark, folder, "part").where(F.col("p_size") > 40).select(
+    """Fresh entries come from the parts that have labels."""
+    labelled = fr.table(spark, folder, "labels").select(F.col("doc_id").alias("p_partkey"))
+    fresh = fr.table(spark, folder, "part").join(labelled, "p_partkey").select(
         signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None)).alias("sig_hash"),
         (F.col("p_size").cast("long") * 100).alias("cached_desire"),
         F.timestamp_add("SECOND", F.col("p_partkey"), F.lit(fr.NOW)).alias("updated_at"),
@@ -196,9 +198,10 @@ def budget_admission_exhaustive(spark, folder):
 
 
 def _results(spark, folder) -> DataFrame:
+    """Answers for the parts that have a document; its text is the reason."""
     docs = fr.table(spark, folder, "documents").select("doc_id", "text")
-    parts = fr.table(spark, folder, "part").where(F.col("p_size") % 4 != 0)
-    return parts.join(docs, F.col("p_partkey") == F.col("doc_id"), "left").select(
+    parts = fr.table(spark, folder, "part")
+    return parts.join(docs, F.col("p_partkey") == F.col("doc_id")).select(
         F.col("p_partkey").alias("id"),
         (F.col("p_size") * 3 - 10).cast("string").alias("desire"),
         F.when(F.col("p_size") % 5 == 0, "lots").otherwise((F.col("p_size") + 0.9).cast("string")).alias("awareness"),
@@ -209,7 +212,7 @@ def _results(spark, folder) -> DataFrame:
 _APPLIED = f"""
 res AS (SELECT p_partkey AS item_id, least(100, greatest(0, p_size * 3 - 10)) AS desire,
     CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size END AS awareness, trim(COALESCE(text, ''), {_WHITE}) AS body
-  FROM part LEFT JOIN documents ON p_partkey = doc_id WHERE p_size % 4 <> 0),
+  FROM part JOIN documents ON p_partkey = doc_id),
 applied AS (SELECT i.item_id, i.sig_hash, CASE WHEN res.item_id IS NULL THEN 'failed' ELSE 'enriched' END AS state,
     CASE WHEN res.item_id IS NULL THEN 'missing_result' END AS error, desire, awareness,
     CASE WHEN length(body) > 120 THEN rtrim(substr(body, 1, 117), {_WHITE}) || '...' ELSE body END AS reason

@@ -239,10 +239,10 @@ items AS (
 
 
 def cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached labels of the signatures of parts with an even size, dated by the part's size."""
+    """One entry per signature, dated by the size of its last part: large ones have expired."""
     from merchlens.functions.text import signature
 
-    parts = table(spark, folder, "part").where(F.col("p_size") % 2 == 0)
+    parts = table(spark, folder, "part")
     sig = signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None))
     return parts.groupBy(sig.alias("sig_hash")).agg(
         F.max_by(F.struct("p_size", "p_partkey"), "p_partkey").alias("r")
@@ -259,7 +259,7 @@ cache AS (
     TIMESTAMP '2002-01-01' - to_days(p_size) AS updated_at
   FROM (SELECT sha1(lower(p_name) || '|' || lower(p_brand) || '||') AS sig_hash, p_size,
       ROW_NUMBER() OVER (PARTITION BY lower(p_name), lower(p_brand) ORDER BY p_partkey DESC) AS rn
-    FROM part WHERE p_size % 2 = 0) WHERE rn = 1)"""
+    FROM part) WHERE rn = 1)"""
 
 
 def with_views(*views: str) -> str:

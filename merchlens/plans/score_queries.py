@@ -425,10 +425,10 @@ def classify_with_thresholds(spark, folder):
 @query(
     "score_fraction",
     """SELECT event_id AS id, ROUND(CASE k % 5 WHEN 0 THEN k / 100.0 WHEN 1 THEN k / 100.0 WHEN 2 THEN 0.2 WHEN 3 THEN 0.5 ELSE 0.8 END, 6) AS fraction
-FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k > 1""",
+FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
 )
 def score_fraction_query(spark, folder):
-    ev = fr.events(spark, folder).where(F.col("k") > 1)
+    ev = fr.events(spark, folder)
     k = F.col("k")
     text = (
         F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit(" %")))

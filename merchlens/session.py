@@ -15,6 +15,13 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
 }
+# Away from local mode a shuffle starts with many partitions, so that terabytes spill little;
+# adaptive execution joins small ones up to the advisory size.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
 
 
 def build_session(app: str = "merchlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,7 +29,8 @@ def build_session(app: str = "merchlens", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULT_CONF, **conf}.items():
+    local = master is not None and master.startswith("local")
+    for key, value in {**DEFAULT_CONF, **({} if local else CLUSTER_CONF), **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
