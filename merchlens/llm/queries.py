@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import licenses, winnow
+from merchlens.llm import licenses, line_runs, mixing, tokens, warc, winnow
+from merchlens.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +41,75 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_fingerprints")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.fingerprint_edits(products(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    cache = scratch(spark, "token-counts")
+    counted = tokens.count_tokens(products(spark, folder), cache, public_tokenizers.path(TOKENIZER))
+    return counted.withColumnRenamed("id", "doc_id")
+
+
+@query("op8_source_mix")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(products(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+# Runs of 1, 2, 4 and 8 lines (2^k up to the five words a run needs) by their text.
+OP9_SQL = """
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+every AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos FROM split),
+spoken AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM every),
+numbered AS (SELECT doc_id, pos, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM spoken WHERE words > 0),
+runs AS (
+  SELECT doc_id, i, width,
+    string_agg(line, chr(10)) OVER w AS run, sum(words) OVER w AS words, count(*) OVER w AS held
+  FROM numbered, (VALUES (1), (2), (4), (8)) AS widths(width)
+  WINDOW w AS (PARTITION BY doc_id, width ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING)),
+later AS (
+  SELECT doc_id, i, width, words, row_number() OVER (PARTITION BY width, run ORDER BY doc_id, i) AS copy
+  FROM runs WHERE held = width),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + width - 1)) AS i FROM later WHERE copy > 1 AND words >= 5),
+marked AS (
+  SELECT e.doc_id, e.pos, e.line, g.i IS NOT NULL AS cut
+  FROM every e LEFT JOIN numbered n ON n.doc_id = e.doc_id AND n.pos = e.pos LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i),
+edged AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM marked)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE starts) AS n_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '')) AS kept_sha256
+FROM edged GROUP BY doc_id
+"""
+
+
+@query("op9_line_runs", OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_runs.dedup_lines(products(spark, folder))
+    return kept.select(
+        F.col("id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        "n_runs",
+        F.sha2(F.encode(F.coalesce("description", F.lit("")), "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS original FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> original THEN original END AS refers_to
+FROM f
+"""
+
+
+@query("op10_page_archive", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
+    records = warc.archive_pages(pages, scratch(spark, "warc"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
