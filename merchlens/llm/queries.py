@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import licenses, line_runs, mixing, tokens, warc, winnow
+from merchlens.llm import decontaminate, language, licenses, line_runs, mixing, tokens, warc, winnow
 from merchlens.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select(F.col("page_id").alias("id"), "url", "html")
     records = warc.archive_pages(pages, scratch(spark, "warc"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = spark.read.parquet(f"{folder}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("description"), F.col("lang").alias("language")
+    )
+    found = language.identify_languages(labelled)
+    return found.select(F.col("id").alias("doc_id"), "held_out", F.col("language_pred").alias("lang_pred"), "score")
+
+
+def questions(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("description"))
+
+
+@query("op3_question_leaks")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_questions(products(spark, folder), questions(spark, folder))
+    return found.select(F.col("id").alias("doc_id"), F.col("question_id").alias("item_id"), "n_windows", "coverage", "changed")
