@@ -46,6 +46,18 @@ def _word_hash(word: str) -> np.uint64:
 _UNIT_HASHES = np.sort(np.array([_word_hash(u) for u in UNITS], np.uint64))
 
 
+def _lower_case(texts: list[str | None]) -> bytes:
+    """The joined texts in lower case, byte for byte beside the originals.
+
+    Where lower-casing changes a text's length, only A-Z of it are lower-cased.
+    """
+    out = []
+    for t in texts:
+        raw, low = (t or "").encode("utf-8"), (t or "").lower().encode("utf-8")
+        out.append(low if len(low) == len(raw) else raw)
+    return b"\n".join([*out, b""]) if out else b""
+
+
 class Templates:
     """Template windows of some texts.
 
@@ -59,7 +71,7 @@ class Templates:
         raw, begins = joined_bytes(texts)
         data = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
         start, end = word_bounds(data, _OUTSIDE)
-        prefix = prefix_hash(_LOWER[data])
+        prefix = prefix_hash(_LOWER[np.frombuffer(b"\n" + _lower_case(texts) + b"\n", np.uint8)])
         self.own = span_hash(prefix, start, end)
         text = np.searchsorted(begins + 1, start, side="right") - 1
         kind = np.zeros(len(start), np.uint8)

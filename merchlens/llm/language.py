@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -294,3 +295,20 @@ def identify_languages(
     model = learn_languages(products, per_language, id=id, text=text, language=language)
     found = predict_languages(products, model, id, text)
     return found.select("id", held_out(F.col("id")).alias("held_out"), "language_pred", "score")
+
+
+def drop_unidentified(products: DataFrame, model: Model, least: float = 0.5, id: str = "id", text: str = "description") -> DataFrame:
+    """The products whose language is found with a score of ``least`` or more, all columns as they are.
+
+    Texts that are missing or hold no letter go, as do those in which no language has most of the
+    words. Nothing is shuffled. If no row was labelled, nothing can be told and every product stays.
+    """
+    if not model.languages:
+        return products
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, shares = label_texts(b.column(b.schema.get_field_index(text)).to_pylist(), model)
+            yield b.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, shares)], pa.bool_()))
+
+    return products.mapInArrow(keep, products.schema)

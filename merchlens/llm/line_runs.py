@@ -76,7 +76,9 @@ def repeated_runs(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id
     return reduce(DataFrame.unionByName, deleted).distinct()
 
 
-def dedup_lines(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id", text: str = "description") -> DataFrame:
+def dedup_lines(
+    products: DataFrame, min_words: int = MIN_WORDS, carry: tuple[str, ...] = (), id: str = "id", text: str = "description"
+) -> DataFrame:
     """One row per product: its description without later copies of repeated line runs.
 
     Lines end at a line feed. A run is a number of consecutive lines, lines without a word left
@@ -85,14 +87,14 @@ def dedup_lines(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id",
     the same text. Lines without a word stay.
 
     Returns ``id, n_lines, n_removed, n_runs, description``: the lines, those deleted, the
-    stretches of lines they form, and what is left. A missing description stays missing, with
+    stretches of lines they form, and what is left, then the columns named in ``carry``. A missing description stays missing, with
     one empty line. Products that share an id are ordered by a hash of the text; rows equal in
     id and text are one product, each gets its result. A NULL id comes last. Further columns
     are ignored whatever their names.
     """
     gone = repeated_runs(products, min_words, id, text).groupBy("id", "_key").agg(F.collect_set("i").alias("gone"))
     gone = gone.withColumnsRenamed({"id": "_id", "_key": "_of"})
-    texts = products.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
+    texts = products.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.struct(*carry).alias("_carried") if carry else F.lit(None).alias("_carried"))
     joined = texts.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
     lines = joined.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn(
         "spoken", F.when(F.col("gone").isNotNull(), _spoken(F.col("lines")))
@@ -106,4 +108,5 @@ def dedup_lines(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id",
         F.size("cut").cast("long").alias("n_removed"),
         F.size(starts).cast("long").alias("n_runs"),
         F.when(F.size("cut") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("description"),
+        *[F.col("_carried")[c].alias(c) for c in carry],
     )

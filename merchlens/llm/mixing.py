@@ -77,8 +77,9 @@ def mix_sources(
     and then as blocks in seeded order, the last cut to what is left. So no record is taken
     more than three times its size.
 
-    Returns ``id, size, source_size, target, taken``: words of the text, of its source, the
-    source's target and the words taken from this record, repeats counted. Equal input gives
+    Returns ``id, size, source_size, target, taken, text_digest``: words of the text, of its
+    source, the source's target, the words taken from this record, repeats counted, and the
+    digest that tells records of one id apart. Equal input gives
     equal results. A missing or empty text has size 0 and nothing is taken from it; rows may
     repeat, ids may be NULL; further columns are ignored. The driver holds one row per source
     and per shard, of which there are about ``blocks / shard_blocks`` and one for each source.
@@ -176,5 +177,6 @@ def mix_sources(
             "source_size",
             "target",
             (F.col("size") * F.col("passes") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"),
+            F.col("_key").alias("text_digest"),
         )
     )

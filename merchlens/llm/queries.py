@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm import decontaminate, language, licenses, line_runs, mixing, tokens, warc, winnow
+from merchlens.llm import decontaminate, language, licenses, line_runs, minhash, mixing, suffixes, tokens, warc, winnow
 from merchlens.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_source_mix")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(products(spark, folder)).withColumnRenamed("id", "doc_id")
+    return mixing.mix_sources(products(spark, folder)).withColumnRenamed("id", "doc_id").drop("text_digest")
 
 
 # Runs of 1, 2, 4 and 8 lines (2^k up to the five words a run needs) by their text.
@@ -132,3 +132,15 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_questions(products(spark, folder), questions(spark, folder))
     return found.select(F.col("id").alias("doc_id"), F.col("question_id").alias("item_id"), "n_windows", "coverage", "changed")
+
+
+@query("op6_near_duplicates")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(products(spark, folder), width=2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op4_repeated_bytes")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixes.remove_repeats(products(spark, folder))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
