@@ -12,16 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import free_shuffles, mix, partitions, prefix_hash, span_hash, stored
+from merchlens.llm.common import free_shuffles, mix, partitions, prefix_hash, release, span_hash, stored
 
 WIDTH = 100
 # A difference cover: any two residues modulo PERIOD are met by one shift of up to PERIOD - 1.
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 PACK_TEXTS = 65_535
 BUCKET_SAMPLES = 1 << 21
-PASSES = 4
+PASSES = 6
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
@@ -92,8 +92,8 @@ class Pack:
         """Starts of ``WIDTH``-byte strings that hold a live sample within their first ``PERIOD`` bytes."""
         change = np.zeros(len(self.data) + 1, np.int32)
         text = np.searchsorted(self.ends, live, side="right")
-        np.add.at(change, np.maximum(self.starts[text], live - (PERIOD - 1)), 1)
-        np.add.at(change, live + 1, -1)
+        change += np.bincount(np.maximum(self.starts[text], live - (PERIOD - 1)), minlength=len(change)).astype(np.int32)
+        change[live + 1] -= 1
         at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         return at[at + WIDTH <= self.ends[np.searchsorted(self.ends, at, side="right")]]
 
@@ -279,11 +279,11 @@ def _cut_texts(bits: int):
                     later = np.zeros(len(first), bool)
                     if row.buckets is not None:
                         later = _bits_of(row.buckets, row.payloads, names[first], bits)
-                    copy = later[group]
-                    copy[np.setdiff1d(np.arange(len(at)), first)] = True
+                    copy = np.ones(len(at), bool)
+                    copy[first] = later
                     change = np.zeros(len(pack.data) + 1, np.int32)
-                    np.add.at(change, at[copy], 1)
-                    np.add.at(change, at[copy] + WIDTH, -1)
+                    change[at[copy]] += 1
+                    change[at[copy] + WIDTH] -= 1
                     gone = np.cumsum(change) > 0
                 rows = []
                 for i, (begin, end) in enumerate(zip(pack.starts, pack.ends)):
@@ -338,6 +338,7 @@ def remove_repeats(products: DataFrame, id: str = "id", text: str = "description
     free_shuffles(spark)
     runs = packs.join(_per_pack(shared), "pack", "left").mapInPandas(_with_runs(bits), f"{PACK}, ids {kinds}, runs array<int>")
     runs = stored(runs, "runs")
+    release(packs)
     free_shuffles(spark)
 
     later, step = [], -(-(1 << bits) // passes)
