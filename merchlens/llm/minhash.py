@@ -15,7 +15,7 @@ from merchlens.llm.components import connected_components
 
 SLOTS = 128
 BANDS = 32  # of SLOTS / BANDS values each; at similarity 0.8 a pair misses all with chance 5e-8
-CHUNK = 512  # texts of a bucket that are compared in one group
+CHUNK = 256  # texts of a bucket that are compared in one group
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -158,30 +158,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a").mapInPandas(confirm, "a binary, b binary")
 
 
-def _likely(percent: int):
-    """Pairs of one bucket's chunk pair that may be linked and are not connected yet."""
+def _likely(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Open texts of a chunk pair, each with the texts it may be linked to, likeliest first.
+
+    Pairs of one component are left out. Others go on if their signatures agree as much as those
+    of linked texts do but for five deviations. A pair belongs to the first band it shares, and
+    of two open texts the smaller one looks at the other.
+    """
     p = percent / 100
-    floor = SLOTS * p - 5 * (SLOTS * p * (1 - p)) ** 0.5  # five deviations below the expected agreement
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["open"]], rows[~rows["open"]]
-        out = []
-        if len(left) and len(right):
-            b = np.stack([np.frombuffer(s, np.uint16) for s in right["signature"]])
-            band = int(left["band"].iloc[0])
-            width = SLOTS // BANDS
-            for node, root, signature, alone in zip(left["node"], left["root"], left["signature"], left["main"]):
-                same = np.frombuffer(signature, np.uint16) == b
-                bands = same.reshape(len(b), BANDS, width).all(axis=2)
-                # a pair belongs to the first band it shares, and is named once
-                ok = (same.sum(axis=1) >= floor) & (bands.argmax(axis=1) == band)
-                for i in np.flatnonzero(ok):
-                    other = right.iloc[i]
-                    if other["root"] != root and (other["root"] == alone or node < other["node"]):
-                        out.append((node, other["node"]))
+    floor = SLOTS * p - 5 * (SLOTS * p * (1 - p)) ** 0.5
+    left, right = np.flatnonzero(rows["open"]), np.flatnonzero(~rows["open"])
+    if not len(left) or not len(right):
+        return
+    signatures, band = [np.frombuffer(s, np.uint16) for s in rows["signature"]], int(rows["band"].iloc[0])
+    node, root, main = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["main"].iloc[0]
+    others, other_roots, other_nodes = np.stack([signatures[i] for i in right]), root[right], node[right]
+    for i in left:
+        same = signatures[i] == others
+        agree = same.sum(axis=1)
+        first = same.reshape(len(right), BANDS, SLOTS // BANDS).all(axis=2).argmax(axis=1)
+        ok = (agree >= floor) & (first == band) & (other_roots != root[i]) & ((other_roots == main) | (other_nodes > node[i]))
+        found = np.flatnonzero(ok)
+        if len(found):
+            yield i, right[found[np.argsort(-agree[found], kind="stable")]]
+
+
+def _in_question(percent: int):
+    """The rows of a chunk pair that take part in a likely pair."""
+
+    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        used = np.zeros(len(rows), bool)
+        for i, found in _likely(rows, percent):
+            used[i] = used[found] = True
+        return rows[used]
+
+    return pick
+
+
+def _linking(percent: int):
+    """Links of a chunk pair by full sets: for each open text one to every component it reaches."""
+
+    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(m, np.uint64) for m in rows["members"]]
+        node, root, out = rows["node"].to_numpy(), rows["root"].to_numpy(), []
+        for i, found in _likely(rows, percent):
+            own, reached = sets[i], set()
+            while len(found):
+                some, found = found[:32], found[32:]
+                held = np.concatenate([sets[j] for j in some])
+                at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+                sizes = np.array([len(sets[j]) for j in some])
+                common = np.add.reduceat((own[at] == held).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j in some[100 * common >= percent * (len(own) + sizes - common)]:
+                    if root[j] not in reached:
+                        reached.add(root[j])
+                        out.append((node[i], node[j]))
+                if reached:
+                    found = found[[root[j] not in reached for j in found]]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return compare
+    return link
 
 
 def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id: str = "id", text: str = "description") -> DataFrame:
@@ -194,9 +230,9 @@ def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id:
     Texts with one and the same set form a class, of which one goes on. SuperMinHash signatures
     are cut into bands; classes that share a band are candidates. Every bucket links its members
     to its first one, which is verified on full sets. Members that are left unconnected in a
-    bucket are compared with its other components by signature, chunk by chunk, and what may
-    reach the similarity is verified too; so no pair of a bucket goes unlooked at, and none
-    within a component is looked at again. Union-find joins the links.
+    bucket are compared with its other components chunk by chunk, by signature and, where that
+    leaves it open, on full sets; so no pair of a bucket goes unlooked at, and none within a
+    component is looked at again. Union-find joins the links.
 
     A text without words, or missing, has no shingles and is linked with nothing; its component
     is its own id. Rows that repeat an id count as one product of several texts; a NULL id is
@@ -234,8 +270,10 @@ def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id:
         ).unionByName(
             unsettled.join(chunks, "bucket").select(*kept, F.lit(False).alias("open"), F.explode("left_chunks").alias("left"), F.col("chunk").alias("right"))
         )
-        likely = sides.groupBy("bucket", "left", "right").applyInPandas(_likely(percent), "a binary, b binary").distinct()
-        more = stored(confirmed(likely, sets, percent), "links")
+        pair = ["bucket", "left", "right"]
+        asked = sides.groupBy(*pair).applyInPandas(_in_question(percent), sides.schema)
+        more = asked.join(sets, "node").groupBy(*pair).applyInPandas(_linking(percent), "a binary, b binary")
+        more = stored(more.distinct(), "links")
         if more.head(1):
             links = links.unionByName(more)
             roots = connected_components(links)
