@@ -15,7 +15,7 @@ from merchlens.llm.components import connected_components
 
 SLOTS = 128
 BANDS = 32  # of SLOTS / BANDS values each; at similarity 0.8 a pair misses all with chance 5e-8
-CHUNK = 256  # texts of a bucket that are compared in one group
+CHUNK = 512  # texts of a bucket that are compared in one group
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -256,19 +256,27 @@ def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id:
     free_shuffles(spark)
 
     # buckets that hold more than one component
-    placed = members.where("size > 2").join(roots, "node", "left").select("bucket", "band", "node", "size", F.coalesce("root", "node").alias("root"))
+    placed = members.where("size > 2").join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    unsettled = stored(placed.join(split, "bucket").withColumn("chunk", chunk).join(classes.select("node", "signature"), "node"), "unsettled")
+    split = (
+        shares.groupBy("bucket")
+        .agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        .where("all > most")
+        .select(
+            "bucket",
+            "main",
+            F.ceil(F.col("all") / CHUNK).cast("int").alias("right_chunks"),
+            F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int").alias("left_chunks"),
+        )
+    )
+    unsettled = stored(placed.join(split, "bucket").join(classes.select("node", "signature"), "node"), "unsettled")
     if unsettled.head(1):
-        apart = unsettled.where("root <> main")
-        chunks = apart.groupBy("bucket").agg(F.collect_set("chunk").alias("left_chunks"))
         kept = ["bucket", "band", "node", "root", "main", "signature"]
-        sides = apart.select(
-            *kept, F.lit(True).alias("open"), F.col("chunk").alias("left"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / CHUNK).cast("int") - 1)).alias("right")
-        ).unionByName(
-            unsettled.join(chunks, "bucket").select(*kept, F.lit(False).alias("open"), F.explode("left_chunks").alias("left"), F.col("chunk").alias("right"))
+        chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        apart = unsettled.where("root <> main")
+        sides = apart.select(*kept, F.lit(True).alias("open"), chunk("left_chunks").alias("left"), every("right_chunks").alias("right")).unionByName(
+            unsettled.select(*kept, F.lit(False).alias("open"), every("left_chunks").alias("left"), chunk("right_chunks").alias("right"))
         )
         pair = ["bucket", "left", "right"]
         asked = sides.groupBy(*pair).applyInPandas(_in_question(percent), sides.schema)
