@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import partitions
+from merchlens.llm.common import free_shuffles, partitions, stored
 
 REVISIT_FROM = 100  # bytes of a payload that later captures refer back to
 BLOCK_LINES = 1000  # index lines in a compressed block
@@ -56,6 +56,8 @@ def capture_records(pages: DataFrame, captured: str, id: str = "id", url: str =
         .where("captures > 1 AND original IS NOT NULL")
         .select("digest", "original")
     )
+    # stored, so that Spark knows its size and, while that is small, need not shuffle the pages
+    shared = stored(shared, "originals")
     known = digested.join(shared, "digest", "left")
     revisit = F.col("original").isNotNull() & ~F.col("id").eqNullSafe(F.col("original"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -261,5 +263,6 @@ def archive_pages(pages: DataFrame, folder: str, captured: str = "2024-01-01T00:
     all responses, a row without an id revisits a page that has one. Further columns are ignored.
     """
     write_archives(pages, f"{folder}/archives", captured, id, url, html)
+    free_shuffles(pages.sparkSession)
     build_index(pages.sparkSession, f"{folder}/archives", f"{folder}/index")
     return read_captures(lookup(pages, f"{folder}/index", id, url))
