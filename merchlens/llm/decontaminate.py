@@ -120,6 +120,8 @@ def _windows(df: DataFrame, id: str, text: str, window: int, literal: int, bloom
             for begin, end in in_batches(texts):
                 t = Templates(texts[begin:end], window, literal)
                 rows = np.arange(len(t.hash)) if bloom is None else np.flatnonzero(in_filter(bloom, t.hash))
+                if not len(rows):
+                    continue
                 yield pd.DataFrame(
                     {
                         "id": ids.iloc[begin + t.text[rows]],

@@ -79,8 +79,8 @@ NAMES = [
     ("cc-by-sa", "sharealike", r"creative commons attribution sharealike(?: [1-4] 0)?(?: international| unported| generic)?"),
     ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial(?: [1-4] 0)?(?: international| unported| generic)?"),
     ("cc-by-nc-sa", "sharealike", r"creative commons attribution noncommercial sharealike(?: [1-4] 0)?(?: international| unported| generic)?"),
-    ("cc-by-nd", "noderivatives", r"creative commons attribution noderiv(?:ative)?s(?: [1-4] 0)?(?: international| unported| generic)?"),
-    ("cc-by-nc-nd", "noderivatives", r"creative commons attribution noncommercial noderiv(?:ative)?s(?: [1-4] 0)?(?: international| unported| generic)?"),
+    ("cc-by-nd", "noderivatives", r"creative commons attribution noderivatives(?: [1-4] 0)?(?: international| unported| generic)?"),
+    ("cc-by-nc-nd", "noderivatives", r"creative commons attribution noncommercial noderivatives(?: [1-4] 0)?(?: international| unported| generic)?"),
     ("odbl-1", "odbl", r"odbl(?: 1 0)?"),
     ("odbl-1", "database", r"open database"),
     ("odc-by-1", "odc", r"odc by(?: 1 0)?"),
@@ -113,7 +113,7 @@ FORMS = [
 # notices and texts that are known by their own words
 OWN_RULES = [
     Rule("mit-grant", "permission", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", TEXT, 1.0),
-    Rule("mit-spirit", "notwithstanding", r"the above copyright notice and this permission notice shall be included", "mit", TEXT, 0.9),
+    Rule("mit-spirit", "permission", r"the above copyright notice and this permission notice shall be included", "mit", TEXT, 0.9),
     Rule("isc-grant", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose", "isc", TEXT, 1.0),
     Rule("bsd-grant", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd-2", TEXT, 0.9),
     Rule("bsd-endorse", "endorse", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse", "bsd-3", TEXT, 1.0),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import OrderedDict
@@ -20,6 +21,7 @@ from merchlens.llm.common import free_shuffles, partitions, stored
 REVISIT_FROM = 100  # bytes of a payload that later captures refer back to
 BLOCK_LINES = 1000  # index lines in a compressed block
 OPEN_FILES = 32
+LINE_END = "%0D%0A"  # what a line end in a URL becomes, as headers are lines
 PAGE_URN = "urn:merchlens:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,7 +46,7 @@ def capture_records(pages: DataFrame, captured: str, id: str = "id", url: str =
     payload = F.coalesce(F.col(html), F.lit(""))
     digested = pages.select(
         F.col(id).alias("id"),
-        F.regexp_replace(F.col(url), r"[\r\n]+", "%0D%0A").alias("url"),
+        F.regexp_replace(F.col(url), r"[\r\n]+", LINE_END).alias("url"),
         payload.alias("payload"),
         F.octet_length(payload).alias("size"),
         F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"),
@@ -110,6 +112,7 @@ def surt(url: str | None) -> str:
     default ports, user and fragment are dropped. A missing or unreadable URL sorts as itself."""
     if not url:
         return ""
+    url = re.sub(r"[\r\n]+", LINE_END, url)  # as it stands in a record
     try:
         parts = urlsplit(url.strip())
         host, port = (parts.hostname or ""), parts.port
