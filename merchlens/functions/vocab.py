@@ -338,7 +338,6 @@ LAST_SEEN_KEYS = [
     "last_seen", "last_seen_at", "last_date", "last_seen_date", "lastSeen", "lastSeenAt",
     "Last Seen", "Last seen", "Last Date",
 ]
-PRICE_AVERAGE_KEYS = ["Avg. Unit Price($)", "Avg Unit Price($)", "Avg. Unit Price"]
 MODEL_FIELDS = ["desire", "desire_magnitude", "awareness_level", "competition_level"]
 PROTECTED_LISTS = ["todos", "all"]
 DURATION_BUCKETS = [10, 25, 50, 100, 250, 500]

@@ -69,23 +69,25 @@ def cache_misses(items: DataFrame, cache: DataFrame, as_of: datetime, ttl_days:
 
 
 def propagate_variants(df: DataFrame, fields: list[str] = vocab.MODEL_FIELDS, parent: str | None = None) -> DataFrame:
-    """Copies the representative's values to the members of a variant group without any.
+    """Copies the values of a variant group's first answered member to later ones without any.
 
-    The representative is the smallest id of a group; members that already have a value of
-    their own keep their row. Values ride along in one aggregation, so a group that holds a
-    third of all rows is combined map-side and joined as a single row.
+    The representative is the smallest id of the answered members, else of all. Members that
+    have a value of their own keep their row, as do those before the representative. Values ride
+    along in one aggregation, so a group that holds a third of all rows is combined map-side
+    and joined as a single row.
     """
     key = variant_key(F.col("title"), F.col(parent) if parent else None)
     rows = df.withColumn("group_key", key)
-    first = F.min_by(F.struct("id", *fields), F.col("id"))
-    leaders = rows.groupBy("group_key").agg(first.alias("_lead"))
     scored = F.coalesce(*[F.col(f).cast("string") for f in fields]).isNotNull()
+    first = F.min_by(F.struct("id", *fields), F.struct(~scored, F.col("id")))
+    leaders = rows.groupBy("group_key").agg(first.alias("_lead"))
+    kept = scored | (F.col("id") < F.col("_lead.id"))
     joined = rows.join(leaders, "group_key")
     return joined.select(
         "id",
         "group_key",
         F.col("_lead.id").alias("representative"),
-        *[F.when(scored, F.col(f)).otherwise(F.col(f"_lead.{f}")).alias(f) for f in fields],
+        *[F.when(kept, F.col(f)).otherwise(F.col(f"_lead.{f}")).alias(f) for f in fields],
     )
 
 

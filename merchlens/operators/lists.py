@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from merchlens.functions import vocab
 from merchlens.operators.latest import latest_score
 
-COMPARE_AT_MOST = 4
 
 
 def products_in_list(products: DataFrame, list_items: DataFrame, list_id: int) -> DataFrame:
@@ -88,8 +87,8 @@ def find_by_name(products: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def compare_products(products: DataFrame, scores: DataFrame, ids: list[int]) -> DataFrame:
-    """One row per score metric, one column per product (at most four, ``p<id>``)."""
-    chosen = ids[:COMPARE_AT_MOST]
+    """One row per score metric, one column per product (``p<id>``)."""
+    chosen = list(dict.fromkeys(ids))
     metrics = ["total_score", *vocab.SUB_SCORES]
     wanted = products.where(F.col("id").isin(chosen)).select("id")
     newest = latest_score(scores.where(F.col("product_id").isin(chosen)))

@@ -97,9 +97,23 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return None if name is None else spark.read.parquet(f"{root}/{name}")
 
 
-def append_delta(changes: DataFrame, root: str, version: int) -> None:
-    """Stores changed rows (one per key). Writing a version again replaces it."""
-    changes.write.mode("overwrite").parquet(f"{root}/deltas/version={version}")
+def append_delta(changes: DataFrame, root: str, run: str | int) -> None:
+    """Stores changed rows (one per key) after all that is stored. Writing a run again replaces it.
+
+    ``run`` names the batch over all writers. Its place in the order is taken from the table, so
+    that batches of different streams never replace each other.
+    """
+    spark = changes.sparkSession
+    folder, fs = hadoop_path(spark, f"{root}/deltas")
+    version = _current(spark, root)[1]
+    if fs.exists(folder):
+        for stored in fs.listStatus(folder):
+            number = int(stored.getPath().getName().split("=")[1])
+            if any(d.getPath().getName() == f"run={run}" for d in fs.listStatus(stored.getPath())):
+                version = number - 1
+                break
+            version = max(version, number)
+    changes.write.mode("overwrite").parquet(f"{root}/deltas/version={version + 1}/run={run}")
 
 
 def _layers(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
@@ -113,7 +127,7 @@ def _layers(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
         newer = [v for v in versions if v > done]
         if newer:
             last = max(newer)
-            frames.append(spark.read.parquet(str(folder)).where(F.col("version") > done))
+            frames.append(spark.read.parquet(folder.toString()).where(F.col("version") > done).drop("run"))
     if not frames:
         return None, last
     rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)

@@ -9,6 +9,7 @@ over its ranges.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -38,7 +39,7 @@ def range_borders(df: DataFrame, key: Column, ranges: int | None = None) -> list
     ranges = max(2, min(MAX_RANGES, ranges))
     probs = [i / ranges for i in range(1, ranges)]
     found = df.select(key.cast("double").alias("k")).approxQuantile("k", probs, 0.5 / ranges)
-    return sorted(set(found))
+    return sorted(b for b in set(found) if math.isfinite(b))
 
 
 def in_range(df: DataFrame, key: Column, borders: list[float], name: str = "_range") -> DataFrame:

@@ -27,7 +27,7 @@ def _has(key: str) -> Column:
 
 
 def _product_id() -> Column:
-    """An integer ``product_id`` (quoted or fractional ones are no integers)."""
+    """``product_id`` as an integer, however it is written."""
     return F.try_element_at("fields", F.lit("product_id")).try_cast("long")
 
 
@@ -35,11 +35,12 @@ def validate_responses(responses: DataFrame, expected: DataFrame) -> DataFrame:
     """One verdict per batch: valid, or the first rule it breaks.
 
     Rules in order: number of lines, readable JSON, product_id present, no duplicates, the
-    required fields, the same set of ids. ``responses`` holds ``batch_id, line``;
+    required fields, the same set of ids; a quoted or fractional id is none of them. ``responses`` holds ``batch_id, line``;
     ``expected`` holds ``batch_id, product_id``. Duplicates and set differences come from
     one row per (batch, id), so a large batch is never gathered in one place.
     """
-    lines = parse_lines(responses).withColumn("product_id", _product_id())
+    given = F.try_variant_get(F.try_parse_json(F.trim("line")), "$.product_id", "variant")
+    lines = parse_lines(responses).withColumn("product_id", F.when(F.schema_of_variant(given) == "BIGINT", _product_id()))
     complete = reduce(lambda a, b: a & b, [_has(f) for f in vocab.MODEL_FIELDS])
     per_batch = lines.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("lines"),

@@ -540,7 +540,7 @@ def latest_score(spark, folder):
     fr.with_views(fr.SCORES)
     + " UNION ALL ".join(
         f"SELECT '{m}' AS metric, MAX({m}) FILTER (product_id = 3) AS p3, MAX({m}) FILTER (product_id = 77) AS p77, "
-        f"MAX({m}) FILTER (product_id = 150) AS p150, MAX({m}) FILTER (product_id = 199) AS p199 FROM latest"
+        f"MAX({m}) FILTER (product_id = 150) AS p150, MAX({m}) FILTER (product_id = 199) AS p199, MAX({m}) FILTER (product_id = 12) AS p12 FROM latest"
         for m in ["total_score", *vocab.SUB_SCORES]
     ),
 )

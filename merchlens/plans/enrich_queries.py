@@ -124,8 +124,10 @@ _VARIANT = r"""substr(trim(regexp_replace(regexp_replace(lower(regexp_replace(ti
     f"""WITH t AS (SELECT p_partkey AS id, p_brand || ' / ' || p_name || ' ' || p_size || ' cm' AS title,
     CASE WHEN p_size % 3 = 0 THEN 'High' END AS desire_magnitude, CASE WHEN p_size % 3 = 0 THEN p_type END AS desire FROM part),
 k AS (SELECT *, {_VARIANT} AS group_key FROM t),
-lead AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_key ORDER BY id) AS rn FROM k) WHERE rn = 1)
-SELECT k.id, k.group_key, lead.id AS representative, COALESCE(k.desire, lead.desire) AS desire, COALESCE(k.desire_magnitude, lead.desire_magnitude) AS desire_magnitude
+lead AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_key ORDER BY coalesce(desire, desire_magnitude) IS NULL, id) AS rn FROM k) WHERE rn = 1)
+SELECT k.id, k.group_key, lead.id AS representative,
+  CASE WHEN coalesce(k.desire, k.desire_magnitude) IS NOT NULL OR k.id < lead.id THEN k.desire ELSE lead.desire END AS desire,
+  CASE WHEN coalesce(k.desire, k.desire_magnitude) IS NOT NULL OR k.id < lead.id THEN k.desire_magnitude ELSE lead.desire_magnitude END AS desire_magnitude
 FROM k JOIN lead ON k.group_key = lead.group_key""",
 )
 def propagate_variants(spark, folder):

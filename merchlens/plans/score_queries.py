@@ -102,16 +102,6 @@ def explain_score(spark, folder):
     )
 
 
-def weight_fingerprints(spark, folder):
-    """Short hashes of the weights, next to the number of products they scored."""
-    marks = CONFIG.fingerprints()
-    return fr.table(spark, folder, "part").agg(F.count(F.lit(1)).alias("processed")).select(
-        "processed", *[F.lit(v).alias(k) for k, v in marks.items()]
-    )
-
-
-query("weight_fingerprints")(weight_fingerprints)
-
 # --- legacy metric score ----------------------------------------------------------------
 
 METRIC_WEIGHTS = {

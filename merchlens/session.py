@@ -38,11 +38,13 @@ def build_session(app: str = "merchlens", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local runs) is a fresh temporary folder taken.
+    Where that is unset, a fresh temporary folder is taken in local mode; elsewhere it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="merchlens-ckpt-"))
     return context.getCheckpointDir()
 

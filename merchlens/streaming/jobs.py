@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,11 @@ from merchlens.sources.normalise import normalise_products
 WEEK_START_OFFSET = "4 days"  # the epoch is a Thursday, weeks start on Monday
 
 
+def run_name(checkpoint: str) -> str:
+    """Tells streams apart: batch numbers begin anew with each checkpoint."""
+    return hashlib.md5(checkpoint.encode("utf-8")).hexdigest()[:12]
+
+
 def stream_ingest(
     stream: DataFrame,
     root: str,
@@ -38,7 +44,7 @@ def stream_ingest(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = prepare(batch) if prepare else batch
-        append_delta(dedup_last(batch, [key], sequence).drop(sequence), root, batch_id)
+        append_delta(dedup_last(batch, [key], sequence).drop(sequence), root, f"{run_name(checkpoint)}-{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(apply)
@@ -100,19 +106,21 @@ def observed(batch: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame,
 def stream_metrics(stream: DataFrame, table: str, metrics_table: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Stores each batch under ``table`` and one row of rows, duration and throughput.
 
-    Both are keyed by batch, so a batch that runs again replaces what it wrote.
+    Both are keyed by checkpoint and batch, so a batch that runs again replaces what it wrote and
+    streams never replace each other's.
     """
+    run = run_name(checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         watched, seen = observed(batch, f"batch-{uuid.uuid4().hex}", rows=F.count(F.lit(1)))
         started = time.perf_counter()
-        watched.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        watched.write.mode("overwrite").parquet(f"{table}/run={run}/batch_id={batch_id}")
         duration = (time.perf_counter() - started) * 1000.0
         rows = int(seen.get.get("rows") or 0)
         batch.sparkSession.createDataFrame(
             [(batch_id, rows, duration, rows * 1000.0 / duration)],
             "batch_no long, rows long, duration_ms double, throughput double",
-        ).write.mode("overwrite").parquet(f"{metrics_table}/batch_id={batch_id}")
+        ).write.mode("overwrite").parquet(f"{metrics_table}/run={run}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(apply)

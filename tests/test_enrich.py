@@ -261,3 +261,16 @@ def test_samples_stick_to_the_first_success_metric(spark):
     )
     assert weights.success_metric(products) == "sales"
     assert by_id(weights.weight_samples(products, scores), "success") == {2: 5.0, 3: 6.0, 4: 2.0}
+
+
+def test_first_answered_member_speaks_for_later_variants(spark):
+    df = spark.createDataFrame([(1, "Mug - red", None), (2, "Mug - red", "High"), (3, "Mug - red", None)], "id long, title string, desire string")
+    assert by_id(enrich.propagate_variants(df, ["desire"]), "desire") == {1: None, 2: "High", 3: "High"}
+
+
+def test_quoted_ids_are_no_ids(spark):
+    fields = '"desire": "x", "desire_magnitude": "High", "awareness_level": "Unaware", "competition_level": "Low"'
+    lines = spark.createDataFrame([(1, '{"product_id": "7", %s}' % fields), (2, '{"product_id": 7, %s}' % fields)], "batch_id long, line string")
+    expected = spark.createDataFrame([(1, 7), (2, 7)], "batch_id long, product_id long")
+    got = {r["batch_id"]: (r["valid"], r["reason"]) for r in validate.validate_responses(lines, expected).collect()}
+    assert got == {1: (False, "id_set"), 2: (True, None)}

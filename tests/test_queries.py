@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from merchlens.plans import QUERIES
 from tools import verify
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def duck():
     return verify.duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     ok, note = verify.compare(spark, duck, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert ok, note
@@ -28,7 +29,7 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans_have_no_product_joins_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, FOLDER))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):

@@ -75,7 +75,6 @@ def test_awareness_closeness(spark):
     assert high == {1: 0, 2: 88, 3: 38, 4: 38}
     stages = by_id(df.select("id", scoring.awareness_stage(df).alias("s")), "s")
     assert stages == {1: 0, 2: 4, 3: 2, 4: 2}
-    assert scoring.stage_order(44) == [2, 1, 3, 0, 4]
 
 
 def test_features_fall_back_to_extras(spark):
@@ -142,3 +141,9 @@ def test_rubric_and_rescale(spark):
     metrics = spark.createDataFrame([(1, 10.0, 5.0), (2, 20.0, 5.0)], "id long, orders double, sellers double")
     out = scoring.metric_rescale(metrics, scoring.metric_bounds(metrics, ["orders", "sellers"]))
     assert by_id(out, "magnitud_deseo", "saturacion_mercado") == {1: (1, 3), 2: (5, 3)}
+
+
+def test_extras_replace_dates_and_any_numeric_stage_counts(spark):
+    df = spark.createDataFrame([(1, "2022-01-01", {"first_seen": "2023-12-01"}, None, 4)], "id long, first_seen string, extra map<string,string>, awareness_type string, awareness_level int")
+    row = df.select(scoring.age_days(df, date(2024, 1, 1)).alias("age"), scoring.awareness_stage(df).alias("stage")).first()
+    assert (row["age"], row["stage"]) == (31, 4)

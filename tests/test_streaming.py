@@ -90,3 +90,17 @@ def test_metrics_and_lookup(spark, tmp_path):
     found = streams.stream_enrich_lookup(stream, cache, datetime(2024, 1, 2)).select("id", "hit", "v")
     got = rows(streams.run_to_files(found, str(tmp_path / "out"), str(tmp_path / "state2")))
     assert got == [(1, True, 5), (2, False, None)]
+
+
+def test_imports_with_own_checkpoints_add_up(spark, tmp_path):
+    root = str(tmp_path / "products")
+    schema = "sig_hash string, name string, winner_score int, seq long"
+    for n, names in enumerate((["Lamp", "Box"], ["Pen"], ["Pen"])):
+        staged = spark.createDataFrame([(name[0], name, None, i) for i, name in enumerate(names)], schema)
+        staged.write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{n}"))
+        streams.stream_ingest(stream, root, str(tmp_path / f"checkpoint{n}")).awaitTermination()
+        if n == 1:
+            merge.compact(spark, root, keep_old_if_null={"winner_score": 0})
+    got = merge.read_merged(spark, root, keep_old_if_null={"winner_score": 0})
+    assert sorted(r["name"] for r in got.collect()) == ["Box", "Lamp", "Pen"]
