@@ -297,11 +297,11 @@ def identify_languages(
     return found.select("id", held_out(F.col("id")).alias("held_out"), "language_pred", "score")
 
 
-def drop_unidentified(products: DataFrame, model: Model, least: float = 0.5, id: str = "id", text: str = "description") -> DataFrame:
+def drop_unidentified(products: DataFrame, model: Model, least: float = 0.4, id: str = "id", text: str = "description") -> DataFrame:
     """The products whose language is found with a score of ``least`` or more, all columns as they are.
 
-    Texts that are missing or hold no letter go, as do those in which no language has most of the
-    words. Nothing is shuffled. If no row was labelled, nothing can be told and every product stays.
+    Texts that are missing or hold no letter go, as do those in which no language has that share
+    of the words; texts that switch between two languages stay. Nothing is shuffled. If no row was labelled, nothing can be told and every product stays.
     """
     if not model.languages:
         return products
