@@ -39,7 +39,7 @@ def as_documents(products: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those in which no language has half of the words."""
+    """Drops documents without a letter, and those in which no language has 0.4 of the words."""
     model = language.learn_languages(as_products(docs))
     return language.drop_unidentified(docs.select(*COLUMNS), model, id="doc_id", text="text")
 
