@@ -31,16 +31,16 @@ def as_int(c: Column) -> Column:
     return F.bround(c, 0).try_cast("long")
 
 
-_DECIMAL_LIMIT = 1e13
+_DECIMAL_LIMIT = 1e16
 
 
 def exact_sum(c: Column) -> Column:
-    """Order-independent decimal sum of the amounts below ten trillion."""
-    return F.sum(F.when(F.abs(c) < _DECIMAL_LIMIT, c).cast("decimal(18,4)"))
+    """Order-independent decimal sum, to twelve decimals, of the amounts below 1e16."""
+    return F.sum(F.when(F.abs(c) < _DECIMAL_LIMIT, c).cast("decimal(28,12)"))
 
 
 def outlier_sum(c: Column) -> Column:
-    """Plain sum of the amounts :func:`exact_sum` leaves out; NULL without any."""
+    """Sum as doubles of the amounts :func:`exact_sum` leaves out; NULL without any."""
     return F.sum(F.when(F.abs(c) >= _DECIMAL_LIMIT, c).cast("double"))
 
 

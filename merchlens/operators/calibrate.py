@@ -211,16 +211,16 @@ def category_frequency(df: DataFrame) -> DataFrame:
 def competition_baseline(df: DataFrame, similar: DataFrame) -> DataFrame:
     """Low / Medium / High competition from category frequency and similar names.
 
-    ``similar`` holds ``id, similar_names``; counts up to :data:`MANY_SIMILAR` are enough.
+    ``similar`` holds ``id, similar_at_least``; counts up to :data:`MANY_SIMILAR` are enough.
     """
     high_from, low_to = MANY_SIMILAR, FEW_SIMILAR
     rows = (
         df.withColumn("main_category", main_category(F.col("category")))
         .join(category_frequency(df), "main_category", "left")
         .join(similar, "id", "left")
-        .withColumn("similar_names", F.coalesce("similar_names", F.lit(0)))
+        .withColumn("similar_at_least", F.coalesce("similar_at_least", F.lit(0)))
     )
-    share, names = F.col("category_pct"), F.col("similar_names")
+    share, names = F.col("category_pct"), F.col("similar_at_least")
     high = F.coalesce(share >= 0.70, F.lit(False)) | (names >= high_from)
     low = F.coalesce(share <= 0.30, F.lit(False)) & (names <= low_to)
     return rows.withColumn("competition", F.when(high, "High").when(low, "Low").otherwise("Medium"))

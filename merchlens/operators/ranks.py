@@ -268,10 +268,38 @@ def number_by_unique(df: DataFrame, key: str, out: str) -> DataFrame:
     return numbered.withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1).drop("_range", "_offset")
 
 
-def text_range_key(c: Column) -> Column:
-    """A number that never decreases as the text grows: its first six bytes."""
-    prefix = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0")
-    return F.conv(prefix, 16, 10).cast("double")
+KEY_BYTES = 6
+
+
+def text_range_key(c: Column, done: int = 0) -> Column:
+    """A number that never decreases as texts with equal first ``done`` bytes grow: the next six bytes."""
+    digits = F.substring(F.hex(F.encode(c, "UTF-8")), 2 * done + 1, 2 * KEY_BYTES)
+    return F.conv(F.rpad(digits, 2 * KEY_BYTES, "0"), 16, 10).cast("double")
+
+
+def nth_text(df: DataFrame, item: str, k: int) -> str | None:
+    """The ``k``-th smallest text (1-based, NULLs left out; the largest if there are fewer).
+
+    Chosen six bytes at a time: each pass keeps the rows that share the chosen bytes, so ids
+    with a long common prefix cost passes, never one large task.
+    """
+    rows, done = df.select(item).where(F.col(item).isNotNull()), 0
+    while True:
+        facts = rows.agg(F.min(item), F.max(item), F.max(F.octet_length(item)), F.count(F.lit(1))).first()
+        low, high, length, n = facts
+        if low == high:
+            return low
+        k = min(k, n)
+        if length <= done:  # equal but for zero bytes at the end: a few distinct texts
+            for row in rows.groupBy(item).count().orderBy(item).collect():
+                k -= row["count"]
+                if k <= 0:
+                    return row[0]
+        key = text_range_key(F.col(item), done)
+        counted = values_at(rows.select(key.alias("_bytes")), "_bytes", lambda _, k=k: [F.lit(k - 1)])
+        hit = counted.where(at_rank(F.lit(k - 1))).first()
+        k -= hit["before"]
+        rows, done = rows.where(key == hit["_bytes"]), done + KEY_BYTES
 
 
 @dataclass(frozen=True)
@@ -303,9 +331,7 @@ def smallest(df: DataFrame, distance: str, item: str, k: int) -> Cutoff | None:
     if left >= row["cnt"]:
         return Cutoff(row[0])
     tied = df.where(F.col(distance) == row[0])
-    ranked = values_at(tied, item, upto(left), range_key=text_range_key(F.col(item)))
-    last = ranked.where(at_rank(F.least(F.lit(left), F.col("n")) - 1)).first()
-    return Cutoff(row[0], last[item])
+    return Cutoff(row[0], nth_text(tied, item, left))
 
 
 MOST_BONUSES = 100
@@ -319,43 +345,50 @@ class Apportion:
     value: str = "value"
 
 
-def apportion(df: DataFrame, groups: list[str], names: Apportion = Apportion(), out: str = "share") -> DataFrame:
-    """Splits 100 over the rows of each group by largest remainder.
+def apportion(
+    df: DataFrame, groups: list[str] | None = None, names: Apportion = Apportion(), out: str = "share"
+) -> DataFrame:
+    """Splits 100 over the rows of each group, or of the whole frame, by largest remainder.
 
-    Ties go to the larger key. A group whose values sum to zero is split evenly and its
-    remainder goes to the smaller keys. At most 100 rows of a group can receive a remainder
-    unit, so only the top 100 of each group are ranked.
+    Keys are unique in their group; NULL counts as a key and as a group. Negative, missing and
+    infinite values count as 0. Ties go to the larger key. A group whose values sum to zero is
+    split evenly and its remainder goes to the smaller keys. At most 100 rows of a group can
+    receive a remainder unit, so only the top 100 of each group are ranked.
     """
-    key, value = F.col(names.key), F.coalesce(F.col(names.value).cast("double"), F.lit(0.0))
-    rows = df.withColumn("_v", F.when(value < 0, 0.0).otherwise(value))
-    totals = rows.groupBy(*groups).agg(
-        F.sum(F.col("_v").cast("decimal(28,6)")).cast("double").alias("_total"),
-        F.count(F.lit(1)).alias("_size"),
+    group = F.struct(F.lit(0).alias("_all"), *(groups or []))  # structs match NULL with NULL
+    value = F.col(names.value).cast("double")
+    usable = (value > 0) & (value < float("inf"))
+    rows = df.select("*", group.alias("_g"), F.when(usable, value).otherwise(0.0).alias("_v"))
+    # a power of two near the largest value takes the scale out of a value without rounding it
+    scales = rows.groupBy("_g").agg(F.max("_v").alias("_max")).select(
+        "_g", F.when(F.col("_max") > 0, F.pow(F.lit(2.0), F.floor(F.log2("_max")))).otherwise(1.0).alias("_scale")
     )
-    shares = rows.join(totals, groups).withColumn(
-        "_exact",
-        F.when(F.col("_total") > 0, F.col("_v") / F.col("_total") * 100).otherwise(
-            F.floor(F.lit(100) / F.col("_size")).cast("double")
-        ),
+    scaled = rows.join(scales, "_g").withColumn("_v", F.col("_v") / F.col("_scale")).drop("_scale")
+    totals = scaled.groupBy("_g").agg(
+        F.sum(F.col("_v").cast("decimal(20,18)")).cast("double").alias("_total"), F.count(F.lit(1)).alias("_size")
     )
-    shares = shares.withColumn("_floor", F.floor("_exact"))
     even = F.col("_total") <= 0
-    left = shares.groupBy(*groups).agg((F.lit(100) - F.sum("_floor")).alias("_left"))
-    fraction = F.when(even, 0.0).otherwise(F.col("_exact") - F.col("_floor"))
+    exact = F.when(even, F.floor(F.lit(100) / F.col("_size")).cast("double")).otherwise(
+        F.col("_v") / F.col("_total") * 100
+    )
+    shares = scaled.join(totals, "_g").withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    left = shares.groupBy("_g").agg((F.lit(100) - F.sum("_floor")).alias("_left"))
     # a group is either even (keys ascending) or not (keys descending): one of the two is NULL
-    place = Window.partitionBy(*groups).orderBy(
+    place = Window.partitionBy("_g").orderBy(
         F.desc("_f"), F.asc(F.when(F.col("_even"), F.col("_k"))), F.desc(F.when(~F.col("_even"), F.col("_k")))
     )
-    ranked = shares.select(*groups, key.alias("_k"), fraction.alias("_f"), even.alias("_even"))
+    fraction = F.when(even, 0.0).otherwise(F.col("_exact") - F.col("_floor"))
+    ranked = shares.select("_g", F.col(names.key).alias("_k"), fraction.alias("_f"), even.alias("_even"))
     bonus = (
         ranked.withColumn("_rn", F.row_number().over(place))
         .where(F.col("_rn") <= MOST_BONUSES)
-        .join(left, groups)
+        .join(left, "_g")
         .where(F.col("_rn") <= F.col("_left"))
-        .select(*groups, F.col("_k").alias(names.key), F.lit(1).alias("_bonus"))
+        .select(F.struct("_g", "_k").alias("_row"), F.lit(1).alias("_bonus"))
     )
+    keyed = shares.withColumn("_row", F.struct("_g", F.col(names.key).alias("_k")))
     return (
-        shares.join(bonus, [*groups, names.key], "left")
+        keyed.join(bonus, "_row", "left")
         .withColumn(out, (F.col("_floor") + F.coalesce(F.col("_bonus"), F.lit(0))).cast("long"))
-        .drop("_v", "_total", "_size", "_exact", "_floor", "_bonus")
+        .drop("_g", "_v", "_total", "_size", "_exact", "_floor", "_row", "_bonus")
     )

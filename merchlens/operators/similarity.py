@@ -72,9 +72,10 @@ def _triggers(tokens: Column, repeated: Column) -> Column:
 
 
 def similar_up_to(df: DataFrame, limit: int, name: str = "name") -> DataFrame:
-    """``id`` and ``similar_names``: other products sharing two name tokens, at most ``limit``.
+    """``id`` and ``similar_at_least``: other products sharing two name tokens, counted up to ``limit``.
 
-    Below the limit the count is exact; at the limit it means "that many or more".
+    Below the limit the count is exact; at the limit it means "that many or more". The full
+    count is :func:`name_similarity`.
     """
     names = _names(df, name)
     wanted = names.select("key", "count", F.explode(_triggers(F.col("tokens"), F.col("repeated"))).alias("trigger"))
@@ -99,13 +100,13 @@ def similar_up_to(df: DataFrame, limit: int, name: str = "name") -> DataFrame:
         .cast("long")
         .alias("_similar"),
     )
-    return _per_product(df, name, counts)
+    return _per_product(df, name, counts, "similar_at_least")
 
 
-def _per_product(df: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+def _per_product(df: DataFrame, name: str, counts: DataFrame, out: str = "similar_names") -> DataFrame:
     keyed = df.select("id", F.array_join(F.array_sort(name_tokens(F.col(name))), " ").alias("key"))
     return keyed.join(counts, "key", "left").select(
-        "id", F.coalesce("_similar", F.lit(0)).cast("long").alias("similar_names")
+        "id", F.coalesce("_similar", F.lit(0)).cast("long").alias(out)
     )
 
 

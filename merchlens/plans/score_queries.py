@@ -320,6 +320,20 @@ def apportion(spark, folder):
     return ranks.apportion(rows, ["nation"]).select("nation", "key", "share")
 
 
+@query(
+    "apportion_all",
+    """WITH v AS (SELECT CASE WHEN p_size % 7 > 0 THEN p_brand END AS key, CAST(SUM(p_size) AS DOUBLE) / 1e8 AS v FROM part GROUP BY 1),
+s AS (SELECT key, v / SUM(v) OVER () * 100 AS exact FROM v),
+r AS (SELECT *, 100 - SUM(floor(exact)) OVER () AS left_over,
+  ROW_NUMBER() OVER (ORDER BY round(exact - floor(exact), 9) DESC, key DESC NULLS LAST) AS rn FROM s)
+SELECT key, CAST(floor(exact) AS BIGINT) + CASE WHEN rn <= left_over THEN 1 ELSE 0 END AS share FROM r""",
+)
+def apportion_all(spark, folder):
+    """One split over the whole table, of tiny weights and with a NULL key."""
+    rows = fr.table(spark, folder, "part").groupBy(F.when(F.col("p_size") % 7 > 0, F.col("p_brand")).alias("key"))
+    return ranks.apportion(rows.agg((F.sum("p_size").cast("double") / 1e8).alias("value"))).select("key", "share")
+
+
 @query(
     "row_numbers",
     "SELECT o_orderkey AS id, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders",
@@ -486,7 +500,7 @@ def name_similarity_brands(spark, folder):
 @query(
     "similar_up_to",
     "WITH titles AS (SELECT p_partkey AS id, p_name || ' ' || (p_partkey // 3) || ' ' || p_name AS title FROM part), " + _TITLE_TOKENS
-    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_names FROM titles LEFT JOIN sim ON title = name",
+    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_at_least FROM titles LEFT JOIN sim ON title = name",
 )
 def similar_up_to(spark, folder):
     """Names that repeat their words, so that one shared word is enough."""
@@ -498,7 +512,7 @@ def similar_up_to(spark, folder):
 @query(
     "similar_up_to_rare",
     "WITH titles AS (SELECT c_custkey AS id, 'shop ' || (c_custkey // 4) || ' ' || (c_custkey % 40) || 'x' AS title FROM customer), " + _TITLE_TOKENS
-    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_names FROM titles LEFT JOIN sim ON title = name",
+    + "SELECT id, least(12, COALESCE(similar_names, 0)) AS similar_at_least FROM titles LEFT JOIN sim ON title = name",
 )
 def similar_up_to_rare(spark, folder):
     """Names of one common and two rarer words: some are counted, some are compared."""
@@ -520,14 +534,14 @@ _LINE_SIM = _TOKENS.strip()
 @query(
     "competition_baseline",
     fr.with_views(fr.PRODUCTS, _LINE_SIM, _COMPETITION)
-    + "SELECT id, ROUND(category_pct, 9) AS category_pct, least(similar_names, 8) AS similar_names, competition FROM comp",
+    + "SELECT id, ROUND(category_pct, 9) AS category_pct, competition FROM comp",
 )
 def competition_baseline(spark, folder):
     rows = fr.table(spark, folder, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category")
     )
     out = calibrate.competition_baseline(rows, similarity.similar_up_to(rows, calibrate.MANY_SIMILAR))
-    return rounded(out.select("id", "category_pct", "similar_names", "competition"), 9)
+    return rounded(out.select("id", "category_pct", "competition"), 9)
 
 
 @query(

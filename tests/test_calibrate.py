@@ -82,7 +82,7 @@ def test_demand_needs_every_input_to_be_high(spark):
 
 def test_competition_and_reconciliation(spark):
     df = spark.createDataFrame([(i, "A > x") for i in range(5)] + [(9, "B"), (10, "C"), (11, "C")], "id long, category string")
-    similar = spark.createDataFrame([(0, 1), (9, 2), (10, 8)], "id long, similar_names long")
+    similar = spark.createDataFrame([(0, 1), (9, 2), (10, 8)], "id long, similar_at_least long")
     got = by_id(calibrate.competition_baseline(df, similar), "competition")
     assert got[0] == "High" and got[9] == "Low" and got[10] == "High" and got[11] == "Medium"
     labels = spark.createDataFrame([(1, "ALTA", "Low", "baja", "Medium"), (2, None, "High", "High", "Low")], "id long, d string, db string, c string, cb string")

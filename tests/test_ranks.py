@@ -105,3 +105,11 @@ def test_text_range_key_never_falls(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id long, w string")
     keys = by_id(df.select("id", ranks.text_range_key(F.col("w")).alias("k")), "k")
     assert [keys[i] for i in range(len(words))] == sorted(keys.values())
+
+
+@pytest.mark.parametrize("prefix", ["", "item-0000000-"])
+def test_nth_text_goes_on_behind_a_common_prefix(spark, prefix):
+    words = [prefix + w for w in ("", "\0", "1", "10", "10", "2", "29", "é", "abcdefgh", "abcdefgi")]
+    df = spark.createDataFrame([(w,) for w in [*words, None]], "w string")
+    ordered = sorted(words, key=lambda w: w.encode())
+    assert [ranks.nth_text(df, "w", k) for k in (1, 2, 5, 8, 10, 99)] == [ordered[i] for i in (0, 1, 4, 7, 9, 9)]

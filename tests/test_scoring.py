@@ -126,6 +126,20 @@ def test_apportion_ties_and_zero_totals(spark):
     assert got[("one", "a")] == 100 and got[("one", "b")] == 0
 
 
+@pytest.mark.parametrize("scale", [1e-300, 4e-7, 1.0, 3e40])
+def test_apportion_without_groups_sums_to_100_at_any_scale(spark, scale):
+    values = [("a", 1.5), ("b", 1.5), (None, 1.0), ("d", None), ("e", float("inf")), ("f", float("nan"))]
+    df = spark.createDataFrame([(k, v and v * scale) for k, v in values], "key string, value double")
+    got = {r["key"]: r["share"] for r in apportion(df).collect()}
+    assert got == {"a": 37, "b": 38, None: 25, "d": 0, "e": 0, "f": 0}
+
+
+def test_apportion_keeps_rows_without_a_group(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "b", 3.0), ("g", "a", 2.0)], "g string, key string, value double")
+    got = {(r["g"], r["key"]): r["share"] for r in apportion(df, ["g"]).collect()}
+    assert got == {(None, "a"): 25, (None, "b"): 75, ("g", "a"): 100}
+
+
 def test_metric_score_renormalises_over_known(spark):
     df = spark.createDataFrame(
         [(1, "High", 0.0), (2, "Low", None), (3, None, None)], "id long, magnitud_deseo string, recencia_lanzamiento double"

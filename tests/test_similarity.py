@@ -41,5 +41,5 @@ def test_full_count_is_exact_on_every_path(spark, products, light_group):
 @pytest.mark.parametrize("limit", [1, 3, 8, 500])
 def test_limited_count_is_exact_below_the_limit(spark, products, limit):
     df = spark.createDataFrame(products, "id long, name string")
-    got = by_id(similarity.similar_up_to(df, limit), "similar_names")
+    got = by_id(similarity.similar_up_to(df, limit), "similar_at_least")
     assert got == {i: min(limit, n) for i, n in brute_force(products).items()}
