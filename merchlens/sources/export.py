@@ -122,23 +122,22 @@ def _seek(keys: list[str]) -> Column:
     return F.get(F.filter(found, lambda v: v.isNotNull()), 0)
 
 
-def _percent_score(c: Column) -> Column:
-    number = parse_us(c)
+def _percent_score(number: Column) -> Column:
     return as_int(clamp(F.when(number <= 1.0, number * 100.0).otherwise(number), 0.0, 100.0))
 
 
-def _awareness(c: Column) -> Column:
-    number = parse_us(c)
-    index = clamp(as_int(F.when(number <= 1.0, number * 4).otherwise(number)), 0, 4)
-    labels = dict(enumerate(vocab.EXPORT_AWARENESS_LABELS))
-    return F.coalesce(lookup(index.cast("int"), labels), F.trim(c), F.lit(""))
+def _awareness_stage(number: Column) -> Column:
+    return clamp(as_int(F.when(number <= 1.0, number * 4).otherwise(number)), 0, 4).cast("int")
 
 
-def _competition(c: Column) -> Column:
-    number = parse_us(c)
+def _awareness(stage: Column, text: Column) -> Column:
+    return F.coalesce(lookup(stage, dict(enumerate(vocab.EXPORT_AWARENESS_LABELS))), F.trim(text), F.lit(""))
+
+
+def _competition(number: Column, text: Column) -> Column:
     share = F.when(number <= 1.0, number).otherwise(number / 100.0)
     band = F.when(share < 0.35, "Low").when(share < 0.7, "Medium").when(share.isNotNull(), "High")
-    return F.coalesce(band, F.trim(c), F.lit(""))
+    return F.coalesce(band, F.trim(text), F.lit(""))
 
 
 def _launch(c: Column) -> Column:
@@ -160,30 +159,34 @@ def export_analysis(products: DataFrame) -> DataFrame:
     wanted = {**vocab.EXPORT_TEXT_KEYS, **vocab.EXPORT_NUMBER_KEYS}
     wanted |= {f"channel_{i}": keys for i, keys in enumerate(vocab.EXPORT_REVENUE_KEYS)}
     found = rows.select("id", F.inline(F.array(F.struct(*[_seek(k).alias(n) for n, k in wanted.items()]))))
+    # parsed once each, before anything builds on the numbers
+    scored = ("desire_magnitude", "desire_score", "desire", "awareness_level", "competition_level")
+    channels = [f"channel_{i}" for i in range(len(vocab.EXPORT_REVENUE_KEYS))]
+    parsed = {f"{n}_number": parse_us(F.col(n)) for n in (*scored, *vocab.EXPORT_NUMBER_KEYS, *channels)}
+    parsed = found.withColumns(parsed).withColumn("stage", _awareness_stage(F.col("awareness_level_number")))
     text = {name: F.col(name) for name in vocab.EXPORT_TEXT_KEYS}
-    number = {name: parse_us(F.col(name)) for name in vocab.EXPORT_NUMBER_KEYS}
-    channels = [
-        F.coalesce(parse_us(F.col(f"channel_{i}")), F.lit(0.0))
-        for i in range(len(vocab.EXPORT_REVENUE_KEYS))
-    ]
+    number = {name: F.col(f"{name}_number") for name in (*scored, *vocab.EXPORT_NUMBER_KEYS)}
+    revenue = [F.coalesce(F.col(f"{c}_number"), F.lit(0.0)) for c in channels]
     magnitude = F.coalesce(
-        F.when(text["desire_magnitude"].isNotNull(), F.coalesce(_percent_score(text["desire_magnitude"]), F.lit(-1))),
-        F.when(text["desire_score"].isNotNull(), F.coalesce(_percent_score(text["desire_score"]), F.lit(-1))),
-        _percent_score(text["desire"]),
+        *[
+            F.when(text[k].isNotNull(), F.coalesce(_percent_score(number[k]), F.lit(-1)))
+            for k in ("desire_magnitude", "desire_score")
+        ],
+        _percent_score(number["desire"]),
     )
-    draft = found.select(
+    draft = parsed.select(
         F.col("id"),
         F.coalesce(clean_name(F.trim(text["name"])), F.lit("")).alias("name"),
         F.coalesce(F.trim(text["category"]), F.lit("")).alias("category"),
         _launch(text["launch_date"]).alias("launch_date"),
         half_even(number["price"], 2).alias("price"),
         half_even(number["rating"], 2).alias("rating"),
-        half_even(sum(channels[1:], channels[0]), 2).alias("revenue"),
+        half_even(sum(revenue[1:], revenue[0]), 2).alias("revenue"),
         as_int(number["items_sold"]).alias("items_sold"),
         F.coalesce(F.trim(text["desire"]), F.lit("")).alias("desire"),
         F.nullif(magnitude, F.lit(-1)).alias("desire_magnitude"),
-        _awareness(text["awareness_level"]).alias("awareness_level"),
-        _competition(text["competition_level"]).alias("competition_level"),
+        _awareness(F.col("stage"), text["awareness_level"]).alias("awareness_level"),
+        _competition(number["competition_level"], text["competition_level"]).alias("competition_level"),
         *[F.coalesce(F.trim(text[k]), F.lit("")).alias(k) for k in ("tiktok_url", "kalodata_url", "img_url")],
     )
     # the ranks read the draft several times: resolve the synonyms only once
