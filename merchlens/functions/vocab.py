@@ -246,6 +246,23 @@ FAILURE_RULES = [
 FAILURE_EMPTY = ("ko.unknown", True)
 FAILURE_OTHER = ("ko.unclassified", True)
 
+# what each code means to a user, and what to do about it
+FAILURE_TEXTS = {
+    "auth.missing_api_key": ("No key for the model service is set.", "Set a key and start the job again."),
+    "quota.cost_cap_reached": ("The spending limit of the job is used up.", "Raise the limit or wait for the next period."),
+    "remote.rate_limited": ("The service turned requests away as too frequent.", "Send fewer or smaller batches and retry later."),
+    "remote.timeout": ("No answer came within the time limit.", "Retry, or allow more time per request."),
+    "remote.network_error": ("The service could not be reached.", "Check the network path and certificates, then retry."),
+    "response.invalid_json": ("The answer was not readable JSON.", "Retry with smaller batches; check the asked format."),
+    "auth.unauthorized": ("The service did not accept the key.", "Check that the key is valid for this model."),
+    "auth.forbidden": ("The account may not use this model.", "Ask for access or choose another model."),
+    "remote.not_found": ("The address or the model does not exist.", "Correct the model name or the address."),
+    "data.missing_ai_output": ("The answer left out some of the asked products.", "Retry those products; look at their texts if it recurs."),
+    "remote.server_error": ("The service failed on its side.", "Retry after a pause."),
+    "ko.unknown": ("The failure came without a reason.", "Look into the log of the job and run it again."),
+    "ko.unclassified": ("The reason fits no known kind of failure.", "Look into the log of the job and the rows sent."),
+}
+
 # --- fixed values: export columns and their source keys --------------------------------
 EXPORT_TABLE_COLUMNS = [
     "id", "name", "Winner Score", "Desire", "Desire Magnitude", "Awareness Level",

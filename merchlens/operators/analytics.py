@@ -195,7 +195,7 @@ def pareto(rollup: DataFrame, top: int = PARETO_TOP, path: str = "path") -> Data
     # the window only ever sees ``top`` rows
     running = Window.orderBy(F.desc("revenue"), F.asc(path)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()
-    money = F.col("revenue").cast("decimal(28,4)")
+    money = F.col("revenue").cast("decimal(28,12)")
     share = F.sum(money).over(running).cast("double") / F.sum(money).over(whole).cast("double")
     return best.withColumn("cumulative_pct", share * 100)
 

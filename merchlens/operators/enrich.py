@@ -178,7 +178,7 @@ def budget_admission(
     """
     rows = batches if exhaustive else batches.where(~F.col("low_priority"))
     cost = F.greatest(F.col("est_tokens"), F.lit(1)) / 1000.0 * cost_per_1k
-    rows = rows.withColumn("_cost", cost.cast("decimal(28,6)")).withColumn(
+    rows = rows.withColumn("_cost", cost.cast("decimal(28,12)")).withColumn(
         "_lane", F.col("low_priority").cast("int")
     )
     parts = in_range(rows, F.col("queue_no"), range_borders(rows, F.col("queue_no")))

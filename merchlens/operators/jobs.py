@@ -48,15 +48,25 @@ def batch_metrics(facts: DataFrame) -> DataFrame:
     )
 
 
-def recent_metrics(metrics: DataFrame, n: int = 50) -> DataFrame:
-    return metrics.orderBy(F.desc("job_id"), F.desc("batch_no")).limit(n)
+def recent_metrics(metrics: DataFrame, n: int = 50, newest: str | None = None) -> DataFrame:
+    """The ``n`` newest batches by the column ``newest``, else by job; ties by job and batch."""
+    first = [F.desc(newest)] if newest else []
+    return metrics.orderBy(*first, F.desc("job_id"), F.desc("batch_no")).limit(n)
+
+
+def import_history(jobs: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` imports created last; of those created together, larger ids first.
+
+    A top-k: each task hands on ``n`` rows, nothing is sorted as a whole.
+    """
+    return jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
 def latency_summary(df: DataFrame, latency: str, wall_seconds: float, groups: list[str] | None = None) -> DataFrame:
     """Requests, exact p50 / p95 (interpolated), total and effective concurrency."""
     groups = groups or []
     spread = exact_quantiles(df, latency, {"p50": 0.5, "p95": 0.95}, groups)
-    totals = df.groupBy(*groups).agg(F.sum(F.col(latency).cast("decimal(28,6)")).cast("double").alias("total"))
+    totals = df.groupBy(*groups).agg(money_sum(F.col(latency)).alias("total"))
     joined = spread.join(totals, groups) if groups else spread.withColumn("total", totals.select("total").scalar())
     return joined.withColumnRenamed("n", "requests").withColumn(
         "concurrency_eff", F.bround(F.col("total") / F.lit(max(wall_seconds, 1e-6)), 2)
@@ -114,7 +124,7 @@ def failure_code(reason: Column) -> Column:
 
 
 def failure_summary(failures: DataFrame, reason: str = "reason", key: str = "id", samples: int = SAMPLE_IDS) -> DataFrame:
-    """Count, retry flag and the smallest few ids per failure code.
+    """Count, retry flag, explanation, remedy and the smallest few ids per failure code.
 
     Counts combine map-side; the sample is a top-k per code, limited before the shuffle.
     """
@@ -123,7 +133,10 @@ def failure_summary(failures: DataFrame, reason: str = "reason", key: str = "id"
     order = Window.partitionBy("code").orderBy("id")
     first = coded.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= samples)
     lists = first.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("sample_ids"))
-    return counts.join(lists, "code")
+    texts = [(F.lit(code), F.struct(*map(F.lit, text))) for code, text in vocab.FAILURE_TEXTS.items()]
+    text = F.element_at(F.create_map(*(c for pair in texts for c in pair)), F.col("code"))
+    told = counts.withColumn("message", text["col1"]).withColumn("remedy", text["col2"])
+    return told.join(lists, "code")
 
 
 def usage_cost(df: DataFrame, price_in: float, price_out: float) -> DataFrame:
@@ -152,7 +165,7 @@ def usage_totals(costed: DataFrame, groups: list[str]) -> DataFrame:
     return costed.groupBy(*groups).agg(
         F.sum("tokens_in").alias("tokens_in"),
         F.sum("tokens_out").alias("tokens_out"),
-        F.sum(F.col("cost").cast("decimal(28,9)")).cast("double").alias("cost"),
+        money_sum(F.col("cost")).alias("cost"),
     )
 
 

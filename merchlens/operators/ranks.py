@@ -345,15 +345,29 @@ class Apportion:
     value: str = "value"
 
 
+def _beside(rows: DataFrame, facts: DataFrame, groups: list[str] | None) -> DataFrame:
+    """Each row with the facts of its group ``_g``; those of the only group by a scalar subquery."""
+    if groups:
+        return rows.join(facts, "_g")
+    only = facts.select(F.struct(*[c for c in facts.columns if c != "_g"])).scalar()
+    return rows.withColumn("_facts", only).select("*", "_facts.*").drop("_facts")
+
+
 def apportion(
-    df: DataFrame, groups: list[str] | None = None, names: Apportion = Apportion(), out: str = "share"
+    df: DataFrame,
+    groups: list[str] | None = None,
+    names: Apportion = Apportion(),
+    out: str = "share",
+    previous: str | None = None,
 ) -> DataFrame:
     """Splits 100 over the rows of each group, or of the whole frame, by largest remainder.
 
     Keys are unique in their group; NULL counts as a key and as a group. Negative, missing and
     infinite values count as 0. Ties go to the larger key. A group whose values sum to zero is
-    split evenly and its remainder goes to the smaller keys. At most 100 rows of a group can
-    receive a remainder unit, so only the top 100 of each group are ranked.
+    split evenly and its remainder goes to the smaller keys, unless ``previous`` names a column
+    of earlier shares: such a group keeps the whole parts of those it has (0 where one is
+    missing), and is split evenly only when it has none. At most 100 rows of a group can receive
+    a remainder unit, so only the top 100 of each group are ranked.
     """
     group = F.struct(F.lit(0).alias("_all"), *(groups or []))  # structs match NULL with NULL
     value = F.col(names.value).cast("double")
@@ -363,15 +377,18 @@ def apportion(
     scales = rows.groupBy("_g").agg(F.max("_v").alias("_max")).select(
         "_g", F.when(F.col("_max") > 0, F.pow(F.lit(2.0), F.floor(F.log2("_max")))).otherwise(1.0).alias("_scale")
     )
-    scaled = rows.join(scales, "_g").withColumn("_v", F.col("_v") / F.col("_scale")).drop("_scale")
+    scaled = _beside(rows, scales, groups).withColumn("_v", F.col("_v") / F.col("_scale")).drop("_scale")
+    before = F.col(previous).cast("long") if previous else F.lit(None).cast("long")
     totals = scaled.groupBy("_g").agg(
-        F.sum(F.col("_v").cast("decimal(20,18)")).cast("double").alias("_total"), F.count(F.lit(1)).alias("_size")
+        F.sum(F.col("_v").cast("decimal(20,18)")).cast("double").alias("_total"),
+        F.count(F.lit(1)).alias("_size"),
+        F.count(before).alias("_known"),
     )
     even = F.col("_total") <= 0
     exact = F.when(even, F.floor(F.lit(100) / F.col("_size")).cast("double")).otherwise(
         F.col("_v") / F.col("_total") * 100
     )
-    shares = scaled.join(totals, "_g").withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    shares = _beside(scaled, totals, groups).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
     left = shares.groupBy("_g").agg((F.lit(100) - F.sum("_floor")).alias("_left"))
     # a group is either even (keys ascending) or not (keys descending): one of the two is NULL
     place = Window.partitionBy("_g").orderBy(
@@ -379,16 +396,17 @@ def apportion(
     )
     fraction = F.when(even, 0.0).otherwise(F.col("_exact") - F.col("_floor"))
     ranked = shares.select("_g", F.col(names.key).alias("_k"), fraction.alias("_f"), even.alias("_even"))
+    top = ranked.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= MOST_BONUSES)
     bonus = (
-        ranked.withColumn("_rn", F.row_number().over(place))
-        .where(F.col("_rn") <= MOST_BONUSES)
-        .join(left, "_g")
+        _beside(top, left, groups)
         .where(F.col("_rn") <= F.col("_left"))
         .select(F.struct("_g", "_k").alias("_row"), F.lit(1).alias("_bonus"))
     )
     keyed = shares.withColumn("_row", F.struct("_g", F.col(names.key).alias("_k")))
+    split = (F.col("_floor") + F.coalesce(F.col("_bonus"), F.lit(0))).cast("long")
+    kept = even & (F.col("_known") > 0)
     return (
         keyed.join(bonus, "_row", "left")
-        .withColumn(out, (F.col("_floor") + F.coalesce(F.col("_bonus"), F.lit(0))).cast("long"))
-        .drop("_g", "_v", "_total", "_size", "_exact", "_floor", "_row", "_bonus")
+        .withColumn(out, F.when(kept, F.coalesce(before, F.lit(0))).otherwise(split))
+        .drop("_g", "_v", "_total", "_size", "_known", "_exact", "_floor", "_row", "_bonus")
     )

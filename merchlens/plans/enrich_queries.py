@@ -401,6 +401,28 @@ def batch_metrics(spark, folder):
     return rounded(out, 3)
 
 
+@query(
+    "import_history",
+    """SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at
+FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20""",
+)
+def import_history(spark, folder):
+    rows = fr.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at")
+    )
+    return jobs.import_history(rows)
+
+
+@query(
+    "recent_metrics",
+    EV + """SELECT user_id AS job_id, k // 10 AS batch_no, COUNT(*) AS rows, MAX(ts) AS created_at
+FROM ev GROUP BY 1, 2 ORDER BY created_at DESC, 1 DESC, 2 DESC LIMIT 50""",
+)
+def recent_metrics(spark, folder):
+    batches = fr.events(spark, folder).groupBy(F.col("user_id").alias("job_id"), F.floor(F.col("k") / 10).alias("batch_no"))
+    return jobs.recent_metrics(batches.agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("created_at")), newest="created_at")
+
+
 @query(
     "latency_summary",
     EV + """SELECT event_type, COUNT(*) AS requests, ROUND(quantile_cont(value, 0.5), 6) AS p50, ROUND(quantile_cont(value, 0.95), 6) AS p95,
@@ -446,6 +468,11 @@ c AS (SELECT event_id, CASE WHEN t = '' THEN 'ko.unknown' """
     + """ ELSE 'ko.unclassified' END AS code FROM r),
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY code ORDER BY event_id) AS rn FROM c)
 SELECT code, COUNT(*) AS count, code NOT IN ('auth.missing_api_key', 'quota.cost_cap_reached', 'auth.unauthorized', 'auth.forbidden', 'remote.not_found') AS retryable,
+  CASE code """
+    + " ".join(f"WHEN '{code}' THEN '{message}'" for code, (message, _) in vocab.FAILURE_TEXTS.items())
+    + " END AS message, CASE code "
+    + " ".join(f"WHEN '{code}' THEN '{remedy}'" for code, (_, remedy) in vocab.FAILURE_TEXTS.items())
+    + """ END AS remedy,
   string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (rn <= 5) AS sample_ids FROM n GROUP BY code""",
 )
 def failure_summary(spark, folder):

@@ -334,6 +334,26 @@ def apportion_all(spark, folder):
     return ranks.apportion(rows.agg((F.sum("p_size").cast("double") / 1e8).alias("value"))).select("key", "share")
 
 
+@query(
+    "apportion_previous",
+    """WITH v AS (SELECT p_size AS size, p_partkey AS key, CASE WHEN p_size % 3 > 0 THEN 0.0 ELSE CAST(p_partkey AS DOUBLE) END AS v,
+    CASE WHEN p_size % 3 = 2 AND p_partkey % 2 = 0 THEN p_partkey % 50 END AS prev FROM part),
+s AS (SELECT *, SUM(v) OVER g AS total, COUNT(*) OVER g AS n, COUNT(prev) OVER g AS known FROM v WINDOW g AS (PARTITION BY size)),
+e AS (SELECT *, CASE WHEN total > 0 THEN v / total * 100 ELSE floor(100 / n) END AS exact FROM s),
+r AS (SELECT *, 100 - SUM(floor(exact)) OVER (PARTITION BY size) AS left_over, ROW_NUMBER() OVER (PARTITION BY size
+    ORDER BY exact - floor(exact) DESC, CASE WHEN total > 0 THEN -key ELSE key END) AS rn FROM e)
+SELECT size, key, CASE WHEN total <= 0 AND known > 0 THEN COALESCE(prev, 0) ELSE CAST(floor(exact) AS BIGINT) + CASE WHEN rn <= left_over THEN 1 ELSE 0 END END AS share FROM r""",
+)
+def apportion_previous(spark, folder):
+    """Groups with weights, with none but earlier shares, and with neither."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    rows = fr.table(spark, folder, "part").select(
+        size.alias("size"), key.alias("key"), F.when(size % 3 > 0, 0.0).otherwise(key.cast("double")).alias("value"),
+        F.when((size % 3 == 2) & (key % 2 == 0), key % 50).alias("before"),
+    )
+    return ranks.apportion(rows, ["size"], previous="before").select("size", "key", "share")
+
+
 @query(
     "row_numbers",
     "SELECT o_orderkey AS id, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders",

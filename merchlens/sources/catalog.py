@@ -14,7 +14,9 @@ from merchlens.session import hadoop_path
 FILE_COLUMN, SEQ_COLUMN = "_file", "_seq"
 
 
-def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", whole_files: bool = True) -> DataFrame:
+def read_catalog(
+    spark: SparkSession, path: str | list[str], fmt: str = "csv", whole_files: bool | None = None
+) -> DataFrame:
     """Rows of CSV or JSON files as text columns, with ``_file`` (stem) and ``_seq``.
 
     ``path`` is a file, a folder, a glob or a list of files. ``_seq`` grows by file name and
@@ -24,12 +26,15 @@ def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", w
     a file with another header is an error, never a silent mix-up. JSON files hold a list of
     objects; entries that are no objects are skipped. ``whole_files`` allows line breaks
     inside quoted cells and JSON lists; turned off, files are one record per line and large
-    ones are split over tasks.
+    ones are split over tasks. Left open, JSON files are lists, and CSV files are split unless
+    a first pass over their lines finds one that may hold part of a cell.
     """
     if fmt == "csv":
+        if whole_files is None:
+            whole_files = _cells_may_cross_lines(spark, path)
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
         rows = _placed(reader.option("multiLine", whole_files).option("enforceSchema", False).csv(path))
-    elif fmt == "json" and whole_files:
+    elif fmt == "json" and whole_files is not False:
         rows = _json_lists(spark, path)
     elif fmt == "json":
         rows = spark.read.option("primitivesAsString", True).json(path)
@@ -41,6 +46,19 @@ def read_catalog(spark: SparkSession, path: str | list[str], fmt: str = "csv", w
     return _with_stem(rows)
 
 
+def _cells_may_cross_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line is not made of whole cells, so that a file has to be read in one piece.
+
+    Doubled quotes and then whole quoted cells are taken out of each line: a quote that is left
+    may open a cell that ends on a later line. A carriage return inside a line would be a line
+    end to one reader and a character to the other.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    line = F.regexp_replace(F.regexp_replace("value", r"\r$", ""), '""', "")
+    rest = F.regexp_replace(line, r'(?<![^,])"[^"]*+"(?![^,])', "")
+    return not lines.where(rest.contains('"') | rest.contains("\r")).isEmpty()
+
+
 def stream_catalog(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame:
     """CSV files with known headers as a stream of text rows, with ``_file`` and ``_seq``.
 
@@ -95,7 +113,7 @@ def _json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return objects.select(*cells, SEQ_COLUMN)
 
 
-def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool = True) -> DataFrame:
+def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool | None = None) -> DataFrame:
     """Every ``.csv`` and ``.json`` file of a folder; columns are united by name.
 
     CSV files are grouped by their header line and every group is read on its own.

@@ -134,6 +134,16 @@ def test_apportion_without_groups_sums_to_100_at_any_scale(spark, scale):
     assert got == {"a": 37, "b": 38, None: 25, "d": 0, "e": 0, "f": 0}
 
 
+def test_apportion_falls_back_to_earlier_shares(spark):
+    df = spark.createDataFrame(
+        [("old", "a", 0.0, 70.9), ("old", "b", None, None), ("new", "a", 1.0, 3.0), ("new", "b", 1.0, None),
+         ("bare", "a", 0.0, None), ("bare", "b", -1.0, None)],
+        "g string, key string, value double, before double",
+    )
+    got = {(r["g"], r["key"]): r["share"] for r in apportion(df, ["g"], previous="before").collect()}
+    assert got == {("old", "a"): 70, ("old", "b"): 0, ("new", "a"): 50, ("new", "b"): 50, ("bare", "a"): 50, ("bare", "b"): 50}
+
+
 def test_apportion_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([(None, "a", 1.0), (None, "b", 3.0), ("g", "a", 2.0)], "g string, key string, value double")
     got = {(r["g"], r["key"]): r["share"] for r in apportion(df, ["g"]).collect()}

@@ -30,6 +30,37 @@ def test_csv_cells_and_names(spark, folder):
     assert df.count() == 3 and df.first()["Notes"] == "two\nlines" and df.first()["_file"] == "b_shop"
 
 
+@pytest.mark.parametrize(
+    ("body", "whole"),
+    [
+        ('1,"a, b"\n2,"say ""hi"""\n3,""\n4,plain\n', False),
+        ('1,"a, b"\r\n2,x\r\n', False),
+        ('1,"two\nlines"\n', True),
+        ('1,"ends with """\n2,"opens "",\nhere"\n', True),
+        ('1,5" pipe\n2,5" tube,"x\n', True),
+        ('1,a\rb\n', True),
+    ],
+)
+def test_csv_is_split_only_between_whole_records(spark, tmp_path, body, whole):
+    end = "\r\n" if "\r\n" in body else "\n"
+    (tmp_path / "shop.csv").write_bytes(f"id,name{end}{body}".encode())
+    path = str(tmp_path / "shop.csv")
+    assert catalog._cells_may_cross_lines(spark, path) == whole
+    assert rows(catalog.read_catalog(spark, path), "id", "name") == rows(catalog.read_catalog(spark, path, whole_files=True), "id", "name")
+
+
+def test_large_csv_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "shop.csv").write_text("id,name\n" + "".join(f'{i},"item, {i}"\n' for i in range(200_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        df = catalog.read_catalog(spark, str(tmp_path / "shop.csv"))
+        assert df.select(F.spark_partition_id()).distinct().count() > 4
+        assert df.agg(F.count_distinct("name")).first()[0] == 200_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_json_list_skips_non_objects(spark, folder):
     df = catalog.read_catalog(spark, str(folder / "list.json"), "json")
     assert rows(df, "title", "price") == [("Json one", "19.99"), ("Json two", None)]
