@@ -345,7 +345,7 @@ class Apportion:
     value: str = "value"
 
 
-def _beside(rows: DataFrame, facts: DataFrame, groups: list[str] | None) -> DataFrame:
+def _group_facts(rows: DataFrame, facts: DataFrame, groups: list[str] | None) -> DataFrame:
     """Each row with the facts of its group ``_g``; those of the only group by a scalar subquery."""
     if groups:
         return rows.join(facts, "_g")
@@ -377,7 +377,7 @@ def apportion(
     scales = rows.groupBy("_g").agg(F.max("_v").alias("_max")).select(
         "_g", F.when(F.col("_max") > 0, F.pow(F.lit(2.0), F.floor(F.log2("_max")))).otherwise(1.0).alias("_scale")
     )
-    scaled = _beside(rows, scales, groups).withColumn("_v", F.col("_v") / F.col("_scale")).drop("_scale")
+    scaled = _group_facts(rows, scales, groups).withColumn("_v", F.col("_v") / F.col("_scale")).drop("_scale")
     before = F.col(previous).cast("long") if previous else F.lit(None).cast("long")
     totals = scaled.groupBy("_g").agg(
         F.sum(F.col("_v").cast("decimal(20,18)")).cast("double").alias("_total"),
@@ -388,7 +388,7 @@ def apportion(
     exact = F.when(even, F.floor(F.lit(100) / F.col("_size")).cast("double")).otherwise(
         F.col("_v") / F.col("_total") * 100
     )
-    shares = _beside(scaled, totals, groups).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
+    shares = _group_facts(scaled, totals, groups).withColumn("_exact", exact).withColumn("_floor", F.floor("_exact"))
     left = shares.groupBy("_g").agg((F.lit(100) - F.sum("_floor")).alias("_left"))
     # a group is either even (keys ascending) or not (keys descending): one of the two is NULL
     place = Window.partitionBy("_g").orderBy(
@@ -398,7 +398,7 @@ def apportion(
     ranked = shares.select("_g", F.col(names.key).alias("_k"), fraction.alias("_f"), even.alias("_even"))
     top = ranked.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= MOST_BONUSES)
     bonus = (
-        _beside(top, left, groups)
+        _group_facts(top, left, groups)
         .where(F.col("_rn") <= F.col("_left"))
         .select(F.struct("_g", "_k").alias("_row"), F.lit(1).alias("_bonus"))
     )
