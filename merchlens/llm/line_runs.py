@@ -23,15 +23,24 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("missing"), "id", "_key", "i")
 
 
-def line_suffixes(products: DataFrame, id: str = "id", text: str = "description") -> DataFrame:
-    """The sequences of line ids: one row per line that holds a word, numbered within its text."""
+def line_suffixes(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id", text: str = "description") -> DataFrame:
+    """The sequences of line ids: one row per line that holds a word, numbered within its text.
+
+    ``need`` is how many lines from here on it takes to hold ``min_words`` words.
+    """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     spoken = F.filter(lines, lambda line: F.regexp(line, F.lit(WORD)))
-    rows = products.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), F.posexplode(spoken).alias("i", "line"))
+    texts = products.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"), spoken.alias("spoken"))
+    counted = texts.withColumn("words", F.transform("spoken", lambda line: F.regexp_count(line, F.lit(WORD))))
+
+    def need(words: Column, i: Column) -> Column:
+        none = F.struct(F.lit(0).alias("held"), F.lit(1).alias("lines"))
+        add = lambda s, n: F.struct((s["held"] + n).alias("held"), (s["lines"] + (s["held"] + n < min_words).cast("int")).alias("lines"))
+        return F.aggregate(F.slice("words", i + 1, min_words), none, add)["lines"]
+
+    rows = counted.select("id", "_key", F.posexplode(F.arrays_zip("spoken", F.transform("words", need).alias("need"))).alias("i", "at"))
     # 96 bits tell lines apart
-    return rows.select(
-        "id", "_key", "i", F.xxhash64("line").alias("a"), F.hash("line").cast("long").alias("b"), F.regexp_count("line", F.lit(WORD)).alias("words")
-    )
+    return rows.select("id", "_key", "i", F.xxhash64("at.spoken").alias("a"), F.hash("at.spoken").cast("long").alias("b"), F.col("at.need").alias("need"))
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:
@@ -47,32 +56,35 @@ def _ranked(suffixes: DataFrame) -> DataFrame:
         .select("a", "b", "first")
     )
     return suffixes.join(ranks, ["a", "b"]).select(
-        "id", "_key", "i", F.xxhash64("a", "b").alias("rank"), (_place() != F.col("first")).alias("later"), "words"
+        "id", "_key", "i", F.xxhash64("a", "b").alias("rank"), (_place() != F.col("first")).alias("later"), "need"
     )
 
 
 def repeated_runs(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id", text: str = "description") -> DataFrame:
     """Lines that lie in a repeated run of at least ``min_words`` words starting earlier elsewhere.
 
-    A suffix array over the line-id sequences by prefix doubling: round k ranks all suffixes by
-    their first 2^k lines, from the pairs of ranks of round k - 1. Suffixes of one rank share a
-    longest common prefix of 2^k lines or more, so each is a copy of the first of them. As a line
-    that counts holds a word, rounds end at 2^k >= ``min_words``: longer runs add no line.
+    A suffix array over the line-id sequences by prefix doubling: suffixes are ranked by their
+    first 2^k lines, from the pairs of ranks of half as many. Runs of any other length between
+    2^k and 2^(k + 1) get their ranks from two runs of 2^k lines that overlap. Suffixes of one
+    rank are copies of the first of them. As a line that counts holds a word, every run of
+    ``min_words`` lines is long enough, and a longer one consists of such runs: lengths from 1 to
+    ``min_words`` find each line of every maximal run.
     Returns ``id, _key, i``, each line once; i counts the lines that hold a word.
     """
-    level, deleted, width = stored(_ranked(line_suffixes(products, id, text)), "line-ranks"), [], 1
-    while True:
-        runs = level.where(F.col("later") & (F.col("words") >= min_words))
-        deleted.append(runs.select("id", "_key", F.explode(F.sequence(F.col("i"), F.col("i") + width - 1)).alias("i")))
-        if width >= min_words:
-            break
-        after = Window.partitionBy("id", "_key").orderBy("i").rangeBetween(width, width)
-        pairs = (
-            level.withColumn("next", F.first(F.struct("rank", "words")).over(after))
-            .where(F.col("next").isNotNull())
-            .select("id", "_key", "i", F.col("rank").alias("a"), F.col("next.rank").alias("b"), (F.col("words") + F.col("next.words")).alias("words"))
-        )
-        level, width = stored(_ranked(pairs), "line-ranks"), 2 * width
+    base, span, deleted = stored(_ranked(line_suffixes(products, min_words, id, text)), "line-ranks"), 1, []
+    for width in range(1, min_words + 1):
+        runs = base
+        if width > 1:
+            shift = width - span
+            after = Window.partitionBy("id", "_key").orderBy("i").rangeBetween(shift, shift)
+            pairs = base.withColumn("next", F.first("rank").over(after)).where(F.col("next").isNotNull())
+            pairs = pairs.select("id", "_key", "i", F.col("rank").alias("a"), F.col("next").alias("b"), "need")
+            # runs that later rounds don't build on are ranked only if they hold enough words
+            runs = stored(_ranked(pairs if width == 2 * span else pairs.where(F.col("need") <= width)), "line-ranks")
+        long = runs.where(F.col("later") & (F.col("need") <= width))
+        deleted.append(long.select("id", "_key", F.explode(F.sequence(F.col("i"), F.col("i") + width - 1)).alias("i")))
+        if width == 2 * span:
+            base, span = runs, width
     return reduce(DataFrame.unionByName, deleted).distinct()
 
 
@@ -83,7 +95,7 @@ def dedup_lines(
 
     Lines end at a line feed. A run is a number of consecutive lines, lines without a word left
     out of the count; of equal runs the first by id, then line, stays. A line goes if it lies in
-    a run of 1, 2, 4, ... lines with ``min_words`` words or more that occurs earlier, be it in
+    a run, of any number of lines, with ``min_words`` words or more that occurs earlier, be it in
     the same text. Lines without a word stay.
 
     Returns ``id, n_lines, n_removed, n_runs, description``: the lines, those deleted, the

@@ -380,6 +380,28 @@ def test_line_runs_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_runs_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, "Home\nAbout us\nContact us\nx1"), (1, "y1\nHome\n \nAbout us\nContact us\ny2"), (2, "z1\nHome\nAbout us\nz2")]
+    rows += [(3 + k, "\n".join([f"s{k}", *"pqrstuv"[: 5 + k // 2], f"e{k}"])) for k in range(6)]
+    rows += [(20 + i, "\n".join(rng.choice(["a", "b c", "d e f", "", "m", "n o", "p q r s t u"], rng.integers(0, 12)))) for i in range(60)]
+    count = lambda s: len(s.split())
+    kept, seen = {}, set()
+    for i, text in rows:
+        lines = text.split("\n")
+        at, gone = [p for p, line in enumerate(lines) if count(line)], set()
+        for k in range(len(at)):
+            for end in range(k + 1, len(at) + 1):
+                run = tuple(lines[p] for p in at[k:end])
+                if run in seen and sum(map(count, run)) >= 5:
+                    gone |= set(at[k:end])
+                seen.add(run)
+        kept[i] = "\n".join(line for p, line in enumerate(lines) if p not in gone)
+    assert kept[1] == "y1\n \ny2" and kept[2] == rows[2][1] and kept[4] == "s1\ne1"
+    df = spark.createDataFrame(rows, "id long, description string").repartition(5)
+    assert {r.id: r.description for r in line_runs.dedup_lines(df).collect()} == kept
+
+
 # --- op10 --------------------------------------------------------------------------------
 
 
