@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.llm.common import in_batches, joined_bytes, mix, prefix_hash, span_hash, word_bounds
 
 WINDOW = 8  # tokens of a template window
 MIN_LITERAL = 4  # of them not placeholders
-MIN_COVER = 0.5  # share of a question's windows that must be found on one alignment
+MIN_COVER = 0.5  # share of a question's windows, or of the tokens under them, that must be found on one alignment
+PASSAGE = 16  # windows in a row that are a leak whatever their share
 FILTER_BITS = 23  # a fixed megabyte of Bloom filter, whatever the benchmark's size
 
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -163,6 +164,23 @@ def in_filter(held: np.ndarray, h: np.ndarray) -> np.ndarray:
     return held[first] & held[second]
 
 
+def _spanned(at: Column, window: int) -> Column:
+    """How many tokens lie under windows at these places (sorted)."""
+    gaps = F.transform(at, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(at, i + 1) - p, F.lit(window))))
+    return F.aggregate(gaps, F.lit(0), lambda s, n: s + n)
+
+
+def _in_a_row(at: Column) -> Column:
+    """How many of the places (sorted) follow each other without a gap, at most."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("row"), F.lit(0).alias("most"))
+
+    def step(s: Column, p: Column) -> Column:
+        row = F.when(p == s["last"] + 1, s["row"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), row.alias("row"), F.greatest(s["most"], row).alias("most"))
+
+    return F.aggregate(at, start, step)["most"]
+
+
 def find_questions(
     products: DataFrame,
     questions: DataFrame,
@@ -179,12 +197,15 @@ def find_questions(
     Numbers, names and units of both sides become typed placeholders. Template windows of
     ``window`` tokens, ``literal`` of them literal, are joined by hash; a Bloom filter of fixed
     size keeps most windows of the products out of the join. Joined windows of one product,
-    question and offset form an alignment. It counts if it holds at least the share ``cover`` of
-    the question's windows and its slots agree: each of the question's values always stands for
-    one and the same value of the product, and the other way round.
-
-    Returns ``id, _key, question_id, n_windows, coverage, changed``: the best alignment's
-    windows and share, and how many of its slot values differ from the question's. ``_key`` is a
+    question and offset form a piece. Its slots must agree: each of the question's values always
+    stands for one and the same value of the product, and the other way round. Pieces whose
+    offsets differ by up to half the question's length, as inserted and deleted words make them,
+    form an alignment. It counts if it holds at least the share ``cover`` of the question's
+    windows or of the tokens under them, or a piece of ``PASSAGE`` windows in a row.
+
+    Returns ``id, _key, question_id, n_windows, coverage, changed``: how many of the question's
+    windows the best alignment holds, the larger of the two shares, and how many of its slot
+    values differ from the question's. ``_key`` is a
     hash of the text. A question of fewer than ``window`` tokens (or literals) has no windows and
     is never found; so are missing and empty texts. Rows that repeat id and text count once.
     Further columns are ignored; ids may be NULL.
@@ -192,25 +213,39 @@ def find_questions(
     asked = _windows(questions, question_id, question_text, window, literal)
     asked = asked.select(F.col("id").alias("question_id"), F.col("key").alias("_question"), "window", F.col("place").alias("asked_at"), F.col("slots").alias("asked"))
     held = _windows(products, id, text, window, literal, bloom_filter(asked)).withColumnRenamed("key", "_key")
-    sizes = asked.groupBy("question_id", "_question").agg(F.countDistinct("asked_at").alias("total"))
+    sizes = asked.groupBy("question_id", "_question").agg(F.sort_array(F.collect_set("asked_at")).alias("all"))
+    sizes = sizes.select(
+        F.col("question_id").alias("_q"), F.col("_question").alias("_k"), F.size("all").alias("total"), _spanned(F.col("all"), window).alias("tokens"),
+        F.greatest(F.lit(window), F.ceil((F.array_max("all") + window) / 2)).cast("int").alias("half"),
+    )
     pairs = held.join(asked, "window").select(
-        "id", "_key", "question_id", "_question", "place", (F.col("place") - F.col("asked_at")).alias("offset"), F.arrays_zip("asked", "slots").alias("slots")
+        "id", "_key", "question_id", "_question", "asked_at", (F.col("place") - F.col("asked_at")).alias("offset"), F.arrays_zip("asked", "slots").alias("slots")
     )
-    aligned = pairs.groupBy("id", "_key", "question_id", "_question", "offset").agg(
-        F.countDistinct("place").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values")
+    text, pair = ["id", "_key"], ["question_id", "_question"]
+    pieces = pairs.groupBy(*text, *pair, "offset").agg(
+        F.sort_array(F.collect_set("asked_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values")
     )
     one_to_one = (F.size(F.array_distinct(F.col("values.asked"))) == F.size("values")) & (F.size(F.array_distinct(F.col("values.slots"))) == F.size("values"))
-    return (
-        aligned.join(
-            sizes.withColumnsRenamed({"question_id": "_q", "_question": "_k"}),
-            F.col("question_id").eqNullSafe(F.col("_q")) & (F.col("_question") == F.col("_k")),
-        )
-        .withColumn("coverage", F.col("n_windows") / F.col("total"))
-        .where(one_to_one & (F.col("coverage") >= cover))
-        .groupBy("id", "_key", "question_id")
+    sized = pieces.where(one_to_one).join(sizes, F.col("question_id").eqNullSafe(F.col("_q")) & (F.col("_question") == F.col("_k")))
+    # bands of offsets twice as wide as the drift begin at each half of them: what drifts less shares a band
+    band = F.floor(F.col("offset") / F.col("half"))
+    aligned = (
+        sized.withColumn("band", F.explode(F.array(band, band - 1)))
+        .groupBy(*text, *pair, "band")
         .agg(
-            F.max("n_windows").alias("n_windows"),
-            F.max("coverage").alias("coverage"),
-            F.min(F.size(F.filter("values", lambda v: v["asked"] != v["slots"]))).cast("long").alias("changed"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"),
+            F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"),
+            F.max(_in_a_row(F.col("at"))).alias("row"),
+            F.first(F.struct("total", "tokens")).alias("of"),
         )
     )
+    shares = F.greatest(F.size("at") / F.col("of.total"), _spanned(F.col("at"), window) / F.col("of.tokens"))
+    changed = F.size(F.filter("values", lambda v: v["asked"] != v["slots"])).cast("long")
+    best = F.max(F.struct("coverage", F.size("at").cast("long").alias("n_windows"), (-changed).alias("same")))
+    return (
+        aligned.withColumn("coverage", shares)
+        .where((F.col("coverage") >= cover) | (F.col("row") >= PASSAGE))
+        .groupBy(*text, "question_id")
+        .agg(best.alias("best"))
+        .select(*text, "question_id", "best.n_windows", "best.coverage", (-F.col("best.same")).alias("changed"))
+    )

@@ -352,6 +352,23 @@ def test_reparameterised_questions(spark):
     assert decontaminate.find_questions(df, questions.limit(0)).count() == 0
 
 
+def leaks(spark, asked, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, description string")
+    questions = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "id long, description string")
+    return {(r.id, r.question_id): r for r in decontaminate.find_questions(df, questions).collect()}
+
+
+def test_edited_questions_and_passages(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    sixty, short = words[:60], [f"q{chr(97 + i)}" for i in range(22)]
+    one, two = [*sixty[:30], "more", *sixty[30:]], [*sixty[:20], "more", *sixty[20:40], *sixty[41:]]
+    replaced = [*short[:10], "other", *short[11:]]
+    texts = [" ".join(["before", *t, "after"]) for t in (one, two, replaced, words[50:90], words[50:62])]
+    got = leaks(spark, [" ".join(sixty), " ".join(short), " ".join(words)], texts)
+    assert {(0, 0), (1, 0), (2, 1), (3, 2)} <= set(got) and 4 not in {i for i, _ in got}
+    assert got[0, 0].n_windows == 46 and got[2, 1].n_windows == 7 and got[3, 2].n_windows == 33
+
+
 # --- op9 ---------------------------------------------------------------------------------
 
 
