@@ -33,6 +33,10 @@ _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0") : ord("9") + 1] = True
+_INNER = np.zeros(256, bool)
+_INNER[[*b",."]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[*b" \t"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _ENDS = np.zeros(256, bool)
@@ -59,19 +63,33 @@ def _lower_case(texts: list[str | None]) -> bytes:
     return b"\n".join([*out, b""]) if out else b""
 
 
+def _joined(start: np.ndarray, end: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens joined with those before them where ``goes_on`` says so."""
+    return start[~goes_on], end[np.append(~goes_on[1:], True)] if len(end) else end
+
+
+def _whole_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers with a comma or point between digits are one token."""
+    goes_on = np.zeros(len(start), bool)
+    last, first = end[:-1], start[1:]
+    goes_on[1:] = (first == last + 1) & _INNER[data[last]] & _DIGIT[data[last - 1]] & _DIGIT[data[first]] & _DIGIT[data[start[:-1]]]
+    return _joined(start, end, goes_on)
+
+
 class Templates:
     """Template windows of some texts.
 
-    Tokens are runs of letters and digits. One that begins with a digit is a number; a unit word
-    after a number is a unit; a capitalised word that no sentence end precedes is a name; all
-    others stand for themselves, lower-cased. Placeholders hash by their type, and their own
-    words become the window's slots.
+    Tokens are runs of letters and digits. One that begins with a digit is a number, together with
+    further digits after a comma or point; a unit word after a number is a unit; capitalised words
+    that no sentence end precedes and only blanks part are one name; all others stand for
+    themselves, lower-cased. Placeholders hash by their type, and their own words become the
+    window's slots.
     """
 
     def __init__(self, texts: list[str | None], window: int = WINDOW, literal: int = MIN_LITERAL) -> None:
         raw, begins = joined_bytes(texts)
         data = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
-        start, end = word_bounds(data, _OUTSIDE)
+        start, end = _whole_numbers(data, *word_bounds(data, _OUTSIDE))
         prefix = prefix_hash(_LOWER[np.frombuffer(b"\n" + _lower_case(texts) + b"\n", np.uint8)])
         self.own = span_hash(prefix, start, end)
         text = np.searchsorted(begins + 1, start, side="right") - 1
@@ -87,6 +105,12 @@ class Templates:
         # a single capital or capitals throughout are no sign of a name
         second = data[np.minimum(start + 1, len(data) - 1)]
         kind[(kind == 0) & _UPPER[data[start]] & ~_UPPER[second] & ~_OUTSIDE[second] & ~sentence_start] = NAME
+        # names of several words are one token
+        blanks = np.cumsum(~_BLANK[data])
+        goes_on = np.zeros(len(start), bool)
+        goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (blanks[start[1:] - 1] == blanks[end[:-1] - 1])
+        start, end = _joined(start, end, goes_on)
+        kind, text, self.own = kind[~goes_on], text[~goes_on], span_hash(prefix, start, end)
         self.kind = kind
         shown = np.where(kind > 0, mix(kind.astype(np.uint64)), self.own)
         n = max(0, len(start) - window + 1)

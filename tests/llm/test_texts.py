@@ -369,6 +369,13 @@ def test_edited_questions_and_passages(spark):
     assert got[0, 0].n_windows == 46 and got[2, 1].n_windows == 7 and got[3, 2].n_windows == 33
 
 
+def test_values_of_several_words_are_one_placeholder(spark):
+    asked = "A van from Oslo carries 950 boxes of 3 kg each to a shop near Bergen where 40 people unload them, how long does it take"
+    moved = asked.replace("950", "1,200").replace("3 kg", "2.5 kg").replace("Oslo", "New York").replace("Bergen", "San  Juan")
+    got = leaks(spark, [asked, moved], [asked, moved])
+    assert {k: (r.coverage, r.changed) for k, r in got.items()} == {(0, 0): (1, 0), (0, 1): (1, 4), (1, 0): (1, 4), (1, 1): (1, 0)}
+
+
 # --- op9 ---------------------------------------------------------------------------------
 
 
