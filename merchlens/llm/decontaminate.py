@@ -76,6 +76,19 @@ def _whole_numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tupl
     return _joined(start, end, goes_on)
 
 
+def _cut(own: np.ndarray, kind: np.ndarray, text: np.ndarray, window: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and hashes of the windows that lie in one text and hold enough literals."""
+    shown = np.where(kind > 0, mix(kind.astype(np.uint64)), own)
+    n = max(0, len(own) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(window):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + shown[j : j + n]
+    literals = np.cumsum(np.concatenate([[0], kind == 0]))
+    whole = (text[:n] == text[window - 1 : window - 1 + n]) & (literals[window : window + n] - literals[:n] >= literal)
+    first = np.flatnonzero(whole)
+    return first, mix(h[first])
+
+
 class Templates:
     """Template windows of some texts.
 
@@ -83,7 +96,8 @@ class Templates:
     further digits after a comma or point; a unit word after a number is a unit; capitalised words
     that no sentence end precedes and only blanks part are one name; all others stand for
     themselves, lower-cased. Placeholders hash by their type, and their own words become the
-    window's slots.
+    window's slots. Windows that hold a name come a second time with its words as literals, not
+    ``typed``, so that they equal those of a text whose names have lost their capitals.
     """
 
     def __init__(self, texts: list[str | None], window: int = WINDOW, literal: int = MIN_LITERAL) -> None:
@@ -109,31 +123,33 @@ class Templates:
         blanks = np.cumsum(~_BLANK[data])
         goes_on = np.zeros(len(start), bool)
         goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (blanks[start[1:] - 1] == blanks[end[:-1] - 1])
+        apart, place = (self.own, np.where(kind == NAME, 0, kind).astype(np.uint8), text), np.cumsum(~goes_on) - 1
+        named = np.cumsum(np.concatenate([[0], kind == NAME]))
         start, end = _joined(start, end, goes_on)
-        kind, text, self.own = kind[~goes_on], text[~goes_on], span_hash(prefix, start, end)
-        self.kind = kind
-        shown = np.where(kind > 0, mix(kind.astype(np.uint64)), self.own)
-        n = max(0, len(start) - window + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(window):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + shown[j : j + n]
-        literals = np.cumsum(np.concatenate([[0], kind == 0]))
-        whole = (text[:n] == text[window - 1 : window - 1 + n]) & (literals[window : window + n] - literals[:n] >= literal)
-        self.first = np.flatnonzero(whole)  # a window's first token
-        self.hash = mix(h[self.first])
-        self.text = text[self.first]
+        kind, text = kind[~goes_on], text[~goes_on]
+        typed = (span_hash(prefix, start, end), kind, text)
         opens = np.searchsorted(text, np.arange(len(texts)))
-        self.place = self.first - opens[self.text] if len(self.first) else self.first
+        first, typed_hash = _cut(*typed, window, literal)
+        second, apart_hash = _cut(*apart, window, literal)
+        holds_name = named[second + window] > named[second] if len(second) else np.zeros(0, bool)
+        second, apart_hash = second[holds_name], apart_hash[holds_name]
+        self.views = (typed, apart)
+        self.first = np.concatenate([first, second])  # a window's first token in its view
+        self.hash = np.concatenate([typed_hash, apart_hash])
+        self.typed = np.arange(len(self.first)) < len(first)
+        self.text = np.concatenate([text[first], apart[2][second]])
+        # places count names as one token in either view
+        self.place = np.concatenate([first, place[second]]) - opens[self.text] if len(self.first) else self.first
         self.window = window
 
     def slots(self, row: int) -> list[int]:
         """The placeholders' own words in a window, as hashes."""
-        at = self.first[row]
-        inside = slice(at, at + self.window)
-        return self.own[inside][self.kind[inside] > 0].view(np.int64).tolist()
+        own, kind, _ = self.views[0 if self.typed[row] else 1]
+        inside = slice(self.first[row], self.first[row] + self.window)
+        return own[inside][kind[inside] > 0].view(np.int64).tolist()
 
 
-WINDOW_SCHEMA = "window long, place int, slots array<long>"
+WINDOW_SCHEMA = "window long, place int, typed boolean, slots array<long>"
 
 
 def _windows(df: DataFrame, id: str, text: str, window: int, literal: int, bloom: np.ndarray | None = None) -> DataFrame:
@@ -153,6 +169,7 @@ def _windows(df: DataFrame, id: str, text: str, window: int, literal: int, bloom
                         "key": b["key"].iloc[begin + t.text[rows]],
                         "window": t.hash[rows].view(np.int64),
                         "place": t.place[rows].astype(np.int32),
+                        "typed": t.typed[rows],
                         "slots": [t.slots(r) for r in rows],
                     }
                 )
@@ -218,36 +235,39 @@ def find_questions(
 ) -> DataFrame:
     """Questions found in products: one row per product text and question.
 
-    Numbers, names and units of both sides become typed placeholders. Template windows of
+    Numbers, names and units of both sides become typed placeholders; windows that hold a name
+    are also cut with its words as literals, as text in lower case or capitals has them. Template windows of
     ``window`` tokens, ``literal`` of them literal, are joined by hash; a Bloom filter of fixed
     size keeps most windows of the products out of the join. Joined windows of one product,
     question and offset form a piece. Its slots must agree: each of the question's values always
     stands for one and the same value of the product, and the other way round. Pieces whose
     offsets differ by up to half the question's length, as inserted and deleted words make them,
     form an alignment. It counts if it holds at least the share ``cover`` of the question's
-    windows or of the tokens under them, or a piece of ``PASSAGE`` windows in a row.
+    windows or of the tokens under them, or a piece of ``PASSAGE`` windows in a row. Windows at one
+    place count once; shares are taken of the typed windows and of all, and the larger one counts.
 
-    Returns ``id, _key, question_id, n_windows, coverage, changed``: how many of the question's
-    windows the best alignment holds, the larger of the two shares, and how many of its slot
+    Returns ``id, _key, question_id, n_windows, coverage, changed``: at how many places
+    of the question the best alignment holds a window, the largest of its shares, and how many of its slot
     values differ from the question's. ``_key`` is a
     hash of the text. A question of fewer than ``window`` tokens (or literals) has no windows and
     is never found; so are missing and empty texts. Rows that repeat id and text count once.
     Further columns are ignored; ids may be NULL.
     """
     asked = _windows(questions, question_id, question_text, window, literal)
-    asked = asked.select(F.col("id").alias("question_id"), F.col("key").alias("_question"), "window", F.col("place").alias("asked_at"), F.col("slots").alias("asked"))
+    asked = asked.select(F.col("id").alias("question_id"), F.col("key").alias("_question"), "window", F.col("place").alias("asked_at"), F.col("typed").alias("asked_typed"), F.col("slots").alias("asked"))
     held = _windows(products, id, text, window, literal, bloom_filter(asked)).withColumnRenamed("key", "_key")
-    sizes = asked.groupBy("question_id", "_question").agg(F.sort_array(F.collect_set("asked_at")).alias("all"))
+    places = (F.sort_array(F.collect_set("asked_at")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("asked_typed"), F.col("asked_at")))).alias("typed_at"))
+    sizes = asked.groupBy("question_id", "_question").agg(*places)
     sizes = sizes.select(
-        F.col("question_id").alias("_q"), F.col("_question").alias("_k"), F.size("all").alias("total"), _spanned(F.col("all"), window).alias("tokens"),
-        F.greatest(F.lit(window), F.ceil((F.array_max("all") + window) / 2)).cast("int").alias("half"),
+        F.col("question_id").alias("_q"), F.col("_question").alias("_k"), F.struct("at", "typed_at").alias("of"),
+        F.greatest(F.lit(window), F.ceil((F.array_max("at") + window) / 2)).cast("int").alias("half"),
     )
     pairs = held.join(asked, "window").select(
-        "id", "_key", "question_id", "_question", "asked_at", (F.col("place") - F.col("asked_at")).alias("offset"), F.arrays_zip("asked", "slots").alias("slots")
+        "id", "_key", "question_id", "_question", "asked_at", "asked_typed", (F.col("place") - F.col("asked_at")).alias("offset"), F.arrays_zip("asked", "slots").alias("slots")
     )
     text, pair = ["id", "_key"], ["question_id", "_question"]
     pieces = pairs.groupBy(*text, *pair, "offset").agg(
-        F.sort_array(F.collect_set("asked_at")).alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values")
+        *places, F.array_distinct(F.flatten(F.collect_set("slots"))).alias("values")
     )
     one_to_one = (F.size(F.array_distinct(F.col("values.asked"))) == F.size("values")) & (F.size(F.array_distinct(F.col("values.slots"))) == F.size("values"))
     sized = pieces.where(one_to_one).join(sizes, F.col("question_id").eqNullSafe(F.col("_q")) & (F.col("_question") == F.col("_k")))
@@ -258,12 +278,15 @@ def find_questions(
         .groupBy(*text, *pair, "band")
         .agg(
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("typed_at")))).alias("typed_at"),
             F.array_distinct(F.flatten(F.collect_list("values"))).alias("values"),
             F.max(_in_a_row(F.col("at"))).alias("row"),
-            F.first(F.struct("total", "tokens")).alias("of"),
+            F.first("of").alias("of"),
         )
     )
-    shares = F.greatest(F.size("at") / F.col("of.total"), _spanned(F.col("at"), window) / F.col("of.tokens"))
+    # a question without typed windows has no share of them
+    parts = [(F.col(c), F.col(f"of.{c}")) for c in ("at", "typed_at")]
+    shares = F.greatest(*[F.when(F.size(of) > 0, f(at) / f(of)) for at, of in parts for f in (F.size, lambda c: _spanned(c, window))])
     changed = F.size(F.filter("values", lambda v: v["asked"] != v["slots"])).cast("long")
     best = F.max(F.struct("coverage", F.size("at").cast("long").alias("n_windows"), (-changed).alias("same")))
     return (

@@ -376,6 +376,14 @@ def test_values_of_several_words_are_one_placeholder(spark):
     assert {k: (r.coverage, r.changed) for k, r in got.items()} == {(0, 0): (1, 0), (0, 1): (1, 4), (1, 0): (1, 4), (1, 1): (1, 0)}
 
 
+def test_questions_whose_names_lost_their_capitals(spark):
+    asked = "When the van of Ann meets the bus of New York near the farm of Bob at the gate of Eve, who of them all drove 30 km, the friend of Tom or that of Kim"
+    moved = asked.replace("Ann", "Liz").replace("New York", "Rome").replace("Bob", "Ted").replace("Eve", "Mia").replace("Tom", "Jim").replace("Kim", "Ada").replace("30", "45")
+    got = leaks(spark, [asked], [asked, asked.lower(), f"said before, {asked.upper()}", moved, moved.lower()])
+    assert {i: r.coverage for (i, _), r in got.items()} == {0: 1, 1: 1, 2: 1, 3: 1}
+    assert got[1, 0].changed == 0 and got[3, 0].changed == 7
+
+
 # --- op9 ---------------------------------------------------------------------------------
 
 
