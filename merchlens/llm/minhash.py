@@ -162,8 +162,8 @@ def _likely(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]
     """Open texts of a chunk pair, each with the texts it may be linked to, likeliest first.
 
     Pairs of one component are left out. Others go on if their signatures agree as much as those
-    of linked texts do but for five deviations. A pair belongs to the first band it shares, and
-    of two open texts the smaller one looks at the other.
+    of linked texts do but for five deviations. A pair belongs to the first band it shares by the
+    keys that buckets go by, and of two open texts the smaller one looks at the other.
     """
     p = percent / 100
     floor = SLOTS * p - 5 * (SLOTS * p * (1 - p)) ** 0.5
@@ -173,10 +173,11 @@ def _likely(rows: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]
     signatures, band = [np.frombuffer(s, np.uint16) for s in rows["signature"]], int(rows["band"].iloc[0])
     node, root, main = rows["node"].to_numpy(), rows["root"].to_numpy(), rows["main"].iloc[0]
     others, other_roots, other_nodes = np.stack([signatures[i] for i in right]), root[right], node[right]
+    keys = rows["bands"].to_numpy()
+    other_keys = np.stack([keys[i] for i in right])
     for i in left:
-        same = signatures[i] == others
-        agree = same.sum(axis=1)
-        first = same.reshape(len(right), BANDS, SLOTS // BANDS).all(axis=2).argmax(axis=1)
+        agree = (signatures[i] == others).sum(axis=1)
+        first = (keys[i] == other_keys).argmax(axis=1)
         ok = (agree >= floor) & (first == band) & (other_roots != root[i]) & ((other_roots == main) | (other_nodes > node[i]))
         found = np.flatnonzero(ok)
         if len(found):
@@ -269,9 +270,9 @@ def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id:
             F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int").alias("left_chunks"),
         )
     )
-    unsettled = stored(placed.join(split, "bucket").join(classes.select("node", "signature"), "node"), "unsettled")
+    unsettled = stored(placed.join(split, "bucket").join(classes.select("node", "signature", "bands"), "node"), "unsettled")
     if unsettled.head(1):
-        kept = ["bucket", "band", "node", "root", "main", "signature"]
+        kept = ["bucket", "band", "node", "root", "main", "signature", "bands"]
         chunk = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         apart = unsettled.where("root <> main")

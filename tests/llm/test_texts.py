@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,15 @@ def test_near_duplicates_against_brute_force(spark, width):
     assert got == brute_components(rows, width)
 
 
+def test_first_shared_band_goes_by_the_keys_of_buckets():
+    # all slots agree in 16 bits, but the keys of band 0 differ: the pair meets in band 1
+    rows = pd.DataFrame({"open": [True, False], "band": 1, "node": [b"a", b"b"], "root": [b"a", b"b"], "main": b"b"})
+    rows["signature"] = [np.arange(minhash.SLOTS, dtype=np.uint16).tobytes()] * 2
+    rows["bands"] = [np.arange(minhash.BANDS), np.where(np.arange(minhash.BANDS) == 0, 99, np.arange(minhash.BANDS))]
+    assert [(i, found.tolist()) for i, found in minhash._likely(rows, 80)] == [(0, [1])]
+    assert not list(minhash._likely(rows.assign(band=0), 80))
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     errors = []
