@@ -45,6 +45,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+HEAVY_KEYS = 1024
+
+
+def join_unique(rows: DataFrame, facts: DataFrame, on: list[str], held: str) -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row per key and in ``held`` how many ``rows`` share it.
+
+    Keys of more than a 1024th of all rows are at most 1024, whatever the data: they are
+    broadcast, so that no task gets all rows of one. The others are shuffled.
+    """
+    facts = stored(facts, "facts")
+    total = facts.agg(F.sum(held)).head()[0] or 0
+    heavy = F.col(held) > total // HEAVY_KEYS + 1
+    few = F.broadcast(facts.where(heavy))
+    rest = rows.join(F.broadcast(facts.where(heavy).select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(facts.where(~heavy), on))
+
+
 def low(text: Column) -> Column:
     """Only A-Z lower-cased; a missing text is empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
