@@ -9,21 +9,27 @@ a large group:
 
 * equal names collapse to one row with a count;
 * tokens carried by few distinct names (``light``) are joined, each such group being small;
-* pairs that meet only on frequent tokens (``heavy``) are counted without being formed, by
-  inclusion and exclusion over subsets of a name's heavy tokens. With ``S`` a subset and
-  ``D`` the tokens the probing name repeats, the count is the sum over ``S`` of
-  ``(-1)^|S| * (|S - D| - 1) * n(S)``, where ``n(S)`` is the number of products whose name
-  holds all of ``S``.
+* names that meet only on frequent tokens (``heavy``) are counted without being formed as pairs.
+  Names merge into distinct sets of heavy tokens, sets are numbered in blocks, and each frequent
+  token is a bitmap over a block. A probing set adds its tokens' bitmaps into a two-bit counter
+  for all sets of the block at once; what reaches two is weighed by how many products the sets
+  hold. The work grows with a name's tokens, never with their combinations.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.functions.text import name_tokens
+from merchlens.session import cut_lineage
 
 LIGHT_GROUP = 64
+BLOCK = 8192  # sets of heavy tokens whose bitmaps a task holds
 
 
 def _names(df: DataFrame, name: str) -> DataFrame:
@@ -51,16 +57,6 @@ def _meets(shared: Column, repeated: Column) -> Column:
     return (F.size(shared) >= 2) | F.arrays_overlap(shared, repeated)
 
 
-def _subsets(tokens: Column) -> Column:
-    """All non-empty subsets of an array, each in the array's order."""
-    masks = F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2), F.size(tokens)).cast("long") - 1)
-
-    def members(mask: Column) -> Column:
-        return F.filter(tokens, lambda _, i: F.getbit(mask, i) == 1)
-
-    return F.transform(masks, members)
-
-
 def _triggers(tokens: Column, repeated: Column) -> Column:
     """What two names have to share to be similar: any token pair, or one repeated token."""
 
@@ -110,12 +106,14 @@ def _per_product(df: DataFrame, name: str, counts: DataFrame, out: str = "simila
     )
 
 
-def name_similarity(df: DataFrame, name: str = "name", light_group: int = LIGHT_GROUP) -> DataFrame:
+def name_similarity(df: DataFrame, name: str = "name", light_group: int = LIGHT_GROUP, block: int = BLOCK) -> DataFrame:
     """``id`` and ``similar_names``: other products sharing two name tokens or more.
 
-    A token the probing name repeats counts twice on its side and once on the other's.
+    A token the probing name repeats counts twice on its side and once on the other's. Tokens of
+    more than ``light_group`` distinct names are counted by bitmaps over blocks of about ``block``
+    distinct sets of such tokens. A missing name, or one without tokens, is similar to none.
     """
-    names = _names(df, name)
+    names = cut_lineage(_names(df, name))
     spread = names.select("key", F.explode("tokens").alias("token"))
     frequency = spread.groupBy("token").agg(F.count(F.lit(1)).alias("names"))
     heavy = frequency.where(F.col("names") > light_group).select("token")
@@ -123,12 +121,12 @@ def name_similarity(df: DataFrame, name: str = "name", light_group: int = LIGHT_
     light_rows = spread.join(heavy, "token", "left_anti")
     heavy_rows = spread.join(heavy, "token", "left_semi")
     heavy_sets = heavy_rows.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("heavy"))
-    facts = names.join(heavy_sets, "key", "left").withColumn(
-        "heavy", F.coalesce("heavy", F.array().cast("array<string>"))
+    facts = cut_lineage(
+        names.join(heavy_sets, "key", "left").withColumn("heavy", F.coalesce("heavy", F.array().cast("array<string>")))
     )
 
     near = _through_light_tokens(light_rows, facts)
-    far = _through_heavy_tokens(facts)
+    far = _through_heavy_tokens(facts, block)
     own = F.when(_meets(F.col("tokens"), F.col("repeated")), 1).otherwise(0)
     counts = (
         facts.select("key", own.alias("own"))
@@ -162,27 +160,67 @@ def _through_light_tokens(light_rows: DataFrame, facts: DataFrame) -> DataFrame:
     return checked.groupBy("key").agg(F.sum((meets - elsewhere) * F.col("o_count")).alias("near"))
 
 
-def _through_heavy_tokens(facts: DataFrame) -> DataFrame:
-    """Weighted count of names that meet on heavy tokens alone, by inclusion and exclusion."""
+def _through_heavy_tokens(facts: DataFrame, block: int) -> DataFrame:
+    """Weighted count of names that meet on heavy tokens alone, block by block of their sets."""
     holders = facts.where(F.size("heavy") > 0).withColumn(
         "doubled", F.array_sort(F.array_intersect("heavy", "repeated"))
     )
-    per_set = holders.groupBy("heavy").agg(F.sum("count").alias("products"))
-    supersets = (
-        per_set.select(F.explode(_subsets(F.col("heavy"))).alias("subset"), "products")
-        .groupBy("subset")
-        .agg(F.sum("products").alias("products"))
+    sets = cut_lineage(
+        holders.groupBy("heavy").agg(F.sum("count").alias("products"), F.collect_set("doubled").alias("probes"))
     )
-    profiles = holders.select("heavy", "doubled").distinct()
-    terms = profiles.select("heavy", "doubled", F.explode(_subsets(F.col("heavy"))).alias("subset")).withColumn(
-        "weight",
-        F.when(F.size("subset") % 2 == 0, 1).otherwise(-1)
-        * (F.size(F.array_except("subset", "doubled")) - 1),
+    blocks = max(1, ceil(sets.count() / block))
+    number = F.pmod(F.xxhash64("heavy"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    probes = sets.select("heavy", F.explode("probes").alias("doubled"), number.alias("asking")).withColumn("held", every)
+    held = sets.select("heavy", "products", number.alias("held")).withColumn("asking", every)
+    by = ["asking", "held"]
+    met = probes.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(
+        _meet_block, "heavy array<string>, doubled array<string>, met long"
     )
-    per_profile = (
-        terms.where(F.col("weight") != 0)
-        .join(supersets, "subset")
-        .groupBy("heavy", "doubled")
-        .agg(F.sum(F.col("weight") * F.col("products")).alias("far"))
+    far = met.groupBy("heavy", "doubled").agg(F.sum("met").alias("far"))
+    return holders.join(far, ["heavy", "doubled"]).select("key", "far")
+
+
+def _meet_block(probes: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """How many products of the held sets share two tokens with each probing set, or one of its doubled."""
+    if not len(probes) or not len(held):
+        return pd.DataFrame({"heavy": pd.Series([], dtype=object), "doubled": pd.Series([], dtype=object), "met": pd.Series([], dtype="int64")})
+    tokens = pd.Index(np.unique(np.concatenate(held["heavy"].to_list())))
+    words = -(-len(held) // 64)
+    bitmaps = np.zeros((len(tokens) + 1, words * 8), np.uint8)  # the last stands for tokens nobody holds
+    sizes = held["heavy"].str.len().to_numpy()
+    place = np.repeat(np.arange(len(held)), sizes)
+    np.bitwise_or.at(
+        bitmaps, (tokens.get_indexer(np.concatenate(held["heavy"].to_list())), place >> 3), np.uint8(1) << (place & 7).astype(np.uint8)
     )
-    return holders.join(per_profile, ["heavy", "doubled"]).select("key", "far")
+    bitmaps = bitmaps.view(np.uint64)
+    products = held["products"].to_numpy()
+    digits = [
+        np.packbits(np.pad((products >> d) & 1, (0, words * 64 - len(held))).astype(np.uint8), bitorder="little").view(np.uint64)
+        for d in range(int(products.max()).bit_length())
+    ]
+
+    def columns(lists: pd.Series) -> np.ndarray:
+        """Token numbers, one row a probe, filled up with the empty bitmap."""
+        length = lists.str.len().to_numpy()
+        out = np.full((len(lists), max(1, int(length.max()))), len(tokens))
+        if length.sum():
+            found = tokens.get_indexer(np.concatenate([x for x in lists if len(x)]))
+            out[np.arange(out.shape[1])[None, :] < length[:, None]] = np.where(found < 0, len(tokens), found)
+        return out
+
+    shared, doubled = columns(probes["heavy"]), columns(probes["doubled"])
+    met = np.zeros(len(probes), np.int64)
+    step = max(1, (1 << 21) // words)  # probes at a time, for bitmaps of 16 MB
+    for a in range(0, len(probes), step):
+        once = np.zeros((min(step, len(probes) - a), words), np.uint64)
+        twice = np.zeros_like(once)
+        for token in shared[a : a + step].T:
+            bits = bitmaps[token]
+            twice |= once & bits
+            once |= bits
+        for token in doubled[a : a + step].T:
+            twice |= bitmaps[token]
+        for d, digit in enumerate(digits):
+            met[a : a + step] += np.bitwise_count(twice & digit).sum(axis=1).astype(np.int64) << d
+    return pd.DataFrame({"heavy": probes["heavy"], "doubled": probes["doubled"], "met": met})

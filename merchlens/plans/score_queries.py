@@ -517,6 +517,20 @@ def name_similarity_brands(spark, folder):
     return similarity.name_similarity(parts)
 
 
+@query(
+    "name_similarity_long",
+    "WITH titles AS (SELECT p_partkey AS id, array_to_string(list_transform(generate_series(0, 19), lambda i: 'w' || ((p_partkey * (i + 3) + i * i * (p_size + 1)) % 47)), ' ') AS title FROM part), "
+    + _TITLE_TOKENS
+    + "SELECT id, COALESCE(similar_names, 0) AS similar_names FROM titles LEFT JOIN sim ON title = name",
+)
+def name_similarity_long(spark, folder):
+    """Names of twenty tokens, repeats among them, that are all frequent."""
+    token = lambda i: F.concat(F.lit("w"), ((F.col("p_partkey") * (i + 3) + i * i * (F.col("p_size") + 1)) % 47).cast("string"))
+    name = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), token), " ")
+    parts = fr.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return similarity.name_similarity(parts)
+
+
 @query(
     "similar_up_to",
     "WITH titles AS (SELECT p_partkey AS id, p_name || ' ' || (p_partkey // 3) || ' ' || p_name AS title FROM part), " + _TITLE_TOKENS

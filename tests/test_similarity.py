@@ -38,6 +38,21 @@ def test_full_count_is_exact_on_every_path(spark, products, light_group):
     assert got == brute_force(products)
 
 
+@pytest.mark.parametrize("block", [1, 7, 8192])
+def test_blocks_of_frequent_tokens_add_up(spark, products, block):
+    df = spark.createDataFrame(products + [(1000 + i, "mini mini lamp pro") for i in range(70)], "id long, name string")
+    got = by_id(similarity.name_similarity(df, light_group=1, block=block), "similar_names")
+    assert got == brute_force(products + [(1000 + i, "mini mini lamp pro") for i in range(70)])
+
+
+def test_names_of_twenty_frequent_tokens(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    names = [(i, " ".join(rng.sample(words, 20))) for i in range(600)] + [(600, " ".join(words)), (601, "w1 w1"), (602, "w1"), (603, None)]
+    got = by_id(similarity.name_similarity(spark.createDataFrame(names, "id long, name string")), "similar_names")
+    assert got == brute_force(names)
+
+
 @pytest.mark.parametrize("limit", [1, 3, 8, 500])
 def test_limited_count_is_exact_below_the_limit(spark, products, limit):
     df = spark.createDataFrame(products, "id long, name string")
