@@ -6,8 +6,8 @@ are a projection over (id, score) and no row is ever moved to a single task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from math import ceil
+from dataclasses import dataclass, field, replace
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from merchlens.functions import vocab
 from merchlens.functions.numbers import clamp
 from merchlens.functions.text import tri_level
+from merchlens.operators.histogram import histogram, values_at
 from merchlens.operators.ranks import Cutoff, pct_rank, quantile_values, row_numbers, smallest
+from merchlens.session import cut_lineage
 
 WINSORISE_FROM = 50
 TERCILES_FROM, DISTINCT_FROM = 6, 3
@@ -32,6 +34,7 @@ class Thresholds:
     q67: float | None
     winsor: tuple[float, float] | None = None
     by_rank: bool = False
+    counts: dict[str, int] | None = field(default=None, compare=False)  # rows of each class, where known
 
 
 @dataclass(frozen=True)
@@ -46,25 +49,53 @@ class Shares:
 STORED_FALLBACK = Thresholds(0.33, 0.66)
 
 
-def fit_terciles(df: DataFrame, score: str, winsorise: float = 0.05) -> Thresholds | None:
-    """Tercile limits of the winsorised scores; marked ``by_rank`` when too few or too flat."""
+def fit_terciles(df: DataFrame, score: str, winsorise: float = 0.05, known: DataFrame | None = None) -> Thresholds | None:
+    """Tercile limits of the winsorised scores; marked ``by_rank`` when too few or too flat.
+
+    Two passes over the scores: their histogram, and the bins that hold the wanted positions. With
+    ``known``, a stored histogram of the scores, the first is saved.
+    """
     thirds = {"q33": 1 / 3, "q67": 2 / 3}
-    tails = {"lo": winsorise, "hi": 1 - winsorise}
+    probs = {"min": 0.0, "max": 1.0, **thirds, "lo": winsorise, "hi": 1 - winsorise}
     scores = df.select(score)
-    cut = quantile_values(scores, score, {"min": 0.0, "max": 1.0, **thirds, **tails})
-    if not cut.get("n"):
+    known = cut_lineage(histogram(scores, score)) if known is None else known
+    places = lambda n: [f((n - 1) * F.lit(float(p))) for p in probs.values() for f in (F.floor, F.ceil)]
+    steps = values_at(scores, score, places, known=known).distinct().collect()  # at most two a position
+    if not steps:
         return None
+    n = steps[0]["n"]
+
+    def around(p: float):
+        place = (n - 1) * p
+        low, high = (next(s for s in steps if s["before"] <= f(place) < s["before"] + s["cnt"]) for f in (floor, ceil))
+        return low, high, low[score] + (high[score] - low[score]) * (place - floor(place))
+
+    cut = {name: around(p)[2] for name, p in probs.items()}
     limits = None
-    if cut["n"] >= WINSORISE_FROM and winsorise > 0:
+    if n >= WINSORISE_FROM and winsorise > 0:
         limits = (cut["lo"], cut["hi"])
         if winsorise >= 0.3:  # the tails may reach the terciles: take them from clipped scores
             clipped = scores.select(_winsorised(F.col(score), limits).alias(score))
             cut |= quantile_values(clipped, score, thirds)
-    good = cut["n"] >= TERCILES_FROM and abs(cut["q67"] - cut["q33"]) > SAME
-    if good:  # a third value strictly between the extremes, before winsorising
-        inner = (F.col(score) > cut["min"]) & (F.col(score) < cut["max"])
-        good = bool(df.where(inner).take(1))
-    return Thresholds(cut["q33"], cut["q67"], limits, by_rank=not good)
+    good = n >= TERCILES_FROM and abs(cut["q67"] - cut["q33"]) > SAME
+    good = good and _third_value(scores, score, known, cut["min"], cut["max"])
+    counts = None
+    if good and winsorise < 0.3:
+        low, high = around(thirds["q33"]), around(thirds["q67"])
+        least = low[1] if low[2] == low[1][score] else low[0]  # the largest score up to the limit
+        below = high[0]["before"] + (high[0]["cnt"] if high[2] > high[0][score] else 0)
+        counts = {"Low": least["before"] + least["cnt"], "High": n - below}
+        counts["Medium"] = n - counts["Low"] - counts["High"]
+    return Thresholds(cut["q33"], cut["q67"], limits, not good, counts)
+
+
+def _third_value(scores: DataFrame, score: str, known: DataFrame, least: float, most: float) -> bool:
+    """Whether a score lies strictly between the extremes, before winsorising; bins usually tell."""
+    between = [(F.col(c) > least) & (F.col(c) < most) for c in ("low", "high")]
+    if known.where(between[0] | between[1]).head(1):
+        return True
+    several = known.where("low < high").head(1)
+    return bool(several) and bool(scores.where((F.col(score) > least) & (F.col(score) < most)).take(1))
 
 
 def _winsorised(score: Column, limits: tuple[float, float] | None) -> Column:
@@ -96,48 +127,65 @@ def enforce_min_shares(
     shares: Shares = Shares(),
     centres: tuple[float, float] = (0.33, 0.67),
     label: str = "label",
+    counts: dict[str, int] | None = None,
 ) -> DataFrame:
     """Moves the closest rows until every class holds its minimum share.
 
     Medium is filled first from both sides (closest to 0.5), then Low and High from Medium
     (closest to their limit), never below Medium's own minimum. Ties go by id as text. Each
-    step finds one cut-off (distance, id); the labels stay a projection.
+    step finds one cut-off (distance, id) in a stored copy of ids, scores and labels; the labels stay
+    a projection. ``counts`` are the rows of each class, where known already.
     """
-    counts = {r[label]: r["count"] for r in labelled.groupBy(label).count().collect()}  # three rows
+    slim = None
+    if counts is None:
+        slim = _slim(labelled, label)
+        counts = {r["_class"]: r["count"] for r in slim.groupBy("_class").count().collect()}  # three rows
     have = {name: counts.get(name, 0) for name in vocab.TRI_LEVELS}
     n = sum(have.values())
     need = {
         "Low": ceil(shares.low * n), "Medium": ceil(shares.medium * n), "High": ceil(shares.high * n),
     }
-    rows = labelled
-    short = need["Medium"] - have["Medium"]
-    if short > 0:
-        before = {k: v for k, v in have.items()}
-        rows, moved = _move(rows, label, F.col(label) != "Medium", MIDDLE, "Medium", short)
-        for name, gone in moved.items():
-            have[name] = before[name] - gone
-        have["Medium"] += sum(moved.values())
+    moves: list[tuple[str, float, str, Cutoff]] = []
+
+    def move(source: str, centre: float, target: str, k: int) -> None:
+        nonlocal slim
+        slim = _slim(labelled, label) if slim is None else slim
+        now = _moved(slim, moves, "_class").withColumn("_d", F.abs(F.col("_score") - centre))
+        candidates = now.where(_sources(source, "_class"))
+        cutoff = smallest(candidates, "_d", "_i", k)
+        if cutoff is None:
+            return
+        gone = candidates.where(cutoff.admits(F.col("_d"), F.col("_i"))).groupBy("_class").count().collect()
+        moves.append((source, centre, target, cutoff))
+        for r in gone:
+            have[r["_class"]] -= r["count"]
+            have[target] += r["count"]
+
+    if need["Medium"] > have["Medium"]:
+        move("others", MIDDLE, "Medium", need["Medium"] - have["Medium"])
     for name, centre in (("Low", centres[0]), ("High", centres[1])):
-        spare = have["Medium"] - need["Medium"]
-        wanted = min(need[name] - have[name], spare)
+        wanted = min(need[name] - have[name], have["Medium"] - need["Medium"])
         if wanted > 0:
-            rows, moved = _move(rows, label, F.col(label) == "Medium", centre, name, wanted)
-            have[name] += sum(moved.values())
-            have["Medium"] -= sum(moved.values())
-    return rows
+            move("Medium", centre, name, wanted)
+    if not moves:
+        return labelled
+    return _moved(labelled.withColumn("_i", F.col("id").cast("string")), moves, label).drop("_i")
 
 
-def _move(
-    rows: DataFrame, label: str, candidate: Column, centre: float, target: str, k: int
-) -> tuple[DataFrame, dict[str, int]]:
-    ranked = rows.withColumn("_d", F.abs(F.col("_score") - centre)).withColumn("_i", F.col("id").cast("string"))
-    cutoff: Cutoff | None = smallest(ranked.where(candidate), "_d", "_i", k)
-    if cutoff is None:
-        return rows, {}
-    chosen = candidate & cutoff.admits(F.col("_d"), F.col("_i"))
-    moved = {r[label]: r["count"] for r in ranked.where(chosen).groupBy(label).count().collect()}
-    relabelled = ranked.withColumn(label, F.when(chosen, target).otherwise(F.col(label)))
-    return relabelled.drop("_d", "_i"), moved
+def _slim(labelled: DataFrame, label: str) -> DataFrame:
+    return cut_lineage(labelled.select(F.col("id").cast("string").alias("_i"), "_score", F.col(label).alias("_class")))
+
+
+def _sources(source: str, label: str) -> Column:
+    return F.col(label) == "Medium" if source == "Medium" else F.col(label) != "Medium"
+
+
+def _moved(rows: DataFrame, moves: list[tuple[str, float, str, Cutoff]], label: str) -> DataFrame:
+    """The labels after some moves, one after the other."""
+    for source, centre, target, cutoff in moves:
+        chosen = _sources(source, label) & cutoff.admits(F.abs(F.col("_score") - centre), F.col("_i"))
+        rows = rows.withColumn(label, F.when(chosen, target).otherwise(F.col(label)))
+    return rows
 
 
 def calibrate(
@@ -149,14 +197,14 @@ def calibrate(
     if fitted is None:
         return scored.withColumn(label, F.lit(None).cast("string"))
     labelled = classify_terciles(scored, score, fitted, label)
-    return enforce_min_shares(labelled, shares, (fitted.q33, fitted.q67), label).drop("_score")
+    return enforce_min_shares(labelled, shares, (fitted.q33, fitted.q67), label, fitted.counts).drop("_score")
 
 
 def classify_with_thresholds(
     df: DataFrame, score: str, stored: Thresholds | None = None, shares: Shares = Shares(), label: str = "label"
 ) -> DataFrame:
     """Labels from stored limits (no winsorising), 0.33 / 0.66 when none are stored."""
-    limits = replace(stored or STORED_FALLBACK, winsor=None, by_rank=False)
+    limits = replace(stored or STORED_FALLBACK, winsor=None, by_rank=False, counts=None)
     if limits.q33 is not None and limits.q67 is not None and abs(limits.q67 - limits.q33) < SAME:
         limits = replace(limits, by_rank=True)
     labelled = classify_terciles(df.where(F.col(score).isNotNull()), score, limits, label)

@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.functions.numbers import as_int, clamp
+from merchlens.operators.histogram import values_at
 
 MAX_RANGES = 4096
-FEW_RANGES = 10_000
-PUSHED_RANGES = 64
 RANGES_PER_PARTITION = 3  # more ranges than tasks, so that hashing them spreads evenly
 
 
@@ -109,54 +108,6 @@ def _before(counts: DataFrame, slots: list[str], order: list[str]) -> DataFrame:
     return counts.withColumn("before", F.col("_offset") + earlier).drop("_offset")
 
 
-def values_at(
-    df: DataFrame,
-    value: str,
-    positions: Callable[[Column], list[Column]],
-    groups: list[str] | None = None,
-    range_key: Column | None = None,
-) -> DataFrame:
-    """The rows of :func:`ranked_values` around some sorted positions, found by selection.
-
-    ``positions`` gives the wanted 0-based positions from ``n``. Two scans without a large
-    shuffle (sketch, rows per range) tell which ranges hold them; only rows of those ranges
-    are shuffled and ordered.
-    """
-    groups = groups or []
-    slots = [*groups, "_range"]
-    key = F.col(value) if range_key is None else range_key
-    rows = df.select(*groups, value).where(F.col(value).isNotNull())
-    borders = range_borders(rows, key)
-    totals = in_range(rows, key, borders).groupBy(*slots).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = _offsets(totals, groups, "_range")
-    end = F.col("_offset") + F.col("_rows")
-    holds = [(F.col("_offset") <= p) & (p < end) for p in positions(F.col("n"))]
-    wanted = offsets.where(reduce(or_, holds)).drop("_rows")
-    few = wanted.limit(FEW_RANGES + 1).collect()
-    if len(few) <= FEW_RANGES:  # a proven bound, so the filter may travel to the scan
-        wanted = F.broadcast(df.sparkSession.createDataFrame(few, wanted.schema))
-        numbers = {int(r["_range"]) for r in few}
-        if len(numbers) <= PUSHED_RANGES:
-            rows = rows.where(_inside(key, borders, numbers))
-    picked = _beside(in_range(rows, key, borders), wanted, slots)
-    counts = picked.groupBy(*slots, value, "_offset", "n").agg(F.count(F.lit(1)).alias("cnt"))
-    return _before(counts, slots, [value]).drop("_range")
-
-
-def _inside(key: Column, borders: list[float], numbers: set[int]) -> Column:
-    """True for keys of the numbered ranges, as plain comparisons that a scan understands."""
-    number = key.cast("double")
-    tests = [F.lit(False)]
-    for i in numbers:
-        if i > len(borders):
-            tests.append(F.isnan(number))  # not-a-number sorts behind everything
-            continue
-        low = [number >= borders[i - 1]] if i > 0 else []
-        high = [number < borders[i]] if i < len(borders) else []
-        tests.append(reduce(and_, [*low, *high], ~F.isnan(number)))
-    return reduce(or_, tests)
-
-
 def at_rank(position: Column) -> Column:
     """True on the histogram row that holds the 0-based sorted ``position``."""
     return (F.col("before") <= position) & (position < F.col("before") + F.col("cnt"))
@@ -168,11 +119,12 @@ def exact_quantiles(
     probs: dict[str, float],
     groups: list[str] | None = None,
     method: str = "linear",
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs``.
 
     ``linear`` interpolates between neighbours, ``floor`` takes the value at the floored
-    position (no interpolation).
+    position (no interpolation). ``known`` is a stored histogram of the rows.
     """
     groups = groups or []
 
@@ -180,7 +132,7 @@ def exact_quantiles(
         places = [(n - 1) * F.lit(float(p)) for p in probs.values()]
         return [F.floor(p) for p in places] + ([] if method == "floor" else [F.ceil(p) for p in places])
 
-    ranked = values_at(df, value, positions, groups)
+    ranked = values_at(df, value, positions, groups, known)
     aggregates, results = [F.max("n").alias("n")], [F.col("n")]
     for name, p in probs.items():
         position = (F.col("n") - 1) * F.lit(float(p))
@@ -269,6 +221,7 @@ def number_by_unique(df: DataFrame, key: str, out: str) -> DataFrame:
 
 
 KEY_BYTES = 6
+TEXT_BYTES = 3
 
 
 def text_range_key(c: Column, done: int = 0) -> Column:
@@ -280,26 +233,21 @@ def text_range_key(c: Column, done: int = 0) -> Column:
 def nth_text(df: DataFrame, item: str, k: int) -> str | None:
     """The ``k``-th smallest text (1-based, NULLs left out; the largest if there are fewer).
 
-    Chosen six bytes at a time: each pass keeps the rows that share the chosen bytes, so ids
-    with a long common prefix cost passes, never one large task.
+    Chosen three bytes at a time: a pass counts the rows by the next bytes (at most 2^24 of them),
+    the next one goes on with those that share the chosen ones. So ids with a long common prefix
+    cost passes, never one large task.
     """
     rows, done = df.select(item).where(F.col(item).isNotNull()), 0
     while True:
-        facts = rows.agg(F.min(item), F.max(item), F.max(F.octet_length(item)), F.count(F.lit(1))).first()
-        low, high, length, n = facts
-        if low == high:
-            return low
-        k = min(k, n)
-        if length <= done:  # equal but for zero bytes at the end: a few distinct texts
-            for row in rows.groupBy(item).count().orderBy(item).collect():
-                k -= row["count"]
-                if k <= 0:
-                    return row[0]
-        key = text_range_key(F.col(item), done)
-        counted = values_at(rows.select(key.alias("_bytes")), "_bytes", lambda _, k=k: [F.lit(k - 1)])
-        hit = counted.where(at_rank(F.lit(k - 1))).first()
-        k -= hit["before"]
-        rows, done = rows.where(key == hit["_bytes"]), done + KEY_BYTES
+        part = F.substring(F.hex(F.encode(F.col(item), "UTF-8")), 2 * done + 1, 2 * TEXT_BYTES)
+        counted = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("cnt"), F.min(item).alias("low"), F.max(item).alias("high"))
+        upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = counted.withColumn("upto", F.sum("cnt").over(upto)).withColumn("n", F.sum("cnt").over(Window.partitionBy()))
+        hit = counted.where(F.col("upto") >= F.least(F.lit(k), F.col("n"))).orderBy("_part").first()
+        if hit is None or hit["low"] == hit["high"]:
+            return hit and hit["low"]
+        k = min(k, hit["n"]) - (hit["upto"] - hit["cnt"])
+        rows, done = rows.where(part == hit["_part"]), done + TEXT_BYTES
 
 
 @dataclass(frozen=True)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.numbers import as_int, clamp, ratio, to_double
+from merchlens.operators.histogram import value_bin
 from merchlens.operators.latest import latest_per
 from merchlens.operators.ranks import exact_quantiles
+from merchlens.session import cut_lineage
 
 LOW_COVERAGE, LOW_COVERAGE_CAP = 0.35, 15.0
 COMPETITION_HIGH = 0.7
@@ -19,29 +24,39 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 def profile_metrics(df: DataFrame, metrics: list[str], segments: list[str] | None = None) -> DataFrame:
     """Per segment and metric: min, max, mean, std, quartiles, coverage.
 
-    Moments come from one wide aggregation; only the quartiles need the long form, and that
-    is counted per distinct value before anything is ranked.
+    One pass counts every metric's values in a histogram whose bins also carry mean and squared
+    deviations; all moments add up from these bins. A second pass settles the quartiles.
     """
     segments = segments or []
     numbers = df.select(*segments, *[F.col(m).cast("double").alias(m) for m in metrics])
-    wide = numbers.groupBy(*segments).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[
-            F.struct(
-                F.min(m).alias("min"), F.max(m).alias("max"), F.avg(m).alias("mean"),
-                F.stddev_samp(m).alias("std"), F.count(m).alias("known"),
-            ).alias(m)
-            for m in metrics
-        ],
+    long = numbers.unpivot(segments, metrics, "metric", "value")
+    keys = [*segments, "metric"]
+    bins = cut_lineage(
+        long.groupBy(*keys, value_bin(F.col("value")).alias("bin")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("value").alias("low"), F.max("value").alias("high"),
+            F.avg("value").alias("centre"), (F.var_pop("value") * F.count("value")).alias("spread"),
+        )
+    )
+    known = bins.where(F.col("bin").isNotNull())
+    weighed = F.sum(F.col("centre") * F.col("cnt")) / F.sum(F.when(F.col("bin").isNotNull(), F.col("cnt")))
+    totals = bins.groupBy(*keys).agg(
+        F.min("low").alias("min"), F.max("high").alias("max"), weighed.alias("mean"),
+        F.sum("cnt").alias("_n"), F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("cnt"))), F.lit(0)).alias("_known"),
+    )
+    beside = [F.col(f"b.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    off = known.alias("b").join(totals.alias("t"), reduce(and_, beside)).groupBy(*[F.col(f"t.{k}").alias(k) for k in keys]).agg(
+        F.sum(F.col("b.spread") + F.col("b.cnt") * F.pow(F.col("b.centre") - F.col("t.mean"), 2)).alias("_off")
     )
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("s")) for m in metrics])
-    moments = wide.select(*segments, "_n", F.inline(pairs)).select(
-        *segments, "metric", "s.min", "s.max", "s.mean", "s.std",
-        (F.col("s.known") / F.col("_n")).alias("coverage"),
+    quartiles = exact_quantiles(long, "value", QUARTILES, keys, known=known.select(*keys, "bin", "cnt", "low", "high")).drop("n")
+    moments = totals
+    for facts in (off, quartiles):
+        other = facts.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        moments = moments.join(other, reduce(and_, same), "left").drop(*[f"_{k}" for k in keys])
+    deviation = F.when(F.col("_known") > 1, F.sqrt(F.col("_off") / (F.col("_known") - 1)))
+    return moments.select(
+        *keys, "min", "max", "mean", deviation.alias("std"), *QUARTILES, (F.col("_known") / F.col("_n")).alias("coverage")
     )
-    long = numbers.unpivot(segments, metrics, "metric", "value").where(F.col("value").isNotNull())
-    quartiles = exact_quantiles(long, "value", QUARTILES, [*segments, "metric"]).drop("n")
-    return moments.join(quartiles, [*segments, "metric"], "left")
 
 
 def _position() -> Column:
