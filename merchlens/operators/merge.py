@@ -1,16 +1,14 @@
-"""Upserts: last row wins inside a load, then a keyed merge, then a new snapshot."""
+"""Upserts: last row wins inside a load, then a keyed merge, or changes that are merged on reading."""
 
 from __future__ import annotations
 
-import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.session import hadoop_path
 
-POINTER = "CURRENT"
-
 
 def dedup_last(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row with the highest ``sequence`` per key, combined map-side."""
@@ -61,94 +59,39 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, keys: list[str], sequence:
     return merge_rows(cache, dedup_last(fresh, keys, sequence), keys)
 
 
-# --- stored tables ----------------------------------------------------------------------
+# --- stored changes ---------------------------------------------------------------------
 #
-# A table is a folder with whole snapshots, later changes as ``deltas/version=N``, and one
-# small file that names the snapshot and the last version it contains.
-
-
-def _current(spark: SparkSession, root: str) -> tuple[str | None, int]:
-    path, fs = hadoop_path(spark, f"{root}/{POINTER}")
-    if not fs.exists(path):
-        return None, -1
-    name, version = spark.read.text(str(path)).first()[0].split()
-    return name, int(version)
+# A table that grows by batches is a folder of plain Parquet files, one sub-folder a writer's run
+# and batch. Nothing is ever rewritten but by the same batch running again, and which row of a
+# key holds is decided on reading.
 
 
-def write_snapshot(df: DataFrame, root: str, partition_by: list[str] | None = None, version: int = -1) -> str:
-    """Writes a whole new snapshot under ``root`` and then points readers at it.
+def append_changes(changes: DataFrame, root: str, run: str, batch: int = 0) -> None:
+    """Adds changed rows (one per key) to the folder ``root``; the same run and batch replace themselves.
 
-    Readers of the old snapshot are not disturbed, and a failed write leaves the pointer
-    where it was. ``version`` is the last change the snapshot already contains.
+    ``run`` is unique to a writer, as a streaming query's id is. A batch is later than every one
+    that was stored before it by the clock of whoever stores it.
     """
-    name = f"snapshot-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
-    path, fs = hadoop_path(df.sparkSession, f"{root}/{POINTER}")
-    out = fs.create(path, True)
-    out.writeBytes(f"{name} {version}")
-    out.close()
-    return name
-
-
-def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current snapshot without later changes, or None before the first one."""
-    name, _ = _current(spark, root)
-    return None if name is None else spark.read.parquet(f"{root}/{name}")
-
-
-def append_delta(changes: DataFrame, root: str, run: str | int) -> None:
-    """Stores changed rows (one per key) after all that is stored. Writing a run again replaces it.
-
-    ``run`` names the batch over all writers. Its place in the order is taken from the table, so
-    that batches of different streams never replace each other.
-    """
-    spark = changes.sparkSession
-    folder, fs = hadoop_path(spark, f"{root}/deltas")
-    version = _current(spark, root)[1]
-    if fs.exists(folder):
-        for stored in fs.listStatus(folder):
-            number = int(stored.getPath().getName().split("=")[1])
-            if any(d.getPath().getName() == f"run={run}" for d in fs.listStatus(stored.getPath())):
-                version = number - 1
-                break
-            version = max(version, number)
-    changes.write.mode("overwrite").parquet(f"{root}/deltas/version={version + 1}/run={run}")
-
-
-def _layers(spark: SparkSession, root: str) -> tuple[DataFrame | None, int]:
-    """Snapshot rows and later changes with their ``version``, and the last version."""
-    name, done = _current(spark, root)
-    frames = [] if name is None else [spark.read.parquet(f"{root}/{name}").withColumn("version", F.lit(-1))]
-    folder, fs = hadoop_path(spark, f"{root}/deltas")
-    last = done
-    if fs.exists(folder):
-        versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)]
-        newer = [v for v in versions if v > done]
-        if newer:
-            last = max(newer)
-            frames.append(spark.read.parquet(folder.toString()).where(F.col("version") > done).drop("run"))
-    if not frames:
-        return None, last
-    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
-    return rows, last
+    stored_at = F.lit(datetime.now(timezone.utc))
+    changes.withColumn("_stored_at", stored_at).write.mode("overwrite").parquet(f"{root}/run={run}/batch={batch}")
 
 
 def read_merged(
     spark: SparkSession, root: str, key: str = "sig_hash", keep_old_if_null: dict[str, object] | None = None,
     keep_always: list[str] | None = None,
 ) -> DataFrame | None:
-    """The table with all changes applied in order: one aggregation by key.
+    """The last row per key of all stored changes: one aggregation; None before the first ones.
 
-    Gives the rows that merging version after version would give, with the meaning of
+    Gives the rows that merging batch after batch would give, with the meaning of
     :func:`merge_rows`.
     """
-    rows, _ = _layers(spark, root)
-    if rows is None:
+    path, files = hadoop_path(spark, root)
+    if not files.exists(path):
         return None
+    rows = spark.read.option("mergeSchema", True).parquet(root)
     defaults, fixed = keep_old_if_null or {}, keep_always or []
-    columns = [c for c in rows.columns if c != "version"]
-    version = F.col("version")
+    columns = [c for c in rows.columns if c not in ("_stored_at", "run", "batch")]
+    version = F.struct("_stored_at", F.col("run").cast("string"), "batch")
     special = [F.max_by(c, F.when(F.col(c).isNotNull(), version)).alias(f"_k_{c}") for c in defaults]
     special += [F.min_by(c, version).alias(f"_k_{c}") for c in fixed]
     newest = F.max_by(F.struct(*[c for c in columns if c != key]), version).alias("_row")
@@ -162,9 +105,3 @@ def read_merged(
         return (F.col(f"_k_{c}") if c in fixed else F.col(f"_row.{c}")).alias(c)
 
     return merged.select(*[value(c) for c in columns])
-
-
-def compact(spark: SparkSession, root: str, **merging) -> str:
-    """Folds all changes into a new snapshot; readers switch with the pointer."""
-    _, last = _layers(spark, root)
-    return write_snapshot(read_merged(spark, root, **merging), root, version=last)

@@ -227,12 +227,12 @@ def upsert_products(spark, folder):
 WHERE p_partkey IN (SELECT doc_id FROM documents) OR p_partkey IN (SELECT o_custkey FROM orders)""",
 )
 def snapshot_upsert(spark, folder):
-    """The upsert written as a new snapshot and read back through the pointer."""
+    """The upsert as changes that are stored one after the other and merged on reading."""
     root = scratch_path(spark, "products")
     stored, staged = _stored_and_staged(spark, folder)
-    merge.write_snapshot(stored, root)
-    merge.write_snapshot(merge.upsert_products(merge.read_snapshot(spark, root), staged), root)
-    return merge.read_snapshot(spark, root).agg(
+    merge.append_changes(stored, root, "stored")
+    merge.append_changes(merge.dedup_last(staged, ["sig_hash"], "seq").drop("seq"), root, "staged")
+    return merge.read_merged(spark, root, keep_old_if_null={"winner_score": 0}, keep_always=["id"]).agg(
         F.count(F.lit(1)).alias("products"), F.countDistinct("sig_hash").alias("signatures")
     )
 

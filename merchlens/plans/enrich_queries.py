@@ -14,7 +14,7 @@ from merchlens.plans import frames as fr
 from merchlens.plans.catalog_queries import _LOW_QUALITY, SIG
 from merchlens.plans.registry import query
 from merchlens.plans.trend_queries import rounded
-from merchlens.session import scratch_path
+from merchlens.session import hadoop_path, scratch_path
 from merchlens.streaming import jobs as streams
 
 # white space as the library strips it, and a text without units and pack words
@@ -545,10 +545,54 @@ def stream_ingest(spark, folder):
     )
     root = scratch_path(spark, "ingested")
     streams.stream_ingest(staged, root, scratch_path(spark, "state")).awaitTermination()
-    merge.compact(spark, root, keep_old_if_null={"winner_score": 0}, keep_always=["id"])
     return merge.read_merged(spark, root, "sig_hash", {"winner_score": 0}, ["id"])
 
 
+@query(
+    "stream_checkpoint_anew",
+    f"""SELECT id, sig_hash, winner_score FROM (SELECT p_partkey AS id, {SIG} AS sig_hash, COALESCE(CASE WHEN p_size % 3 <> 0 THEN p_size END, 0) AS winner_score,
+  ROW_NUMBER() OVER (PARTITION BY {SIG} ORDER BY p_partkey DESC) AS rn FROM part) WHERE rn = 1
+UNION ALL SELECT s_suppkey, 'supplier ' || s_suppkey, 1 FROM supplier""",
+)
+def stream_checkpoint_anew(spark, folder):
+    """Two streams into one table, the second with a checkpoint made anew at the first one's path."""
+    parts = stream_of(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"),
+        signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None)).alias("sig_hash"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("winner_score"),
+        F.col("p_partkey").alias("seq"),
+    )
+    suppliers = stream_of(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("sig_hash"),
+        F.lit(1).alias("winner_score"), F.col("s_suppkey").alias("seq"),
+    )
+    root, state = scratch_path(spark, "ingested"), scratch_path(spark, "state")
+    for stream in (parts, suppliers):
+        streams.stream_ingest(stream, root, state).awaitTermination()
+        path, files = hadoop_path(spark, state)
+        files.delete(path, True)
+    return merge.read_merged(spark, root, "sig_hash", {"winner_score": 0}, ["id"])
+
+
+@query(
+    "stream_latest",
+    f"""SELECT id, sig_hash, seq FROM (SELECT p_partkey AS id, {SIG} AS sig_hash, p_size AS seq,
+  ROW_NUMBER() OVER (PARTITION BY {SIG} ORDER BY p_size DESC, p_partkey DESC) AS rn FROM part) WHERE rn = 1""",
+)
+def stream_latest(spark, folder):
+    """The row of the highest number per key from two streams, the second of which repeats the first's rows."""
+    rows = stream_of(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"),
+        signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None)).alias("sig_hash"),
+        (F.col("p_size") * F.lit(10**9) + F.col("p_partkey")).alias("seq"),
+    )
+    root = scratch_path(spark, "latest")
+    for _ in range(2):
+        streams.stream_latest(rows, root, scratch_path(spark, "state")).awaitTermination()
+    last = merge.read_merged(spark, root)
+    return last.withColumn("seq", F.floor(F.col("seq") / 10**9).cast("int"))
+
+
 def _bucket_sql(unit: str, days: int) -> str:
     return EV + f"""SELECT CAST(CAST(date_trunc('{unit}', ts) AS DATE) AS VARCHAR) AS date, COUNT(*) AS rows, CAST(SUM(k) AS DOUBLE) AS units,
   ROUND(SUM(value), 4) AS revenue FROM ev
@@ -603,7 +647,7 @@ def stream_enrich_lookup(spark, folder):
 @query("stream_metrics", "SELECT CAST(0 AS BIGINT) AS batch_no, COUNT(*) AS rows FROM events")
 def stream_metrics(spark, folder):
     metrics = scratch_path(spark, "metrics")
-    streams.stream_metrics(
-        stream_of(spark, folder, "events"), scratch_path(spark, "events"), metrics, scratch_path(spark, "state")
-    ).awaitTermination()
+    streams.finish(
+        *streams.stream_metrics(stream_of(spark, folder, "events"), scratch_path(spark, "events"), metrics, scratch_path(spark, "state"))
+    )
     return spark.read.parquet(metrics).select("batch_no", "rows")

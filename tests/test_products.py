@@ -160,18 +160,16 @@ def test_last_staged_row_wins_then_merges(spark):
 
 def test_changes_read_like_merges_one_after_another(spark, tmp_path):
     root = str(tmp_path / "t")
-    assert merge.read_merged(spark, root) is None and merge.read_snapshot(spark, root) is None
+    assert merge.read_merged(spark, root) is None
     base = spark.createDataFrame([("a", "A", 1.0, 50), ("b", "B", 2.0, 60)], "sig_hash string, name string, price double, winner_score int")
-    merge.write_snapshot(base, root)
+    merge.append_changes(base, root, "base")
     want = base
     batches = [[("a", "A2", None, None, 1), ("c", "C", 3.0, None, 2)], [("a", "A3", 5.0, 7, 1), ("c", "C2", 4.0, None, 2)], [("a", "A4", 6.0, None, 1)]]
     keep = {"winner_score": 0}
-    for version, batch in enumerate(batches):
+    for number, batch in enumerate(batches):
         staged = spark.createDataFrame(batch, STAGED)
-        merge.append_delta(merge.dedup_last(staged, ["sig_hash"], "seq").drop("seq"), root, version)
-        merge.append_delta(merge.dedup_last(staged, ["sig_hash"], "seq").drop("seq"), root, version)  # a retry
+        for _ in range(2):  # the second time as a retry
+            merge.append_changes(merge.dedup_last(staged, ["sig_hash"], "seq").drop("seq"), root, "writer", number)
         want = merge.upsert_products(want, staged)
-        if version == 1:
-            merge.compact(spark, root, keep_old_if_null=keep)
         assert rows(merge.read_merged(spark, root, keep_old_if_null=keep)) == rows(want)
     assert rows(want) == [("a", "A4", 6.0, 7), ("b", "B", 2.0, 60), ("c", "C2", 4.0, 0)]

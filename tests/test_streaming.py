@@ -1,5 +1,7 @@
+import shutil
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import rows
@@ -84,14 +86,49 @@ def test_metrics_and_lookup(spark, tmp_path):
     source, table, metrics, state = (str(tmp_path / n) for n in ("in", "table", "metrics", "state"))
     feed(spark, source, [(1, "a"), (2, "b")], schema)
     stream = spark.readStream.schema(schema).parquet(source)
-    streams.stream_metrics(stream, table, metrics, state).awaitTermination()
-    assert rows(spark.read.parquet(metrics), "batch_no", "rows") == [(0, 2)] and spark.read.parquet(table).count() == 2
+    query, listener = streams.stream_metrics(stream, table, metrics, state)
+    streams.finish(query, listener)
+    listener.written.clear()
+    listener.record(query.recentProgress[-1])  # a batch that is reported again
+    (row,) = spark.read.parquet(metrics).collect()
+    assert (row["batch_no"], row["rows"]) == (0, 2) and spark.read.parquet(table).count() == 2
+    progress = query.recentProgress[0]
+    assert row["duration_ms"] == progress["durationMs"]["triggerExecution"] and row["throughput"] == pytest.approx(2000 / row["duration_ms"])
     cache = spark.createDataFrame([("a", 5)], "sig_hash string, v int").withColumn("updated_at", F.lit(datetime(2024, 1, 1)))
     found = streams.stream_enrich_lookup(stream, cache, datetime(2024, 1, 2)).select("id", "hit", "v")
     got = rows(streams.run_to_files(found, str(tmp_path / "out"), str(tmp_path / "state2")))
     assert got == [(1, True, 5), (2, False, None)]
 
 
+def test_a_checkpoint_made_anew_replaces_nothing(spark, tmp_path):
+    root, state, table, metrics = (str(tmp_path / n) for n in ("products", "state", "rows", "metrics"))
+    for n, names in enumerate((["Lamp", "Box"], ["Pen"])):
+        feed(spark, str(tmp_path / f"in{n}"), [(name[0], name, None, i) for i, name in enumerate(names)], STAGED)
+        stream = spark.readStream.schema(STAGED).parquet(str(tmp_path / f"in{n}"))
+        streams.stream_ingest(stream, root, state).awaitTermination()
+        streams.finish(*streams.stream_metrics(stream, table, metrics, f"{state}-metrics"))
+        for folder in (state, f"{state}-metrics"):
+            shutil.rmtree(folder)
+    got = merge.read_merged(spark, root, keep_old_if_null={"winner_score": 0})
+    assert sorted(r["name"] for r in got.collect()) == ["Box", "Lamp", "Pen"]
+    assert spark.read.parquet(table).count() == 3 and rows(spark.read.parquet(metrics), "batch_no", "rows") == [(0, 1), (0, 2)]
+
+
+def test_keyed_state_passes_on_what_is_newer(spark, tmp_path):
+    source, root, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+
+    def run():
+        streams.stream_latest(spark.readStream.schema(STAGED).parquet(source), root, state).awaitTermination()
+        return rows(merge.read_merged(spark, root), "sig_hash", "name", "seq")
+
+    feed(spark, source, [("a", "A1", 1, 10), ("a", "A3", 3, 30), ("b", "B", None, 5), (None, "N", 1, 1), ("c", "C", 1, None)], STAGED)
+    assert run() == [("a", "A3", 30), ("b", "B", 5)]
+    feed(spark, source, [("a", "A2", 2, 20), ("b", "B", None, 5), ("b", "B6", None, 6)], STAGED)  # late, repeated, newer
+    assert run() == [("a", "A3", 30), ("b", "B6", 6)]
+    changes = spark.read.parquet(root)
+    assert changes.count() == 3 and changes.select("run").distinct().count() == 1
+
+
 def test_imports_with_own_checkpoints_add_up(spark, tmp_path):
     root = str(tmp_path / "products")
     schema = "sig_hash string, name string, winner_score int, seq long"
@@ -100,7 +137,5 @@ def test_imports_with_own_checkpoints_add_up(spark, tmp_path):
         staged.write.parquet(str(tmp_path / f"in{n}"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in{n}"))
         streams.stream_ingest(stream, root, str(tmp_path / f"checkpoint{n}")).awaitTermination()
-        if n == 1:
-            merge.compact(spark, root, keep_old_if_null={"winner_score": 0})
     got = merge.read_merged(spark, root, keep_old_if_null={"winner_score": 0})
     assert sorted(r["name"] for r in got.collect()) == ["Box", "Lamp", "Pen"]
