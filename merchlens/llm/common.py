@@ -6,6 +6,7 @@ import gc
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_numbers(values: list[int | None]) -> pd.arrays.IntegerArray:
+    """64-bit numbers beside missing ones. Columns of both would become floats, which change large ids."""
+    missing = np.array([v is None for v in values], bool)
+    return pd.arrays.IntegerArray(np.array([0 if v is None else v for v in values], np.int64), missing)
+
+
 # --- numpy -------------------------------------------------------------------------------
 
 

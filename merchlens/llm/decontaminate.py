@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,27 +156,29 @@ WINDOW_SCHEMA = "window long, place int, typed boolean, slots array<long>"
 def _windows(df: DataFrame, id: str, text: str, window: int, literal: int, bloom: np.ndarray | None = None) -> DataFrame:
     kind = df.schema[id].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b["id"], b["text"].tolist()
+            texts = b.column("text").to_pylist()
             for begin, end in in_batches(texts):
                 t = Templates(texts[begin:end], window, literal)
                 rows = np.arange(len(t.hash)) if bloom is None else np.flatnonzero(in_filter(bloom, t.hash))
                 if not len(rows):
                     continue
-                yield pd.DataFrame(
-                    {
-                        "id": ids.iloc[begin + t.text[rows]],
-                        "key": b["key"].iloc[begin + t.text[rows]],
-                        "window": t.hash[rows].view(np.int64),
-                        "place": t.place[rows].astype(np.int32),
-                        "typed": t.typed[rows],
-                        "slots": [t.slots(r) for r in rows],
-                    }
+                of = pa.array(begin + t.text[rows])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id").take(of),
+                        b.column("key").take(of),
+                        pa.array(t.hash[rows].view(np.int64)),
+                        pa.array(t.place[rows].astype(np.int32)),
+                        pa.array(t.typed[rows].astype(bool)),
+                        pa.array([t.slots(r) for r in rows], pa.list_(pa.int64())),
+                    ],
+                    ["id", "key", "window", "place", "typed", "slots"],
                 )
 
     texts = df.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    return texts.mapInPandas(cut, f"id {kind}, key long, {WINDOW_SCHEMA}")
+    return texts.mapInArrow(cut, f"id {kind}, key long, {WINDOW_SCHEMA}")
 
 
 def bloom_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:

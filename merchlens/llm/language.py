@@ -270,13 +270,13 @@ def learn_languages(
 def predict_languages(products: DataFrame, model: Model, id: str = "id", text: str = "description") -> DataFrame:
     """One row per product: ``id, language_pred, score``; only the text is looked at."""
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, shares = label_texts(b["text"].tolist(), model)
-            yield pd.DataFrame({"id": b["id"], "language_pred": names, "score": shares})
+            names, shares = label_texts(b.column("text").to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["id", "language_pred", "score"])
 
     kind = products.schema[id].dataType.simpleString()
-    return products.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(predict, f"id {kind}, language_pred string, score double")
+    return products.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(predict, f"id {kind}, language_pred string, score double")
 
 
 def identify_languages(

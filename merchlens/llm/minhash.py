@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +98,9 @@ def sketches(products: DataFrame, width: int, id: str, text: str) -> DataFrame:
     """Per row: id, a hash of the text, set size, digest of the set, band keys and signature."""
     kind = products.schema[id].dataType.simpleString()
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text"].tolist()
+            texts = b.column("text").to_pylist()
             for begin, end in in_batches(texts, 1 << 20):
                 values, bounds = shingle_sets(texts[begin:end], width)
                 least = superminhash(values, bounds)
@@ -110,19 +111,21 @@ def sketches(products: DataFrame, width: int, id: str, text: str) -> DataFrame:
                 short = (bits >> np.uint64(48)).astype(np.uint16)
                 size = np.diff(bounds)
                 digests = [hashlib.blake2b(values[i:j].tobytes(), digest_size=16).digest() for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pd.DataFrame(
-                    {
-                        "id": b["id"].iloc[begin:end].to_numpy(),
-                        "key": b["key"].iloc[begin:end].to_numpy(),
-                        "n_shingles": size,
-                        "node": digests,
-                        "bands": [k if n else k[:0] for k, n in zip(keys.view(np.int64), size)],
-                        "signature": [s.tobytes() for s in short],
-                    }
-                ).astype({"id": b["id"].dtype})
+                held = [len(bands) if n else 0 for n, bands in zip(size, keys)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id").slice(begin, end - begin),
+                        b.column("key").slice(begin, end - begin),
+                        pa.array(size, pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *held]), pa.int32()), pa.array(keys.view(np.int64)[np.array(held) > 0].ravel())),
+                        pa.array([s.tobytes() for s in short], pa.binary()),
+                    ],
+                    ["id", "key", "n_shingles", "node", "bands", "signature"],
+                )
 
     texts = products.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    return texts.mapInPandas(sketch, f"id {kind}, {SKETCH}")
+    return texts.mapInArrow(sketch, f"id {kind}, {SKETCH}")
 
 
 def full_sets(products: DataFrame, wanted: DataFrame, width: int, id: str, text: str) -> DataFrame:

@@ -60,7 +60,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(products(spark, folder)).withColumnRenamed("id", "doc_id").drop("text_digest")
 
 
-# Runs of 1, 2, 4 and 8 lines (2^k up to the five words a run needs) by their text.
+# Runs of 1 to 5 lines by their text: every run of five words or more consists of such runs that hold five words.
 OP9_SQL = """
 WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 every AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS pos FROM split),
@@ -69,7 +69,7 @@ numbered AS (SELECT doc_id, pos, line, words, row_number() OVER (PARTITION BY do
 runs AS (
   SELECT doc_id, i, width,
     string_agg(line, chr(10)) OVER w AS run, sum(words) OVER w AS words, count(*) OVER w AS held
-  FROM numbered, (VALUES (1), (2), (4), (8)) AS widths(width)
+  FROM numbered, (VALUES (1), (2), (3), (4), (5)) AS widths(width)
   WINDOW w AS (PARTITION BY doc_id, width ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING)),
 later AS (
   SELECT doc_id, i, width, words, row_number() OVER (PARTITION BY width, run ORDER BY doc_id, i) AS copy

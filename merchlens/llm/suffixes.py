@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from merchlens.llm.common import free_shuffles, mix, partitions, prefix_hash, release, span_hash, stored
 
@@ -25,7 +27,7 @@ PASSES = 6
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
-PACK = "pack long, keys array<long>, sizes array<int>, data binary"
+PACK = "pack long, ids array<long>, missing array<boolean>, keys array<long>, sizes array<int>, data binary"
 PART = "pack long, bucket long, payload binary"
 
 
@@ -38,30 +40,33 @@ def pack_texts(products: DataFrame, id: str, text: str) -> DataFrame:
     A text longer than that is a pack of its own. Every later step reads packs, so that a
     pack's part in it never depends on how files are split.
     """
-    kind = products.schema[id].dataType.simpleString()
+    if not isinstance(products.schema[id].dataType, IntegralType):
+        raise TypeError(f"ids order products and are whole numbers here, not {products.schema[id].dataType.simpleString()}")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def full() -> pd.DataFrame:
-            rows.sort(key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
+        def full() -> pa.RecordBatch:
+            rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             raw = [r[2] for r in rows]
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
-            return pd.DataFrame({"pack": [number], "ids": [[r[0] for r in rows]], "keys": [[r[1] for r in rows]], "sizes": [[len(b) for b in raw]], "data": [data]})
+            values = [number, [r[0] or 0 for r in rows], [r[0] is None for r in rows], [r[1] for r in rows], [len(b) for b in raw], data]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], ["pack", "ids", "missing", "keys", "sizes", "data"])
 
         for b in batches:
-            for key, value, content in zip(b["id"].astype(object).where(b["id"].notna(), None), b["key"], b["text"]):
+            for key, value, content in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text"))):
                 content = (content or "").encode("utf-8")
                 if rows and (size + len(content) > PACK_BYTES or len(rows) == PACK_TEXTS):
                     yield full()
                     number, rows, size = number + 1, [], 0
-                rows.append((None if key is None else int(key), int(value), content))
+                rows.append((key, value, content))
                 size += len(content)
         if rows:
             yield full()
 
-    texts = products.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
-    return texts.mapInPandas(pack, f"{PACK}, ids array<{kind}>")
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    texts = products.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    return texts.mapInArrow(pack, PACK)
 
 
 class Pack:
@@ -179,7 +184,7 @@ def _with_runs(bits: int):
                 found = pack.candidates(at[live[group]])
                 breaks = np.flatnonzero(np.diff(found) != 1)
                 runs.append(np.stack([found[np.r_[0, breaks + 1]], found[np.r_[breaks, len(found) - 1]] + 1]).T.ravel().astype(np.int32) if len(found) else [])
-            yield b[["pack", "ids", "keys", "sizes", "data"]].assign(runs=runs)
+            yield b[["pack", "ids", "missing", "keys", "sizes", "data"]].assign(runs=runs)
 
     return find
 
@@ -220,9 +225,7 @@ def _emit_suffixes(bits: int, lo: int, hi: int):
 
                 def payload(s: slice) -> bytes:
                     held, ordinal = np.unique(text[s], return_inverse=True)
-                    ids = [row.ids[i] for i in held]
-                    missing = np.array([v is None or v != v for v in ids], np.uint8)
-                    known = np.array([0 if m else int(v) for v, m in zip(ids, missing)], np.int64)
+                    missing, known = np.asarray(row.missing, np.uint8)[held], np.asarray(row.ids, np.int64)[held]
                     keys = np.asarray(row.keys, np.int64)[held]
                     head = np.array([len(held)], np.int64)
                     return b"".join(x.tobytes() for x in (head, missing, known, keys, names[s], check[s], ordinal.astype(np.uint16)))
@@ -291,7 +294,7 @@ def _cut_texts(bits: int):
                     spans = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
                     rows.append((int(end - begin), int(out.sum()), spans, pack.data[begin:end][~out].tobytes()))
                 frame = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-                yield frame.assign(id=pd.array([None if v is None or v != v else int(v) for v in row.ids], "Int64"))
+                yield frame.assign(id=pd.arrays.IntegerArray(np.array(row.ids, np.int64), np.array(row.missing, bool)))
 
     return cut
 
@@ -323,7 +326,7 @@ def remove_repeats(products: DataFrame, id: str = "id", text: str = "description
     A pack of texts counts a string once, so that a string most texts hold is few rows.
 
     A missing text is empty; texts shorter than ``WIDTH`` stay whole. Products without an id come
-    last; those that share one follow each other by a hash of the text; equal rows by their place
+    last; ids are whole numbers, others are refused; products that share one follow each other by a hash of the text; equal rows by their place
     in the input, each with its own result. Further columns are ignored.
     """
     spark = products.sparkSession
@@ -331,12 +334,11 @@ def remove_repeats(products: DataFrame, id: str = "id", text: str = "description
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     wanted = max(2 * partitions(spark), passes, size * len(COVER) // PERIOD // BUCKET_SAMPLES)
     bits = max(1, int(wanted - 1).bit_length())
-    kinds = packs.schema["ids"].dataType.simpleString()
 
     shared = packs.mapInPandas(_emit_samples(bits), PART).groupBy("bucket").applyInPandas(_shared_samples, PART)
     shared = _returned(shared, "samples")
     free_shuffles(spark)
-    runs = packs.join(_per_pack(shared), "pack", "left").mapInPandas(_with_runs(bits), f"{PACK}, ids {kinds}, runs array<int>")
+    runs = packs.join(_per_pack(shared), "pack", "left").mapInPandas(_with_runs(bits), f"{PACK}, runs array<int>")
     runs = stored(runs, "runs")
     release(packs)
     free_shuffles(spark)

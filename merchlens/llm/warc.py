@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import free_shuffles, partitions, stored
+from merchlens.llm.common import free_shuffles, partitions, stored, whole_numbers
 
 REVISIT_FROM = 100  # bytes of a payload that later captures refer back to
 BLOCK_LINES = 1000  # index lines in a compressed block
@@ -26,6 +26,7 @@ PAGE_URN = "urn:merchlens:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX_SCHEMA = "surt string, id long, file string, offset long, length long"
+NO_ID = -(1 << 63)  # the number of a page without an id in keys of the index
 BLOCK_SCHEMA = "part int, block int, first_surt string, first_id long, lines int, data binary"
 RECORD_SCHEMA = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
@@ -131,9 +132,10 @@ def _index_archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows, at = [], 0
             while at < len(data):
                 head, _, end = parse_record(data, at)
-                rows.append((surt(head.get("WARC-Target-URI")), page_of(head["WARC-Record-ID"]), path, at, end - at))
+                number = page_of(head["WARC-Record-ID"])
+                rows.append((surt(head.get("WARC-Target-URI")), NO_ID if number is None else number, path, at, end - at))
                 at = end
-            yield pd.DataFrame(rows, columns=["surt", "id", "file", "offset", "length"]).astype({"id": "Int64"})
+            yield pd.DataFrame(rows, columns=["surt", "id", "file", "offset", "length"]).astype({"id": "int64"})
 
 
 def _blocks(lines: int):
@@ -145,7 +147,7 @@ def _blocks(lines: int):
             return pd.DataFrame([(part, number, held[0][0], held[0][1], len(held), data)], columns=["part", "block", "first_surt", "first_id", "lines", "data"])
 
         for b in batches:
-            for row in zip(b["surt"], b["id"].fillna(-1).astype("int64"), b["file"], b["offset"], b["length"]):
+            for row in zip(b["surt"], b["id"], b["file"], b["offset"], b["length"]):
                 held.append([row[0], int(row[1]), row[2], int(row[3]), int(row[4])])
                 if len(held) == lines:
                     yield block()
@@ -164,7 +166,7 @@ def build_index(spark: SparkSession, archives: str, index: str, lines: int = BLO
     Each archive is read by one task, so archives should stay well below a task's memory.
     """
     found = spark.read.format("binaryFile").load(archives).select("path", "content").mapInPandas(_index_archives, INDEX_SCHEMA)
-    ordered = found.repartitionByRange(partitions(spark), "surt", F.coalesce("id", F.lit(-1))).sortWithinPartitions("surt", F.coalesce("id", F.lit(-1)), "file", "offset")
+    ordered = found.repartitionByRange(partitions(spark), "surt", "id").sortWithinPartitions("surt", "id", "file", "offset")
     ordered.mapInPandas(_blocks(lines), BLOCK_SCHEMA).write.parquet(index)
 
 
@@ -190,7 +192,7 @@ def _search(key, wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
 
 
 def lookup(pages: DataFrame, index: str, id: str = "id", url: str = "url") -> DataFrame:
-    """Where the captures of pages (id, url) lie: surt, id, file, offset, length; -1 for no id.
+    """Where the captures of pages (id, url) lie: surt, id, file, offset, length; ``NO_ID`` for no id.
 
     Keys go to the part of the index they fall into, by the first key of each part (as many
     as the index has files); within a part a binary search of the directory names a block and
@@ -204,13 +206,13 @@ def lookup(pages: DataFrame, index: str, id: str = "id", url: str = "url") -> Da
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             names = [surt(u) for u in b["url"]]
-            numbers = b["id"].fillna(-1).astype("int64")
+            numbers = b["id"]
             spots = [max(0, bisect_right(bounds, (s, i, 1 << 31)) - 1) for s, i in zip(names, numbers)]
             yield pd.DataFrame({"part": [bounds[p][2] for p in spots], "surt": names, "id": numbers})
 
     if not bounds:
         return spark.createDataFrame([], INDEX_SCHEMA)
-    wanted = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url")).mapInPandas(keyed, "part int, surt string, id long")
+    wanted = pages.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(url).cast("string").alias("url")).mapInPandas(keyed, "part int, surt string, id long")
     return wanted.distinct().groupBy("part").cogroup(blocks.groupBy("part")).applyInPandas(_search, INDEX_SCHEMA)
 
 
@@ -236,8 +238,9 @@ def read_captures(captures: DataFrame) -> DataFrame:
                         files.popitem(last=False)[1].close()
                 files[name].seek(offset)
                 rows.append(_capture(files[name].read(length)))
-            out = pd.DataFrame(rows, columns=["id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
-            yield out.astype({"id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+            out = pd.DataFrame(rows, columns=["id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"], dtype=object)
+            numbers = {c: whole_numbers(out[c].tolist()) for c in ("id", "refers_to", "payload_bytes")}
+            yield out.assign(**numbers)
 
     return captures.select("file", "offset", "length").mapInPandas(read, RECORD_SCHEMA)
 

@@ -21,7 +21,7 @@ def test_query_matches_sql(spark, name):
 def test_one_query_for_each_operator_and_the_pipeline():
     names = entry.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
 
 
 def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark):

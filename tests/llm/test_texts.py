@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from merchlens.llm import decontaminate, language, licenses, line_runs, minhash, mixing, suffixes, tokens, warc, winnow
+from merchlens.llm.common import scratch
 from merchlens.llm.components import connected_components
 from merchlens.llm.license_rules import all_rules
 
@@ -30,6 +31,8 @@ def odd(spark):
     texts = base + base[:5] + [t + " extra" for t in base[5:12]] + [None, "", " \n\t", long, long, "under the mit license " * 3, "é" * 300]
     rows = [(i, t, f"s{i % 4}" if i % 7 else None, "x", "y", "en" if i % 2 else "fr") for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, base[0], None, None, None, None), (7, "another text under id seven", "s1", None, None, None)]
+    # neighbours that a double can't tell apart, beside a NULL
+    rows += [(2**53 + 1, base[1], "s1", None, None, "en"), (2**53 + 2, f"{base[1]} more", "s2", None, None, "en"), (-(2**62) - 3, base[2], None, None, None, None)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -46,6 +49,7 @@ OPERATORS = {
     "mixing": mixing.mix_sources,
     "language": language.identify_languages,
     "lines": line_runs.dedup_lines,
+    "tokens": lambda df: tokens.count_tokens(df, scratch(df.sparkSession, "counts"), pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")),
 }
 
 
@@ -57,6 +61,22 @@ def test_one_result_for_each_row_and_none_for_none(odd, empty, name):
     assert OPERATORS[name](empty).count() == 0
 
 
+def test_names_of_groups_keep_every_digit(odd):
+    got = {(r.id, r.component_id) for r in minhash.near_duplicates(odd.where("id IS NULL OR id > 1000"), width=1).collect()}
+    assert {(2**53 + 1, 2**53 + 1), (2**53 + 2, 2**53 + 1)} <= got
+    questions = odd.where("id >= 9007199254740993 OR id IS NULL")
+    found = decontaminate.find_questions(odd, questions, window=4, literal=2).collect()
+    assert {2**53 + 1, 2**53 + 2} <= {r.question_id for r in found} and {r.question_id for r in found} <= {None, 2**53 + 1, 2**53 + 2}
+    assert {r.id for r in found} >= {1, 2**53 + 1, 2**53 + 2}
+
+
+def test_archives_keep_every_digit(spark, tmp_path):
+    body = "<p>" + "x" * 200
+    pages = [(2**53 + 1, "http://a.example", body), (2**53 + 2, "http://a.example", body), (None, "http://a.example", body), (-1, "http://a.example", "short")]
+    got = sorted(((r.id, r.record_type, r.refers_to) for r in warc.archive_pages(spark.createDataFrame(pages, "id long, url string, html string"), f"file://{tmp_path}/w").collect()), key=str)
+    assert got == sorted([(2**53 + 1, "response", None), (2**53 + 2, "revisit", 2**53 + 1), (None, "revisit", 2**53 + 1), (-1, "response", None)], key=str)
+
+
 # --- op1 ---------------------------------------------------------------------------------
 
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
@@ -399,18 +419,18 @@ def test_questions_whose_names_lost_their_capitals(spark):
 
 def brute_lines(rows, least=5):
     count = lambda s: len(re.findall(r"[^\x20\x09-\x0D]+", s))
-    texts, gone = [(i, (t or "").split("\n")) for i, t in rows], {i: set() for i, _ in rows}
-    spoken = {i: [p for p, line in enumerate(lines) if count(line)] for i, lines in texts}
-    for width in (1, 2, 4, 8):
-        seen = set()
-        for i, lines in texts:
-            at = spoken[i]
-            for k in range(len(at) - width + 1):
-                run = tuple(lines[p] for p in at[k : k + width])
+    out, seen = {}, set()
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        at, gone = [p for p, line in enumerate(lines) if count(line)], set()
+        for k in range(len(at)):
+            for end in range(k + 1, min(len(at), k + 12) + 1):
+                run = tuple(lines[p] for p in at[k:end])
                 if run in seen and sum(map(count, run)) >= least:
-                    gone[i] |= set(at[k : k + width])
+                    gone |= set(at[k:end])
                 seen.add(run)
-    return {i: (len(lines), len(gone[i]), "\n".join(line for p, line in enumerate(lines) if p not in gone[i])) for i, lines in texts}
+        out[i] = (len(lines), len(gone), "\n".join(line for p, line in enumerate(lines) if p not in gone))
+    return out
 
 
 def test_line_runs_against_brute_force(spark):
@@ -423,22 +443,9 @@ def test_line_runs_against_brute_force(spark):
 
 
 def test_line_runs_of_any_length(spark):
-    rng = np.random.default_rng(6)
     rows = [(0, "Home\nAbout us\nContact us\nx1"), (1, "y1\nHome\n \nAbout us\nContact us\ny2"), (2, "z1\nHome\nAbout us\nz2")]
     rows += [(3 + k, "\n".join([f"s{k}", *"pqrstuv"[: 5 + k // 2], f"e{k}"])) for k in range(6)]
-    rows += [(20 + i, "\n".join(rng.choice(["a", "b c", "d e f", "", "m", "n o", "p q r s t u"], rng.integers(0, 12)))) for i in range(60)]
-    count = lambda s: len(s.split())
-    kept, seen = {}, set()
-    for i, text in rows:
-        lines = text.split("\n")
-        at, gone = [p for p, line in enumerate(lines) if count(line)], set()
-        for k in range(len(at)):
-            for end in range(k + 1, len(at) + 1):
-                run = tuple(lines[p] for p in at[k:end])
-                if run in seen and sum(map(count, run)) >= 5:
-                    gone |= set(at[k:end])
-                seen.add(run)
-        kept[i] = "\n".join(line for p, line in enumerate(lines) if p not in gone)
+    kept = {i: text for i, (_, _, text) in brute_lines(rows).items()}
     assert kept[1] == "y1\n \ny2" and kept[2] == rows[2][1] and kept[4] == "s1\ne1"
     df = spark.createDataFrame(rows, "id long, description string").repartition(5)
     assert {r.id: r.description for r in line_runs.dedup_lines(df).collect()} == kept
