@@ -584,7 +584,7 @@ def stream_latest(spark, folder):
     rows = stream_of(spark, folder, "part").select(
         F.col("p_partkey").alias("id"),
         signature(F.col("p_name"), F.col("p_brand"), F.lit(None), F.lit(None)).alias("sig_hash"),
-        (F.col("p_size") * F.lit(10**9) + F.col("p_partkey")).alias("seq"),
+        (F.col("p_size").cast("long") * 10**9 + F.col("p_partkey")).alias("seq"),
     )
     root = scratch_path(spark, "latest")
     for _ in range(2):
