@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from merchlens.llm.common import free_shuffles, in_batches, joined_bytes, mix, prefix_hash, span_hash, stored, word_bounds
 
-SLOT_BITS = 24  # a count filter has 2^24 slots, or 2 MB, whatever the data
-SECTION = 4096 * 8  # slots in one row of Spark's bitmaps
+SLOT_BITS = 23  # a count filter has 2^23 slots, or 1 MB, whatever the data
+SECTION = 1 << 19  # slots in one packed row
+ADDED = 256  # tasks whose counts of a section are added up at a time
+FILTERED = 3  # runs of 1, 2 and 3 words have a filter each
+HELD_RUNS = 1 << 20  # distinct runs that a task holds before it passes them on
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BREAK = np.zeros(256, bool)
@@ -52,9 +59,29 @@ class Words:
         return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def slots(self, width: int) -> np.ndarray:
-        """Count slots, from 1, of the words, or of each word and its successor."""
-        h = self.hashes if width == 1 else mix(self.hashes[:-1] * np.uint64(3) + self.hashes[1:])
-        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + 1
+        """Count slots of the runs of ``width`` words, by their first words."""
+        size = max(0, len(self.hashes) - width + 1)
+        h = self.hashes[:size]
+        for j in range(1, width):
+            h = mix(h * np.uint64(3) + self.hashes[j : j + size])
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def runs(self, width: int, filters: list[Frequent]) -> Iterator[np.ndarray]:
+        """For 1, 2 .. ``width`` words, where runs of them start that lie in one piece and may be frequent.
+
+        A run may be if both its parts one word shorter may and, for as many widths as there are
+        ``filters``, its own slot counts enough.
+        """
+        alive = np.ones(len(self.start), bool)
+        for w in range(1, width + 1):
+            if w > 1:
+                both = alive[:-1] & alive[1:]
+                alive = np.append(both & self.follows[:-1] if w == 2 else both, False) if len(alive) else alive
+            if w <= len(filters):
+                at = np.flatnonzero(alive[: max(0, len(alive) - w + 1)])
+                alive = np.zeros(len(alive), bool)
+                alive[at] = filters[w - 1].has(self.slots(w)[at])
+            yield alive
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[Words]:
@@ -67,91 +94,113 @@ class Frequent:
     """A bitmap of the slots that count enough occurrences; what hashes elsewhere occurs less often."""
 
     def __init__(self, sections: list[tuple[int, bytes]]) -> None:
-        bits = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
+        self.bits = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
         for number, held in sections:
-            at = (number - 1) * (SECTION // 8)
-            bits[at : at + len(held)] = np.frombuffer(held, np.uint8)
-        self.bits = bits
+            self.bits[number * (SECTION // 8) : (number + 1) * (SECTION // 8)] = np.frombuffer(held, np.uint8)
 
     def has(self, slots: np.ndarray) -> np.ndarray:
-        at = slots - 1
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        return (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def _frequent(slots: DataFrame, min_count: int) -> Frequent:
-    counted = slots.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    sections = counted.groupBy(F.bitmap_bucket_number("slot").alias("section")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    return Frequent([(r["section"], bytes(r["bits"])) for r in sections.collect()])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for words in _chunks(batch):
-            slot, n = np.unique(words.slots(1), return_counts=True)
-            totals = np.bincount(words.language, minlength=len(words.names))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None] * len(slot) + list(words.names), pa.string()),
-                    pa.array([*slot.tolist(), *[None] * len(totals)], pa.int64()),
-                    pa.array(np.concatenate([n, totals]), pa.int64()),
-                ],
-                ["language", "slot", "n"],
-            )
-
-
-def _linked(words: Words, known) -> np.ndarray:
-    """Whether a word and its successor, both frequent, stand in one piece."""
-    common = known.value.has(words.slots(1))
-    words.common = common
-    link = words.follows & common
-    link[:-1] &= common[1:]
-    return link
-
-
-def _count_pairs(known):
+SLOT_SCHEMA = pa.schema([("task", pa.int64()), ("section", pa.int32()), ("data", pa.binary()), ("language", pa.string()), ("n", pa.int64())])
+
+
+def _kind(min_count: int) -> np.dtype:
+    """The smallest type for counts up to ``min_count``, as more need not be told apart."""
+    return np.min_scalar_type(min_count)
+
+
+def _count_slots(filters, min_count: int):
+    """Each task's own counts by slot, packed by section, and with single words the languages' totals."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
+        width = len(known) + 1
+        counts, totals = np.zeros(1 << SLOT_BITS, np.uint32), Counter()
         for batch in batches:
             for words in _chunks(batch):
-                if len(words.start) < 2:
-                    continue
-                slot, n = np.unique(words.slots(2)[_linked(words, known)[:-1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(n, pa.int64())], ["slot", "n"])
+                *_, alive = words.runs(width, known)
+                np.add.at(counts, words.slots(width)[alive[: max(0, len(alive) - width + 1)]], 1)
+                if width == 1:
+                    totals.update(dict(zip(words.names, np.bincount(words.language, minlength=len(words.names)).tolist())))
+        task, packed = TaskContext.get().partitionId(), np.minimum(counts, min_count).astype(_kind(min_count))
+        held = [i for i in range(len(packed) // SECTION) if packed[i * SECTION : (i + 1) * SECTION].any()]
+        rows = [(task, i, zlib.compress(packed[i * SECTION : (i + 1) * SECTION].tobytes(), 1), None, None) for i in held]
+        rows += [(task, None, None, language, n) for language, n in totals.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SLOT_SCHEMA.types)], schema=SLOT_SCHEMA)
 
     return count
 
 
-def _count_runs(known, pairs, most: int):
-    """Runs of up to ``most`` words from each frequent word on, as far as its piece and frequent pairs go."""
+def _added(min_count: int):
+    """The sum of some tasks' counts of one section, packed like these."""
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(d), _kind(min_count)).astype(np.uint32) for d in rows["data"])
+        packed = zlib.compress(np.minimum(total, min_count).astype(_kind(min_count)).tobytes(), 1)
+        return pd.DataFrame({"task": [key[0]], "section": [key[1]], "data": [packed]})
+
+    return add
+
+
+def _frequent(slots: DataFrame, min_count: int) -> Frequent:
+    """Adds up the tasks' counts, so many of a section at a time, and keeps which slots have enough."""
+    part = F.floor(F.col("task") / ADDED).alias("task")
+    slots = slots.where("section IS NOT NULL").select("task", "section", "data")
+    tasks = (slots.agg(F.max("task")).head()[0] or 0) + 1
+    while tasks > 1:
+        slots, tasks = slots.groupBy(part, "section").applyInPandas(_added(min_count), "task long, section int, data binary"), -(-tasks // ADDED)
+    held = [(r["section"], np.frombuffer(zlib.decompress(r["data"]), _kind(min_count)) >= min_count) for r in slots.collect()]
+    return Frequent([(section, np.packbits(enough, bitorder="little").tobytes()) for section, enough in held])
+
+
+def _count_runs(filters, most: int):
+    """Runs of up to ``most`` words from each frequent word on, as far as its piece and frequent runs go."""
     schema = pa.schema([("language", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = [f.value for f in filters], []
         for batch in batches:
             for words in _chunks(batch):
-                size = len(words.start)
-                if not size:
-                    continue
-                spelling, number = words.spelled()
-                link = _linked(words, known)
-                if size > 1:
-                    link[:-1] &= pairs.value.has(words.slots(2))
-                starts = np.flatnonzero(words.common)
-                cells, alive = {"l": words.language[starts], "w0": number[starts]}, np.ones(len(starts), bool)
-                for k in range(1, most):
-                    alive &= link[np.minimum(starts + k - 1, size - 1)]
-                    cells[f"w{k}"] = np.where(alive, number[np.minimum(starts + k, size - 1)], -1)
-                runs = pa.table(cells).group_by(list(cells)).aggregate([([], "count_all")])
-                columns = [runs.column(f"w{k}").combine_chunks() for k in range(most)]
-                spelled = [spelling.take(pc.if_else(pc.less(c, 0), None, c)) for c in columns]
-                phrase = pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()), null_handling="skip")
-                long = sum(pc.greater_equal(c, 0).cast(pa.int32()).to_numpy(zero_copy_only=False) for c in columns)
-                names = pa.array(words.names, pa.string()).take(runs.column("l").combine_chunks())
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(long, pa.int32()), phrase.cast(pa.string()), runs.column("count_all").combine_chunks()], schema=schema
-                )
+                held.append(_runs_of(words, known, most, schema))
+                if sum(t.num_rows for t in held) > HELD_RUNS:
+                    held = [_summed(held)]
+                    if held[0].num_rows > HELD_RUNS // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from _summed(held).to_batches()
 
     return count
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    keys = ["language", "words", "phrase"]
+    summed = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum")])
+    return summed.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks()
+
+
+def _runs_of(words: Words, known: list[Frequent], most: int, schema: pa.Schema) -> pa.Table:
+    if not len(words.start):
+        return schema.empty_table()
+    spelling, number = words.spelled()
+    last, cells = len(number) - 1, {}
+    for k, alive in enumerate(words.runs(most, known)):
+        if not k:
+            starts = np.flatnonzero(alive)
+            cells = {"l": words.language[starts], "w0": number[starts]}
+        else:
+            cells[f"w{k}"] = np.where(alive[starts], number[np.minimum(starts + k, last)], -1)
+    runs = pa.table(cells).group_by(list(cells)).aggregate([([], "count_all")])
+    columns = [runs.column(f"w{k}").combine_chunks() for k in range(most)]
+    spelled = [spelling.take(pc.if_else(pc.less(c, 0), None, c)) for c in columns]
+    phrase = pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()), null_handling="skip")
+    long = sum(pc.greater_equal(c, 0).cast(pa.int32()).to_numpy(zero_copy_only=False) for c in columns)
+    names = pa.array(words.names, pa.string()).take(runs.column("l").combine_chunks())
+    arrays = [names, pa.array(long, pa.int32()), phrase.cast(pa.string()), runs.column("count_all").combine_chunks()]
+    return pa.Table.from_arrays(arrays, schema=schema)
+
+
 # --- the graph ---------------------------------------------------------------------------
 
 
@@ -219,13 +268,13 @@ def phrase_counts(products: DataFrame, language: str, text: str, min_count: int,
     """Counts of all phrases of up to ``most`` words that occur ``min_count`` times, words by language, paths."""
     spark = products.sparkSession
     texts = products.select(F.col(language).alias("language"), F.col(text).alias("text"))
-    counted = stored(texts.mapInArrow(_count_words, "language string, slot long, n long"), "words")
-    totals = stored(counted.where("slot IS NULL").groupBy("language").agg(F.sum("n").alias("n_words")), "totals")
-    known = spark.sparkContext.broadcast(_frequent(counted.where("slot IS NOT NULL"), min_count))
-    pairs = spark.sparkContext.broadcast(_frequent(texts.mapInArrow(_count_pairs(known), "slot long, n long"), min_count))
-    free_shuffles(spark)
-
-    runs = texts.mapInArrow(_count_runs(known, pairs, most), "language string, words int, phrase string, n long")
+    filters, totals = [], None
+    for _ in range(min(FILTERED, most)):
+        counted = stored(texts.mapInArrow(_count_slots(filters, min_count), "task long, section int, data binary, language string, n long"), "slots")
+        if totals is None:
+            totals = stored(counted.where("section IS NULL").groupBy("language").agg(F.sum("n").alias("n_words")), "totals")
+        filters = [*filters, spark.sparkContext.broadcast(_frequent(counted, min_count))]
+    runs = texts.mapInArrow(_count_runs(filters, most), "language string, words int, phrase string, n long")
     graph = stored(runs.groupBy("language", "words", "phrase").agg(F.sum("n").alias("n")), "graph")
     free_shuffles(spark)
     # Runs of all words are edges. Shorter ones end with their piece and correct the counts of what they begin with.
@@ -268,7 +317,7 @@ def mine_phrases(
     ``n_words`` are all words of the language; the cut of the lowest score counts, the earliest of
     those. A candidate inside a longer one that occurs as often is dropped.
 
-    Counting: two small count filters first tell words and pairs that are rarer than
+    Counting: small count filters first tell words, pairs and triples that are rarer than
     ``min_count``, which no candidate holds; runs end there as they do with a piece. Runs of
     ``max_words`` words are the edges of a graph whose nodes are one word shorter. What is
     shorter is counted by the flow out of it and by pieces that end with it. Edges that nothing

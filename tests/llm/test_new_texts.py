@@ -84,11 +84,20 @@ def test_repeated_rows_count_and_nothing_gives_nothing(spark, phrase_rows):
 def test_saturated_filters_only_cost_time(spark, phrase_rows, monkeypatch):
     want = brute_phrases([(r[1], r[2]) for r in phrase_rows], 3, 5, 2000)
     monkeypatch.setattr(phrases.Frequent, "has", lambda self, slots: np.ones(len(slots), bool))
-    runs = phrases.Words(["a b, c"], [None])
-    assert phrases.Frequent([]).has(runs.slots(1)).all()
+    words = phrases.Words(["a b, c d e"], [None])
+    assert [list(map(int, alive)) for alive in words.runs(3, [])] == [[1, 1, 1, 1, 1], [1, 0, 1, 1, 0], [0, 0, 1, 0, 0]]
     assert mined(spark.createDataFrame(phrase_rows, PHRASE_SCHEMA), min_count=3) == want
 
 
+def test_counts_of_many_tasks_add_up(spark, phrase_rows, monkeypatch):
+    monkeypatch.setattr(phrases, "ADDED", 2)
+    df = spark.createDataFrame(phrase_rows, PHRASE_SCHEMA).repartition(7)
+    assert mined(df, min_count=300) == brute_phrases([(r[1], r[2]) for r in phrase_rows], 300, 5, 2000)
+    kept = [phrases._frequent(df.select("language", F.col("description").alias("text")).mapInArrow(phrases._count_slots([], n), "task long, section int, data binary, language string, n long"), n) for n in (1, 300)]
+    words = phrases.Words(["lamp rope unheard"], ["en"])
+    assert kept[0].has(words.slots(1)).tolist() == [True, True, False] and not kept[1].has(words.slots(1))[2]
+
+
 def test_unary_paths(spark):
     # a passage that always stands alone is one path; a place where ways part ends it
     text = ["a b c d e f g h"] * 3 + ["p q r s t u", "p q r s t v"] * 2 + ["z z z z z z z z"] * 2
