@@ -69,6 +69,51 @@ def read_catalog_json(spark, folder):
     )
 
 
+@query(
+    "read_catalog_csv_cells",
+    """SELECT CAST(p_partkey AS VARCHAR) AS part_no, p_name || '"' || chr(10) || ' of ' || p_brand AS title,
+  CASE WHEN p_size % 6 = 0 THEN chr(10) || '"' || chr(10) END AS remarks FROM part""",
+)
+def read_catalog_csv_cells(spark, folder):
+    """Cells with line breaks and quotes, in files that are split all the same."""
+    path = scratch_path(spark, "cells")
+    parts = fr.table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias("Part No"),
+        F.concat("p_name", F.lit('"\n of '), "p_brand").alias("Title"),
+        F.when(F.col("p_size") % 6 == 0, '\n"\n').alias("Remarks"),
+    )
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    parts.write.options(header=True, quoteAll=True, escape='"', **kept).csv(path)
+    rows = catalog.read_catalog(spark, path)
+    return rows.select(
+        F.col("Part No").alias("part_no"), F.col("Title").alias("title"), F.nullif("Remarks", F.lit("")).alias("remarks")
+    )
+
+
+@query(
+    "read_catalog_json_list",
+    """SELECT CAST(p_partkey AS VARCHAR) AS part_no, p_name || ' }" {' AS title, p_size % 50 AS list,
+  CASE WHEN p_size % 3 = 0 THEN '{"brand":"' || p_brand || '","tags":["[","}"]}' END AS made FROM part""",
+)
+def read_catalog_json_list(spark, folder):
+    """Lists of objects, one a file, in which braces stand in texts and objects in objects."""
+    path = scratch_path(spark, "lists")
+    number = (F.col("p_size") % 50).alias("list")
+    made = F.struct(F.col("p_brand").alias("brand"), F.array(F.lit("["), F.lit("}")).alias("tags"))
+    parts = fr.table(spark, folder, "part")
+    entry = F.to_json(
+        F.struct("p_partkey", F.concat("p_name", F.lit(' }" {')).alias("title"), F.when(F.col("p_size") % 3 == 0, made).alias("made"))
+    )
+    entries = parts.select(number, F.lit(1).alias("place"), F.concat(F.lit(","), entry).alias("line"))
+    end = lambda place, line: F.struct(F.lit(place).alias("place"), F.lit(line).alias("line"))
+    ends = parts.select(number).distinct().select("list", F.inline(F.array(end(0, "[null"), end(2, "]"))))
+    lines = entries.unionByName(ends).repartition("list").sortWithinPartitions("list", "place")
+    lines.select("list", "line").write.partitionBy("list").text(path)
+    rows = catalog.read_catalog(spark, path, "json")
+    list_of = F.regexp_extract(F.col("_seq")["file"], r"list=(\d+)", 1).cast("int").alias("list")
+    return rows.select(F.col("p_partkey").alias("part_no"), "title", list_of, "made")
+
+
 @query(
     "read_catalog_dir",
     """SELECT CASE WHEN p_size % 2 = 0 THEN 'csv' ELSE 'json' END AS kind, COUNT(*) AS rows, COUNT(DISTINCT p_name) AS names,

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.text import header_key, none_if_blank
-from merchlens.session import hadoop_path
+from merchlens.session import cut_lineage, hadoop_path
+from merchlens.sources import records
 
 FILE_COLUMN, SEQ_COLUMN = "_file", "_seq"
 
@@ -24,16 +27,16 @@ def read_catalog(
 
     CSV files read together have to share one header (see :func:`read_catalog_dir` for a mix);
     a file with another header is an error, never a silent mix-up. JSON files hold a list of
-    objects; entries that are no objects are skipped. ``whole_files`` allows line breaks
-    inside quoted cells and JSON lists; turned off, files are one record per line and large
-    ones are split over tasks. Left open, JSON files are lists, and CSV files are split unless
-    a first pass over their lines finds one that may hold part of a cell.
+    objects; entries that are no objects are skipped. Large files are split over tasks, also
+    where quoted cells hold line breaks, and JSON lists that are one long line. ``whole_files`` set to
+    True reads each CSV file in one piece; set to False it tells that files are one record per
+    line, JSON objects and CSV rows alike, which saves a first look at them.
     """
     if fmt == "csv":
-        if whole_files is None:
-            whole_files = _cells_may_cross_lines(spark, path)
+        if whole_files is None and _cells_cross_lines(spark, path):
+            return _with_stem(_csv_records(spark, path))
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
-        rows = _placed(reader.option("multiLine", whole_files).option("enforceSchema", False).csv(path))
+        rows = _placed(reader.option("multiLine", bool(whole_files)).option("enforceSchema", False).csv(path))
     elif fmt == "json" and whole_files is not False:
         rows = _json_lists(spark, path)
     elif fmt == "json":
@@ -46,17 +49,53 @@ def read_catalog(
     return _with_stem(rows)
 
 
-def _cells_may_cross_lines(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether some line is not made of whole cells, so that a file has to be read in one piece.
+def _cells_cross_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted cell of some line goes on in the next one.
 
-    Doubled quotes and then whole quoted cells are taken out of each line: a quote that is left
-    may open a cell that ends on a later line. A carriage return inside a line would be a line
-    end to one reader and a character to the other.
+    A carriage return inside a line would be a line end to one reader and a character to the other.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    line = F.regexp_replace(F.regexp_replace("value", r"\r$", ""), '""', "")
-    rest = F.regexp_replace(line, r'(?<![^,])"[^"]*+"(?![^,])', "")
-    return not lines.where(rest.contains('"') | rest.contains("\r")).isEmpty()
+    line = F.regexp_replace("text", r"\r$", "")
+    lines = records.pieces(spark, path, "\n").select(line.alias("text"))
+    return not lines.where(records.opens_cell(F.col("text")) | F.contains("text", F.lit("\r"))).isEmpty()
+
+
+def _csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Rows of CSV files whose cells may hold line breaks, split over tasks, with ``_seq``.
+
+    A cell that is never closed holds the rest of its file but for the last line end.
+    """
+    effects = records.csv_effects(records.pieces(spark, path, "\n"))
+    found = records.whole_records(effects, records.block_states(effects), "\n")
+    found = cut_lineage(found.where(F.rtrim(F.col("record"), F.lit(" \r")) != ""))
+    outset = F.min(F.struct("block", "row", "record")).alias("first")
+    firsts = cut_lineage(found.where("block = 0").groupBy("file").agg(outset).select("file", "first.*"))
+    # a file whose first line ends with a carriage return has them as part of its line ends
+    firsts = firsts.select("file", "block", "row", F.regexp_replace("record", r"\r$", "").alias("header"), F.endswith("record", F.lit("\r")).alias("crlf"))
+    heads = firsts.select("header").distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError(f"files of different headers: {heads[0]['header']!r} and {heads[1]['header']!r}")
+    if not heads:
+        return spark.createDataFrame([], f"{SEQ_COLUMN} struct<file:string,block:long,row:long>")
+    columns = _header_columns(spark, heads[0]["header"])
+    is_first = firsts.select("file", "crlf", F.struct("block", "row").alias("first"))
+    rows = found.join(is_first, "file").where(F.struct("block", "row") != F.col("first"))
+    plain = F.regexp_replace(F.regexp_replace("record", r"\r\n", "\n"), r"\r$", "")
+    rows = rows.withColumn("record", F.when(F.col("crlf"), plain).otherwise(F.col("record")))
+    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+    cells = F.from_csv("record", schema, {"escape": '"', "mode": "PERMISSIVE"})
+    parsed = rows.select(cells.alias("cells"), F.struct("file", "block", "row").alias(SEQ_COLUMN))
+    return parsed.select(*[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(columns)], SEQ_COLUMN)
+
+
+def _header_columns(spark: SparkSession, header: str) -> list[str]:
+    """Column names as Spark's own reader takes them from a header."""
+    lines = spark.createDataFrame([(header,)], "value string")
+    parsed = lines.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(header.count(",") + 1)), {"escape": '"'}).alias("h"))
+    names = [n for n in parsed.select("h.*").first()]
+    while names and names[-1] is None and not header.endswith(","):
+        names.pop()  # commas inside quotes
+    seen = Counter(n.lower() for n in names if n)
+    return [f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names)]
 
 
 def stream_catalog(spark: SparkSession, folder: str, headers: list[str]) -> DataFrame:
@@ -93,15 +132,21 @@ def _place(row: Column) -> Column:
 
 
 def _json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The objects of JSON lists; columns in the order their keys first appear."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    entries = files.select(
-        "file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "entry")
-    ).where(F.col("entry").startswith("{"))
-    objects = entries.select(
-        F.from_json("entry", "map<string,string>").alias("cells"),
-        F.struct("file", F.lit(0).cast("long").alias("block"), F.col("row").cast("long").alias("row")).alias(SEQ_COLUMN),
-    )
+    """The objects of JSON lists; columns in the order their keys first appear.
+
+    Lists are cut where an object of theirs ends, whatever lines they are written in. What stands before
+    an object is the list's opening bracket or a comma, and entries that are no objects.
+    """
+    effects = records.json_effects(records.pieces(spark, path, "}"))
+    states = cut_lineage(records.block_states(effects))
+    lists = states.where((F.col("block") == 0) & F.ltrim("begins").startswith("[")).select("file")
+    found = records.whole_records(effects, states, "}", depth=1).join(lists, "file", "left_semi")
+    entries = F.from_json(F.concat(F.lit("["), F.regexp_replace("record", r"^\s*+[\[,]", ""), F.lit("}]")), "array<string>")
+    objects = found.select(
+        F.from_json(F.try_element_at(F.filter(entries, lambda e: e.startswith("{")), F.lit(-1)), "map<string,string>").alias("cells"),
+        F.struct("file", "block", "row").alias(SEQ_COLUMN),
+    ).where(F.col("cells").isNotNull())
+    objects = cut_lineage(objects)
     keys = (
         objects.select(SEQ_COLUMN, F.posexplode(F.map_keys("cells")).alias("place", "key"))
         .groupBy("key")
@@ -116,15 +161,17 @@ def _json_lists(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool | None = None) -> DataFrame:
     """Every ``.csv`` and ``.json`` file of a folder; columns are united by name.
 
-    CSV files are grouped by their header line and every group is read on its own.
+    One job finds the header lines of all CSV files; files of one header are read together.
     """
-    by_header: dict[str, list[str]] = {}
-    for file in _files(spark, f"{folder.rstrip('/')}/*.csv"):
-        by_header.setdefault(_first_line(spark, file), []).append(file)
-    frames = [read_catalog(spark, files, "csv", whole_files) for files in by_header.values()]
-    lists = f"{folder.rstrip('/')}/*.json"
-    if _files(spark, lists):
-        frames.append(read_catalog(spark, lists, "json", whole_files))
+    base, frames = folder.rstrip("/"), []
+    if _any_file(spark, f"{base}/*.csv"):
+        effects = records.csv_effects(records.pieces(spark, f"{base}/*.csv", "\n"))
+        headers = records.block_states(effects).where("block = 0").select("file", F.regexp_replace("begins", r"\r$", "").alias("header"))
+        groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0])
+        for group in groups.collect():  # one row a header
+            frames.append(read_catalog(spark, [_path(f) for f in group["files"]], "csv", whole_files))
+    if _any_file(spark, f"{base}/*.json"):
+        frames.append(read_catalog(spark, f"{base}/*.json", "json", whole_files))
     if not frames:
         raise FileNotFoundError(f"no .csv or .json files in {folder}")
     united = frames[0]
@@ -133,19 +180,14 @@ def read_catalog_dir(spark: SparkSession, folder: str, whole_files: bool | None
     return united
 
 
-def _files(spark: SparkSession, pattern: str) -> list[str]:
+def _any_file(spark: SparkSession, pattern: str) -> bool:
     path, fs = hadoop_path(spark, pattern)
-    return sorted(str(s.getPath()) for s in fs.globStatus(path) or [])
+    return bool(fs.globStatus(path))
 
 
-def _first_line(spark: SparkSession, file: str) -> str:
-    path, fs = hadoop_path(spark, file)
-    io = spark.sparkContext._jvm.java.io
-    reader = io.BufferedReader(io.InputStreamReader(fs.open(path), "UTF-8"))
-    try:
-        return reader.readLine() or ""
-    finally:
-        reader.close()
+def _path(uri: str) -> str:
+    """A path from the form in which files report it, where blanks and the like are escaped."""
+    return unquote(uri)
 
 
 def _data_headers(columns: list[str]) -> list[str]:

@@ -1,4 +1,6 @@
 import json
+import random
+from contextlib import contextmanager
 from datetime import datetime
 
 import pytest
@@ -31,34 +33,109 @@ def test_csv_cells_and_names(spark, folder):
 
 
 @pytest.mark.parametrize(
-    ("body", "whole"),
+    ("body", "crosses"),
     [
         ('1,"a, b"\n2,"say ""hi"""\n3,""\n4,plain\n', False),
         ('1,"a, b"\r\n2,x\r\n', False),
+        ('1,5" pipe\n2,15" monitor,x\n3, "a\n', False),
         ('1,"two\nlines"\n', True),
         ('1,"ends with """\n2,"opens "",\nhere"\n', True),
-        ('1,5" pipe\n2,5" tube,"x\n', True),
+        ('1,"""\n"\n2,"a""\n""b","\n"\n3,"x"\n', True),
+        ('1,"a\r\nb"\r\n2,c\r\n', True),
+        ('1,5" pipe\n2,"5"" tube\n,""x"\n', True),
         ('1,a\rb\n', True),
     ],
 )
-def test_csv_is_split_only_between_whole_records(spark, tmp_path, body, whole):
+def test_cells_may_cross_lines_and_splits(spark, tmp_path, body, crosses):
     end = "\r\n" if "\r\n" in body else "\n"
     (tmp_path / "shop.csv").write_bytes(f"id,name{end}{body}".encode())
     path = str(tmp_path / "shop.csv")
-    assert catalog._cells_may_cross_lines(spark, path) == whole
-    assert rows(catalog.read_catalog(spark, path), "id", "name") == rows(catalog.read_catalog(spark, path, whole_files=True), "id", "name")
+    assert catalog._cells_cross_lines(spark, path) == crosses
+    want = rows(catalog.read_catalog(spark, path, whole_files=True), "id", "name")
+    with small_splits(spark, "16"):
+        assert rows(catalog.read_catalog(spark, path).orderBy("_seq"), "id", "name") == want
+
+
+def test_a_cell_that_is_never_closed_takes_the_rest_of_its_file(spark, tmp_path):
+    (tmp_path / "shop.csv").write_text('id,name\n1,"open\n2,x\n')
+    assert rows(catalog.read_catalog(spark, str(tmp_path)), "id", "name") == [("1", "open\n2,x")]
+
+
+@contextmanager
+def small_splits(spark, size):
+    names = {"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": size}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_random_quotes_read_the_same_in_splits_and_whole(spark, tmp_path):
+    rng = random.Random(4)
+    cells = lambda: rng.choice(["a", "", '"x\ny"', '"say ""hi""\n"', "b c", '"1,2"', '"\n\n"', '""', 'd"e', '"f"', '"""q"""'])
+    for n in range(3):
+        body = "".join(f"{i},{cells()},{cells()}\n" for i in range(120))
+        (tmp_path / f"s{n}.csv").write_text("id,name,brand\n" + body)
+    want = rows(catalog.read_catalog(spark, str(tmp_path), whole_files=True), "id", "name", "brand", "_file")
+    with small_splits(spark, "200"):
+        df = catalog.read_catalog(spark, str(tmp_path))
+        assert rows(df, "id", "name", "brand", "_file") == want and len(want) == 360
+
+
+def test_cells_with_line_breaks_are_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "shop.csv").write_text("id,name\n" + "".join(f'{i},"item\n {i}"\n' for i in range(60_000)))
+    (tmp_path / "inches.csv").write_text("id,name\n" + "".join(f'{i},15" monitor {i}\n' for i in range(60_000)))
+    with small_splits(spark, "128k"):
+        for name, value in (("shop", "item\n 7"), ("inches", '15" monitor 7')):
+            path = str(tmp_path / f"{name}.csv")
+            pieces = catalog.records.pieces(spark, path, "\n")
+            assert pieces.select("block").distinct().count() > 4
+            df = catalog.read_catalog(spark, path)
+            assert df.count() == 60_000 and df.where("id = '7'").first()["name"] == value
+
+
+LISTS = [
+    '[{"title": "a } b", "n": {"x": [1, {"y": 2}]}}, 5, "s}{", [1, {"z": 3}], null, {"title": "q\\"}", "price": 1.50}]',
+    '[\n  {"title": "C:\\\\"},\n  {"title": "é", "tags": ["{", "}"]}\n]\n',
+    "[]", "  [ ]", '{"title": "no list", "x": {"y": 1}}', "", '[{}]', '[{"title": "last"}, 7]',
+]
+
+
+@pytest.mark.parametrize("split", ["40", "1m"])
+def test_json_lists_are_cut_between_their_objects(spark, tmp_path, split):
+    for n, text in enumerate(LISTS):
+        (tmp_path / f"l{n}.json").write_text(text, encoding="utf-8")
+    want = []
+    for n, text in enumerate(LISTS):
+        entries = json.loads(text) if text.strip() else []
+        want += [(f"l{n}", e.get("title"), str(e["price"]) if "price" in e else None) for e in entries if isinstance(entries, list) and isinstance(e, dict)]
+    with small_splits(spark, split):
+        df = catalog.read_catalog(spark, str(tmp_path), "json")
+        got = [(r["_file"], r["title"], r["price"] and str(float(r["price"]))) for r in df.orderBy("_seq").collect()]
+        assert got == want
+        nested = df.where("_file = 'l0' AND n IS NOT NULL").first()
+        assert json.loads(nested["n"]) == {"x": [1, {"y": 2}]}
+
+
+def test_one_long_json_list_is_read_by_several_tasks(spark, tmp_path):
+    (tmp_path / "list.json").write_text(json.dumps([{"title": f"t {i}", "note": "{" * (i % 3) + '"'} for i in range(50_000)]))
+    with small_splits(spark, "128k"):
+        assert catalog.records.pieces(spark, str(tmp_path), "}").select("block").distinct().count() > 4
+        df = catalog.read_catalog(spark, str(tmp_path), "json")
+        assert df.agg(F.count("*"), F.count_distinct("title")).first() == (50_000, 50_000)
+        assert "wholetext" not in df._jdf.queryExecution().toString().lower()
 
 
 def test_large_csv_is_read_by_several_tasks(spark, tmp_path):
     (tmp_path / "shop.csv").write_text("id,name\n" + "".join(f'{i},"item, {i}"\n' for i in range(200_000)))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
-    try:
+    with small_splits(spark, "512k"):
         df = catalog.read_catalog(spark, str(tmp_path / "shop.csv"))
         assert df.select(F.spark_partition_id()).distinct().count() > 4
         assert df.agg(F.count_distinct("name")).first()[0] == 200_000
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_json_list_skips_non_objects(spark, folder):
