@@ -21,7 +21,7 @@ from merchlens.llm.common import free_shuffles, in_batches, joined_bytes, mix, p
 SLOT_BITS = 23  # a count filter has 2^23 slots, or 1 MB, whatever the data
 SECTION = 1 << 19  # slots in one packed row
 ADDED = 256  # tasks whose counts of a section are added up at a time
-FILTERED = 3  # runs of 1, 2 and 3 words have a filter each
+FILTERED = 3  # runs of 1, 2 and 3 words have a filter each; further ones would leave few runs less
 HELD_RUNS = 1 << 20  # distinct runs that a task holds before it passes them on
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -133,12 +133,15 @@ def _count_slots(filters, min_count: int):
     return count
 
 
-def _added(min_count: int):
-    """The sum of some tasks' counts of one section, packed like these."""
+def _added(min_count: int, last: bool):
+    """The sum of some tasks' counts of one section, packed like these, or as bits of those that are enough."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(d), _kind(min_count)).astype(np.uint32) for d in rows["data"])
-        packed = zlib.compress(np.minimum(total, min_count).astype(_kind(min_count)).tobytes(), 1)
+        if last:
+            packed = np.packbits(total >= min_count, bitorder="little").tobytes()
+        else:
+            packed = zlib.compress(np.minimum(total, min_count).astype(_kind(min_count)).tobytes(), 1)
         return pd.DataFrame({"task": [key[0]], "section": [key[1]], "data": [packed]})
 
     return add
@@ -149,10 +152,11 @@ def _frequent(slots: DataFrame, min_count: int) -> Frequent:
     part = F.floor(F.col("task") / ADDED).alias("task")
     slots = slots.where("section IS NOT NULL").select("task", "section", "data")
     tasks = (slots.agg(F.max("task")).head()[0] or 0) + 1
-    while tasks > 1:
-        slots, tasks = slots.groupBy(part, "section").applyInPandas(_added(min_count), "task long, section int, data binary"), -(-tasks // ADDED)
-    held = [(r["section"], np.frombuffer(zlib.decompress(r["data"]), _kind(min_count)) >= min_count) for r in slots.collect()]
-    return Frequent([(section, np.packbits(enough, bitorder="little").tobytes()) for section, enough in held])
+    while tasks:
+        last = tasks <= ADDED
+        slots = slots.groupBy(part, "section").applyInPandas(_added(min_count, last), "task long, section int, data binary")
+        tasks = 0 if last else -(-tasks // ADDED)
+    return Frequent([(r["section"], bytes(r["data"])) for r in slots.collect()])
 
 
 def _count_runs(filters, most: int):
