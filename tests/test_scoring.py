@@ -171,3 +171,14 @@ def test_extras_replace_dates_and_any_numeric_stage_counts(spark):
     df = spark.createDataFrame([(1, "2022-01-01", {"first_seen": "2023-12-01"}, None, 4)], "id long, first_seen string, extra map<string,string>, awareness_type string, awareness_level int")
     row = df.select(scoring.age_days(df, date(2024, 1, 1)).alias("age"), scoring.awareness_stage(df).alias("stage")).first()
     assert (row["age"], row["stage"]) == (31, 4)
+
+
+def test_extras_replace_dates_also_when_empty_or_unreadable(spark):
+    rows = [
+        (1, "2024-01-01~2024-02-01", "2023-06-01", {"date_range": ""}), (2, "2024-01-01~2024-02-01", "2023-06-01", {"date_range": "soon"}),
+        (3, "2024-01-01~2024-02-01", "2023-06-01", {"first_seen": "2020-01-01"}), (4, None, "2023-06-01", {"first_seen": None}),
+        (5, None, "2023-06-01", None), (6, "", None, {"Date Range": " 2024-02-01 ~ x"}),
+    ]
+    df = spark.createDataFrame(rows, "id long, date_range string, first_seen string, extra map<string,string>")
+    got = by_id(df.select("id", scoring.age_days(df, date(2024, 3, 1)).alias("age")), "age")
+    assert got == {1: 274, 2: 274, 3: 60, 4: None, 5: 274, 6: 29}
