@@ -253,11 +253,28 @@ def local_insights(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, blocks)
 
 
+TEXT_ORDER = "es_CI_AI"  # the reports' language, blind to case and accents
+
+
+def text_order(text: Column) -> Column:
+    """What texts are sorted by: letters as in a dictionary, runs of digits by their value.
+
+    A run of digits is preceded by its length, leading zeros left out, so that 9 comes before 10.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def valued(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(F.regexp(run, F.lit("^[0-9]")), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(run)
+
+    return F.collate(F.array_join(F.transform(runs, valued), ""), TEXT_ORDER)
+
+
 def sort_products(df: DataFrame, column: str, descending: bool = False, numeric: bool = True) -> DataFrame:
-    """Sorted rows; unreadable numbers and NaN come last in both directions."""
+    """Sorted rows; unreadable numbers and NaN come last in both directions, texts by :func:`text_order`."""
     if numeric:
         number = to_double(F.col(column))
         key = F.when(~F.isnan(number), number)
     else:
-        key = F.lower(F.col(column))
+        key = text_order(F.col(column))
     return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "id")
