@@ -156,6 +156,30 @@ def trends_totals(
     )
 
 
+def trends_overview(
+    rows: DataFrame,
+    start: datetime,
+    end: datetime,
+    category_prefix: str | None = None,
+    compat_prev_unfiltered: bool = False,
+) -> DataFrame:
+    """Categories and totals of a period from one scan: ``is_total`` marks the row over all categories.
+
+    The rows are those of :func:`trends_by_category` and :func:`trends_totals`, both with the
+    change in units. Sums per category are what the total's grouping set adds up. Periods without rows
+    have no total either.
+    """
+    both, current = _measured(rows, start, end, category_prefix, compat_prev_unfiltered)
+    counted = ["unique_products", "units", "prev_units", "price_count", "rating_count", "rows"]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted] + [F.sum(c).alias(c) for c in EXACT + OUTLIERS]
+    per_category = both.groupBy("category").agg(*_measures(current))
+    levels = per_category.groupingSets([[F.col("category")], []], F.col("category")).agg((F.grouping("category") == 1).alias("is_total"), *sums)
+    return _as_doubles(levels.where("is_total OR rows > 0")).select(
+        "is_total", "category", "unique_products", "units", "revenue", *_averages(),
+        _change("units", "prev_units").alias("delta_units_pct"),
+    )
+
+
 def granularity(start: datetime, end: datetime) -> str:
     return "day" if end - start <= timedelta(days=31) else "week"
 

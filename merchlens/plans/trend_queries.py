@@ -80,6 +80,23 @@ def trends_totals(spark, folder):
     return rounded(trends.trends_totals(fr.trend_rows(spark, folder), *YEAR))
 
 
+_CHANGE_IN_UNITS = "ROUND(CASE WHEN prev_units <> 0 THEN (units - prev_units) * 100 / prev_units ELSE 0 END, 4) AS delta_units_pct"
+
+
+@query(
+    "trends_overview",
+    _period_sql("1998-01-01", "1999-01-01", "1997-01-01").rstrip()
+    + _TOTALS.replace("SELECT unique_products, units, ROUND(revenue", ", whole AS (SELECT true AS is_total, NULL AS category, unique_products, units, ROUND(revenue")
+    + "), per_category AS ("
+    + _CATEGORY_SQL.replace("SELECT category, unique_products", "SELECT false AS is_total, category, unique_products", 1).replace(
+        "AS delta_revenue_pct\nFROM", "AS delta_revenue_pct, " + _CHANGE_IN_UNITS + "\nFROM"
+    )
+    + ") SELECT * FROM whole UNION ALL BY NAME SELECT * FROM per_category",
+)
+def trends_overview(spark, folder):
+    return rounded(trends.trends_overview(fr.trend_rows(spark, folder), *YEAR))
+
+
 def _series_sql(start: str, end: str, unit: str) -> str:
     return (
         fr.with_views(fr.TREND_ROWS)
@@ -299,6 +316,24 @@ def sort_products(spark, folder):
     return analytics.sort_products(rows, "shown", descending=True)
 
 
+@query(
+    "sort_products_text",
+    """WITH named AS (SELECT p_partkey AS id, ['Árbol', 'árbol', 'zeta', 'Éter', 'eter'][1 + p_size % 5] || ' ' || (p_partkey % 300) || ['', ' Ü', ' u'][1 + p_size % 3] AS name,
+  p_partkey % 300 AS number FROM part),
+keyed AS (SELECT *, lower(strip_accents(split_part(name, ' ', 1))) AS head, lower(strip_accents(split_part(name, ' ', 3))) AS tail FROM named)
+SELECT * FROM (SELECT 'first' AS page, id, name FROM keyed ORDER BY head, number, tail, id LIMIT 300)
+UNION ALL SELECT * FROM (SELECT 'last' AS page, id, name FROM keyed ORDER BY head DESC, number DESC, tail DESC, id LIMIT 300)""",
+)
+def sort_products_text(spark, folder):
+    """The first pages of a table sorted by names with accents, capitals and numbers, in both directions."""
+    pick = lambda number, *words: F.element_at(F.array(*[F.lit(w) for w in words]), (number + 1).cast("int"))
+    number = F.concat(F.lit(" "), (F.col("p_partkey") % 300).cast("string"))
+    name = F.concat(pick(F.col("p_size") % 5, "Árbol", "árbol", "zeta", "Éter", "eter"), number, pick(F.col("p_size") % 3, "", " Ü", " u"))
+    rows = fr.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    pages = [analytics.sort_products(rows, "name", down, numeric=False).limit(300).withColumn("page", F.lit(page)) for page, down in (("first", False), ("last", True))]
+    return pages[0].unionByName(pages[1])
+
+
 @query(
     "local_insights",
     P + """, cuts AS (SELECT

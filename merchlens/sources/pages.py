@@ -9,9 +9,11 @@ from merchlens.functions import vocab
 from merchlens.functions.numbers import ratio
 from merchlens.functions.text import none_if_blank
 
-# the part of a tag after its name, quoted values included
-_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-_CONTENT = r"""(?is)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+# A page as a parser sees it: comments, scripts and styles with all they hold, tags with quoted
+# values, and text. A tag ends outside quotes.
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_TOKEN = rf"""(?is)(<!--.*?(?:-->|$)|<(script|style)\b{_REST}>.*?(?:</\2\s*+>|$)|<[/!?]?[a-z]{_REST}>?|[^<]++|<)"""
+_ATTRIBUTE = r"""(?s)\s([^\s=/>"']++)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++)"""
 _ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
     ("&euro;", "€"), ("&amp;", "&"),
@@ -24,29 +26,43 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def page_title(html: Column) -> Column:
-    return none_if_blank(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)</title>", 1)))
+def page_tokens(html: Column) -> Column:
+    """Comments, scripts, tags and texts of a page, in order."""
+    return F.regexp_extract_all(html, F.lit(_TOKEN), 1)
 
 
-def _meta(html: Column, attribute: str, value: str) -> Column:
-    tags = F.regexp_extract_all(html, F.lit(rf"(?is)(<meta\b{_REST}>)"), F.lit(1))
-    named = rf"""(?is)\s{attribute}\s*=\s*["']?{value}["'\s/>]"""
-    tag = F.get(F.filter(tags, lambda t: t.rlike(named)), 0)
-    content = F.concat(F.regexp_extract(tag, _CONTENT, 1), F.regexp_extract(tag, _CONTENT, 2))
-    return tag, none_if_blank(unescape(content))
+def page_title(tokens: Column) -> Column:
+    """The text of the first title element that is no part of a comment or script."""
+    opens = F.transform(tokens, lambda t, i: F.when(F.regexp(t, F.lit(r"(?i)^<title\b")), i))
+    at = F.get(F.filter(opens, lambda i: i.isNotNull()), 0)
+    text, end = F.get(tokens, at + 1), F.get(tokens, at + 2)
+    return none_if_blank(unescape(F.when(F.regexp(end, F.lit(r"(?i)^</title\b")) & ~text.startswith("<"), text)))
 
 
-def page_description(html: Column) -> Column:
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, wherever it stands in the tag."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 1), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 2)
+    value = F.get(values, F.array_position(names, name).cast("int") - 1)
+    return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _meta(metas: Column, name: str, value: str) -> Column:
+    """The content of the first such tag, as the only entry of a list that is empty without one."""
+    wanted = F.filter(metas, lambda t: attribute(t, name) == value)
+    return F.transform(F.slice(wanted, 1, 1), lambda t: attribute(t, "content"))
+
+
+def page_description(tokens: Column) -> Column:
     """Meta description; the Open Graph one only where there is no plain tag at all."""
-    tag, plain = _meta(html, "name", "description")
-    _, graph = _meta(html, "property", "og:description")
-    return F.when(tag.isNotNull(), plain).otherwise(graph)
+    metas = F.filter(tokens, lambda t: F.regexp(t, F.lit(r"(?i)^<meta\b")))
+    found = F.concat(_meta(metas, "name", "description"), _meta(metas, "property", "og:description"))
+    return none_if_blank(F.get(found, 0))
 
 
-def page_text(html: Column) -> Column:
-    """Text of a page with tags and comments replaced by spaces."""
-    plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", " "), rf"(?s)</?[a-zA-Z!]{_REST}>", " ")
-    return unescape(plain)
+def page_text(tokens: Column) -> Column:
+    """Text of a page; what is no text becomes a space."""
+    return unescape(F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("<") & (t != "<"), " ").otherwise(t)), ""))
 
 
 def first_price(text: Column) -> Column:
@@ -60,13 +76,13 @@ def first_price(text: Column) -> Column:
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """``name, description, price`` per page; pages with neither title nor description go."""
-    source = F.col(html)
-    rows = pages.select(
+    tokens = F.col("_tokens")
+    rows = pages.select("page_id", "url", page_tokens(F.col(html)).alias("_tokens")).select(
         "page_id",
         "url",
-        page_title(source).alias("title"),
-        page_description(source).alias("description"),
-        first_price(page_text(source)).alias("price"),
+        page_title(tokens).alias("title"),
+        page_description(tokens).alias("description"),
+        first_price(page_text(tokens)).alias("price"),
     ).where(F.col("title").isNotNull() | F.col("description").isNotNull())
     return rows.select(
         "page_id", "url", F.coalesce("title", F.lit("")).alias("name"), "description", "price"

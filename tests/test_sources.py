@@ -254,6 +254,27 @@ PAGES = [
     (4, "http://y.com/d", "<title>T</title><meta name='description' content=''><meta property='og:description' content='no'><p>12 USD</p>"),
     (5, "http://y.com/e", "<title>C</title><!-- €9.99 --><i data-x='1>2'>9.5 USD</i>"),
 ]
+# as a parser sees them: comments, scripts, quoted values and attributes in any order
+PARSED = [
+    ("<!-- <title>No</title> <meta name='description' content='no'> --><title>Yes</title>", ("Yes", None, None)),
+    ("<script>var t = '<title>No</title>', p = '€ 1,50';</script><TITLE lang=en>Yes &lt;3</TITLE><p>€ 2,50", ("Yes <3", None, 2.5)),
+    ("<style>a:after{content:'<meta name=description content=no>'}</style><title>T</title>", ("T", None, None)),
+    ("<title>T</title><meta content='first' charset=x name='description'/>", ("T", "first", None)),
+    ("<title>T</title><meta content=\"name='description' > x\" name=keywords><meta CONTENT=\"it's\" NAME=description>", ("T", "it's", None)),
+    ("<title>T</title><a title='<meta name=description content=no>'>x</a><meta property='og:description' content='og'>", ("T", "og", None)),
+    ("<title></title><meta name=description content=only>", ("", "only", None)),
+    ("<title>T</title> 1 < 2 <b>3,50 €</b> <!-- open 9,99 €", ("T", None, 3.5)),
+    ("<script src='x'>never closed <title>No</title>", None),
+    (None, None),
+    ("", None),
+    ("<p " + "a='1' " * 3000 + "><title>Long</title>" + "<i>x</i>" * 3000, ("Long", None, None)),
+]
+
+
+def test_pages_as_a_parser_sees_them(spark):
+    df = spark.createDataFrame([(i, None, html) for i, (html, _) in enumerate(PARSED)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["name"], r["description"], r["price"]) for r in pages.extract_pages(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(PARSED) if want}
 
 
 def test_pages(spark):

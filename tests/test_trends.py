@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.frames import rows
 from merchlens.functions.dates import period_bounds
@@ -151,3 +152,28 @@ def test_insights_ignore_zeros_in_thresholds(spark):
         out.setdefault(r["block"], []).append(r["name"])
     assert out["top_revenue"] == ["n10", "n9", "n8"] and out["pricey_sellers"] == ["n8", "n9", "n10"]
     assert out["fan_favourites"] == ["n9", "n10"] and out["top_categories"] == ["c"]
+
+
+def test_texts_are_sorted_as_in_a_dictionary_and_digits_by_value(spark):
+    names = ["item 10", "item 9", "Item 09b", "árbol", "zeta", "Arbol 2", "ñu", "nube", "oso", None, "item 9a", "item 100000000000000000000"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = [r["name"] for r in analytics.sort_products(df, "name", numeric=False).collect()]
+    assert got == ["árbol", "Arbol 2", "item 9", "item 9a", "Item 09b", "item 10", "item 100000000000000000000", "nube", "ñu", "oso", "zeta", None]
+    down = [r["name"] for r in analytics.sort_products(df, "name", True, numeric=False).collect()]
+    assert down == got[-2::-1] + [None]
+
+
+def test_overview_has_categories_and_totals_from_one_scan(spark, tmp_path):
+    rows = [(1, "A", 10.0, 2.0, 20.0, 4.0, "2024-05-03"), (2, "B", 5.0, 1.0, 5.0, None, "2024-05-04"), (2, "A", 5.0, 1.0, 6.0, 3.0, "2024-05-04"), (3, "C", 1.0, 1.0, 9.0, 1.0, "2024-04-20")]
+    df = spark.createDataFrame(rows, "id long, category string, price double, units double, revenue double, rating double, d string").withColumn("import_date", F.to_timestamp("d"))
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    period = datetime(2024, 5, 1), datetime(2024, 6, 1)
+    got = trends.trends_overview(df, *period)
+    shared = ["unique_products", "units", "revenue", "avg_price", "avg_rating", "rev_per_unit", "delta_revenue_pct"]
+    total = got.where("is_total").select(*shared, "delta_units_pct").collect()
+    assert total == trends.trends_totals(df, *period).collect() and total[0]["delta_units_pct"] == 300
+    per_category = got.where("NOT is_total").orderBy(F.desc("revenue"), "category").select("category", *shared).collect()
+    assert per_category == trends.trends_by_category(df, *period).collect()
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert trends.trends_overview(df.limit(0), *period).count() == 0
