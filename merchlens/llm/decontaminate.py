@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merchlens.llm.common import in_batches, joined_bytes, mix, prefix_hash, span_hash, word_bounds
+from merchlens.llm.common import in_batches, joined_bytes, mix, prefix_hash, span_hash, stored, word_bounds
 
 WINDOW = 8  # tokens of a template window
 MIN_LITERAL = 4  # of them not placeholders
@@ -181,6 +181,52 @@ def _windows(df: DataFrame, id: str, text: str, window: int, literal: int, bloom
     return texts.mapInArrow(cut, f"id {kind}, key long, {WINDOW_SCHEMA}")
 
 
+SHORTEST = 4  # tokens of a question that is looked for as a whole
+
+
+def _whole_runs(df: DataFrame, id: str, text: str, lengths: list[int] | None, bloom: np.ndarray | None = None) -> DataFrame:
+    """Runs of tokens as they are, lower-cased: of whole texts, or of all runs of the given lengths."""
+    kind = df.schema[id].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for begin, end in in_batches(texts):
+                raw, begins = joined_bytes(texts[begin:end])
+                data = np.frombuffer(b"\n" + raw + b"\n", np.uint8)
+                first, last = _whole_numbers(data, *word_bounds(data, _OUTSIDE))
+                prefix = prefix_hash(_LOWER[np.frombuffer(b"\n" + _lower_case(texts[begin:end]) + b"\n", np.uint8)])
+                own, of = span_hash(prefix, first, last), np.searchsorted(begins + 1, first, side="right") - 1
+                counts = np.bincount(of, minlength=end - begin)
+                starts = np.cumsum(counts) - counts
+                for n in sorted(set(counts.tolist())) if lengths is None else lengths:
+                    at = starts[counts == n] if lengths is None else np.arange(max(0, len(own) - n + 1))
+                    at = at[of[at] == of[at + n - 1]] if n and len(at) else at[:0]
+                    h = np.full(len(at), n, np.uint64)
+                    for j in range(n):
+                        h = mix(h * np.uint64(3) + own[at + j])
+                    at, h = (at, h) if bloom is None else (at[in_filter(bloom, h)], h[in_filter(bloom, h)])
+                    if not len(at):
+                        continue
+                    rows = pa.array(begin + of[at])
+                    size = pa.array(np.full(len(at), n), pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("key").take(rows), pa.array(h.view(np.int64)), size], ["id", "key", "window", "tokens"])
+
+    texts = df.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
+    return texts.mapInArrow(cut, f"id {kind}, key long, window long, tokens int")
+
+
+def find_whole_questions(products: DataFrame, questions: DataFrame, id: str, text: str, question_id: str, question_text: str) -> DataFrame:
+    """``id, _key, question_id`` of texts that hold all tokens of a question in a row, in any case."""
+    asked = stored(_whole_runs(questions, question_id, question_text, None).where(F.col("tokens") >= SHORTEST), "short-questions")
+    lengths = [r["tokens"] for r in asked.select("tokens").distinct().orderBy("tokens").collect()]
+    if not lengths:
+        return products.select(F.col(id).alias("id"), F.lit(0).cast("long").alias("_key"), F.lit(None).cast(questions.schema[question_id].dataType).alias("question_id")).limit(0)
+    held = _whole_runs(products, id, text, lengths, bloom_filter(asked))
+    wanted = asked.select(F.col("id").alias("question_id"), "window", "tokens").distinct()
+    return held.join(wanted, ["window", "tokens"]).select("id", F.col("key").alias("_key"), "question_id").distinct()
+
+
 def bloom_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A Bloom filter of ``2^bits`` bits over window hashes; tasks fill their own, which are joined."""
 
@@ -252,11 +298,13 @@ def find_questions(
     Returns ``id, _key, question_id, n_windows, coverage, changed``: at how many places
     of the question the best alignment holds a window, the largest of its shares, and how many of its slot
     values differ from the question's. ``_key`` is a
-    hash of the text. A question of fewer than ``window`` tokens (or literals) has no windows and
-    is never found; so are missing and empty texts. Rows that repeat id and text count once.
-    Further columns are ignored; ids may be NULL.
+    hash of the text. A question without windows, having too few tokens or literals, is found where
+    all its tokens stand in a row, if these are ``SHORTEST`` or more; it counts as one window. Missing and
+    empty texts hold none and are found nowhere. Rows that repeat id and text count once. Further columns
+    are ignored; ids may be NULL; without products or questions there are no rows.
     """
-    asked = _windows(questions, question_id, question_text, window, literal)
+    text_column = text
+    asked = stored(_windows(questions, question_id, question_text, window, literal), "question-windows")
     asked = asked.select(F.col("id").alias("question_id"), F.col("key").alias("_question"), "window", F.col("place").alias("asked_at"), F.col("typed").alias("asked_typed"), F.col("slots").alias("asked"))
     held = _windows(products, id, text, window, literal, bloom_filter(asked)).withColumnRenamed("key", "_key")
     places = (F.sort_array(F.collect_set("asked_at")).alias("at"), F.sort_array(F.collect_set(F.when(F.col("asked_typed"), F.col("asked_at")))).alias("typed_at"))
@@ -292,10 +340,15 @@ def find_questions(
     shares = F.greatest(*[F.when(F.size(of) > 0, f(at) / f(of)) for at, of in parts for f in (F.size, lambda c: _spanned(c, window))])
     changed = F.size(F.filter("values", lambda v: v["asked"] != v["slots"])).cast("long")
     best = F.max(F.struct("coverage", F.size("at").cast("long").alias("n_windows"), (-changed).alias("same")))
-    return (
+    found = (
         aligned.withColumn("coverage", shares)
         .where((F.col("coverage") >= cover) | (F.col("row") >= PASSAGE))
         .groupBy(*text, "question_id")
         .agg(best.alias("best"))
         .select(*text, "question_id", "best.n_windows", "best.coverage", (-F.col("best.same")).alias("changed"))
     )
+    key = F.xxhash64(F.coalesce(F.col(question_text), F.lit("")))
+    short = questions.join(sizes, F.col(question_id).eqNullSafe(F.col("_q")) & (key == F.col("_k")), "left_anti")
+    whole = find_whole_questions(products, short, id, text_column, question_id, question_text)
+    one = whole.select(*text, "question_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("changed"))
+    return found.unionByName(one)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from merchlens.llm.common import in_batches, joined_bytes, mix, prefix_hash, span_hash, word_bounds
 
-PER_LANGUAGE = 250  # labelled rows a language is learned from, of at most MOST_CHARS characters
+PER_LANGUAGE = 250  # labelled rows a language is learned from, by their first MOST_CHARS characters
 MOST_CHARS = 20_000
 EPOCHS = 5
 STEP = 1024  # words of a block; blocks of one text are joined by their transfer matrices
@@ -251,18 +251,19 @@ def learn_languages(
 ) -> Model:
     """Fits the model on a bounded sample of labelled rows that are not held out.
 
-    About ``per_language`` rows of each language, chosen by a hash of id and text, of no more
-    than ``most_chars`` characters come to the driver; equal tables give equal models.
+    About ``per_language`` rows of each language, chosen by a hash of id and text, come to the driver,
+    texts of more than ``most_chars`` characters cut there for learning; equal tables give equal models.
     """
     labelled = products.select(
         F.col(id).alias("id"), F.col(text).alias("text"), F.col(language).alias("language")
-    ).where(~held_out(F.col("id")) & F.col("language").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
+    ).where(~held_out(F.col("id")) & F.col("language").isNotNull() & F.col("text").isNotNull())
     known = {r["language"]: r["count"] for r in labelled.groupBy("language").count().collect()}
     if not known:
         return Model([], np.zeros((int(_BASE[-1]), 0), np.float32), np.zeros((0, 0)))
     rate = F.create_map(*[F.lit(v) for name, n in sorted(known.items()) for v in (name, 1.25 * per_language / n)])
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < F.element_at(rate, F.col("language"))).toPandas()
+    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < F.element_at(rate, F.col("language")))
+    drawn = drawn.withColumn("text", F.substring("text", 1, most_chars)).toPandas()
     drawn = drawn.sort_values(["language", "draw", "id"], kind="stable").groupby("language").head(per_language)
     return fit(drawn["text"].tolist(), drawn["language"].tolist())
 
@@ -290,7 +291,8 @@ def identify_languages(
     sample of the given labels (:func:`learn_languages`).
 
     A text that is missing or holds no letter is ``und`` with score 0, as is every text if no
-    row is labelled. Rows may repeat, ids and labels may be NULL; further columns are ignored.
+    row is labelled. Of languages with equal shares the first by name is taken. Rows may repeat, ids
+    and labels may be NULL; further columns are ignored; an empty table gives no rows.
     """
     model = learn_languages(products, per_language, id=id, text=text, language=language)
     found = predict_languages(products, model, id, text)

@@ -35,7 +35,8 @@ NAMES = [
     ("x11", "x11", r"(?:mit )?x11"),
     ("isc", "isc", r"isc"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: version)? 1 1"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?"),
+    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version| v)? 2(?: 0)?"),
+    ("apache-2", "apache2", r"apache2(?: 0)?"),
     ("bsd-0", "0bsd", r"0bsd"),
     ("bsd-1", "bsd", r"(?:bsd 1 clause|1 clause bsd|one clause bsd)"),
     ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd bsd)"),
@@ -46,14 +47,21 @@ NAMES = [
     ("gpl-2", "gplv2", r"(?:gnu )?gplv2(?: 0)?(?: or later| only)?"),
     ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version| v)? 3(?: 0)?(?: or later| only)?"),
     ("gpl-3", "gplv3", r"(?:gnu )?gplv3(?: 0)?(?: or later| only)?"),
+    ("gpl-2", "gpl2", r"(?:gnu )?gpl2(?: 0)?(?: or later| only)?"),
+    ("gpl-3", "gpl3", r"(?:gnu )?gpl3(?: 0)?(?: or later| only)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("gpl", "gnu", r"gnu general public"),
     ("lgpl-2", "lgpl", r"(?:gnu )?lgpl(?: version| v)? 2(?: 0)?(?: or later| only)?"),
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl(?: version| v)? 2 1(?: or later| only)?"),
     ("lgpl-3", "lgpl", r"(?:gnu )?lgpl(?: version| v)? 3(?: 0)?(?: or later| only)?"),
+    ("lgpl-2.1", "lgplv2", r"(?:gnu )?lgplv2 1(?: or later| only)?"),
+    ("lgpl-3", "lgplv3", r"(?:gnu )?lgplv3(?: 0)?(?: or later| only)?"),
+    ("lgpl-3", "lgpl3", r"(?:gnu )?lgpl3(?: 0)?(?: or later| only)?"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
     ("lgpl", "library", r"gnu library general public"),
-    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version| v)? ?3(?: 0)?(?: or later| only)?"),
+    ("agpl-3", "agpl", r"(?:gnu )?agpl(?: version| v)? 3(?: 0)?(?: or later| only)?"),
+    ("agpl-3", "agplv3", r"(?:gnu )?agplv3(?: 0)?(?: or later| only)?"),
+    ("agpl-3", "agpl3", r"(?:gnu )?agpl3(?: 0)?(?: or later| only)?"),
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("fdl", "documentation", r"gnu free documentation"),
     ("mpl-1.1", "mozilla", r"mozilla public(?: license)?(?: version| v)? 1 1"),
@@ -61,8 +69,10 @@ NAMES = [
     ("mpl-2", "mpl", r"mpl(?: version| v)? 2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public(?: license)?(?: version| v)? 1(?: 0)?"),
     ("epl-2", "eclipse", r"eclipse public(?: license)?(?: version| v)? 2(?: 0)?"),
-    ("cddl-1", "cddl", r"cddl(?: version| v)? ?1(?: 0)?"),
-    ("cddl-1.1", "cddl", r"cddl(?: version| v)? ?1 1"),
+    ("cddl-1", "cddl", r"cddl(?: version| v)? 1(?: 0)?"),
+    ("cddl-1.1", "cddl", r"cddl(?: version| v)? 1 1"),
+    ("cddl-1", "cddl1", r"cddl1(?: 0)?"),
+    ("cddl-1.1", "cddl1", r"cddl1 1"),
     ("cddl", "distribution", r"common development and distribution"),
     ("cpl-1", "common", r"common public(?: license)?(?: version| v)? 1(?: 0)?"),
     ("ms-pl", "microsoft", r"microsoft public"),
@@ -92,7 +102,8 @@ NAMES = [
     ("openssl", "openssl", r"openssl"),
     ("postgresql", "postgresql", r"postgresql"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
-    ("eupl-1.2", "eupl", r"eupl(?: version| v)? ?1 2"),
+    ("eupl-1.2", "eupl", r"eupl(?: version| v)? 1 2"),
+    ("eupl-1.2", "eupl1", r"eupl1 2"),
     ("upl-1", "permissive", r"universal permissive(?: license)?(?: version)?(?: 1 0)?"),
     ("sspl-1", "server", r"server side public(?: license)?(?: version)?(?: 1)?"),
     ("busl-1.1", "business", r"business source(?: license)?(?: version)?(?: 1 1)?"),

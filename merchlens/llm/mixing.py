@@ -12,7 +12,9 @@ from merchlens.llm.common import WORD, stored, text_key
 
 MOST_EPOCHS = 3
 BLOCKS = 1_000_000  # a mix of T words is cut into blocks of about T / BLOCKS words
-SHARD_BLOCKS = 4096
+BLOCK_WORDS = 256  # or of so many, if that is less
+SHARD_BLOCKS = 4096  # blocks of a shard, unless the mix then has too many
+MOST_SHARDS = 100_000  # beyond one for each source: what the driver plans with
 
 
 def targets(weights: np.ndarray, sizes: np.ndarray, total: float, most: float = MOST_EPOCHS) -> np.ndarray:
@@ -57,6 +59,15 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     return held
 
 
+def source_quotas(goal: np.ndarray, sizes: np.ndarray, total: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each source's whole blocks and its words: targets below a block to the word, others in blocks."""
+    small = goal < block
+    words = np.where(small, np.floor(goal + 0.5), 0).astype(np.int64)
+    seats = int(max(0, total - words.sum()) // block)
+    whole = sainte_lague(np.where(small, 0.0, goal), seats, (MOST_EPOCHS * sizes) // block)
+    return whole, words + whole * block
+
+
 def mix_sources(
     products: DataFrame,
     seed: int = 7,
@@ -70,19 +81,21 @@ def mix_sources(
 
     Sources, by code point with a missing one last, weigh 1, 2, 3, 1, 2, 3 ... and share as many
     words as there are; a source's target stops at three times its size (:func:`targets`).
-    A mix is cut into blocks of equal size. Sources get whole blocks by Sainte-Laguë, the rest
-    of a target smaller than a block as a part of one. A source's records are dealt to shards by
-    a seeded hash, and its quota is dealt to the shards by Sainte-Laguë again. In a shard the
-    records follow each other in seeded order; a quota is taken as whole passes over the shard
-    and then as blocks in seeded order, the last cut to what is left. So no record is taken
-    more than three times its size.
+    A mix is cut into blocks of equal size. Sources get whole blocks by Sainte-Laguë, one after the
+    other to the highest quotient of target and blocks held, as far as three times a source's size
+    has room for them; so a source is at most a few blocks off its target. Only a target smaller than
+    a block is taken to the word. A source's records are dealt to shards by a seeded hash, and its
+    quota is dealt to the shards by Sainte-Laguë again. In a shard the records follow each other in
+    seeded order; a quota is taken as whole passes over the shard and then as blocks in seeded order,
+    the last cut to what is left. So no record is taken more than three times its size.
 
     Returns ``id, size, source_size, target, taken, text_digest``: words of the text, of its
     source, the source's target, the words taken from this record, repeats counted, and the
     digest that tells records of one id apart. Equal input gives
     equal results. A missing or empty text has size 0 and nothing is taken from it; rows may
-    repeat, ids may be NULL; further columns are ignored. The driver holds one row per source
-    and per shard, of which there are about ``blocks / shard_blocks`` and one for each source.
+    repeat, ids may be NULL; further columns are ignored; an empty table gives no rows. The driver
+    holds one row per source and per shard. Shards grow in number with the words, to
+    :data:`MOST_SHARDS`, and beyond that in size.
     """
     spark = products.sparkSession
     sized = stored(
@@ -98,13 +111,13 @@ def mix_sources(
     per_source = per_source.sort_values("source", key=lambda s: s.map(lambda v: (v is None, v or "")), ignore_index=True)
     sizes = per_source["source_size"].to_numpy(np.int64)
     total = int(sizes.sum())
-    block = max(1, total // blocks)
+    block = max(1, min(total // blocks, BLOCK_WORDS) if blocks == BLOCKS else total // blocks)
     goal = targets(np.arange(len(sizes)) % 3 + 1.0, sizes, total)
-    quota = np.floor(goal + 0.5).astype(np.int64)
-    whole = sainte_lague(goal, total // block, (goal // block).astype(np.int64)) if len(goal) else quota
+    whole, quota = source_quotas(goal, sizes, total, block)
+    shard_words = max(block * shard_blocks, total // MOST_SHARDS)
     per_source["number"] = np.arange(len(sizes))
     per_source["target"] = goal
-    per_source["shards"] = np.maximum(1, -(-sizes // (block * shard_blocks)))
+    per_source["shards"] = np.maximum(1, -(-sizes // shard_words))
     listed = spark.createDataFrame(
         [(r.source, int(r.number), int(r.source_size), float(r.target), int(r.shards)) for r in per_source.itertuples()],
         "source string, number int, source_size long, target double, shards int",

@@ -123,6 +123,17 @@ def group_equal(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, group
 
 
+def group_names(pack: Pack, at: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`group_equal` of the strings at some places, by their names and check bits together."""
+    first, group = group_equal(names)
+    check = _check(pack, at)
+    if (check != check[first][group]).any():
+        pairs = np.stack([names, check.astype(np.uint64)], axis=1)
+        _, first, group = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
+        group = group.ravel()
+    return first, group
+
+
 # --- cover samples -----------------------------------------------------------------------
 
 
@@ -218,7 +229,7 @@ def _emit_suffixes(bits: int, lo: int, hi: int):
                 inside = np.flatnonzero((bucket >= lo) & (bucket < hi))
                 if not len(inside):
                     continue
-                first, _ = group_equal(names[inside])
+                first, _ = group_names(pack, at[inside], names[inside])
                 at, names = at[inside][first], names[inside][first]
                 check = _check(pack, at)
                 text = np.searchsorted(pack.ends, at, side="right")
@@ -278,7 +289,7 @@ def _cut_texts(bits: int):
                 if len(row.runs):
                     at = _positions(row.runs)
                     names = span_hash(pack.prefix, at, at + WIDTH)
-                    first, group = group_equal(names)
+                    first, group = group_names(pack, at, names)
                     later = np.zeros(len(first), bool)
                     if row.buckets is not None:
                         later = _bits_of(row.buckets, row.payloads, names[first], bits)
@@ -317,17 +328,19 @@ def remove_repeats(products: DataFrame, id: str = "id", text: str = "description
     Returns ``id, n_bytes, n_removed, n_spans, kept``: UTF-8 bytes, those removed, their maximal
     runs, and the bytes that stay.
 
-    Difference-cover blockwise construction. Samples at the positions of a difference cover are
-    named by their first bytes: two equal strings have equal samples at a common shift, so only
-    strings around a sample name that occurs twice can repeat. Those suffixes are dealt to
-    buckets by name, and a group of buckets is sorted at a time, ``passes`` in all, which bounds
-    disk and memory; long ties need no byte comparison, as equal names of 96 bits (from hashes of
-    the string and of its halves) stand for equal strings. What comes back is one bit per suffix.
+    Difference-cover blockwise construction in its outline: samples at the positions of a difference
+    cover are named, two equal strings have equal samples at a common shift, so only strings around a
+    sample name that occurs twice can repeat; those suffixes are dealt to buckets, and a group of
+    buckets is sorted at a time, ``passes`` in all, which bounds disk and memory. Names are hashes,
+    though, not ranks: a name of 96 bits (from hashes of the string and of its halves) stands for the
+    string, within a pack as between packs, and buckets go by name. What comes back is one bit per
+    suffix.
     A pack of texts counts a string once, so that a string most texts hold is few rows.
 
     A missing text is empty; texts shorter than ``WIDTH`` stay whole. Products without an id come
     last; ids are whole numbers, others are refused; products that share one follow each other by a hash of the text; equal rows by their place
-    in the input, each with its own result. Further columns are ignored.
+    in the input, each with its own result. Further columns are ignored; an empty
+    table gives no rows.
     """
     spark = products.sparkSession
     packs = stored(pack_texts(products, id, text), "packs")

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from merchlens.llm import decontaminate, language, licenses, line_runs, minhash, mixing, suffixes, tokens, warc, winnow
@@ -115,11 +118,50 @@ def test_containment_and_priority(spark):
     assert {r.label for r in kept} == {"bsd-3", "mit"}
 
 
-def test_hundreds_of_rules_each_holding_its_gate_word():
+def spellings(pattern, most=400):
+    """Texts that a rule's pattern matches, every branch and optional part taken and left out."""
+    import re._parser as parser
+
+    def of(items):
+        out = [""]
+        for kind, value in items:
+            if kind is parser.LITERAL:
+                parts = [chr(value)]
+            elif kind is parser.NOT_LITERAL:
+                parts = ["y"]
+            elif kind is parser.IN:
+                parts = [chr(v[0] if k is parser.RANGE else v) for k, v in value if k in (parser.LITERAL, parser.RANGE)][:2] or ["y"]
+            elif kind is parser.BRANCH:
+                parts = [t for branch in value[1] for t in of(branch)]
+            elif kind is parser.SUBPATTERN:
+                parts = of(value[3])
+            elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+                once = of(value[2])
+                parts = ([""] if value[0] == 0 else []) + once
+            else:
+                raise AssertionError(kind)
+            out = [x + y for x in out for y in parts][:most]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_spelling_of_a_rule_holds_its_gate_word():
     rules = all_rules()
     assert len(rules) > 300 and len({r.name for r in rules}) == len(rules)
     for r in rules:
-        assert re.search(rf"(?<![a-z0-9]){r.gate}(?![a-z0-9])", r.pattern), r.name
+        texts = spellings(r.pattern)
+        assert all(re.fullmatch(r.pattern, t) and r.gate in t.split() for t in texts), r.name
+
+
+def test_names_written_together_with_their_version(spark):
+    texts = {
+        "licensed under apache2": "apache-2", "agpl3 license": "agpl-3", "cddl1 license": "cddl-1", "licensed under CDDL1.1": "cddl-1.1",
+        "released under EUPL1.2": "eupl-1.2", "under the gpl2 license": "gpl-2", "licensed under the LGPLv3": "lgpl-3",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, description string")
+    got = {r.id: r.labels.split(",") for r in licenses.scan_licenses(df).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts.values())), got
 
 
 # --- op2 ---------------------------------------------------------------------------------
@@ -147,6 +189,39 @@ def test_edited_texts_and_match_guarantee(spark):
             assert not runs or sets[a] & sets[b]
 
 
+def brute_fingerprint(text):
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    pair = lambda a, b: xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42))
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.findall(r"[^ \t\n\x0b\f\r]+", text.lower())]
+    if 0 < len(words) < winnow.GRAM:
+        words = [xxhash.xxh64_intdigest(" ".join(str(signed(h)) for h in words).encode(), seed=42)] * winnow.GRAM
+    twos = [pair(a, b) for a, b in zip(words, words[1:])]
+    grams = [pair(a, b) >> (64 - winnow.HASH_BITS) for a, b in zip(twos, twos[2:])]
+    chosen = []
+    for i in range(max(1, len(grams) - winnow.WINDOW + 1) if grams else 0):
+        window = grams[i : i + winnow.WINDOW]
+        at = i + max(j for j, h in enumerate(window) if h == min(window))
+        if at not in [p for p, _ in chosen]:
+            chosen.append((at, grams[at]))
+    return chosen
+
+
+def test_fingerprints_and_likenesses_against_brute_force(spark):
+    texts = made(25, 4) + ["a b c d a b c d a b c d a b c d a b", "one two", "x", "", None, "Été à la mer, ÉTÉ À LA MER " * 6]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, description string")
+    got = {r.id: r for r in winnow.fingerprint_edits(df).collect()}
+    like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[i - 1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        prints = [brute_fingerprint(x) for x in (t, edited, nxt)]
+        as_text = [" ".join(f"{p}:{h:x}" for p, h in x) for x in prints]
+        own, other, after = ({h for _, h in x} for x in prints)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple(as_text[:2])
+        assert (got[i].near_edited, got[i].near_next) == (pytest.approx(like(own, other)), pytest.approx(like(own, after)))
+
+
 def test_next_record_over_any_number_of_ranges(spark):
     ids = [5, 1, 9, 9, 2**60, -4, None, 30, 31]
     df = spark.createDataFrame([(v, f"k{i}") for i, v in enumerate(ids)], "id long, _key string")
@@ -329,6 +404,16 @@ def test_languages_of_held_out_texts(spark):
     assert [got[i].language_pred for i in (-1, -2, -3)] == ["und"] * 3 and got[-4].language_pred != "und"
 
 
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rng = np.random.default_rng(3)
+    words = {"de": "und der nicht straße schön für über müssen".split(), "en": "the and which with that from have this".split()}
+    rows = [(i, " ".join(rng.choice(words["de"], 18_000)), "de") for i in range(6)]
+    rows += [(100 + i, " ".join(rng.choice(words["en"], 60)), "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, description string, language string")
+    got = {r.id: r.language_pred for r in language.identify_languages(df).collect()}
+    assert {got[i] for i in range(6)} == {"de"} and {got[100 + i] for i in range(30)} == {"en"}
+
+
 # --- op8 ---------------------------------------------------------------------------------
 
 
@@ -343,10 +428,37 @@ def test_highest_quotients():
         assert mixing.sainte_lague(votes, seats).tolist() == held.tolist()
 
 
-@pytest.mark.parametrize("blocks,shard", [(1_000_000, 4096), (50, 3)])
-def test_mix_comes_near_its_targets(spark, blocks, shard):
+def brute_targets(sizes):
+    """Shares by weights 1, 2, 3 in exact arithmetic; sources at three times their size fixed one after the other."""
+    total, fixed = sum(sizes), {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        weight, left = sum(i % 3 + 1 for i in free), total - sum(fixed.values())
+        share = {i: Fraction((i % 3 + 1) * left, weight) for i in free}
+        above = [i for i in free if share[i] >= 3 * sizes[i]]
+        if not above:
+            return [fixed.get(i, share.get(i)) for i in range(len(sizes))]
+        fixed |= {i: Fraction(3 * sizes[i]) for i in above}
+
+
+def brute_quotas(goals, sizes, block):
+    """Whole blocks, one at a time to the highest quotient that has room; small goals to the word."""
+    small = [g < block for g in goals]
+    words = [int(g + Fraction(1, 2)) if s else 0 for g, s in zip(goals, small)]
+    held = [0] * len(goals)
+    for _ in range((sum(sizes) - sum(words)) // block):
+        open_ = [i for i in range(len(goals)) if not small[i] and (held[i] + 1) * block <= 3 * sizes[i]]
+        if not open_:
+            break
+        best = max(open_, key=lambda i: (goals[i] / (2 * held[i] + 1), -i))
+        held[best] += 1
+    return [w + h * block for w, h in zip(words, held)]
+
+
+@pytest.mark.parametrize("blocks,shard", [(1_000_000, 4096), (50, 3), (11, 2)])
+def test_sources_take_the_blocks_that_quotients_give(spark, blocks, shard):
     rows = [(i, t, s) for i, (t, s) in enumerate(zip(made(300, 7), np.random.default_rng(1).choice(["a", "b", "c", "é", "Z", None], 300, p=[0.5, 0.02, 0.2, 0.2, 0.05, 0.03])))]
-    rows += [(900, None, "a"), (901, "", "empty"), (3, rows[3][1], rows[3][2])]
+    rows += [(900, None, "a"), (901, "", "empty"), (902, "two words", "tiny"), (3, rows[3][1], rows[3][2])]
     df = spark.createDataFrame(rows, "id long, description string, source string")
     got = mixing.mix_sources(df, blocks=blocks, shard_blocks=shard).toPandas()
     again = mixing.mix_sources(df.repartition(9), blocks=blocks, shard_blocks=shard).toPandas()
@@ -357,12 +469,23 @@ def test_mix_comes_near_its_targets(spark, blocks, shard):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = mixing.targets(np.arange(len(names)) % 3 + 1.0, np.array([sizes[s] for s in names]), sum(sizes.values()))
+    held = [sizes[s] for s in names]
+    block = max(1, sum(held) // blocks)
+    goals = brute_targets(held)
+    quotas = brute_quotas(goals, held, block)
     source = {i: s for i, _, s in rows}
-    for name, goal in zip(names, want):
+    for name, goal, quota in zip(names, goals, quotas):
         rows_of = got[got["id"].map(source).map(lambda s: s == name)] if name is not None else got[got["id"].map(source).isna()]
-        assert np.allclose(rows_of["target"], goal) and abs(rows_of["taken"].sum() - goal) <= 1
-    assert abs(want.sum() - sum(sizes.values())) < 1e-6
+        assert np.allclose(rows_of["target"], float(goal)) and rows_of["taken"].sum() == quota and abs(quota - goal) <= 2 * block
+    if blocks < 100:  # quotients round to the nearest block, not down
+        assert any(q > g for q, g in zip(quotas, goals)) and any(q < g for q, g in zip(quotas, goals))
+
+
+def test_shards_grow_with_the_words_up_to_a_bound(monkeypatch):
+    sizes, total = np.array([10**12, 5, 10**6]), 10**12 + 5 + 10**6
+    whole, quota = mixing.source_quotas(mixing.targets(np.array([1.0, 2.0, 3.0]), sizes, total), sizes, total, 256)
+    assert quota[1] == 15 and (quota <= 3 * sizes).all() and abs(int(quota.sum()) - total) < 1024
+    assert (whole[[0, 2]] > 0).all() and whole[1] == 0
 
 
 # --- op3 ---------------------------------------------------------------------------------
@@ -399,6 +522,24 @@ def test_edited_questions_and_passages(spark):
     assert got[0, 0].n_windows == 46 and got[2, 1].n_windows == 7 and got[3, 2].n_windows == 33
 
 
+def test_short_questions_are_found_as_a_whole(spark):
+    asked = ["What is the capital of France today", "12 15 18 21 24 27 30 33 36 39", "Is it so", None, ""]
+    texts = ["He said: what is THE capital of France, today?", "What is the capital of Spain today", "12, 15 18 21 24 27 30 33 36 39 42", "is it so, he asked", "what is the capital of", None]
+    got = leaks(spark, asked, texts)
+    assert {k: (r.n_windows, r.coverage, r.changed) for k, r in got.items()} == {(0, 0): (1, 1, 0), (2, 1): (1, 1, 0)}
+
+
+def test_repeated_rows_missing_ids_and_long_texts(spark):
+    asked = "A train from Oslo travels 120 km in 3 hours while another train from Bergen travels 80 km in the same time"
+    long = " ".join(made(1, 3, 40_000)) + " " + asked + " " + " ".join(made(1, 4, 40_000))
+    rows = [(1, asked), (1, asked), (None, asked), (None, "no question"), (2, long)]
+    df = spark.createDataFrame(rows, "id long, description string")
+    questions = spark.createDataFrame([(7, asked), (7, asked), (None, asked)], "id long, description string")
+    got = sorted((r.id is None, r.id or 0, r.question_id is None, r.n_windows, r.coverage) for r in decontaminate.find_questions(df, questions).collect())
+    n = got[0][3]
+    assert got == sorted((i is None, i or 0, q, n, 1.0) for i in (1, 2, None) for q in (False, True))
+
+
 def test_values_of_several_words_are_one_placeholder(spark):
     asked = "A van from Oslo carries 950 boxes of 3 kg each to a shop near Bergen where 40 people unload them, how long does it take"
     moved = asked.replace("950", "1,200").replace("3 kg", "2.5 kg").replace("Oslo", "New York").replace("Bergen", "San  Juan")
