@@ -12,7 +12,7 @@ stage keeps one of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merchlens.llm import decontaminate, language, line_runs, minhash, mixing
@@ -69,11 +69,26 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words from, with how many: target, size, taken."""
-    mixed = mixing.mix_sources(as_products(docs)).where("taken > 0")
-    mixed = mixed.select(F.col("id").alias("_id"), F.col("text_digest").alias("_digest"), "size", "target", "taken")
+    """The documents that the mix takes words from, with how many: target, size, taken.
+
+    Rows that repeat id and text each take their own part of the mix.
+    """
+    mixed = mixing.mix_sources(as_products(docs)).select(
+        F.col("id").alias("_id"), F.col("text_digest").alias("_digest"), "size", "target", "taken"
+    )
+    copy = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("taken", "target"))
+    mixed = stored(mixed, "mix")
+    repeated = mixed.groupBy("_id", "_digest").count().where("count > 1").select("_id", "_digest")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_digest"))
-    return docs.select(*COLUMNS).join(mixed, same).drop("_id", "_digest")
+    rows = docs.select(*COLUMNS)
+    if not repeated.head(1):
+        return rows.join(mixed.where("taken > 0"), same).drop("_id", "_digest")
+    mixed = mixed.withColumn("_copy", copy("_id", "_digest"))
+    numbered = rows.withColumn("_key", text_key(F.col("text"))).withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy("source", "lang", "n_chars"))
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")) & (F.col("_nth") == F.col("_copy"))
+    return numbered.join(mixed.where("taken > 0"), same).drop("_id", "_digest", "_key", "_nth", "_copy")
 
 
 STAGES = [
