@@ -52,6 +52,12 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark):
     assert mix <= leaks and docs.where("taken > 3 * size OR taken <= 0").count() == 0
 
 
+def test_the_mix_takes_each_repeated_row_once(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (2, "d e", "en", "t", 3), (None, "f", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix_sources(spark, docs, FOLDER)
+    assert got.where("doc_id = 1").count() == 2 and got.agg(F.sum("taken")).first()[0] == 9 and got.columns == [*corpus_pipeline.COLUMNS, "size", "target", "taken"]
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
