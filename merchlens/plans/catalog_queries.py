@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merchlens.functions import vocab
 from merchlens.functions.text import low_quality_text, signature
-from merchlens.operators import filters, latest, lists, merge, scoring
+from merchlens.operators import filters, imports, latest, lists, merge, scoring
 from merchlens.plans import frames as fr
 from merchlens.plans.registry import query
 from merchlens.plans.trend_queries import P, rounded
@@ -18,11 +18,12 @@ from merchlens.streaming import jobs as streams
 # --- raw files, written from the part table ---------------------------------------------
 
 
-def raw_catalog(spark, folder) -> DataFrame:
-    """Parts as a messy sheet: mixed headers, two name columns, European numbers."""
+def raw_catalog(spark, folder, listed=None) -> DataFrame:
+    """Parts as a messy sheet: mixed headers, two name columns, European numbers; all parts or those ``listed``."""
     size = F.col("p_size")
     cents = F.replace(F.format_string("%.2f", "p_retailprice"), F.lit("."), F.lit(","))
-    return fr.table(spark, folder, "part").select(
+    parts = fr.table(spark, folder, "part")
+    return (parts if listed is None else parts.where(listed)).select(
         F.when(size % 4 != 0, F.concat(F.lit("  "), F.col("p_name"))).alias("Nombre"),
         F.when(size % 10 != 0, F.concat_ws(" ", "p_brand", "p_name")).alias("Title"),
         F.col("p_type").alias("Categoria"),
@@ -287,7 +288,8 @@ def snapshot_upsert(spark, folder):
 _ONLY_SALES = scoring.ScoreConfig(
     {**{f: 0 for f in vocab.SCORE_FIELDS}, "price": 40, "rating": 30, "units_sold": 90, "oldness": 50}, as_of=fr.AS_OF
 )
-_EFF = {f: repr(w) for f, w in _ONLY_SALES.effective_weights().items()}
+# units are first in the default order, price fourth and rating seventh of eight: 90 x 8, 48 x 5 ... as shares of their sum
+_EFF = {"price": "(4 / 17.0)", "rating": "(1 / 17.0)", "units_sold": "(12 / 17.0)"}
 _SCORED_SHEET = f"""WITH rows AS (SELECT {_NAME} AS name, p_retailprice AS price, (p_size % 9) * 1000 + 500 AS units,
     CASE WHEN p_size % 3 = 0 THEN (p_size % 5) + 0.5 END AS rating, p_brand, p_partkey FROM part WHERE {_NAME} IS NOT NULL),
 last AS (SELECT *, sha1(lower(name) || '|' || lower(p_brand) || '||') AS sig_hash,
@@ -296,6 +298,30 @@ SELECT sig_hash, ROUND(100 * (least(1, price / 1000) * {_EFF["price"]} + COALESC
   + least(1, ln(1 + units) / ln(10001)) * {_EFF["units_sold"]}), 4) AS score_raw FROM last WHERE rn = 1"""
 
 
+_IMPORTED = f"""WITH rows AS (SELECT {_NAME} AS name, p_retailprice AS price, (p_size % 9) * 1000 + 500 AS units,
+    CASE WHEN p_size % 3 = 0 THEN (p_size % 5) + 0.5 END AS rating, p_brand, p_partkey, p_size % 7 <> 0 AS early FROM part WHERE {_NAME} IS NOT NULL),
+keyed AS (SELECT *, sha1(lower(name) || '|' || lower(p_brand) || '||') AS sig_hash FROM rows),
+first AS (SELECT sig_hash, ROW_NUMBER() OVER (ORDER BY MAX(p_partkey)) AS id FROM keyed WHERE early GROUP BY sig_hash),
+last AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sig_hash ORDER BY p_partkey DESC) AS rn FROM keyed),
+late AS (SELECT sig_hash, (SELECT COALESCE(MAX(id), -1) + 1 FROM first) + ROW_NUMBER() OVER (ORDER BY p_partkey) AS id
+  FROM last WHERE rn = 1 AND sig_hash NOT IN (SELECT sig_hash FROM first)),
+ids AS (SELECT * FROM first UNION ALL SELECT * FROM late)
+SELECT id, sig_hash, ROUND(100 * (least(1, price / 1000) * {_EFF["price"]} + COALESCE(rating / 5 * {_EFF["rating"]}, 0)
+  + least(1, ln(1 + units) / ln(10001)) * {_EFF["units_sold"]}), 4) AS score_raw FROM last JOIN ids USING (sig_hash) WHERE rn = 1"""
+
+
+@query("import_products", _IMPORTED)
+def import_products(spark, folder):
+    """Two imports into one store, the second of which brings new products and new values of old ones."""
+    root, sheets = scratch_path(spark, "store"), [scratch_path(spark, "sheet") for _ in range(2)]
+    raw = raw_catalog(spark, folder)
+    early = raw_catalog(spark, folder, F.col("p_size") % 7 != 0).withColumn("Precio", F.lit("1,00 €"))
+    for rows, path in zip((early, raw), sheets):
+        rows.write.option("header", True).option("escape", '"').csv(path)
+        scored = imports.import_catalog(spark, path, root, _ONLY_SALES, "csv", import_date=F.lit(fr.NOW))
+    return rounded(scored.select("id", "sig_hash", "score_raw"))
+
+
 @query("import_and_score", _SCORED_SHEET)
 def import_and_score(spark, folder):
     """The whole import: read, map, type, deduplicate, score."""
@@ -408,12 +434,12 @@ low AS (SELECT id, length(trim(body, ' ' || chr(9) || chr(10) || chr(13))) < 280
 
 @query(
     "low_quality_text",
-    "WITH texts AS (SELECT doc_id AS id, text AS body, p_brand || ' ' || p_name || ' with the and' AS title FROM documents JOIN part ON doc_id = p_partkey),"
+    "WITH texts AS (SELECT doc_id AS id, text AS body, concat_ws(' ', p_brand, p_name, 'with the and') AS title FROM documents LEFT JOIN part ON doc_id = p_partkey),"
     + _LOW_QUALITY
     + "SELECT id, low_quality FROM low",
 )
 def low_quality_text_query(spark, folder):
-    docs = fr.table(spark, folder, "documents").join(fr.table(spark, folder, "part"), F.col("doc_id") == F.col("p_partkey"))
+    docs = fr.table(spark, folder, "documents").join(fr.table(spark, folder, "part"), F.col("doc_id") == F.col("p_partkey"), "left")
     title = F.concat_ws(" ", "p_brand", "p_name", F.lit("with the and"))
     return docs.select(F.col("doc_id").alias("id"), low_quality_text(F.col("text"), title).alias("low_quality"))
 

@@ -1,10 +1,11 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.frames import by_id, rows
-from merchlens.operators import filters, latest, lists, merge
+from merchlens.functions import vocab
+from merchlens.operators import filters, imports, latest, lists, merge, scoring
 
 
 def test_id_queries():
@@ -173,3 +174,23 @@ def test_changes_read_like_merges_one_after_another(spark, tmp_path):
         want = merge.upsert_products(want, staged)
         assert rows(merge.read_merged(spark, root, keep_old_if_null=keep)) == rows(want)
     assert rows(want) == [("a", "A4", 6.0, 7), ("b", "B", 2.0, 60), ("c", "C2", 4.0, 0)]
+
+
+# --- imports ----------------------------------------------------------------------------
+
+
+def test_imports_keep_ids_and_number_new_products(spark, tmp_path):
+    config = scoring.ScoreConfig({f: 50 for f in vocab.SCORE_FIELDS}, as_of=date(2024, 3, 1))
+    root, sheets = str(tmp_path / "store"), [tmp_path / f"sheet{i}.csv" for i in range(3)]
+    sheets[0].write_text("name,price,rating\nLamp,10,4\nBox,2,\nlamp,12,\n,9,\n")
+    sheets[1].write_text('name,price\nPen,1\nBOX,3\n"Desk\nlarge",80\n')
+    sheets[2].write_text("name,price\n,1\n")
+    seen = []
+    for sheet in sheets:
+        got = imports.import_catalog(spark, str(sheet), root, config, "csv", locale="us", run=sheet.name)
+        seen.append({r["id"]: (r["name"], r["price"]) for r in got.collect()})
+    assert seen[0] == {1: ("Box", 2.0), 2: ("lamp", 12.0)}
+    assert seen[1] == seen[2] == {1: ("BOX", 3.0), 2: ("lamp", 12.0), 4: ("Pen", 1.0), 5: ("Desk\nlarge", 80.0)}
+    again = imports.import_catalog(spark, str(sheets[1]), root, config, "csv", locale="us", run="sheet1.csv")
+    assert {r["id"]: (r["name"], r["price"]) for r in again.collect()} == seen[1]
+    assert again.where("score IS NULL").count() == 0
