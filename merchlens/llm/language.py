@@ -16,6 +16,7 @@ from merchlens.llm.common import in_batches, joined_bytes, mix, prefix_hash, spa
 
 PER_LANGUAGE = 250  # labelled rows a language is learned from, by their first MOST_CHARS characters
 MOST_CHARS = 20_000
+LABELLED_CHARS = 1 << 20  # texts that are labelled together, which bounds a worker's arrays
 EPOCHS = 5
 STEP = 1024  # words of a block; blocks of one text are joined by their transfer matrices
 UNDETERMINED = "und"
@@ -226,7 +227,7 @@ def label_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[
     names, shares = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     if not model.languages:
         return names, shares
-    for begin, end in in_batches(texts):
+    for begin, end in in_batches(texts, LABELLED_CHARS):
         part = texts[begin:end]
         words = words_of(part)
         lengths = np.bincount(words.text, minlength=len(part))

@@ -108,7 +108,7 @@ def scan_licenses(products: DataFrame, rules: list[Rule] | None = None, id: str
 
     A missing or empty text has no words and no detections. Rows with equal id and text get
     equal results, one for each; a NULL id is an id like any other; further columns of
-    ``products`` are ignored whatever their names.
+    ``products`` are ignored whatever their names; an empty table gives no rows.
     """
     rules = all_rules() if rules is None else rules
     is_base = F.col("priority") == BASE

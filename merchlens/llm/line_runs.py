@@ -68,7 +68,8 @@ def repeated_runs(products: DataFrame, min_words: int = MIN_WORDS, id: str = "id
     2^k and 2^(k + 1) get their ranks from two runs of 2^k lines that overlap. Suffixes of one
     rank are copies of the first of them. As a line that counts holds a word, every run of
     ``min_words`` lines is long enough, and a longer one consists of such runs: lengths from 1 to
-    ``min_words`` find each line of every maximal run.
+    ``min_words`` find each line of every maximal run, and stand in for the intervals of a
+    longest-common-prefix array; with a large ``min_words`` each length costs a join.
     Returns ``id, _key, i``, each line once; i counts the lines that hold a word.
     """
     base, span, deleted = stored(_ranked(line_suffixes(products, min_words, id, text)), "line-ranks"), 1, []
@@ -102,7 +103,7 @@ def dedup_lines(
     stretches of lines they form, and what is left, then the columns named in ``carry``. A missing description stays missing, with
     one empty line. Products that share an id are ordered by a hash of the text; rows equal in
     id and text are one product, each gets its result. A NULL id comes last. Further columns
-    are ignored whatever their names.
+    are ignored whatever their names; an empty table gives no rows.
     """
     gone = repeated_runs(products, min_words, id, text).groupBy("id", "_key").agg(F.collect_set("i").alias("gone"))
     gone = gone.withColumnsRenamed({"id": "_id", "_key": "_of"})

@@ -240,7 +240,8 @@ def near_duplicates(products: DataFrame, width: int = 5, percent: int = 80, id:
 
     A text without words, or missing, has no shingles and is linked with nothing; its component
     is its own id. Rows that repeat an id count as one product of several texts; a NULL id is
-    never a component's name unless all its members have none. Further columns are ignored.
+    never a component's name unless all its members have none. Further columns are ignored; an
+    empty table gives no rows.
     """
     spark = products.sparkSession
     rows = stored(sketches(products, width, id, text), "sketches")

@@ -118,8 +118,8 @@ def count_tokens(
 
     Returns ``id, n_bytes, n_tokens, over_limit`` (UTF-8 bytes; n_tokens > ``limit``). A
     missing text is empty and has 0 tokens. Equal texts are encoded once and counted for every
-    row; rows may repeat, ids may be NULL, further columns are ignored. A cache row that two
-    runs appended counts once.
+    row; rows may repeat, ids may be NULL, further columns are ignored; an empty table gives no
+    rows. A cache row that two runs appended counts once.
     """
     spark, version = products.sparkSession, tokenizer_version(tokenizer)
     texts = products.select(digest(F.col(text)).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -266,7 +266,8 @@ def archive_pages(pages: DataFrame, folder: str, captured: str = "2024-01-01T00:
 
     A missing page has an empty payload, a missing URL the empty key; payloads below
     ``REVISIT_FROM`` bytes are all responses. Rows that repeat the smallest id of a payload are
-    all responses, a row without an id revisits a page that has one. Further columns are ignored.
+    all responses, a row without an id revisits a page that has one. Ids are whole numbers. Further
+    columns are ignored; an empty table gives no rows.
     """
     write_archives(pages, f"{folder}/archives", captured, id, url, html)
     free_shuffles(pages.sparkSession)

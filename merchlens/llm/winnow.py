@@ -128,7 +128,8 @@ def fingerprint_edits(products: DataFrame, id: str = "id", text: str = "descript
     Equal texts have equal fingerprints. A missing text is empty; an empty one has the empty
     fingerprint, which is wholly like another empty one. A product alone in the table is its
     own next. Rows that share an id follow each other in order of their text's digest, rows
-    without an id come last; further columns are ignored whatever their names.
+    without an id come last; ids are whole numbers, as their order is cut into ranges. Further
+    columns are ignored whatever their names; an empty table gives no rows.
     """
     texts = products.select(
         F.col(id).alias("id"), text_key(F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")
