@@ -148,7 +148,7 @@ def joined_bytes(texts: list[str | None], separator: bytes = b"\n") -> tuple[byt
     return separator.join([*raw, b""]) if raw else b"", starts
 
 
-def in_batches(texts: list[str | None], most: int = 4 << 20):
+def in_batches(texts: list[str | None], most: int = 1 << 20):
     """Cuts a list of texts into (from, to) pieces of about ``most`` characters, whole texts each."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
