@@ -5,6 +5,7 @@ Input products carry ``id, name, category, price, units_sold, revenue, rating``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,9 @@ TOP = 10
 PARETO_TOP = 15
 INSIGHT_TOP = 3
 RATING_FLOOR = 4.6
+SLOTS = 1 << 16  # counts that stand for all values that are not counted by themselves
+GUESS_ROWS = 256  # rows whose most frequent values are counted by themselves; results do not depend on them
+GUESSES = 20  # such values for each wanted one
 
 
 def _category() -> Column:
@@ -97,37 +101,60 @@ def revenue_per_unit(df: DataFrame, top: int = TOP) -> DataFrame:
     )
 
 
-def _stop() -> Column:
-    return F.array(*[F.lit(w) for w in vocab.KEYWORD_STOP_WORDS])
+def _kept_words(df: DataFrame, word: Column, name: str) -> DataFrame:
+    """One row per word of three letters or more that is no stop word."""
+    return df.select(word.alias(name)).where((F.length(name) >= 3) & ~F.col(name).isin(*vocab.KEYWORD_STOP_WORDS))
+
+
+def _keywords(df: DataFrame, text: str) -> DataFrame:
+    """Flame marks at a name's end are no letters and need no cleaning."""
+    return _kept_words(df, F.explode(F.split(F.lower(F.col(text)), f"[^{vocab.KEYWORD_LETTERS}]+")), "keyword")
 
 
 def keyword_counts(df: DataFrame, text: str = "name") -> DataFrame:
     """Words of three letters or more that are no stop words, with their counts."""
-    words = F.split(F.lower(clean_name(F.col(text))), f"[^{vocab.KEYWORD_LETTERS}]+")
-    return (
-        df.select(F.explode(words).alias("keyword"))
-        .where((F.length("keyword") >= 3) & ~F.array_contains(_stop(), F.col("keyword")))
-        .groupBy("keyword")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    return _keywords(df, text).groupBy("keyword").agg(F.count(F.lit(1)).alias("count"))
+
+
+def most_frequent(df: DataFrame, values: Callable[[DataFrame], DataFrame], top: int, slots: int = SLOTS, guess_rows: int = GUESS_ROWS) -> DataFrame:
+    """The ``top`` most frequent of the ``values`` of ``df``, with their exact ``count``; ties go by value.
+
+    ``values`` gives a table of one column; NULL is left out. One scan counts the most frequent values
+    of the first ``guess_rows`` rows one by one, and all others by the slot that they hash to, so that
+    a task sends at most ``slots`` rows and these few. A slot counts at least as often as any value in
+    it: if none reaches the last of the answer it stands, whatever the guess was. Otherwise a second
+    scan counts the values of the slots that do.
+    """
+    found = values(df)
+    name = found.columns[0]
+    found = found.where(F.col(name).isNotNull())
+    order = [F.desc("count"), name]
+    one_by_one = lambda rows: rows.groupBy(name).agg(F.count(F.lit(1)).alias("count"))
+    first = one_by_one(values(df.limit(guess_rows)).where(F.col(name).isNotNull()))
+    likely = [r[name] for r in first.orderBy(*order).limit(GUESSES * top).collect()]
+    listed, slot = F.col(name).isin(likely), F.pmod(F.xxhash64(name), F.lit(slots))
+    keys = [F.when(listed, F.col(name)).alias(name), F.when(~listed, slot).alias("_slot")]
+    counted = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).collect()  # len(likely) + slots at most
+    known = [(r[name], r["count"]) for r in counted if r["_slot"] is None]
+    schema = first.schema
+    spark = df.sparkSession
+    last = sorted((n for _, n in known), reverse=True)[top - 1] if 0 < top <= len(known) else 0
+    full = [(r["_slot"],) for r in counted if r["_slot"] is not None and r["count"] >= last]
+    answer = spark.createDataFrame(known, schema)
+    if full and top:
+        inside = found.where(~listed).withColumn("_slot", slot).join(F.broadcast(spark.createDataFrame(full, "_slot long")), "_slot", "left_semi")
+        answer = answer.unionByName(one_by_one(inside))
+    return answer.orderBy(*order).limit(top)
 
 
 def top_keywords(df: DataFrame, text: str = "name", top: int = TOP) -> DataFrame:
-    return keyword_counts(df, text).orderBy(F.desc("count"), "keyword").limit(top)
+    return most_frequent(df, lambda rows: _keywords(rows, text), top)
 
 
 def top_brands(df: DataFrame, top: int = TOP) -> DataFrame:
     """First word of the name as brand, counted, in title case."""
     first = F.lower(F.get(F.split(clean_name(F.col("name")), "[^A-Za-z0-9]+"), 0))
-    return (
-        df.select(first.alias("brand"))
-        .where((F.length("brand") >= 3) & ~F.array_contains(_stop(), F.col("brand")))
-        .groupBy("brand")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "brand")
-        .limit(top)
-        .select(F.initcap("brand").alias("brand"), "count")
-    )
+    return most_frequent(df, lambda rows: _kept_words(rows, first, "brand"), top).select(F.initcap("brand").alias("brand"), "count")
 
 
 def kpis(df: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -121,6 +122,39 @@ def test_keywords_brands_kpis(catalogue):
     assert (k["total_revenue"], k["avg_price"], k["top_category"], k["top_product"]) == (1020.0, 20.0, "Home", "The box")
 
 
+def _most_frequent_by_hand(values, top):
+    counts = Counter(v for v in values if v is not None)
+    return sorted(((v, n) for v, n in counts.items()), key=lambda r: (-r[1], r[0]))[:top]
+
+
+def _values(df):
+    return df.select("v")
+
+
+@pytest.mark.parametrize("slots", [1, 7, 1 << 16])
+@pytest.mark.parametrize("guess_rows", [0, 30, 5000])
+def test_most_frequent_against_brute_force(spark, slots, guess_rows):
+    """A hot value, many rare ones, ties at the border, NULL and empty; bad guesses and few slots change nothing."""
+    values = [f"r{i}" for i in range(300)] + ["hot"] * 400 + [f"w{i % 40}" for i in range(900)] + [None] * 50 + [""] * 23
+    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(3)
+    for top in (0, 1, 20, 10_000):
+        got = [(r["v"], r["count"]) for r in analytics.most_frequent(df, _values, top, slots, guess_rows).collect()]
+        assert got == _most_frequent_by_hand(values, top), (slots, guess_rows, top)
+    assert analytics.most_frequent(df.limit(0), _values, 5, slots, guess_rows).collect() == []
+
+
+def test_most_frequent_counts_again_only_where_slots_are_full(spark):
+    """A clear answer needs one scan; where slots reach it, their values are counted, filtered before the shuffle."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    values = [f"hot{i}" for i in range(6) for _ in range(100 - i)] + [f"r{i}" for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    clear = analytics.most_frequent(df, _values, 6)
+    mixed = analytics.most_frequent(df, _values, 6, slots=8, guess_rows=150)
+    assert [tuple(r) for r in clear.collect()] == [tuple(r) for r in mixed.collect()] == _most_frequent_by_hand(values, 6)
+    assert "Aggregate" not in plan(clear)
+    assert plan(mixed).index("Aggregate") < plan(mixed).index("LeftSemi")
+
+
 def test_pareto_is_relative_to_the_shown_rows(spark):
     df = spark.createDataFrame([(f"c{i:02}", float(i)) for i in range(20)], "path string, revenue double")
     out = analytics.pareto(df, top=4).collect()
