@@ -148,7 +148,7 @@ def test_most_frequent_counts_again_only_where_slots_are_full(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     values = [f"hot{i}" for i in range(6) for _ in range(100 - i)] + [f"r{i}" for i in range(2000)]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    clear = analytics.most_frequent(df, _values, 6)
+    clear = analytics.most_frequent(df, _values, 6, guess_rows=5000)
     mixed = analytics.most_frequent(df, _values, 6, slots=8, guess_rows=150)
     assert [tuple(r) for r in clear.collect()] == [tuple(r) for r in mixed.collect()] == _most_frequent_by_hand(values, 6)
     assert "Aggregate" not in plan(clear)
